@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from catalog import evaluation, metrics
+from catalog import cross_validation, data_checks, evaluation, metrics, sources
 from catalog.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
-_ = (evaluation, metrics)
+_ = (cross_validation, data_checks, evaluation, metrics, sources)
