@@ -13,13 +13,13 @@ def _repeated(df: DataFrame, row_id: str, repeats: int, seed: int) -> DataFrame:
     return df.withColumn("__hash", digest(seed, F.col("repeat"), F.col(row_id)))
 
 
-def kfold_assign(df: DataFrame, row_id: str, k: int, repeats: int = 1, seed: int = 0, digits: int = 3) -> DataFrame:
+def kfold_assign(df: DataFrame, row_id: str, k: int, repeats: int = 1, seed: int = 0, digits: int | None = None) -> DataFrame:
     """Adds ``repeat, fold``: each row once per repeat, fold sizes differ by at most one."""
     ordered = hash_position(_repeated(df, row_id, repeats, seed), "__hash", [row_id], keys=["repeat"], digits=digits)
     return ordered.withColumn("fold", F.pmod("position", F.lit(k)).cast("int")).drop("position", "__hash")
 
 
-def stratified_kfold_assign(df: DataFrame, row_id: str, label: str, k: int, repeats: int = 1, seed: int = 0, digits: int = 3) -> DataFrame:
+def stratified_kfold_assign(df: DataFrame, row_id: str, label: str, k: int, repeats: int = 1, seed: int = 0, digits: int | None = None) -> DataFrame:
     """As ``kfold_assign`` within each class; the next class continues where the last one stopped."""
     ordered = hash_position(
         _repeated(df, row_id, repeats, seed), "__hash", [row_id], keys=["repeat"], lead=[label], digits=digits

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from treeline.functions.scores import sigmoid_probability
-from treeline.operators.ordering import range_bounds, running_totals, salted_lookup, with_range
+from treeline.operators.ordering import explode_run, range_bounds, running_totals, salted_lookup, sum_over_run, with_range
 from treeline.operators.pairs import rank_pairs
 from treeline.operators.ranking import risk_sets
 
@@ -14,21 +14,20 @@ def score_positions(df: DataFrame) -> DataFrame:
     """``group_id, row_id, label, m_0`` with rank by score and relevant rows up to it."""
     rows = df.select("group_id", "row_id", "label", "m_0").withColumn("one", F.lit(1))
     rows = rows.withColumn("hit", (F.col("label") > 0).cast("int"))
-    rows = with_range(rows, "m_0", range_bounds(rows, "m_0"), descending=True)
+    bounds = range_bounds(rows, "m_0")
+    rows = with_range(rows, "m_0", bounds, descending=True)
     order = [F.col("m_0").desc(), F.col("label").asc(), F.col("row_id").asc()]
-    ranked = running_totals(rows, ["group_id"], order, "range_id", {"above": "one", "hits_above": "hit"})
+    ranked = running_totals(rows, ["group_id"], order, "range_id", {"above": "one", "hits_above": "hit"}, single=not bounds)
     ranked = ranked.withColumn("rank", F.col("above") + 1).withColumn("hits", F.col("hits_above") + F.col("hit"))
     ranked = ranked.withColumn("inverse", F.when(F.col("hit") == 1, 1.0 / F.col("rank")).otherwise(0.0))
     ranked = ranked.drop("above", "hits_above")
-    return running_totals(ranked, ["group_id"], [F.col("rank").asc()], "range_id", {"inverse_before": "inverse"})
+    return running_totals(ranked, ["group_id"], [F.col("rank").asc()], "range_id", {"inverse_before": "inverse"}, single=not bounds)
 
 
 def group_totals(df: DataFrame) -> DataFrame:
     """Ideal DCG and relevant rows per group, from counts per grade."""
     grades = df.groupBy(F.col("group_id").alias("group"), "label").agg(F.count(F.lit(1)).alias("n"))
     best_first = W.partitionBy("group").orderBy(F.col("label").desc()).rowsBetween(W.unboundedPreceding, -1)
-    from treeline.operators.ordering import explode_run, sum_over_run
-
     placed = grades.withColumn("above", F.coalesce(F.sum("n").over(best_first), F.lit(0)))
     pieces = explode_run(placed, F.col("above") + 1, F.col("n"))
     discount = sum_over_run(lambda i: 1.0 / F.log2(i.cast("double") + 1.0))
@@ -85,12 +84,12 @@ def _precision_change():
 
 def cox_gradients(df: DataFrame) -> DataFrame:
     """Residuals of the partial likelihood: sums over the events at or before each row's time."""
-    times = risk_sets(df, "m_0", "label")
+    times, single = risk_sets(df, "m_0", "label")
     times = times.select(
         "time", (-F.col("range_id")).alias("range_id"),
         (F.col("events") / F.col("at_risk")).alias("a"), (F.col("events") / (F.col("at_risk") * F.col("at_risk"))).alias("b"),
     )
-    summed = running_totals(times, [], [F.col("time").asc()], "range_id", {"a_before": "a", "b_before": "b"})
+    summed = running_totals(times, [], [F.col("time").asc()], "range_id", {"a_before": "a", "b_before": "b"}, single=single)
     hazard = summed.select("time", (F.col("a_before") + F.col("a")).alias("hz"), (F.col("b_before") + F.col("b")).alias("hz2"))
     rows = df.withColumn("time", F.abs(F.col("label").cast("double")))
     joined = salted_lookup(rows, hazard, ["time"])

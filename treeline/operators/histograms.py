@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from treeline.operators.ordering import quantile_sketch
 
 FIXED_POINT_BITS = 20
 MISSING_BIN = 0
@@ -23,9 +25,8 @@ def feature_bins(df: DataFrame, max_bin: int = 256, features: str = "features",
 
     The quantile sketch combines on the map side, so one feature costs one sketch per task, not its values.
     """
-    fractions = [i / max_bin for i in range(1, max_bin)] or [0.5]
     sketch = feature_values(df, features).groupBy("feature").agg(
-        F.percentile_approx("value", fractions, accuracy).alias("q"), F.min("value").alias("low")
+        quantile_sketch("value", max(max_bin, 2), accuracy).alias("q"), F.min("value").alias("low")
     )
     above = F.filter(F.array_sort(F.array_distinct("q")), lambda v: v > F.col("low"))
     return sketch.select("feature", above.alias("cuts"))

@@ -13,15 +13,36 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-RANGES = 512
+MAX_RANGES = 4_096
+ROWS_PER_RANGE = 250_000
+MAX_SLOT_DIGITS = 5
 RUN_CHUNK = 100_000
 
 
-def range_bounds(df: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
-    """At most ``ranges - 1`` ascending cut points (one small action, map-side sketches)."""
-    fractions = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), fractions, 10_000).alias("q")).first()
-    return sorted(set(row.q or []))
+def quantile_sketch(column: str, parts: int, accuracy: int) -> Column:
+    """Aggregate: the ``parts - 1`` inner quantiles of a column (as SQL text, which is quick to build)."""
+    fractions = ",".join(f"{i / parts!r}D" for i in range(1, parts))
+    return F.expr(f"percentile_approx(cast({column} AS double), array({fractions}), {max(accuracy, 10_000)})")
+
+
+def range_bounds(df: DataFrame, column: str) -> list[float]:
+    """Ascending cut points that leave about ``ROWS_PER_RANGE`` rows per range; none for a small frame.
+
+    A count decides how many are needed; the quantile sketch, combined on the map side, runs only then.
+    """
+    ranges = min(MAX_RANGES, -(-df.count() // ROWS_PER_RANGE))
+    if ranges <= 1:
+        return []
+    row = df.agg(quantile_sketch(column, ranges, 10 * ranges).alias("q")).first()
+    return sorted(set(row["q"] or []))
+
+
+def slot_digits(df: DataFrame) -> int:
+    """Hex digits of hash slots that leave about ``ROWS_PER_RANGE`` rows per slot; 0 for a small frame."""
+    digits, slots = 0, df.count() / ROWS_PER_RANGE
+    while slots > 1 and digits < MAX_SLOT_DIGITS:
+        digits, slots = digits + 1, slots / 16
+    return digits
 
 
 def with_range(df: DataFrame, column: str, bounds: Sequence[float], out: str = "range_id", descending: bool = False) -> DataFrame:
@@ -42,11 +63,16 @@ def running_totals(
     order: Sequence[Column],
     range_col: str,
     sums: dict[str, str],
+    single: bool = False,
 ) -> DataFrame:
     """Adds, for each ``out: value`` in ``sums``, the sum of ``value`` over all earlier rows of the group.
 
-    ``range_col`` must agree with ``order``: rows of a smaller range come first.
+    ``range_col`` must agree with ``order``: rows of a smaller range come first. ``single`` says that all rows
+    are in one range (a frame of at most ``ROWS_PER_RANGE`` rows), where the plain window is enough.
     """
+    if single:
+        before = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(o) for o, v in sums.items()])
     cell = [*keys, range_col]
     totals = df.groupBy(*cell).agg(*[F.sum(v).alias(f"__t_{o}") for o, v in sums.items()])
     earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(range_col).rowsBetween(W.unboundedPreceding, -1)
@@ -57,12 +83,16 @@ def running_totals(
     return joined.select(*df.columns, *out)
 
 
-def hash_position(df: DataFrame, hash_col: str, order: Sequence[str], keys: Sequence[str] = (), lead: Sequence[str] = (), digits: int = 3) -> DataFrame:
+def hash_position(df: DataFrame, hash_col: str, order: Sequence[str], keys: Sequence[str] = (), lead: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Adds ``position`` (from 0) in the order ``lead, hash, order`` of each key.
 
     The first ``digits`` hex digits of the hash make 16**digits even ranges, so one label or key that
-    holds most rows is still spread over all of them.
+    holds most rows is still spread over all of them. The number of digits follows the row count.
     """
+    digits = slot_digits(df) if digits is None else digits
+    if digits == 0:
+        whole = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(*lead, hash_col, *order)
+        return df.withColumn("position", F.row_number().over(whole) - 1)
     df = df.withColumn("__slot", F.substring(hash_col, 1, digits))
     cell = [*keys, *lead, "__slot"]
     earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(*lead, "__slot").rowsBetween(W.unboundedPreceding, -1)
