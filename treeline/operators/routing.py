@@ -7,6 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# Widths of the fields of a packed node; features take the rest of the long.
+BIN_BITS = 16
+CHILD_BITS = 24
+
+
 @dataclass
 class Tree:
     """One tree as parallel arrays indexed by node id; ``feature`` is -1 at a leaf."""
@@ -71,34 +76,46 @@ def lookup(values, index: str) -> Column:
     return F.expr(f"get({literal_array(values)}, {index})")
 
 
-def step(tree: Tree, node: str, binned: bool, column: str) -> Column:
-    """The node one level further down; a row at a leaf stays.
+def packed_nodes(tree: Tree, binned: bool) -> list[int]:
+    """One long per node: feature, bin, default direction and left child (the right child follows it); -1 at a leaf."""
+    out = []
+    for f, b, d, left in zip(tree.feature, tree.bin if binned else [0] * len(tree.bin), tree.default_left, tree.left):
+        out.append(-1 if f < 0 else f << BIN_BITS + CHILD_BITS + 1 | b << CHILD_BITS + 1 | int(d) << CHILD_BITS | left)
+    return out
 
-    Later filters on the node must not be pushed below this projection: substituting one level into the next
-    would grow the condition exponentially with depth. The partition number is non-deterministic to the
-    optimizer, so the (never true) test on it keeps each level a projection of its own.
-    """
-    feature = f"get({literal_array(tree.feature)}, {node})"
-    x = f"get({column}, {feature})"
-    default = f"get({literal_array(tree.default_left)}, {node})"
+
+def _advance(packed: str, node: str, binned: bool, column: str, split: str) -> str:
+    x = f"get({column}, cast(shiftright({packed}, {BIN_BITS + CHILD_BITS + 1}) AS int))"
+    to_right = f"IF(({packed} & {1 << CHILD_BITS}L) = 0, 1, 0)"
     if binned:
-        go_left = f"IF({x} = 0, {default}, {x} <= get({literal_array(tree.bin)}, {node}))"
+        bin_number = f"(shiftright({packed}, {CHILD_BITS + 1}) & {(1 << BIN_BITS) - 1}L)"
+        turn = f"IF({x} = 0, {to_right}, IF({x} <= {bin_number}, 0, 1))"
     else:
-        go_left = f"IF({x} IS NULL OR isnan({x}), {default}, {x} < get({literal_array(tree.split)}, {node}))"
-    left, right = literal_array(tree.left), literal_array(tree.right)
-    moved = f"IF({feature} >= 0, IF({go_left}, get({left}, {node}), get({right}, {node})), {node})"
-    return F.expr(f"IF(spark_partition_id() < 0, -1, {moved})")
+        turn = f"IF({x} IS NULL OR isnan({x}), {to_right}, IF({x} < get({split}, {node}), 0, 1))"
+    return f"IF({packed} < 0, {node}, cast({packed} & {(1 << CHILD_BITS) - 1}L AS int) + {turn})"
 
 
 def step_all(df: DataFrame, trees: list[Tree], nodes: list[str], binned: bool, column: str) -> DataFrame:
-    """One level for several trees in one projection."""
-    moved = {n: step(t, n, binned, column).alias(n) for t, n in zip(trees, nodes) if t.max_depth() > 0}
-    return df.select(*[moved.get(c, F.col(c)) for c in df.columns])
+    """One level further down for several trees; a row at a leaf stays.
+
+    Generated code stays small: one lookup of a packed node, then shifts. Later filters on the node must not be
+    pushed below this projection, because substituting one level into the next would grow the condition
+    exponentially with depth. The partition number is non-deterministic to the optimizer, so the (never true)
+    test on it keeps each level a projection of its own.
+    """
+    moving = [(t, n) for t, n in zip(trees, nodes) if t.max_depth() > 0]
+    if not moving:
+        return df
+    fetched = [
+        f"IF(spark_partition_id() < 0, 0L, get(array({','.join(f'{v}L' for v in packed_nodes(t, binned))}), {n})) AS __k_{n}" for t, n in moving
+    ]
+    moved = {n: f"{_advance(f'__k_{n}', n, binned, column, '' if binned else literal_array(t.split))} AS {n}" for t, n in moving}
+    return df.selectExpr("*", *fetched).selectExpr(*[moved.get(c, f"`{c}`") for c in df.columns])
 
 
 def route(df: DataFrame, trees: list[Tree], nodes: list[str], binned: bool, column: str) -> DataFrame:
     """Adds the leaf each row reaches in each tree."""
-    df = df.select("*", *[F.lit(0).alias(n) for n in nodes])
+    df = df.selectExpr("*", *[f"0 AS {n}" for n in nodes])
     for _ in range(max((t.max_depth() for t in trees), default=0)):
         df = step_all(df, trees, nodes, binned, column)
     return df

@@ -2,7 +2,7 @@
 
 Each level is one aggregate (gradient histogram) and one small collect (the best split per node). Rows are
 moved through the growing tree by literal lookups, so no row is shuffled after it is read. Rows live in a
-persisted frame that is rewritten to the shared folder every few rounds to keep plans short.
+frame that is persisted anew each round and written to the shared folder every few rounds.
 """
 
 from __future__ import annotations
@@ -31,35 +31,44 @@ CARRIED = ("row_id", "group_id", "label_lower", "label_upper", "fold")
 REFRESH_ROUNDS = 5
 HISTOGRAM_BITS = 62
 SUBTRACT_CELLS = 200_000_000
+SMALL_CELLS = 50_000_000
 
 
 class Rows:
-    """Binned training rows with their current margins."""
+    """Binned training rows with their current margins, persisted anew every round.
+
+    The frame of a round is computed from that of the round before. Every few rounds it is also written to the
+    shared folder and read back, so that lost executors recompute a few rounds at most.
+    """
 
     def __init__(self, df: DataFrame, margins: list[str]):
         self.margins = margins
-        self.df = df
-        self.base = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.df = self.base
+        self.df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.old: DataFrame | None = None
         self.age = 0
         self._slots = [scratch_path(df.sparkSession, "rows") for _ in range(2)]
         self._turn = 0
 
-    def advance(self, df: DataFrame, force: bool = False) -> None:
-        """Takes the frame with updated margins; every few rounds writes it to the shared folder."""
-        self.df = df
+    def advance(self, df: DataFrame, last: bool = False) -> None:
+        """Takes the frame with updated margins; it is computed by the next pass over the rows."""
+        self.settle()
         self.age += 1
-        if self.age >= REFRESH_ROUNDS or force:
+        if self.age >= REFRESH_ROUNDS and not last:
             path = self._slots[self._turn % 2]
-            self._turn += 1
+            self._turn, self.age = self._turn + 1, 0
             df.write.mode("overwrite").parquet(path)
-            fresh = df.sparkSession.read.schema(df.schema).parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
-            self.base.unpersist()
-            self.base = self.df = fresh
-            self.age = 0
+            df = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.old, self.df = self.df, df.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def settle(self) -> None:
+        """Releases the frame of the round before; called once the current one has been computed."""
+        if self.old is not None:
+            self.old.unpersist()
+            self.old = None
 
     def close(self) -> None:
-        self.base.unpersist()
+        self.settle()
+        self.df.unpersist()
 
 
 def _prepare(df: DataFrame, cuts, margins: list[str], base: float, objective: str, params: dict, start: Model | None) -> DataFrame:
@@ -341,6 +350,9 @@ def fit_boosted_trees(
     if len(model.trees) >= total_rounds:
         return model
 
+    if shape["n"] * n_features <= SMALL_CELLS:
+        # few files can mean fewer partitions than cores; large inputs keep the partitions of their scan
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     cuts = _cut_points(df, n_features, max(2, int(p["max_bin"]) or 256))
     if p["booster"] == "dart":
         _bin_splits(model, cuts)
@@ -356,6 +368,7 @@ def fit_boosted_trees(
     for round_number in range(len(model.trees), total_rounds + 1):
         grad = _gradients(train.df, objective, p, margins)
         stats, values = _stats_and_metrics(train, grad, objective, metrics, p, margins)
+        train.settle()
         if round_number > 0 and model.trees and len(model.trees) == round_number and round_number > (len(start.trees) if start else 0):
             last = round_number - 1
             logged = {}
@@ -395,7 +408,7 @@ def fit_boosted_trees(
                 shrink = _shrink(p, len(dropped))
                 updated = _tree_contributions(updated, out, margins, -(1.0 - shrink) / shrink)
             updated = routing.route(updated, grower.trees, nodes, True, "bins")
-            rows.advance(routing.add_tree_values(updated, grower.trees, nodes, margins))
+            rows.advance(routing.add_tree_values(updated, grower.trees, nodes, margins), last=round_number == total_rounds - 1)
         grower.finish()
     for rows in sets.values():
         rows.close()
