@@ -248,3 +248,35 @@ def test_user_hooks(spark):
     assert {r["response"] for r in one} == {"m1,2\n3,4", "m1,x"}
     with pytest.raises(ValueError):
         score_with_user_hooks(df, lambda d: None, transform_fn=lambda *a: "", output_fn=lambda *a: "")
+
+
+@pytest.mark.parametrize("objective", ["rank:ndcg", "rank:map", "survival:cox"])
+def test_group_gradients_do_not_depend_on_ranges(spark, rows, monkeypatch, objective):
+    from treeline.operators.group_gradients import group_gradients
+
+    df = rows.select(
+        "row_id", F.when(F.col("row_id") % 3 == 0, 0).otherwise(F.col("row_id") % 11).alias("group_id"),
+        (F.col("row_id") % 4).cast("double").alias("label"), (F.col("row_id") * 31 % 17 / 5.0).alias("m_0"), F.lit(1.0).alias("w"),
+    )
+    plain = {r["row_id"]: (r["g_0"], r["h_0"]) for r in group_gradients(df, objective, DEFAULTS).collect()}
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 40)
+    monkeypatch.setattr(ordering, "HOT_KEYS", 10)
+    cut = {r["row_id"]: (r["g_0"], r["h_0"]) for r in group_gradients(df, objective, DEFAULTS).collect()}
+    assert set(plain) == set(cut) and len(plain) == 800
+    for k in plain:
+        assert cut[k] == pytest.approx(plain[k], abs=1e-9)
+
+
+def test_salted_lookup_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 20)
+    monkeypatch.setattr(ordering, "HOT_KEYS", 10)
+    big = spark.range(300).select(F.when(F.col("id") < 100, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = ordering.salted_lookup(big, small, ["k"])
+    assert got.count() == 300 and got.where("v <> k * 2").count() == 0
+
+
+def test_literal_and_array_features_with_nan(spark):
+    df = spark.createDataFrame([(float(i % 2), [float(i % 2), float("nan"), None]) for i in range(40)], "label double, features array<double>")
+    model = fit_boosted_trees(df, {"num_round": 1, "max_depth": 2, "max_bin": 4, "eta": 1.0, "lambda": 0})
+    assert {(r["label"], round(r["prediction"], 6)) for r in predict_trees(df, model).collect()} == {(0.0, 0.0), (1.0, 1.0)}

@@ -12,21 +12,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _per_request(df: DataFrame, value: Column, request_id: str, row: str) -> DataFrame:
-    """Values of a request in row order."""
-    grouped = df.groupBy(request_id).agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("i"), value.alias("v")))).alias("all"))
-    return grouped.select(request_id, F.transform("all", lambda e: e["v"]).alias("values"))
+    """Values of a request in row order, and its first error when rows carry one."""
+    gathered = [F.array_sort(F.collect_list(F.struct(F.col(row).alias("i"), value.alias("v")))).alias("all")]
+    if "error" in df.columns:
+        gathered.append(F.min("error").alias("error"))
+    grouped = df.groupBy(request_id).agg(*gathered)
+    return grouped.withColumn("values", F.transform("all", lambda e: e["v"])).drop("all")
+
+
+def _respond(out: DataFrame, request_id: str, body: Column) -> DataFrame:
+    """``request_id, body[, error]``; a request with an error has no body."""
+    if "error" not in out.columns:
+        return out.select(request_id, body.alias("body"))
+    return out.select(request_id, F.when(F.col("error").isNull(), body).alias("body"), "error")
 
 
 def encode_csv_batch(df: DataFrame, value: str = "prediction", request_id: str = "request_id", row: str = "row_idx") -> DataFrame:
     """One prediction per line, with a final newline."""
     out = _per_request(df, F.col(value).cast("string"), request_id, row)
-    return out.select(request_id, F.concat(F.array_join("values", "\n"), F.lit("\n")).alias("body"))
+    return _respond(out, request_id, F.concat(F.array_join("values", "\n"), F.lit("\n")))
 
 
 def encode_csv_online(df: DataFrame, value: str = "prediction", request_id: str = "request_id", row: str = "row_idx") -> DataFrame:
     """All predictions of a request on one line."""
     out = _per_request(df, F.col(value).cast("string"), request_id, row)
-    return out.select(request_id, F.array_join("values", ",").alias("body"))
+    return _respond(out, request_id, F.array_join("values", ","))
 
 
 def selected_csv_line(df: DataFrame, keys: Sequence[str], selected: str = "selected") -> Column:
@@ -45,7 +55,7 @@ def encode_selected_csv(
 ) -> DataFrame:
     out = _per_request(df, selected_csv_line(df, keys, selected), request_id, row)
     body = F.array_join("values", "\n")
-    return out.select(request_id, (F.concat(body, F.lit("\n")) if batch else body).alias("body"))
+    return _respond(out, request_id, F.concat(body, F.lit("\n")) if batch else body)
 
 
 def encode_json(
@@ -56,7 +66,7 @@ def encode_json(
     text = F.to_json(F.struct(F.col("values").alias("predictions")), {"ignoreNullFields": "false"})
     if nan == "literal":
         text = F.regexp_replace(text, ":null([,}])", ":NaN$1")
-    return out.select(request_id, text.alias("body"))
+    return _respond(out, request_id, text)
 
 
 def encode_scores_json(df: DataFrame, value: str = "prediction", request_id: str = "request_id", row: str = "row_idx") -> DataFrame:

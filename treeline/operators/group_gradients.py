@@ -47,7 +47,7 @@ def ranking_gradients(df: DataFrame, objective: str, params: dict) -> DataFrame:
         placed = score_positions(df)
         fields = ("m_0", "rank", "hits", "inverse_before", "inverse")
         pairs = rank_pairs(placed, carry=fields, seed=seed)
-        pairs = salted_lookup(pairs, group_totals(df), ["group"])
+        pairs = salted_lookup(pairs, group_totals(df), ["group"], measured=df.select(F.col("group_id").alias("group")))
         if objective == "rank:ndcg":
             gain = F.pow(F.lit(2.0), "high_label") - F.pow(F.lit(2.0), "low_label")
             discount = 1.0 / F.log2(F.col("high_rank") + 1.0) - 1.0 / F.log2(F.col("low_rank") + 1.0)
@@ -92,7 +92,7 @@ def cox_gradients(df: DataFrame) -> DataFrame:
     summed = running_totals(times, [], [F.col("time").asc()], "range_id", {"a_before": "a", "b_before": "b"}, single=single)
     hazard = summed.select("time", (F.col("a_before") + F.col("a")).alias("hz"), (F.col("b_before") + F.col("b")).alias("hz2"))
     rows = df.withColumn("time", F.abs(F.col("label").cast("double")))
-    joined = salted_lookup(rows, hazard, ["time"])
+    joined = salted_lookup(rows, hazard, ["time"], measured=rows.select("time"))
     e, w = F.exp("m_0"), F.col("w")
     g = e * F.col("hz") - (F.col("label") > 0).cast("double")
     h = F.greatest(e * F.col("hz") - e * e * F.col("hz2"), F.lit(1e-16))

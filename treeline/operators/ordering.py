@@ -14,7 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 MAX_RANGES = 4_096
-ROWS_PER_RANGE = 250_000
+ROWS_PER_RANGE = 1_000_000
+HOT_KEYS = 1_000
 MAX_SLOT_DIGITS = 5
 RUN_CHUNK = 100_000
 
@@ -22,7 +23,7 @@ RUN_CHUNK = 100_000
 def quantile_sketch(column: str, parts: int, accuracy: int) -> Column:
     """Aggregate: the ``parts - 1`` inner quantiles of a column (as SQL text, which is quick to build)."""
     fractions = ",".join(f"{i / parts!r}D" for i in range(1, parts))
-    return F.expr(f"percentile_approx(cast({column} AS double), array({fractions}), {max(accuracy, 10_000)})")
+    return F.expr(f"percentile_approx(cast({column} AS double), array({fractions}), {max(accuracy, 1_000)})")
 
 
 def range_bounds(df: DataFrame, column: str) -> list[float]:
@@ -33,7 +34,7 @@ def range_bounds(df: DataFrame, column: str) -> list[float]:
     ranges = min(MAX_RANGES, -(-df.count() // ROWS_PER_RANGE))
     if ranges <= 1:
         return []
-    row = df.agg(quantile_sketch(column, ranges, 10 * ranges).alias("q")).first()
+    row = df.agg(quantile_sketch(column, ranges, 2 * ranges).alias("q")).first()
     return sorted(set(row["q"] or []))
 
 
@@ -83,26 +84,40 @@ def running_totals(
     return joined.select(*df.columns, *out)
 
 
-def hash_position(df: DataFrame, hash_col: str, order: Sequence[str], keys: Sequence[str] = (), lead: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+def hash_position(
+    df: DataFrame, hash_col: str, order: Sequence[str], keys: Sequence[str] = (), lead: Sequence[str] = (), digits: int | None = None,
+    blocks: bool = False,
+) -> DataFrame:
     """Adds ``position`` (from 0) in the order ``lead, hash, order`` of each key.
 
     The first ``digits`` hex digits of the hash make 16**digits even ranges, so one label or key that
-    holds most rows is still spread over all of them. The number of digits follows the row count.
+    holds most rows is still spread over all of them. The number of digits follows the row count. With
+    ``blocks`` also: ``same`` rows of this key and lead, ``start`` of their block, ``size`` of the key.
     """
     digits = slot_digits(df) if digits is None else digits
+    by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    block = W.partitionBy(*keys, *lead)
     if digits == 0:
-        whole = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(*lead, hash_col, *order)
-        return df.withColumn("position", F.row_number().over(whole) - 1)
+        placed = df.withColumn("position", F.row_number().over(by_key.orderBy(*lead, hash_col, *order)) - 1)
+        if not blocks:
+            return placed
+        return placed.select(
+            "*", F.count(F.lit(1)).over(block).alias("same"), F.min("position").over(block).alias("start"),
+            F.count(F.lit(1)).over(by_key).alias("size"),
+        )
     df = df.withColumn("__slot", F.substring(hash_col, 1, digits))
     cell = [*keys, *lead, "__slot"]
-    earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(*lead, "__slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
-        .select(*cell, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    )
+    earlier = by_key.orderBy(*lead, "__slot").rowsBetween(W.unboundedPreceding, -1)
+    counts = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(*cell, "__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    if blocks:
+        offsets = offsets.select(
+            *cell, "__n", "__before", F.sum("__n").over(block).alias("same"), F.min("__before").over(block).alias("start"),
+            F.sum("__n").over(by_key).alias("size"),
+        )
     inside = W.partitionBy(*cell).orderBy(hash_col, *order)
     return (
-        df.join(offsets, cell)
+        df.join(offsets.drop("__n"), cell)
         .withColumn("position", F.col("__before") + F.row_number().over(inside) - 1)
         .drop("__slot", "__before")
     )
@@ -122,9 +137,22 @@ def sum_over_run(term) -> Column:
     return F.when(F.col("lo") == F.col("hi"), term(F.col("lo"))).otherwise(many)
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 16) -> DataFrame:
-    """Equi-join where one key may hold a large share of ``big``: that key is spread over ``salts`` tasks."""
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in keys]), F.lit(salts)).cast("int")
-    left = big.withColumn("__salt", spread)
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def salted_lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], measured: DataFrame | None = None) -> DataFrame:
+    """Equi-join of ``big`` with one row per key of ``small``, where a key may hold a large share of ``big``.
+
+    Keys above ``limit`` rows, of which there are at most ``HOT_KEYS``, are spread over several tasks: their rows
+    get a salt and their small-side row is repeated per salt. All other keys join as they are. ``measured`` is a
+    cheaper frame with the same key frequencies.
+    """
+    measured = big if measured is None else measured
+    rows = measured.count()
+    if rows <= ROWS_PER_RANGE:
+        return big.join(small, list(keys))
+    limit = max(ROWS_PER_RANGE, rows // HOT_KEYS)
+    counts = measured.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    hot = F.broadcast(counts.select(*keys, F.ceil(F.col("__n") / limit).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in keys]), salts).cast("int")
+    left = big.join(hot, list(keys), "left").withColumn("__salt", spread).drop("__salts")
+    right = small.join(hot, list(keys), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return left.join(right, [*keys, "__salt"]).drop("__salt")

@@ -7,10 +7,10 @@ is addressed by its position in label order, so the join key is unique and a hug
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from treeline.functions.hashing import digest, hash_int
-from treeline.operators.ordering import hash_position, salted_lookup
+from treeline.operators.ordering import hash_position
 
 
 def rank_pairs(
@@ -20,15 +20,8 @@ def rank_pairs(
     """``group, high_id, low_id, high_label, low_label, high_<c>, low_<c>`` with ``high_label > low_label``."""
     rows = df.select(F.col(group).alias("group"), F.col(row_id).alias("id"), F.col(label).alias("label"), *carry)
     rows = rows.withColumn("__hash", digest(seed, F.col("id")))
-    placed = hash_position(rows, "__hash", ["id"], keys=["group"], lead=["label"]).drop("__hash")
-    lower = W.partitionBy("group").orderBy("label").rowsBetween(W.unboundedPreceding, -1)
-    blocks = placed.groupBy("group", "label").agg(F.count(F.lit(1)).alias("same"))
-    blocks = blocks.select(
-        "group", "label", "same",
-        F.coalesce(F.sum("same").over(lower), F.lit(0)).alias("start"),
-        F.sum("same").over(W.partitionBy("group")).alias("size"),
-    ).where(F.col("size") > F.col("same"))
-    drawn = salted_lookup(placed, blocks, ["group", "label"])
+    placed = hash_position(rows, "__hash", ["id"], keys=["group"], lead=["label"], blocks=True).drop("__hash")
+    drawn = placed.where("size > same")
     drawn = drawn.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(pairs_per_row - 1))))
     r = F.pmod(hash_int(seed, round_number, F.col("id"), F.col("pair")), F.col("size") - F.col("same"))
     drawn = drawn.withColumn("r", r)

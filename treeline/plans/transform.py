@@ -49,11 +49,9 @@ def batch_transform(
     """``request_id, body, error``: the response per request; a request with a bad row has an error and no body."""
     scored = score_rows(requests, model, content_type, keys, request_id, body)
     if accept == "csv":
-        out = encode_selected_csv(scored, keys, request_id=request_id, batch=True) if keys else encode_csv_batch(scored, request_id=request_id)
-    elif accept == "json":
-        out = encode_json(scored, request_id=request_id) if keys else encode_scores_json(scored, request_id=request_id)
-    else:
-        raise ValueError(f"accept type {accept} is not supported")
-    errors = scored.where("error is not null").groupBy(request_id).agg(F.min("error").alias("error"))
-    joined = out.join(errors, request_id, "left")
-    return joined.select(request_id, F.when(F.col("error").isNull(), F.col("body")).alias("body"), "error")
+        if keys:
+            return encode_selected_csv(scored, keys, request_id=request_id, batch=True)
+        return encode_csv_batch(scored, request_id=request_id)
+    if accept == "json":
+        return encode_json(scored, request_id=request_id) if keys else encode_scores_json(scored, request_id=request_id)
+    raise ValueError(f"accept type {accept} is not supported")

@@ -17,6 +17,8 @@ def build_session(app: str = "treeline", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # quantile sketches of up to this many features stay in the hash aggregate instead of sorting
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
