@@ -129,12 +129,24 @@ def test_aft_gradients_are_the_slope_of_the_loss(spark):
 def test_early_stopping_uses_the_best_round(spark, rows):
     flat = rows.withColumn("label", F.rand(5))
     train, held = flat.randomSplit([0.5, 0.5], seed=2)
-    model = fit_boosted_trees(train, {"num_round": 8, "max_depth": 4, "max_bin": 16, "early_stopping_rounds": 2, "eta": 1.0}, validation=held)
-    scores = losses(model, "validation")
+    model = fit_boosted_trees(train, {"num_round": 8, "max_depth": 4, "max_bin": 16, "early_stopping_rounds": 2, "eta": 1.0, "eval_metric": "mae,rmse"}, validation=held)
+    scores = [r[4] for r in model.log if r[2:4] == ("validation", "rmse")]
     assert model.best_round == scores.index(min(scores)) and len(scores) <= 8
     assert model.used_rounds == model.best_round + 1
 
 
+def test_metric_lists():
+    from treeline.operators.confusion import metric_names
+
+    assert metric_names("validation:f1", ["rmse", "auc"]) == ["auc", "f1", "rmse"]
+    assert metric_names(None, ["rmse", "auc"]) == ["rmse", "auc"] and metric_names("validation:f1,accuracy", None) == ["f1", "accuracy"]
+
+
+def test_labels_outside_the_domain_are_an_error(spark, rows):
+    with pytest.raises(ValueError, match="logistic"):
+        fit_boosted_trees(rows, {"objective": "binary:logistic", "num_round": 1})
+
+
 def test_dart_scoring_agrees_with_the_log(spark, rows):
     model = fit_boosted_trees(rows, {"booster": "dart", "rate_drop": 0.5, "one_drop": 1, "num_round": 4, "max_depth": 2, "max_bin": 16})
     rmse = predict_trees(rows, model).agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 LOGISTIC = ("reg:logistic", "binary:logistic", "binary:logitraw")
 
@@ -16,10 +16,10 @@ def require_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return out
 
 
-def label_range_check(df: DataFrame, objective: str, num_class: int | None = None, label: str = "label", auc: bool = False) -> DataFrame:
-    """``rule, violations`` for the rules that apply to the objective, in one aggregate."""
+def label_rules(objective: str, num_class: int | None, label: str = "label") -> dict[str, Column]:
+    """Count of labels outside the objective's domain, per rule that applies."""
     y = F.col(label)
-    rules: dict[str, object] = {}
+    rules: dict[str, Column] = {}
     if objective in LOGISTIC:
         rules["label must be in [0,1] for logistic regression"] = F.count_if((y < 0) | (y > 1))
     if objective.startswith("multi:"):
@@ -28,6 +28,13 @@ def label_range_check(df: DataFrame, objective: str, num_class: int | None = Non
         rules["PoissonRegression: label must be nonnegative"] = F.count_if(y < 0)
     if objective == "reg:tweedie":
         rules["TweedieRegression: label must be nonnegative"] = F.count_if(y < 0)
+    return rules
+
+
+def label_range_check(df: DataFrame, objective: str, num_class: int | None = None, label: str = "label", auc: bool = False) -> DataFrame:
+    """``rule, violations`` for the rules that apply to the objective, in one aggregate."""
+    y = F.col(label)
+    rules = label_rules(objective, num_class, label)
     if auc:
         one_sided = (F.count_if(y > 0) == 0) | (F.count_if(y <= 0) == 0)
         rules["AUC: the dataset only contains pos or neg samples"] = one_sided.cast("bigint")

@@ -105,12 +105,15 @@ def _melt(wide: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFra
     return wide.select(*keys, pairs).select(*keys, "m.metric", "m.value")
 
 
-def metric_names(tuning_metric: str | None, user_metrics: Sequence[str]) -> list[str]:
-    """Sorted union of the tuning metric (``validation:name``) and the user's list."""
-    names = {n.strip() for n in user_metrics if n and n.strip()}
-    if tuning_metric:
-        names.add(tuning_metric.split(":", 1)[-1].split(",")[0].strip())
-    return sorted(names)
+def tuning_metrics(tuning_metric: str | None) -> list[str]:
+    """Metric names of a tuning objective such as ``validation:f1`` or ``validation:f1,accuracy``."""
+    return [n.strip() for n in tuning_metric.split(":", 1)[-1].split(",")] if tuning_metric else []
+
+
+def metric_names(tuning_metric: str | None, user_metrics: Sequence[str] | None) -> list[str]:
+    """Metrics to evaluate: one list as given, or the sorted union of both."""
+    tuned, user = tuning_metrics(tuning_metric), list(user_metrics or [])
+    return sorted(set(tuned) | set(user)) if tuned and user else tuned or user
 
 
 def metric_report(

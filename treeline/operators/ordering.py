@@ -47,7 +47,7 @@ def slot_digits(df: DataFrame) -> int:
 
 
 def with_range(df: DataFrame, column: str, bounds: Sequence[float], out: str = "range_id", descending: bool = False) -> DataFrame:
-    """Adds the range number; larger values get smaller numbers when ``descending``."""
+    """Adds the range number; larger values get smaller numbers when ``descending``. NULL sorts as Spark sorts it."""
     if not bounds:
         return df.withColumn(out, F.lit(0))
     inf = float("inf")
@@ -55,7 +55,8 @@ def with_range(df: DataFrame, column: str, bounds: Sequence[float], out: str = "
     cut = Bucketizer(splits=[-inf, *bounds, inf], inputCol=f"__{out}_in", outputCol=tmp, handleInvalid="keep")
     df = cut.transform(df.withColumn(f"__{out}_in", F.col(column).cast("double")))
     number = F.col(tmp).cast("int")
-    return df.withColumn(out, -number if descending else number).drop(tmp, f"__{out}_in")
+    placed = F.coalesce(-number, F.lit(1)) if descending else F.coalesce(number, F.lit(-1))
+    return df.withColumn(out, placed).drop(tmp, f"__{out}_in")
 
 
 def running_totals(

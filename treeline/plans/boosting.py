@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from treeline.operators import gradients as G
 from treeline.operators import histograms as H
 from treeline.operators import routing
+from treeline.operators.checks import label_rules
+from treeline.operators.confusion import metric_names, tuning_metrics
 from treeline.operators.evaluation import is_maximize, is_pointwise, mean_aggregate
 from treeline.operators.group_gradients import group_gradients
 from treeline.operators.metric_by_name import evaluate_named
@@ -334,9 +336,15 @@ def fit_boosted_trees(
         raise ValueError("booster gblinear is trained by fit_linear")
     k = int(p["num_class"]) if G.is_multiclass(objective) else 1
     margins = [f"m_{i}" for i in range(k)]
-    shape = df.agg(F.max(F.size("features")).alias("width"), F.count("label").alias("n")).first()
+    rules = label_rules(objective, p.get("num_class"))
+    shape = df.agg(
+        F.max(F.size("features")).alias("width"), F.count("label").alias("n"), *[c.alias(f"r{i}") for i, c in enumerate(rules.values())]
+    ).first()
     if not shape["n"]:
         raise ValueError("input data has no labels")
+    for i, rule in enumerate(rules):
+        if shape[f"r{i}"]:
+            raise ValueError(f"{rule} ({shape[f'r{i}']} rows)")
     n_features = start.n_features if start else shape["width"]
     if start is not None:
         base = start.base_margin
@@ -360,10 +368,12 @@ def fit_boosted_trees(
     sets = {"train": train}
     for name, frame in {**({"validation": validation} if validation is not None else {}), **(watch or {})}.items():
         sets[name] = Rows(_prepare(frame, cuts, margins, base, objective, p, start), margins)
-    metrics = p.get("eval_metric") or [default_metric(objective)]
-    patience = p.get("early_stopping_rounds")
+    named = metric_names(p.get("_tuning_objective_metric"), p.get("eval_metric"))
+    metrics = named or [default_metric(objective)]
+    # stopping looks at the last tuning metric, else the last metric named by the user, on the validation data
+    stop_metric = (tuning_metrics(p.get("_tuning_objective_metric")) or p.get("eval_metric") or [None])[-1]
+    patience = p.get("early_stopping_rounds") if stop_metric and validation is not None else None
     best = None
-    stop_on = list(sets)[-1]
 
     for round_number in range(len(model.trees), total_rounds + 1):
         grad = _gradients(train.df, objective, p, margins)
@@ -377,9 +387,9 @@ def fit_boosted_trees(
                 for m, v in zip(metrics, scores):
                     model.log.append((last, fold, name, m, v))
                 logged[name] = scores
-            if patience and len(sets) > 1:
-                score = logged[stop_on][-1]
-                if best is None or (score > best[0] if is_maximize(metrics[-1]) else score < best[0]):
+            if patience:
+                score = logged["validation"][metrics.index(stop_metric)]
+                if best is None or (score > best[0] if is_maximize(stop_metric) else score < best[0]):
                     best = (score, last)
                 model.best_round = best[1]
                 if last - best[1] >= int(patience):
