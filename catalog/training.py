@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.frames import LINES_SQL, ORDERS_SQL, binary_lines, class_vectors, event_rows, order_rows
+from catalog.frames import EVENTS_SQL, LINES_SQL, ORDERS_SQL, binary_lines, class_vectors, event_rows, order_rows
 from catalog.registry import query, table
 from catalog.scoring import FLAT_SQL, fixed_model
 from treeline.functions.scores import sigmoid_probability
@@ -220,18 +220,23 @@ def _priced(spark, sf):
     )
 
 
-@query("fit_with_weights", f"""WITH {ORDERS_SQL}, x AS (SELECT row_id, label, grade AS w, [features[1], features[2], features[4]] AS f FROM ords),
+# One round of depth one with weights: the best border of all features and the two leaf values.
+STUMP_SQL = f"""{ORDERS_SQL}, x AS (SELECT row_id, label, grade AS w, [features[1], features[2], features[4]] AS f FROM ords),
 long AS (SELECT unnest([0, 1, 2]) AS feature, unnest(f) AS v, w * (0.5 - label) AS g, w AS h FROM x),
 a AS (SELECT feature, v, sum(g) AS g, sum(h) AS h FROM long GROUP BY ALL),
 c AS (SELECT feature, v, coalesce(sum(g) OVER w, 0) AS gl, coalesce(sum(h) OVER w, 0) AS hl FROM a
   WINDOW w AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT sum(w * (0.5 - label)) AS gt, sum(w) AS ht FROM x),
-r AS (SELECT *, row_number() OVER (ORDER BY gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) DESC, feature, v) AS rk FROM c, t WHERE hl > 0 AND ht - hl > 0)
-SELECT row_id, round(0.5 + 0.3 * CASE WHEN f[feature + 1] < v THEN -gl / (hl + 1) ELSE -(gt - gl) / (ht - hl + 1) END, 6) AS prediction
-FROM x, r WHERE rk = 1""")
+ranked AS (SELECT *, row_number() OVER (ORDER BY gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) DESC, feature, v) AS rk FROM c, t WHERE hl > 0 AND ht - hl > 0),
+best AS (SELECT feature, v, -0.3 * gl / (hl + 1) AS left_value, -0.3 * (gt - gl) / (ht - hl + 1) AS right_value FROM ranked WHERE rk = 1),
+stump AS (SELECT row_id, label, w, 0.5 + CASE WHEN f[feature + 1] < v THEN left_value ELSE right_value END AS prediction FROM x, best)"""
+STUMP = {"num_round": 1, "max_depth": 1, "max_bin": 1024, "min_child_weight": 0}
+
+
+@query("fit_with_weights", f"WITH {STUMP_SQL} SELECT row_id, round(prediction, 6) AS prediction FROM stump")
 def _weighted(spark, sf):
     df = _priced(spark, sf)
-    model = fit_boosted_trees(df, {"num_round": 1, "max_depth": 1, "max_bin": 1024, "min_child_weight": 0})
+    model = fit_boosted_trees(df, STUMP)
     return predict_trees(df, model).select("row_id", F.round("prediction", 6).alias("prediction"))
 
 
@@ -258,11 +263,13 @@ def _fit(spark, sf):
     return predict_trees(df, model).select("row_id", F.round("prediction", 6).alias("prediction"))
 
 
-@query("evaluation_log")
+@query("evaluation_log", f"""WITH {STUMP_SQL}, e AS (SELECT 'train' AS data_name, * FROM stump UNION ALL SELECT 'low_priority', * FROM stump WHERE w > 3)
+SELECT CAST(0 AS INT) AS round, data_name, 'rmse' AS metric, round(sqrt(sum(w * (label - prediction) * (label - prediction)) / sum(w)), 6) AS value FROM e GROUP BY data_name
+UNION ALL SELECT 0, data_name, 'mae', round(sum(w * abs(label - prediction)) / sum(w), 6) FROM e GROUP BY data_name""")
 def _evaluation_log(spark, sf):
-    train, held = _purchases(spark, sf).randomSplit([0.8, 0.2], seed=1)
-    params = {"objective": "binary:logistic", "num_round": 3, "max_depth": 2, "max_bin": 32, "eval_metric": "logloss,error"}
-    return _log(spark, fit_boosted_trees(train, params, validation=held))
+    df = _priced(spark, sf)
+    model = fit_boosted_trees(df, {**STUMP, "eval_metric": "rmse,mae"}, watch={"low_priority": df.where("weight > 3")})
+    return _log(spark, model).drop("fold")
 
 
 @query("fit_multiclass")
@@ -319,26 +326,29 @@ def _fit_linear(spark, sf):
     return predict_linear(df, model).select("row_id", F.round("prediction", 4).alias("prediction"))
 
 
-@query("fit_kfold")
+@query("fit_kfold", f"""WITH {EVENTS_SQL}, f AS (SELECT row_id, label,
+  (row_number() OVER (ORDER BY label, md5('0|0|' || row_id), row_id) - 1) % 2 AS fold FROM evs)
+SELECT CAST(0 AS INT) AS repeat, CAST(fold AS INT) AS fold, count(*) AS n, sum(label) AS positives, true AS in_range FROM f GROUP BY fold""")
 def _fit_kfold(spark, sf):
     params = {"objective": "binary:logistic", "num_round": 1, "max_depth": 2, "max_bin": 32, "_kfold": 2, "_num_cv_round": 1}
-    return fit_kfold(_purchases(spark, sf), params).predictions.select("row_id", "repeat", "fold", F.round("prob", 6).alias("prob"))
+    out = fit_kfold(_purchases(spark, sf), params).predictions
+    return out.groupBy("repeat", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("positives"), F.every((F.col("prob") > 0) & (F.col("prob") < 1)).alias("in_range")
+    )
 
 
-@query("resume_fit")
+@query("resume_fit", f"WITH {STUMP_SQL} SELECT row_id, round(prediction, 6) AS prediction FROM stump")
 def _resume(spark, sf):
     path = scratch_path(spark, "checkpoints")
-    df = order_rows(spark, sf)
-    params = {"num_round": 1, "max_depth": 2, "max_bin": 32}
-    resume_fit(df, params, path)
-    return _log(spark, resume_fit(df, {**params, "num_round": 2}, path))
+    df = _priced(spark, sf)
+    resume_fit(df, STUMP, path)
+    return predict_trees(df, resume_fit(df, STUMP, path)).select("row_id", F.round("prediction", 6).alias("prediction"))
 
 
-@query("save_each_round")
+@query("save_each_round", f"""WITH {STUMP_SQL} SELECT CAST(0 AS INT) AS node, feature, v AS split, CAST(NULL AS DOUBLE) AS leaf FROM best
+  UNION ALL SELECT 1, -1, NULL, round(left_value, 6) FROM best UNION ALL SELECT 2, -1, NULL, round(right_value, 6) FROM best""")
 def _each_round(spark, sf):
     path = scratch_path(spark, "rounds")
-    fit_boosted_trees(order_rows(spark, sf), {"num_round": 2, "max_depth": 2, "max_bin": 32}, on_round=save_each_round(spark, path))
-    nodes = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/checkpoint.0/nodes", f"{path}/checkpoint.1/nodes")
-    return nodes.groupBy("round").agg(F.count(F.lit(1)).alias("nodes"))
-
-
+    fit_boosted_trees(_priced(spark, sf), STUMP, on_round=save_each_round(spark, path))
+    nodes = spark.read.parquet(f"{path}/checkpoint.0/nodes")
+    return nodes.select("node", "feature", "split", F.round("leaf", 6).alias("leaf"))
