@@ -75,35 +75,35 @@ def eval_ndcg(df: DataFrame, group: str, score: str = "score", label: str = "lab
     def discount(i):
         return 1.0 / F.log2(i.cast("double") + 1.0)
 
-    def gain_sum(runs: DataFrame, out: str) -> DataFrame:
+    def gains(runs: DataFrame, dcg: Column, ideal: Column) -> DataFrame:
         kept = runs.withColumn("k", _within(top)).where((F.col("k") > 0) & (F.col("label") > 0))
-        pieces = explode_run(kept, F.col("above") + 1, F.col("k"))
-        return pieces.groupBy("group").agg(
-            F.sum((F.pow(F.lit(2.0), F.col("label")) - 1.0) * sum_over_run(discount)).alias(out)
-        )
+        return explode_run(kept, F.col("above") + 1, F.col("k")).select("group", dcg.alias("dcg"), ideal.alias("ideal"))
 
-    runs = rank_runs(df, group, score, label)
+    gain = (F.pow(F.lit(2.0), F.col("label")) - 1.0) * sum_over_run(discount)
+    none = F.lit(0.0)
     grades = df.groupBy(F.col(group).alias("group"), F.col(label).cast("double").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     best_first = W.partitionBy("group").orderBy(F.col("label").desc()).rowsBetween(W.unboundedPreceding, -1)
     ideal = grades.withColumn("above", F.coalesce(F.sum("n").over(best_first), F.lit(0)))
-    groups = grades.select("group").distinct()
-    joined = groups.join(gain_sum(runs, "dcg"), "group", "left").join(gain_sum(ideal, "idcg"), "group", "left")
-    each = F.when(F.coalesce(F.col("idcg"), F.lit(0.0)) > 0, F.coalesce(F.col("dcg"), F.lit(0.0)) / F.col("idcg"))
-    return joined.agg(F.avg(each.otherwise(F.lit(float(empty)))).alias("ndcg"))
+    parts = gains(rank_runs(df, group, score, label), gain, none).unionByName(gains(ideal, none, gain))
+    parts = parts.unionByName(grades.select("group", none.alias("dcg"), none.alias("ideal")))
+    each = parts.groupBy("group").agg(F.sum("dcg").alias("dcg"), F.sum("ideal").alias("ideal"))
+    value = F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(F.lit(float(empty)))
+    return each.agg(F.avg(value).alias("ndcg"))
 
 
 def eval_map(df: DataFrame, group: str, score: str = "score", label: str = "label", top: int | None = None, empty: float = 1.0) -> DataFrame:
     """Mean over groups of average precision (relevant = label above 0)."""
     runs = rank_runs(df, group, score, label)
-    counts = runs.groupBy("group").agg(F.sum("hits").alias("relevant"))
     kept = runs.withColumn("k", _within(top)).where((F.col("k") > 0) & (F.col("hits") > 0))
-    pieces = explode_run(kept, F.col("above") + 1, F.col("k"))
     precision = sum_over_run(lambda i: (F.col("hits_above") + (i - F.col("above"))).cast("double") / i)
-    found = pieces.groupBy("group").agg(F.sum(precision).alias("found"))
-    joined = counts.join(found, "group", "left")
+    found = explode_run(kept, F.col("above") + 1, F.col("k")).select("group", precision.alias("found"), F.lit(0).cast("bigint").alias("relevant"))
+    y = F.col(label).cast("double")
+    counts = df.groupBy(F.col(group).alias("group")).agg(F.count_if(y > 0).alias("relevant"))
+    parts = found.unionByName(counts.select("group", F.lit(0.0).alias("found"), "relevant"))
+    each = parts.groupBy("group").agg(F.sum("found").alias("found"), F.sum("relevant").alias("relevant"))
     denominator = F.col("relevant") if top is None else F.least(F.col("relevant"), F.lit(top))
-    each = F.when(F.col("relevant") > 0, F.coalesce(F.col("found"), F.lit(0.0)) / denominator)
-    return joined.agg(F.avg(each.otherwise(F.lit(float(empty)))).alias("map"))
+    value = F.when(F.col("relevant") > 0, F.col("found") / denominator).otherwise(F.lit(float(empty)))
+    return each.agg(F.avg(value).alias("map"))
 
 
 def risk_sets(df: DataFrame, margin: str = "margin", label: str = "label") -> tuple[DataFrame, bool]:
