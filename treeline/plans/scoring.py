@@ -52,6 +52,8 @@ def _packed(trees: Sequence[Tree]) -> dict[str, np.ndarray]:
 
 
 def _matrix(features: pd.Series, width: int) -> np.ndarray:
+    if len(features) and (features.str.len() == width).all():
+        return np.vstack(features.to_numpy()).astype(float)
     out = np.full((len(features), width), np.nan)
     for i, row in enumerate(features):
         values = np.asarray(row, dtype=float)[:width]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from treeline.operators.confusion import class_metrics
+from treeline.session import scratch_path
 
 
 def window_confusion(rows: DataFrame, window: str, time: str = "ts", label: str = "label", pred: str = "pred", late: str = "1 hour") -> DataFrame:
@@ -17,6 +18,17 @@ def window_confusion(rows: DataFrame, window: str, time: str = "ts", label: str
     return counts.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "label", "pred", "n")
 
 
+def stream_confusion(rows: DataFrame, window: str, path: str, time: str = "ts", label: str = "label", pred: str = "pred", late: str = "1 hour"):
+    """Starts a query that appends the counts of every closed window to Parquet files at ``path``.
+
+    A window closes when the latest event is ``late`` past its end; later rows of it are dropped.
+    """
+    counts = window_confusion(rows, window, time, label, pred, late)
+    checkpoint = scratch_path(rows.sparkSession, "stream")
+    writer = counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start(path)
+
+
 def stream_metric_report(counts: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Class metrics per window from stored or streamed confusion counts."""
+    """Class metrics per window from stored confusion counts."""
     return class_metrics(counts, list(names), ["start"])
