@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import bpe
+from treeline.llm import bpe, packing, records
+from treeline.session import scratch_path
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,5 +22,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "records")
+    records.write_records(_table(spark, sf_dir, "documents"), folder, BYTE_VOCABULARY, end_id=2)
+    index = records.write_index(spark, folder)
+    return records.with_start(index).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=1, capacity=4096)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_bpe, op9_records, op10_packing)
+}
 ORACLES: dict[str, str] = {}
