@@ -199,7 +199,8 @@ def pack_best_fit(pieces: DataFrame, capacity: int, length_col: str = "length")
     inside = Window.partitionBy(length_col, "__bucket").orderBy(*[c for c in pieces.columns if c != length_col])
     numbered = keyed.withColumn("__row", F.row_number().over(inside)).join(bases, [length_col, "__bucket"])
     numbered = numbered.select(*pieces.columns, (F.col("__base") + F.col("__row") - 1).alias("__number"))
-    at_length = pieces.columns.index(length_col)
+    names = pieces.columns
+    at_length = names.index(length_col)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first, each, sequence, offset = slots
@@ -209,7 +210,7 @@ def pack_best_fit(pieces: DataFrame, capacity: int, length_col: str = "length")
             run = np.searchsorted(keys, (length << 44) + number, side="right") - 1
             nth = number - first[run]
             columns = [pa.array(sequence[run] + nth // each[run]), pa.array(offset[run] + nth % each[run] * length)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + columns, [*pieces.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + columns, [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return numbered.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
