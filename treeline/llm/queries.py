@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import bpe, packing, quality, records
+from treeline.llm import bpe, licenses, packing, quality, records
 from treeline.session import scratch_path
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
@@ -39,6 +43,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op8_quality, op9_records, op10_packing)
+    f.__name__: f for f in (op1_bpe, op5_licenses, op8_quality, op9_records, op10_packing)
 }
 ORACLES: dict[str, str] = {}
