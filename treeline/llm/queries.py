@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from treeline.llm import bpe, licenses, packing, quality, records
+from treeline.llm import bpe, licenses, packing, quality, records, vectors
 from treeline.session import scratch_path
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +27,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
@@ -43,6 +48,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op5_licenses, op8_quality, op9_records, op10_packing)
+    f.__name__: f for f in (op1_bpe, op5_licenses, op7_topk, op8_quality, op9_records, op10_packing)
+}
+ORACLES: dict[str, str] = {
+    "op7_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
 }
-ORACLES: dict[str, str] = {}
