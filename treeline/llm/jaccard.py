@@ -25,34 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.components import connected_components
+from treeline.llm.hashing import ODD, mix, run_hashes, word_hashes
 from treeline.llm.tokens import slices
 from treeline.session import materialize
 
 BAND = 1.5  # sizes of a band, largest to smallest
 CHUNK = 2048  # members of a tile compared with as many others in one task
-KEPT_WORDS = 300_000
-_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _ODD[4]
-    return x ^ (x >> np.uint64(29))
 
 
 def shingle_set(text: str, n: int = 3) -> np.ndarray:
@@ -60,13 +42,7 @@ def shingle_set(text: str, n: int = 3) -> np.ndarray:
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    hashes = np.array(list(map(_HASHES.__getitem__, words)), dtype=np.uint64)
-    n = min(n, len(hashes))
-    with np.errstate(over="ignore"):
-        total = np.full(len(hashes) - n + 1, n, dtype=np.uint64)
-        for i in range(n):
-            total = _mix(total * _ODD[0] + hashes[i : len(hashes) - n + 1 + i])
-    return np.unique(total)
+    return np.unique(run_hashes(word_hashes(words), min(n, len(words))))
 
 
 def bands(most: int) -> list[int]:
@@ -85,9 +61,9 @@ def _part_keys(sorted_set: np.ndarray, parts: int, tag: int) -> tuple[np.ndarray
     with np.errstate(over="ignore"):
         edges = (np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)) if parts > 1 else np.empty(0, dtype=np.uint64)
         ends = np.concatenate(([0], np.searchsorted(sorted_set, edges), [len(sorted_set)]))
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_mix(sorted_set * _ODD[1]), dtype=np.uint64)))
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(sorted_set * ODD[1]), dtype=np.uint64)))
         content = sums[ends[1:]] - sums[ends[:-1]]
-        keys = _mix(_mix(content + np.uint64(tag) * _ODD[2]) + np.arange(parts, dtype=np.uint64) * _ODD[3])
+        keys = mix(mix(content + np.uint64(tag) * ODD[2]) + np.arange(parts, dtype=np.uint64) * ODD[3])
     return keys, np.diff(ends)
 
 
@@ -107,10 +83,10 @@ def tile_keys(sorted_set: np.ndarray, p: int, q: int) -> np.ndarray:
         out.append(keys[sizes > 0])
         if parts > 1 and (sizes == 0).any():
             with np.errstate(over="ignore"):
-                again = np.sort(_mix(sorted_set * _ODD[3]))
+                again = np.sort(mix(sorted_set * ODD[3]))
                 keys, _ = _part_keys(again, parts, 2 * b + 1)
                 for empty in np.flatnonzero(sizes == 0):
-                    out.append(_mix(keys + np.uint64(empty + 1) * _ODD[1]))
+                    out.append(mix(keys + np.uint64(empty + 1) * ODD[1]))
     return np.unique(np.concatenate(out))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import bpe, jaccard, licenses, packing, quality, records, vectors
+from treeline.llm import bpe, jaccard, licenses, packing, quality, records, substrings, vectors
 from treeline.session import scratch_path
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents"), window=20, with_text=False)
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -52,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op4_jaccard, op5_licenses, op7_topk, op8_quality, op9_records, op10_packing)
+    f.__name__: f for f in (op1_bpe, op4_jaccard, op5_licenses, op6_substrings, op7_topk, op8_quality, op9_records, op10_packing)
 }
 ORACLES: dict[str, str] = {
     "op4_jaccard": r"""
@@ -72,6 +76,18 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, min(r.other) AS component_id
         FROM documents d JOIN r USING (doc_id) LEFT JOIN z USING (doc_id) GROUP BY d.doc_id, z.n
     """,
+    "op6_substrings": r"""
+        WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS pos FROM w WHERE len(ws) >= 20),
+        v AS (
+            SELECT s.doc_id, s.pos, row_number() OVER (PARTITION BY md5(array_to_string(ws[s.pos:s.pos + 19], ' ')) ORDER BY s.doc_id, s.pos) AS nth
+            FROM s JOIN w USING (doc_id)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM v WHERE nth > 1),
+        lost AS (SELECT doc_id, list(pos) AS gone_at FROM gone GROUP BY 1)
+        SELECT doc_id, len(ws) AS n_words, coalesce(len(gone_at), 0) AS n_removed,
+            sha256(array_to_string(list_filter(ws, lambda x, i: gone_at IS NULL OR NOT list_contains(gone_at, i)), ' ')) AS kept_sha256
+        FROM w LEFT JOIN lost USING (doc_id)
+    """,
     "op7_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
