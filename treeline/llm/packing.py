@@ -52,24 +52,26 @@ def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[n
     return value, pick
 
 
-def _trace(first: int, lengths: np.ndarray, prices: np.ndarray, left: np.ndarray, value: np.ndarray, pick: np.ndarray, capacity: int) -> Counter:
-    """The configuration that starts with length ``first`` and goes on by the table, within what is left of each length."""
+def _trace(first: int, lengths: list[int], left: list[float], fit: list[int], pick: list[int], capacity: int) -> Counter:
+    """The configuration that starts with length ``first`` and goes on by the table, within what is left of each length.
+
+    ``fit``: how many lengths fit each capacity.
+    """
     counts: Counter = Counter({first: 1})
-    c = capacity - int(lengths[first])
+    c = capacity - lengths[first]
     while c >= lengths[0]:
-        best = int(pick[c])
+        best = pick[c]
         if best < 0:
             c -= 1
             continue
-        if counts[best] >= left[best]:
-            k = int(np.searchsorted(lengths, c, side="right"))
-            values = value[c - lengths[:k]] + prices[:k]
-            values[[i for i, n in counts.items() if i < k and n >= left[i]]] = -1.0
-            best = int(values.argmax())
-            if values[best] < 0:
+        if counts[best] >= left[best]:  # used up: the longest other one that fits
+            best = fit[c] - 1
+            while best >= 0 and counts[best] >= left[best]:
+                best -= 1
+            if best < 0:
                 break
         counts[best] += 1
-        c -= int(lengths[best])
+        c -= lengths[best]
     return counts
 
 
@@ -77,12 +79,15 @@ def configuration_shares(lengths: np.ndarray, left: np.ndarray, capacity: int) -
     """How often each configuration is used in a fractional cover of ``left`` pieces of ``lengths`` (ascending)."""
     covered = np.zeros(len(lengths))
     shares: dict[Pattern, float] = {}
+    sizes, most = lengths.tolist(), left.tolist()
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     goal = math.log(len(lengths) + 1) / STEP + 1
     for _ in range(ROUNDS):
         prices = lengths / capacity * np.exp(-STEP * (covered - covered.min()))
         value, pick = _knapsack(lengths, prices, capacity)
         firsts = np.flatnonzero(prices + value[capacity - lengths] >= (1 - NEAR) * value[capacity])
-        chosen = [_trace(int(i), lengths, prices, left, value, pick, capacity) for i in firsts]
+        picks = pick.tolist()
+        chosen = [_trace(i, sizes, most, fit, picks, capacity) for i in firsts.tolist()]
         chosen = list({tuple(sorted(p.items())): p for p in chosen}.values())
         used = np.zeros(len(lengths))
         for p in chosen:
