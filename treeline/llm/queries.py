@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import bpe, fingerprints, jaccard, licenses, packing, quality, records, substrings, vectors
+from treeline.llm import bpe, fingerprints, html, jaccard, licenses, packing, quality, records, substrings, vectors
 from treeline.session import scratch_path
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_fingerprints, op4_jaccard, op5_licenses, op6_substrings, op7_topk, op8_quality, op9_records, op10_packing)
+    f.__name__: f for f in (op1_bpe, op2_html, op3_fingerprints, op4_jaccard, op5_licenses, op6_substrings, op7_topk, op8_quality, op9_records, op10_packing)
 }
 ORACLES: dict[str, str] = {
     "op4_jaccard": r"""
