@@ -116,7 +116,7 @@ def _slice(spark, sf):
     return train.select("row_id", F.lit("train").alias("part")).unionByName(held.select("row_id", F.lit("held_out").alias("part")))
 
 
-@query("attach_predictions", "SELECT doc_id AS row_id, n_chars, quality AS prediction FROM documents JOIN labels USING (doc_id)")
+@query("attach_predictions", "SELECT doc_id AS row_id, n_chars, quality AS prediction FROM documents LEFT JOIN labels USING (doc_id)")
 def _attach(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "n_chars")
     preds = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("prediction"))
@@ -136,3 +136,14 @@ SELECT group_id AS "group", CASE WHEN ga > gb THEN a ELSE b END AS high_id, CASE
   greatest(ga, gb) AS high_label, least(ga, gb) AS low_label FROM j""")
 def _pairs(spark, sf):
     return pairs.rank_pairs(order_rows(spark, sf), label="grade", pairs_per_row=2, seed=3)
+
+
+@query("duplicate_rows", """WITH c AS (SELECT c_custkey % 2 AS side, c_nationkey AS nation, c_mktsegment AS segment,
+  CASE WHEN c_acctbal < 0 THEN NULL ELSE CAST(floor(c_acctbal / 250) AS BIGINT) END AS step FROM customer)
+SELECT nation, segment, step, count(*) AS n FROM c a WHERE side = 1 AND EXISTS (SELECT 1 FROM c b
+  WHERE b.side = 0 AND b.nation = a.nation AND b.segment = a.segment AND b.step IS NOT DISTINCT FROM a.step) GROUP BY ALL""")
+def _duplicate_rows(spark, sf):
+    step = F.expr("CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal / 250) AS BIGINT) END").alias("step")
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), step)
+    train, validation = (rows.where(F.col("c_custkey") % 2 == side).drop("c_custkey") for side in (0, 1))
+    return checks.duplicate_rows(train, validation)

@@ -105,10 +105,9 @@ def _aft_logistic(spark, sf):
 
 
 @query("eval_interval_accuracy", f"""WITH {INTERVALS} SELECT
-  round(sum(CAST(p >= lo AND p <= up AS INT)) / count(up), 6) AS value FROM r WHERE up IS NOT NULL""")
+  round(avg(CAST(p >= lo AND (up IS NULL OR p <= up) AS INT)), 6) AS value FROM r""")
 def _interval(spark, sf):
-    df = _intervals(spark, sf).where("label_upper is not null")
-    return evaluate_rows(df, ["interval-regression-accuracy"]).select(F.round("value", 6).alias("value"))
+    return evaluate_rows(_intervals(spark, sf), ["interval-regression-accuracy"]).select(F.round("value", 6).alias("value"))
 
 
 @query("eval_auc", f"""WITH {LINES_SQL}, g AS (SELECT score, sum(weight * label) AS pos, sum(weight * (1 - label)) AS neg

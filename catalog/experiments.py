@@ -8,7 +8,7 @@ from catalog.frames import EVENTS_SQL, event_rows
 from catalog.registry import query, table
 from treeline.operators import experiments as X
 from treeline.session import scratch_path
-from treeline.streaming.quality import stream_confusion, stream_metric_report
+from treeline.streaming.quality import stored_confusion, stream_confusion, stream_metric_report
 
 METRICS = ("rmse", "auc", "f1_macro", "poisson-nloglik")
 
@@ -61,7 +61,7 @@ def _report(spark, sf):
 QUALITY_SQL = f"""WITH {EVENTS_SQL}, c AS (SELECT date_trunc('day', ts) AS start, label, CAST(score > 0.5 AS INT) AS pred FROM evs)
 SELECT start, round(avg(CAST(label = pred AS INT)), 6) AS accuracy,
   round(count(*) FILTER (WHERE label = 1 AND pred = 1)::DOUBLE / greatest(count(*) FILTER (WHERE label = 1), 1), 6) AS recall FROM c
-  GROUP BY start HAVING start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+  GROUP BY start"""
 
 
 @query("stream_metric_report", QUALITY_SQL)
@@ -71,7 +71,7 @@ def _quality(spark, sf):
     rows = event_rows(spark, sf).select(F.expr(instant).alias("ts"), "label", F.expr("cast(score > 0.5 as int)").alias("pred"))
     rows.write.parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
-    stream_confusion(stream, "1 day", target).awaitTermination()
-    report = stream_metric_report(spark.read.parquet(target), ["accuracy", "recall"])
+    stream_confusion(stream, "1 day", target, late="40 days").awaitTermination()
+    report = stream_metric_report(stored_confusion(spark, target), ["accuracy", "recall"])
     start = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_seconds(start))").alias("start")
     return report.select(start, F.round("accuracy", 6).alias("accuracy"), F.round("recall", 6).alias("recall"))

@@ -16,7 +16,7 @@ from treeline.plans.boosting import fit_boosted_trees
 from treeline.plans.kfold import fit_kfold
 from treeline.plans.linear import fit_linear, predict_linear
 from treeline.plans.parameters import DEFAULTS
-from treeline.plans.refresh import leaf_statistics
+from treeline.plans.refresh import leaf_statistics, prune_trees, refresh_trees
 from treeline.plans.resume import resume_fit, save_each_round
 from treeline.plans.scoring import predict_trees
 from treeline.session import scratch_path
@@ -240,14 +240,44 @@ def _weighted(spark, sf):
     return predict_trees(df, model).select("row_id", F.round("prediction", 6).alias("prediction"))
 
 
-@query("refresh_trees", f"""WITH {FLAT_SQL}, l AS (SELECT 0 AS tree, CASE WHEN f0 < 3 THEN CASE WHEN f3 < 12 THEN 3 ELSE 4 END ELSE 2 END AS leaf, label FROM x
+@query("leaf_statistics", f"""WITH {FLAT_SQL}, l AS (SELECT 0 AS tree, CASE WHEN f0 < 3 THEN CASE WHEN f3 < 12 THEN 3 ELSE 4 END ELSE 2 END AS leaf, label FROM x
   UNION ALL SELECT 1, CASE WHEN f2 < 4.5 THEN 1 WHEN f1 < 50 THEN 3 ELSE 4 END, label FROM x)
 SELECT CAST(tree AS INT) AS tree, CAST(leaf AS INT) AS leaf, count(*) AS n, round(-sum(0.5 - label) / (count(*) + 1) * 0.3, 6) AS weight FROM l GROUP BY ALL""")
-def _refresh(spark, sf):
+def _leaf_statistics(spark, sf):
     out = leaf_statistics(order_rows(spark, sf), fixed_model(), DEFAULTS)
     return out.select("tree", "leaf", "n", F.round("weight", 6).alias("weight"))
 
 
+REFRESH_SQL = f"""{FLAT_SQL},
+l AS (SELECT label, CASE WHEN f0 < 3 THEN CASE WHEN f3 < 12 THEN 3 ELSE 4 END ELSE 2 END AS one,
+  CASE WHEN f2 < 4.5 THEN 1 WHEN f1 < 50 THEN 3 ELSE 4 END AS two FROM x),
+w AS (SELECT one, sum(0.5 - label) AS g, count(*) AS h FROM l GROUP BY 1),
+v AS (SELECT one, -sign(g) * greatest(abs(g) - 2, 0) / (h + 1) * 0.3 AS value FROM w),
+u AS (SELECT two, sum(0.5 + value - label) AS g, count(*) AS h FROM l JOIN v USING (one) GROUP BY 1),
+both_rounds AS (SELECT 0 AS tree, one AS leaf, value FROM v UNION ALL SELECT 1, two, -sign(g) * greatest(abs(g) - 2, 0) / (h + 1) * 0.3 FROM u)"""
+
+
+def _refreshed(spark, sf):
+    return refresh_trees(order_rows(spark, sf), fixed_model(), {**DEFAULTS, "alpha": 2.0})
+
+
+@query("refresh_trees", f"WITH {REFRESH_SQL} SELECT CAST(tree AS INT) AS tree, CAST(leaf AS INT) AS leaf, round(value, 6) AS value FROM both_rounds")
+def _refresh(spark, sf):
+    model = _refreshed(spark, sf)
+    leaves = [(r, n, t.value[n]) for r, trees in enumerate(model.trees) for t in trees for n in range(len(t.feature)) if t.feature[n] < 0]
+    return spark.createDataFrame(leaves, "tree int, leaf int, value double").withColumn("value", F.round("value", 6))
+
+
+@query("prune_trees", "SELECT CAST(range AS INT) AS tree, CAST(1 AS BIGINT) AS nodes_left FROM range(2)")
+def _prune(spark, sf):
+    model = prune_trees(_refreshed(spark, sf), 1e18)
+
+    def reached(tree, n=0):
+        return 1 if tree.feature[n] < 0 else 1 + reached(tree, tree.left[n]) + reached(tree, tree.right[n])
+
+    return spark.createDataFrame([(r, reached(t)) for r, trees in enumerate(model.trees) for t in trees], "tree int, nodes_left long")
+
+
 def _purchases(spark, sf):
     return event_rows(spark, sf).select("row_id", "label", "weight", "features")
 

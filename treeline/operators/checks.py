@@ -73,3 +73,18 @@ def partition_balance(df: DataFrame) -> DataFrame:
     counts = df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("rows"))
     every = df.sparkSession.range(parts).select(F.col("id").cast("int").alias("partition"))
     return every.join(counts, "partition", "left").select("partition", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def duplicate_rows(train: DataFrame, validation: DataFrame) -> DataFrame:
+    """Rows of ``validation`` that also stand in ``train``, with ``n``: how often they stand in ``validation``.
+
+    Compared over all columns of ``validation`` with NULL equal to NULL. Both sides are counted before they meet, so a
+    row that is repeated very often is one row of the join.
+    """
+    columns = validation.columns
+    left = validation.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    right = train.select(*[F.col(c).alias(f"__{c}") for c in columns]).distinct()
+    same = F.xxhash64(*[left[c] for c in columns]) == F.xxhash64(*[right[f"__{c}"] for c in columns])
+    for c in columns:
+        same = same & left[c].eqNullSafe(right[f"__{c}"])
+    return left.join(right, same, "left_semi")

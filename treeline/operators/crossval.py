@@ -10,8 +10,11 @@ EXAMPLE_ROWS = 100
 
 
 def attach_predictions(rows: DataFrame, predictions: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Predictions joined to their rows by id, never by position."""
-    return rows.join(predictions, row_id)
+    """Predictions joined to their rows by id, never by position; a row without one keeps its place, with NULL.
+
+    ``check_complete`` tells whether every row has its predictions.
+    """
+    return rows.join(predictions, row_id, "left")
 
 
 def recorded_columns(raw: Column, is_array: bool, classification: bool, objective: str | None = None) -> tuple[Column, Column]:

@@ -28,14 +28,14 @@ def _respond(out: DataFrame, request_id: str, body: Column) -> DataFrame:
 
 
 def encode_csv_batch(df: DataFrame, value: str = "prediction", request_id: str = "request_id", row: str = "row_idx") -> DataFrame:
-    """One prediction per line, with a final newline."""
-    out = _per_request(df, F.col(value).cast("string"), request_id, row)
+    """One prediction per line, with a final newline; a missing one is ``nan``."""
+    out = _per_request(df, F.coalesce(F.col(value).cast("string"), F.lit("nan")), request_id, row)
     return _respond(out, request_id, F.concat(F.array_join("values", "\n"), F.lit("\n")))
 
 
 def encode_csv_online(df: DataFrame, value: str = "prediction", request_id: str = "request_id", row: str = "row_idx") -> DataFrame:
-    """All predictions of a request on one line."""
-    out = _per_request(df, F.col(value).cast("string"), request_id, row)
+    """All predictions of a request on one line; a missing one is ``nan``."""
+    out = _per_request(df, F.coalesce(F.col(value).cast("string"), F.lit("nan")), request_id, row)
     return _respond(out, request_id, F.array_join("values", ","))
 
 

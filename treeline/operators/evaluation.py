@@ -65,7 +65,8 @@ def row_term(metric: str, y: Column, p: Column, options: dict) -> tuple[Column,
     if name == "mae":
         return F.abs(y - p), False
     if name == "mape":
-        return F.abs((y - p) / y), False
+        undefined = F.when(p == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+        return F.when(y == 0, undefined).otherwise(F.abs(F.try_divide(y - p, y))), False
     if name == "mphe":
         z = (y - p) / float(options.get("huber_slope", 1.0))
         return (F.sqrt(1.0 + z * z) - 1.0) * float(options.get("huber_slope", 1.0)) ** 2, False
@@ -76,9 +77,10 @@ def row_term(metric: str, y: Column, p: Column, options: dict) -> tuple[Column,
         q = F.greatest(p, F.lit(PROBABILITY_FLOOR))
         return q - y * F.log(q) + lgamma(y + 1.0), False
     if name == "gamma-nloglik":
-        return y / p + F.log(p), False
+        return F.try_divide(y, p) + F.log(p), False
     if name == "gamma-deviance":
-        return 2.0 * (y / p - F.log(y / p) - 1.0), False
+        ratio = F.try_divide(y, p)
+        return 2.0 * (ratio - F.log(ratio) - 1.0), False
     if name == "tweedie-nloglik":
         rho = float(at) if at else float(options.get("tweedie_variance_power", 1.5))
         return -y * F.pow(p, F.lit(1 - rho)) / (1 - rho) + F.pow(p, F.lit(2 - rho)) / (2 - rho), False
@@ -90,7 +92,8 @@ def row_term(metric: str, y: Column, p: Column, options: dict) -> tuple[Column,
         return term, False
     if name == "interval-regression-accuracy":
         low, up = F.col(options.get("lower", "label_lower")), F.col(options.get("upper", "label_upper"))
-        return ((p >= low) & (p <= up)).cast("double"), False
+        # an open limit is NULL
+        return (F.coalesce(p >= low, F.lit(True)) & F.coalesce(p <= up, F.lit(True))).cast("double"), False
     raise ValueError(f"not a per-row metric: {metric}")
 
 
@@ -105,9 +108,13 @@ def is_pointwise(metric: str) -> bool:
 
 
 def mean_aggregate(metric: str, y: Column, p: Column, w: Column, options: dict | None = None) -> Column:
-    """Aggregate Column of a per-row metric, for use next to others in one ``agg``."""
+    """Aggregate Column of a per-row metric, for use next to others in one ``agg``.
+
+    A row whose term is undefined (a logarithm of a negative value, a missing label) makes the metric NaN.
+    """
     term, root = row_term(metric, y, p, options or {})
     mean = F.sum(w * term) / F.sum(w)
+    mean = F.when(F.count_if(term.isNull() & w.isNotNull()) > 0, F.lit(float("nan"))).otherwise(mean)
     return F.sqrt(mean) if root else mean
 
 

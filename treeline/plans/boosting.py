@@ -31,6 +31,7 @@ from treeline.session import scratch_path
 
 CARRIED = ("row_id", "group_id", "label_lower", "label_upper", "fold")
 REFRESH_ROUNDS = 5
+ROUND_SEED = 1_000_003  # between the seeds of two rounds
 HISTOGRAM_BITS = 62
 SUBTRACT_CELLS = 200_000_000
 SMALL_CELLS = 50_000_000
@@ -373,10 +374,14 @@ def fit_boosted_trees(
     # stopping looks at the last tuning metric, else the last metric named by the user, on the validation data
     stop_metric = (tuning_metrics(p.get("_tuning_objective_metric")) or p.get("eval_metric") or [None])[-1]
     patience = p.get("early_stopping_rounds") if stop_metric and validation is not None else None
-    best = None
+    best, held = None, None
+    if patience and start is not None:  # the best round before a restart
+        seen = [(value, last) for last, f, name, m, value in model.log if (f, name, m) == (fold, "validation", stop_metric)]
+        best = (max if is_maximize(stop_metric) else min)(seen, key=lambda x: x[0], default=None)
 
     for round_number in range(len(model.trees), total_rounds + 1):
-        grad = _gradients(train.df, objective, p, margins)
+        grad = _gradients(train.df, objective, p, margins, round_number)
+        held = grad.persist(StorageLevel.MEMORY_AND_DISK) if objective in G.GROUP_OBJECTIVES else None
         stats, values = _stats_and_metrics(train, grad, objective, metrics, p, margins)
         train.settle()
         if round_number > 0 and model.trees and len(model.trees) == round_number and round_number > (len(start.trees) if start else 0):
@@ -401,7 +406,8 @@ def fit_boosted_trees(
         dropped = _dropped(p, model, round_number)
         if dropped:
             out = [model.trees[r][i] for r, i in dropped]
-            grad = _gradients(_tree_contributions(train.df, out, margins, -1.0), objective, p, margins)
+            grad = _gradients(_tree_contributions(train.df, out, margins, -1.0), objective, p, margins, round_number)
+            stats, _ = _stats_and_metrics(train, grad, objective, [], p, margins)
         grad = _sample(grad, p, round_number, stats, k)
         bits = _fixed_point_bits(stats) if p["deterministic_histogram"] == "true" else None
         grower = Grower(p, cuts, k, round_number, bits, stats["rows"])
@@ -420,6 +426,11 @@ def fit_boosted_trees(
             updated = routing.route(updated, grower.trees, nodes, True, "bins")
             rows.advance(routing.add_tree_values(updated, grower.trees, nodes, margins), last=round_number == total_rounds - 1)
         grower.finish()
+        if held is not None:
+            held.unpersist()
+            held = None
+    if held is not None:
+        held.unpersist()
     for rows in sets.values():
         rows.close()
     return model
@@ -445,9 +456,10 @@ def default_metric(objective: str) -> str:
     return named.get(objective, "rmse")
 
 
-def _gradients(df: DataFrame, objective: str, p: dict, margins: list[str]) -> DataFrame:
+def _gradients(df: DataFrame, objective: str, p: dict, margins: list[str], round_number: int) -> DataFrame:
     if objective in G.GROUP_OBJECTIVES:
-        return group_gradients(df, objective, p).persist(StorageLevel.MEMORY_AND_DISK)
+        # pairs are drawn anew every round
+        return group_gradients(df, objective, {**p, "seed": int(p["seed"]) + ROUND_SEED * round_number})
     return G.gradient_pairs(df, objective, {**p, "scale_pos_weight": 1.0}, weight="w", margins=tuple(margins))
 
 

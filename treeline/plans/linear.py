@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from treeline.plans.parameters import resolve_parameters
 
+SQUARED = ("reg:squarederror", "reg:linear")
 LOGISTIC = ("binary:logistic", "reg:logistic", "binary:logitraw", "multi:softprob", "multi:softmax")
 
 
@@ -21,6 +22,8 @@ def fit_linear(df: DataFrame, params: dict):
     p = resolve_parameters({**params, "booster": "gblinear"})
     if float(p.get("lambda_bias") or 0.0) != 0.0:
         raise ValueError("a penalty on the intercept is not available")
+    if p["objective"] not in SQUARED + LOGISTIC:
+        raise ValueError(f"the linear booster has no objective {p['objective']}")
     lam = float(params.get("lambda", params.get("reg_lambda", 0.0)))
     alpha = float(params.get("alpha", params.get("reg_alpha", 0.0)))
     total = lam + alpha

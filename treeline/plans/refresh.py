@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import copy
+import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from treeline.operators import gradients as G
@@ -23,6 +25,17 @@ def leaf_statistics(df: DataFrame, model: Model, params: dict) -> DataFrame:
     return sums.withColumn("weight", F.expr(f"{weight_sql('g', 'h', params)} * {float(params['eta'])!r}D"))
 
 
+def leaf_value(g: float, h: float, p: dict) -> float:
+    """The value ``weight_sql`` gives, for sums on the driver, times the learning rate of one of the parallel trees."""
+    lam, alpha, step = float(p["lambda"]), float(p.get("alpha") or 0.0), float(p.get("max_delta_step") or 0.0)
+    if h + lam <= 0:
+        return 0.0
+    w = -math.copysign(max(abs(g) - alpha, 0.0), g) / (h + lam)
+    if step > 0:
+        w = max(min(w, step), -step)
+    return w * float(p["eta"]) / int(p.get("num_parallel_tree") or 1)
+
+
 def refresh_trees(df: DataFrame, model: Model, params: dict | None = None) -> Model:
     """The same splits with values, covers and gains of the new rows; each round sees the margin of those before."""
     p = {**model.params, **(params or {})}
@@ -31,9 +44,10 @@ def refresh_trees(df: DataFrame, model: Model, params: dict | None = None) -> Mo
     y = F.col("label").cast("double")
     w = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
     rows = df.select(y.alias("label"), w.alias("w"), "features", *[F.lit(float(model.base_margin)).alias(m) for m in margins])
-    eta, lam = float(p["eta"]), float(p["lambda"])
+    lam, held = float(p["lambda"]), None
     for trees in out.trees:
         nodes = [f"r_{t}" for t in range(len(trees))]
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         grad = G.gradient_pairs(rows, model.objective, {**p, "scale_pos_weight": 1.0}, weight="w", margins=tuple(margins))
         placed = routing.route(grad, trees, nodes, False, "features")
         entries = F.explode(F.array(*[
@@ -41,6 +55,9 @@ def refresh_trees(df: DataFrame, model: Model, params: dict | None = None) -> Mo
             for t, (tree, n) in enumerate(zip(trees, nodes))
         ])).alias("e")
         sums = placed.select(entries).groupBy("e.t", "e.n").agg(F.sum("e.g").alias("g"), F.sum("e.h").alias("h")).collect()
+        if held is not None:
+            held.unpersist()
+        held = rows
         for t, tree in enumerate(trees):
             g, h = [0.0] * len(tree.feature), [0.0] * len(tree.feature)
             for r in sums:
@@ -54,8 +71,10 @@ def refresh_trees(df: DataFrame, model: Model, params: dict | None = None) -> Mo
                     tree.gain[n] = 0.5 * (score[0] + score[1] - score[2])
                 tree.cover[n] = h[n]
                 if int(p.get("refresh_leaf", 1)):
-                    tree.value[n] = -g[n] / (h[n] + lam) * eta if h[n] + lam > 0 else 0.0
+                    tree.value[n] = leaf_value(g[n], h[n], p)
         rows = routing.add_tree_values(routing.route(rows, trees, nodes, False, "features"), trees, nodes, margins)
+    if held is not None:
+        held.unpersist()
     return out
 
 

@@ -11,7 +11,6 @@ from treeline.plans.boosting import fit_boosted_trees
 from treeline.plans.model import Model, load_model, save_model
 
 CHECKPOINT = re.compile(r"^checkpoint\.([0-9]+)$")
-RETRIES = 5
 
 
 def checkpoint_rounds(names: list[str]) -> list[int]:
@@ -44,12 +43,15 @@ def save_each_round(spark: SparkSession, path: str) -> Callable[[Model, int], No
 
 def load_checkpoint(spark: SparkSession, path: str) -> tuple[Model | None, int]:
     """Newest readable model and the round to go on with; an unreadable one falls back to the one before."""
-    for number in stored_rounds(spark, path)[::-1][:RETRIES]:
+    numbers = stored_rounds(spark, path)[::-1]
+    for number in numbers:
         try:
             return load_model(spark, f"{path}/checkpoint.{number}"), number + 1
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "FAILED_READ_FILE" not in str(e) and "CANNOT_READ" not in str(e):
                 raise
+    if numbers:
+        raise RuntimeError(f"none of the checkpoints {numbers} in {path} can be read; training would start over them")
     return None, 0
 
 

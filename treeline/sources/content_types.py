@@ -21,7 +21,7 @@ def normalized_type(content_type: Column) -> Column:
     parts = F.split(F.lower(content_type), ";")
     base = F.trim(parts[0])
     sizes = F.filter(
-        F.transform(F.slice(parts, 2, 1000), lambda p: F.split(p, "=", 2)),
+        F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.split(p, "=", 2)),
         lambda kv: (F.size(kv) == 2) & (F.trim(kv[0]) == "label_size"),
     )
     size = F.trim(F.get(F.get(sizes, F.size(sizes) - 1), F.lit(1)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -55,7 +56,11 @@ def channel_size(spark: SparkSession, roots: str | Sequence[str]) -> int:
 
 def usable_paths(spark: SparkSession, roots: str | Sequence[str]) -> list[str]:
     """Paths to read, sorted by file name, then path."""
-    rows = channel_manifest(spark, roots).where("usable AND length > 0").select("name", "path").collect()
+    files = channel_manifest(spark, roots).where("length > 0")
+    deep = files.where(F.col("depth") > MAX_FOLDER_DEPTH).count()
+    if deep:
+        warnings.warn(f"{deep} files below folder depth {MAX_FOLDER_DEPTH} in {roots} are not read", stacklevel=2)
+    rows = files.where("usable").select("name", "path").collect()
     paths = [r["path"] for r in sorted(rows, key=lambda r: (r["name"], r["path"]))]
     if not paths:
         raise FileNotFoundError(f"no usable files at folder depth {MAX_FOLDER_DEPTH} or less in {roots}")

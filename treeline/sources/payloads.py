@@ -35,7 +35,8 @@ def payload_rows_libsvm(
     """``request_id, row_idx, features map<int, double>``.
 
     Tokens without a colon (labels) are skipped. When the smallest index of the body is 1 or more, all its
-    indices move down by one. Repeated indices of a row add up, or the last wins (``repeated='last'``).
+    indices move down by one. Repeated indices of a row add up, or the last wins (``repeated='last'``). A row with a
+    token that is no ``index:value`` pair of numbers has NULL features; other rows and requests are not harmed.
     """
     text = F.regexp_replace(F.col(body).cast("string"), r"^\s+|\s+$", "")
 
@@ -43,12 +44,14 @@ def payload_rows_libsvm(
         tokens = F.split(line, r"\s+")
         tokens = F.slice(tokens, 2, 1_000_000_000) if has_label else tokens
         pairs = F.transform(F.filter(tokens, lambda t: F.contains(t, F.lit(":"))), lambda t: F.split(t, ":"))
-        return F.transform(pairs, lambda p: F.struct(p[0].cast("int").alias("k"), p[1].cast("double").alias("v")))
+        return F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).try_cast("int").alias("k"), F.get(p, F.lit(1)).try_cast("double").alias("v")))
 
     parsed = requests.select(F.col(request_id), F.transform(F.split(text, "\n"), entries).alias("rows"))
     smallest = F.array_min(F.transform(F.flatten("rows"), lambda e: e["k"]))
     parsed = parsed.withColumn("shift", F.when(smallest >= 1, F.lit(1)).otherwise(F.lit(0)))
     rows = parsed.select(request_id, "shift", F.posexplode("rows").alias("row_idx", "entries"))
+    bad = F.exists("entries", lambda e: e["k"].isNull() | e["v"].isNull())
+    rows = rows.withColumn("entries", F.when(~bad, F.col("entries")))
     moved = F.transform("entries", lambda e: F.struct((e["k"] - F.col("shift")).alias("k"), e["v"].alias("v")))
     rows = rows.select(request_id, "row_idx", moved.alias("entries"))
     if repeated == "last":

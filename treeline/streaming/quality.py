@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeline.operators.confusion import class_metrics
-from treeline.session import scratch_path
 
 
-def window_confusion(rows: DataFrame, window: str, time: str = "ts", label: str = "label", pred: str = "pred", late: str = "1 hour") -> DataFrame:
+def window_confusion(rows: DataFrame, window: str, late: str, time: str = "ts", label: str = "label", pred: str = "pred") -> DataFrame:
     """``start, label, pred, n`` per window; on a stream the state is classes squared per open window."""
     if rows.isStreaming:
         rows = rows.withWatermark(time, late)
@@ -18,15 +17,26 @@ def window_confusion(rows: DataFrame, window: str, time: str = "ts", label: str
     return counts.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "label", "pred", "n")
 
 
-def stream_confusion(rows: DataFrame, window: str, path: str, time: str = "ts", label: str = "label", pred: str = "pred", late: str = "1 hour"):
-    """Starts a query that appends the counts of every closed window to Parquet files at ``path``.
+def stream_confusion(rows: DataFrame, window: str, path: str, late: str, time: str = "ts", label: str = "label", pred: str = "pred"):
+    """Starts a query that keeps the counts of all windows, open ones included, under ``path``.
 
-    A window closes when the latest event is ``late`` past its end; later rows of it are dropped.
+    Each batch writes the counts it changed to its own folder, so a repeated batch replaces itself; the checkpoint lies
+    beside them, so a query started again goes on where it stopped. ``late`` says how far behind the latest event a row
+    may be: state of older windows is dropped, and so are rows that are later.
     """
-    counts = window_confusion(rows, window, time, label, pred, late)
-    checkpoint = scratch_path(rows.sparkSession, "stream")
-    writer = counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start(path)
+    counts = window_confusion(rows, window, late, time, label, pred)
+
+    def store(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/counts/number={batch}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{path}/checkpoint")
+    return writer.trigger(availableNow=True).start()
+
+
+def stored_confusion(spark: SparkSession, path: str) -> DataFrame:
+    """The newest count of every ``start, label, pred`` that ``stream_confusion`` has kept."""
+    rows = spark.read.schema("start timestamp, label int, pred int, n long, batch long").parquet(f"{path}/counts")
+    return rows.groupBy("start", "label", "pred").agg(F.max_by("n", "batch").alias("n"))
 
 
 def stream_metric_report(counts: DataFrame, names: Sequence[str]) -> DataFrame:
