@@ -13,7 +13,7 @@ from treeline.operators import ensembles, selection
 from treeline.operators.hooks import score_with_user_hooks
 from treeline.operators.routing import Tree
 from treeline.plans.model import Model, load_model, save_model
-from treeline.plans.scoring import predict_contribs, predict_leaf, predict_trees
+from treeline.plans.scoring import predict_contribs, predict_ensemble, predict_leaf, predict_trees
 from treeline.plans.transform import batch_transform
 from treeline.session import scratch_path
 from treeline.streaming.scoring import request_stream, stream_score
@@ -70,6 +70,11 @@ def _contribs(spark, sf):
     return out.select("row_id", F.col("contribs")[4].alias("bias"), total.alias("total"), F.col("contribs")[0].alias("c0"))
 
 
+def _together(spark, sf, objective):
+    members = [fixed_model(objective, flip) for flip in (False, True, False)]
+    return predict_ensemble(order_rows(spark, sf), members).select("row_id", F.round("prediction", 6).alias("prediction"))
+
+
 def _members(spark, sf, objective="reg:squarederror"):
     rows = order_rows(spark, sf)
     parts = [
@@ -81,13 +86,18 @@ def _members(spark, sf, objective="reg:squarederror"):
 
 @query("ensemble_mean", f"WITH {FLAT_SQL} SELECT row_id, round((2 * {_tree_sql()} + {_tree_sql(True)}) / 3, 6) AS prediction FROM x")
 def _mean(spark, sf):
-    out = ensembles.combine_models(_members(spark, sf), "reg:squarederror")
-    return out.select("row_id", F.round("prediction", 6).alias("prediction"))
+    return _together(spark, sf, "reg:squarederror")
 
 
 @query("ensemble_vote", f"WITH {FLAT_SQL} SELECT row_id, CASE WHEN {_tree_sql()} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM x")
 def _vote(spark, sf):
-    return ensembles.combine_models(_members(spark, sf, "binary:hinge"), "binary:hinge")
+    return _together(spark, sf, "binary:hinge")
+
+
+@query("combine_models", f"WITH {FLAT_SQL} SELECT row_id, round((2 * {_tree_sql()} + {_tree_sql(True)}) / 3, 6) AS prediction FROM x")
+def _combined(spark, sf):
+    out = ensembles.combine_models(_members(spark, sf), "reg:squarederror")
+    return out.select("row_id", F.round("prediction", 6).alias("prediction"))
 
 
 SOFT_SQL = f"""{VECTORS_SQL}, e AS (SELECT row_id, list_transform(scores, lambda v: exp(v - list_max(scores))) AS q FROM vectors),

@@ -294,8 +294,8 @@ def _fit(spark, sf):
 
 
 @query("evaluation_log", f"""WITH {STUMP_SQL}, e AS (SELECT 'train' AS data_name, * FROM stump UNION ALL SELECT 'low_priority', * FROM stump WHERE w > 3)
-SELECT CAST(0 AS INT) AS round, data_name, 'rmse' AS metric, round(sqrt(sum(w * (label - prediction) * (label - prediction)) / sum(w)), 6) AS value FROM e GROUP BY data_name
-UNION ALL SELECT 0, data_name, 'mae', round(sum(w * abs(label - prediction)) / sum(w), 6) FROM e GROUP BY data_name""")
+SELECT CAST(0 AS INT) AS round, data_name, 'rmse' AS metric, round(sqrt(avg((label - prediction) * (label - prediction))), 6) AS value FROM e GROUP BY data_name
+UNION ALL SELECT 0, data_name, 'mae', round(avg(abs(label - prediction)), 6) FROM e GROUP BY data_name""")
 def _evaluation_log(spark, sf):
     df = _priced(spark, sf)
     model = fit_boosted_trees(df, {**STUMP, "eval_metric": "rmse,mae"}, watch={"low_priority": df.where("weight > 3")})

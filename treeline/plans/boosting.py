@@ -31,6 +31,8 @@ from treeline.session import scratch_path
 
 CARRIED = ("row_id", "group_id", "label_lower", "label_upper", "fold")
 REFRESH_ROUNDS = 5
+# metrics that, named by the user, the log takes without row weights
+UNWEIGHTED = ("mae", "rmse", "mse")
 ROUND_SEED = 1_000_003  # between the seeds of two rounds
 HISTOGRAM_BITS = 62
 SUBTRACT_CELLS = 200_000_000
@@ -473,6 +475,11 @@ def _prediction(objective: str, margins: list[str], metric: str) -> Column:
     return G.link(objective, columns)
 
 
+def _metric_weight(metric: str, p: dict) -> Column:
+    named = metric_names(p.get("_tuning_objective_metric"), p.get("eval_metric"))
+    return F.lit(1.0) if metric in UNWEIGHTED and metric in (named or ()) else F.col("w")
+
+
 def _stats_and_metrics(rows: Rows, grad: DataFrame, objective: str, metrics: Sequence[str], p: dict, margins: list[str]):
     """Gradient totals and all per-row metrics of the current margins, in one pass."""
     k = len(margins)
@@ -482,7 +489,7 @@ def _stats_and_metrics(rows: Rows, grad: DataFrame, objective: str, metrics: Seq
     aggregates += [F.sum(F.col(f"h_{i}")).alias(f"h{i}") for i in range(k)]
     for i, m in enumerate(metrics):
         if is_pointwise(m):
-            aggregates.append(mean_aggregate(m, F.col("label"), _prediction(objective, margins, m), F.col("w"), p).alias(f"v{i}"))
+            aggregates.append(mean_aggregate(m, F.col("label"), _prediction(objective, margins, m), _metric_weight(m, p), p).alias(f"v{i}"))
     row = grad.agg(*aggregates).first()
     values = []
     for i, m in enumerate(metrics):
@@ -496,7 +503,7 @@ def _evaluate(df: DataFrame, objective: str, metrics: Sequence[str], p: dict, ma
     found = {}
     if simple:
         row = df.agg(*[
-            mean_aggregate(m, F.col("label"), _prediction(objective, margins, m), F.col("w"), p).alias(f"v{i}") for i, m in enumerate(simple)
+            mean_aggregate(m, F.col("label"), _prediction(objective, margins, m), _metric_weight(m, p), p).alias(f"v{i}") for i, m in enumerate(simple)
         ]).first()
         found = {m: row[f"v{i}"] for i, m in enumerate(simple)}
     return [found[m] if m in found else evaluate_named(df, m, objective, margins, p) for m in metrics]

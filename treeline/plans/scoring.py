@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treeline.operators import routing
+from treeline.operators.ensembles import VOTED
 from treeline.operators.gradients import link
 from treeline.operators.routing import Tree
 from treeline.plans.model import Model
@@ -111,6 +112,30 @@ def predict_trees(df: DataFrame, model: Model, features: str = "features", outpu
     return scored.select(*df.columns, value.alias(output))
 
 
+def predict_ensemble(df: DataFrame, models: Sequence[Model], features: str = "features", output: str = "prediction") -> DataFrame:
+    """Adds what several models of one objective predict together: a vote for classes, else the mean, element by element.
+
+    All models score the same row in one scan; nothing is shuffled. On ties of a vote the smallest class wins.
+    """
+    objectives = {m.objective for m in models}
+    if len(objectives) != 1:
+        raise ValueError(f"an ensemble needs models of one objective, not {sorted(objectives)}")
+    names = [f"__member_{i}" for i in range(len(models))]
+    scored = df
+    for name, model in zip(names, models, strict=True):
+        scored = predict_trees(scored, model, features, name)
+    every = F.array(*names)
+    if objectives <= set(VOTED):
+        ranked = F.transform(F.array_distinct(every), lambda v: F.struct(F.size(F.filter(every, lambda o: o == v)).alias("n"), (-v).alias("v")))
+        value = -F.array_max(ranked)["v"]
+    elif scored.schema[names[0]].dataType.typeName() == "array":
+        at = F.sequence(F.lit(0), F.size(names[0]) - 1)
+        value = F.transform(at, lambda i: sum((F.get(n, i) for n in names), F.lit(0.0)) / len(models))
+    else:
+        value = sum((F.col(n) for n in names), F.lit(0.0)) / len(models)
+    return scored.select(*df.columns, value.alias(output))
+
+
 def predict_leaf(df: DataFrame, model: Model, features: str = "features", output: str = "leaves") -> DataFrame:
     """Adds the leaf id per tree as an array."""
     trees = model.used_trees()
