@@ -16,8 +16,6 @@ import hashlib
 import heapq
 import json
 import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,46 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from treeline.llm.tokens import OTHER_SPACE, PieceEncoder, slices
+from treeline.llm.pretokens import BYTE_LEVEL_PATTERN, byte_letters, find_words
+from treeline.llm.tokens import PieceEncoder, slices
 
 NO_RANK = np.int32(2**31 - 1)
 SHORT = 32  # bytes of a word that takes the array path
 TOGETHER = 4096  # words in one array
 
 
-@cache
-def _classes() -> tuple[str, str]:
-    """The letters and the numbers of Unicode, as insides of a character class."""
-    out = {"L": [], "N": []}
-    last = {"L": -2, "N": -2}
-    for code in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(code))[0]
-        if kind in out:
-            if last[kind] == code - 1:
-                out[kind][-1][1] = code
-            else:
-                out[kind].append([code, code])
-            last[kind] = code
-    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out[k]) for k in "LN")
-
-
-@cache
-def word_pattern() -> re.Pattern[str]:
-    """The published pattern of this family of vocabularies, which must match for equal ids."""
-    letter, number = _classes()
-    space = " \n" + OTHER_SPACE
-    return re.compile(
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
-    )
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in vocabulary files: itself, or the next one from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return {b: chr(b if b in plain else next(spare)) for b in range(256)}
-
-
 class RankArrayBpe:
     """Encoder and decoder of a byte-level vocabulary file in the public JSON layout."""
 
@@ -79,7 +45,7 @@ class RankArrayBpe:
         order = np.argsort(left * self.width + right, kind="stable")
         self.keys, self.ranks, self.made = (left * self.width + right)[order], order.astype(np.int32), made
         self.rank_of = dict(zip((left * self.width + right).tolist(), range(len(pairs)), strict=True))
-        letters = _byte_letters()
+        letters = byte_letters()
         self.byte_ids = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int32)
         back = {c: b for b, c in letters.items()}
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
@@ -176,10 +142,10 @@ class RankArrayBpe:
     def _cut(self, text: str) -> list[str | int]:
         """Words of a text in order, and ids where an added token stands."""
         if self.added_pattern is None or not any(t in text for t in self.added):
-            return word_pattern().findall(text)
+            return find_words(BYTE_LEVEL_PATTERN, text)
         out: list[str | int] = []
         for part in self.added_pattern.split(text):
-            out += [self.added[part]] if part in self.added else word_pattern().findall(part)
+            out += [self.added[part]] if part in self.added else find_words(BYTE_LEVEL_PATTERN, part)
         return out
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:

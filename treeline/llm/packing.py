@@ -31,8 +31,8 @@ from treeline.session import materialize
 
 Pattern = tuple[tuple[int, int], ...]  # (length, pieces of it), longest first
 
-ROUNDS = 16  # price updates per solution
-STEP = 0.5  # by how much a full cover lowers a price
+WORK = 8_000  # price updates per solution, times lengths: few lengths get a finer solution
+LEAST_ROUNDS, MOST_ROUNDS = 16, 120
 NEAR = 0.02  # configurations within this share of the best are raised together
 SOLUTIONS = 3  # times the rest is solved again
 BUCKET_ROWS = 100_000
@@ -81,9 +81,11 @@ def configuration_shares(lengths: np.ndarray, left: np.ndarray, capacity: int) -
     shares: dict[Pattern, float] = {}
     sizes, most = lengths.tolist(), left.tolist()
     fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
-    goal = math.log(len(lengths) + 1) / STEP + 1
-    for _ in range(ROUNDS):
-        prices = lengths / capacity * np.exp(-STEP * (covered - covered.min()))
+    rounds = max(LEAST_ROUNDS, min(MOST_ROUNDS, WORK // len(lengths)))
+    fall = 8 / rounds  # by how much a full cover lowers a price
+    goal = math.log(len(lengths) + 1) / fall + 1
+    for _ in range(rounds):
+        prices = lengths / capacity * np.exp(-fall * (covered - covered.min()))
         value, pick = _knapsack(lengths, prices, capacity)
         firsts = np.flatnonzero(prices + value[capacity - lengths] >= (1 - NEAR) * value[capacity])
         picks = pick.tolist()

@@ -7,18 +7,22 @@ characters in a row, white space other than space and newline) are encoded whole
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: White space that the vocabularies' patterns know, without space and newline.
-OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0                　"
+from treeline.llm.pretokens import OTHER_SPACE, as_letters, cutter
+
 ASCII_SPACE = OTHER_SPACE[:4]
 #: Characters of text encoded together, and pieces kept per generation of a worker's cache (about 60 MB).
 SLICE_CHARS = 1 << 20
 KEPT_PIECES = 250_000
+KEPT_WORDS = 125_000
 LONGEST_KEPT = 48
 
 
@@ -80,10 +84,61 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_CHARS
             start = stop
 
 
-_LIBRARY: dict[str, PieceEncoder] = {}
+class _Kept(dict):
+    """Ids by string, made when missing; two generations of at most ``most`` short strings are kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class LibraryEncoder(PieceEncoder):
+    """Over the ``tokenizers`` library: a new piece is cut into words as the vocabulary file says, and the library's
+    model encodes new words.
+
+    Pieces with the string of an added token, and all pieces of a file of an unknown kind, go through the whole library.
+    """
+
+    def __init__(self, library, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.library, self.cut = library, cutter(spec)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or ()]
+        self.added = re.compile("|".join(added)).search if added else lambda piece: None
+        self.words, self.kept = _Kept(self._word, KEPT_WORDS), _Kept(self._piece, KEPT_PIECES)
+        self.whole = lambda text: [text]
+
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.library.model.tokenize(as_letters(word))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        if self.cut is None or self.added(piece):
+            ids = self.library.encode(piece, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.words[w] for w in self.cut(piece)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        get = self.kept.__getitem__
+        return [b"".join(map(get, self.pieces(t))) for t in texts]
 
 
-def library_encoder(path: str) -> PieceEncoder:
+_LIBRARY: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(path: str) -> LibraryEncoder:
     """One encoder per worker process over the ``tokenizers`` library and the vocabulary at ``path``.
 
     Special tokens are not added; padding and truncation are off.
@@ -96,8 +151,5 @@ def library_encoder(path: str) -> PieceEncoder:
         library.no_padding()
         library.no_truncation()
 
-        def encode_pieces(pieces: list[str]) -> list[bytes]:
-            return [np.array(x.ids, dtype="<u4").tobytes() for x in library.encode_batch_fast(pieces, add_special_tokens=False)]
-
-        _LIBRARY[path] = PieceEncoder(encode_pieces)
+        _LIBRARY[path] = LibraryEncoder(library, path)
     return _LIBRARY[path]
