@@ -1,6 +1,6 @@
 """Operator 7: exact top-k search over vector-approximation files.
 
-Every component is put into one of 16 cells; a vector's cells take half a byte each. A scan of the cells bounds the
+Every component is put into one of 256 cells; a vector's cells take a byte each. A scan of the cells bounds the
 score of every vector for a query from below and above; the k-th best lower bound of a query is a score it surely
 reaches, so only vectors whose upper bound is as high can count. Exact vectors are then read in the order of their
 bounds, first the best few per query, then those whose bound is not below the k-th score found, until that is certain.
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.session import materialize
+from treeline.llm.staging import stage
 
-CELLS = 16
+CELLS = 256
 BLOCK_ROWS = 4096
 GROUP_QUERIES = 1024
 FIRST_READ = 4  # times k: exact vectors read per query before the k-th score is judged
@@ -77,8 +77,8 @@ def top_k(table: DataFrame, is_query: Column, k: int, scale: float = 256.0, id_c
     # classes of equal vectors, with their k + 1 smallest ids
     kept = _smallest(rows, ["v"], [F.col("id")], k + 1)
     classes = kept.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    classes = materialize(classes.withColumn("class", F.col("ids")[0]).withColumn("dim", F.size("v")), "classes")
-    queries = materialize(asked.join(classes.select("v", F.col("class").alias("query")), "v").select("id", "query"), "queries")
+    classes = stage(classes.withColumn("class", F.col("ids")[0]).withColumn("dim", F.size("v")), "classes")
+    queries = stage(asked.join(classes.select("v", F.col("class").alias("query")), "v").select("id", "query"), "queries")
     shapes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per vector length
     found = [_search(spark, classes, queries, r["dim"], r["n"], k) for r in sorted(shapes, key=lambda r: r["dim"])]
     if not found:
@@ -106,7 +106,7 @@ def _search(spark, classes: DataFrame, queries: DataFrame, dim: int, count: int,
     low, high = np.array(ends[:dim], dtype=np.int64), np.array(ends[dim:], dtype=np.int64)
     blocks = max(1, -(-count // BLOCK_ROWS))
     asked = queries.select("query").distinct().join(own.select(F.col("class").alias("query"), "v"), "query")
-    asked = materialize(asked, "asked")
+    asked = stage(asked, "asked")
     groups = max(1, -(-asked.count() // GROUP_QUERIES))
     want = k + 1  # one of the classes may hold nothing but the query itself
 
@@ -114,13 +114,10 @@ def _search(spark, classes: DataFrame, queries: DataFrame, dim: int, count: int,
         for batch in batches:
             values = np.asarray(batch.column(1).flatten(), dtype=np.int64).reshape(-1, dim)
             cells = _cells(values, low, high)
-            if dim % 2:
-                cells = np.hstack([cells, np.zeros((len(cells), 1), dtype=np.uint8)])
-            packed = (cells[:, ::2] << 4) | cells[:, 1::2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["class", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in cells], pa.binary())], ["class", "cells"])
 
-    # the approximation file: half a byte per component
-    file = materialize(own.select("class", "v").mapInArrow(approximate, "class bigint, cells binary"), "cells")
+    # the approximation file: a byte per component
+    file = stage(own.select("class", "v").mapInArrow(approximate, "class bigint, cells binary"), "cells")
     block = F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")
     group = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")
     left = file.select(block.alias("block"), "class", "cells").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -130,10 +127,8 @@ def _search(spark, classes: DataFrame, queries: DataFrame, dim: int, count: int,
         names = ["query", "class", "lower", "upper"]
         if not (a.num_rows and b.num_rows):
             return pa.table([pa.array([], pa.int64())] * 4, names)
-        packed = np.frombuffer(b"".join(a.column("cells").to_pylist()), dtype=np.uint8).reshape(a.num_rows, -1)
-        cells = np.empty((a.num_rows, packed.shape[1] * 2), dtype=np.uint8)
-        cells[:, ::2], cells[:, 1::2] = packed >> 4, packed & 15
-        least, most = _edges(cells[:, :dim], low, high)
+        cells = np.frombuffer(b"".join(a.column("cells").to_pylist()), dtype=np.uint8).reshape(a.num_rows, dim)
+        least, most = _edges(cells, low, high)
         q = np.asarray(b.column("v").combine_chunks().flatten(), dtype=np.int64).reshape(-1, dim)
         up, down = np.maximum(q, 0), np.minimum(q, 0)
         lower = _exact(up, least) + _exact(down, most)
@@ -145,7 +140,7 @@ def _search(spark, classes: DataFrame, queries: DataFrame, dim: int, count: int,
         return pa.table([pa.array(asks[at]), pa.array(ids[of]), pa.array(lower[at, of]), pa.array(upper[at, of])], names)
 
     bounds = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(bound, "query bigint, class bigint, lower bigint, upper bigint")
-    bounds = materialize(bounds, "bounds")
+    bounds = stage(bounds, "bounds")
     sure = _smallest(bounds.select("query", "lower"), ["query"], [F.desc("lower")], want)
     sure = sure.where(F.col("__n") == want).select("query", F.col("lower").alias("sure"))
     open_ = bounds.join(sure, "query", "left").where(F.col("sure").isNull() | (F.col("upper") >= F.col("sure"))).select("query", "class", "upper")
@@ -157,8 +152,8 @@ def _search(spark, classes: DataFrame, queries: DataFrame, dim: int, count: int,
         return pairs.join(vectors, "class").join(asks, "query").select("query", "class", "upper", product.alias("score"))
 
     numbered = open_.withColumn("__n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("upper"), "class")))
-    numbered = materialize(numbered, "open")
-    first = materialize(score(numbered.where(F.col("__n") <= FIRST_READ * want).drop("__n")), "first")
+    numbered = stage(numbered, "open")
+    first = stage(score(numbered.where(F.col("__n") <= FIRST_READ * want).drop("__n")), "first")
     kth = _smallest(first, ["query"], [F.desc("score")], want).where(F.col("__n") == want).select("query", F.col("score").alias("kth"))
     rest = numbered.where(F.col("__n") > FIRST_READ * want).join(kth, "query", "left").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth")))
     return first.select("query", "class", "score").unionByName(score(rest.select("query", "class", "upper")).select("query", "class", "score"))
