@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm import jaccard, packing, quality, substrings
 from treeline.llm.queries import WORD_VOCABULARY
-from treeline.session import materialize
+from treeline.llm.staging import stage as written
 
 SHINGLE, SIMILAR = 5, (80, 100)  # near copies: runs of five words, 80 of 100 shared
 PASSAGE = 50  # words of a repeated passage
@@ -49,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage's table is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

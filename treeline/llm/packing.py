@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.llm.staging import stage
 from treeline.llm.tokens import library_encoder, slices
-from treeline.session import materialize
 
 Pattern = tuple[tuple[int, int], ...]  # (length, pieces of it), longest first
 
@@ -253,5 +253,5 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int,
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cuts, writes the pieces (numbers only) to the shared folder once, and packs them."""
-    pieces = materialize(cut_documents(docs, vocabulary, end_id, capacity, id_col, text_col), "pieces")
+    pieces = stage(cut_documents(docs, vocabulary, end_id, capacity, id_col, text_col), "pieces")
     return pack_best_fit(pieces, capacity)

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.hashing import ODD, run_hashes, word_hashes
+from treeline.llm.staging import stage
 from treeline.llm.tokens import slices
-from treeline.session import materialize
 
 BUCKET_CHARS = 16 << 20  # characters of text per bucket of probes
 LEAST_BUCKETS = 64
@@ -118,7 +118,7 @@ def _with_uid(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str])
     if whole and (seen[0] or 0) <= 1 and not seen[1]:
         return named.select(F.col("id").cast("bigint").alias("uid"), "id", "text", "rest"), int(seen[2] or 0)
     ordered = named.repartitionByRange(F.col("id"), F.col("text")).sortWithinPartitions("id", "text")
-    return materialize(ordered.select(F.monotonically_increasing_id().alias("uid"), "id", "text", "rest"), "numbered"), int(seen[2] or 0)
+    return stage(ordered.select(F.monotonically_increasing_id().alias("uid"), "id", "text", "rest"), "numbered"), int(seen[2] or 0)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), with_text: bool = True) -> DataFrame:
@@ -130,7 +130,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         raise ValueError("a window is an even number of words")
     source, chars = _with_uid(docs, id_col, text_col, carry)
     buckets = max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS))
-    hits = _anchors(source, window, buckets)
+    hits = stage(_anchors(source, window, buckets), "hits")
     joined = source.join(hits, "uid", "left")
     kind = {f.name: f.dataType.simpleString() for f in joined.schema}
 
@@ -150,7 +150,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     rows = joined.select("uid", "id", "text", "rest", "hits").mapInArrow(
         first, f"uid bigint, id {kind['id']}, text string, rest {kind['rest']}, hits array<int>, n_words bigint, kept_sha256 string"
     )
-    rows = materialize(rows, "anchored")
+    rows = stage(rows, "anchored")
     alone = rows.where("hits IS NULL").select("id", "text", "rest", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
     anchored = rows.where("hits IS NOT NULL").select("uid", "id", "text", "rest", "hits", "n_words")
     later = _later_windows(anchored.select("uid", "text", "hits"), window, buckets)
