@@ -1,15 +1,15 @@
 """Operator 4: n-gram Jaccard join over size-banded tiles with hashed bitmap signatures.
 
 Two sets of sizes n and m whose Jaccard index reaches p / q differ in at most H = (n + m)(q - p) / (q + p) elements.
-Sizes are cut into bands; in a band H is bounded by its largest size, so if the hashed elements are dealt to H + 1
-parts, two sets that link agree in at least one whole part. A tile is all sets of a band (and those just below it)
+Sizes are cut into bands; in a band H is bounded by its largest size, so if the hashed elements are dealt to more
+than H parts, two sets that link agree in at least one whole part. A tile is all sets of a band (and those just below it)
 with the same content of one part: nothing but near copies meet there, whatever words or passages are frequent, and no
 link is lost. Inside tiles, sizes and bitmaps come first: a bit that one set has and the other lacks is an element the
 other lacks, so bit counts bound the overlap from above. Only pairs that pass are compared by intersection of their
 sorted arrays.
 
-Equal sets are one class. First every class is compared with the least class of its tiles, and the links found are
-joined to components: that settles tiles with a single component, so a group of thousands of near copies costs about
+Equal sets are one class, named by its first row. First every class is compared with the least class of its tiles,
+and the links found are joined to components: that settles tiles with a single component, so a group of thousands of near copies costs about
 as many comparisons as it has members. Tiles that still hold several components are compared whole across
 components, in chunk pairs of bounded size. The result is exact.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,13 @@ from pyspark.sql import functions as F
 
 from treeline.llm.components import connected_components
 from treeline.llm.hashing import ODD, mix, run_hashes, word_hashes
+from treeline.llm.staging import stage
 from treeline.llm.tokens import slices
-from treeline.session import materialize
 
 BAND = 1.5  # sizes of a band, largest to smallest
+DEALS = 4
+KEPT_DIGESTS = 200_000  # of a task
+BROADCAST_TILES = 2_000_000  # shared tiles (16 bytes each) that may be sent to every executor
 CHUNK = 2048  # members of a tile compared with as many others in one task
 
 
@@ -67,32 +71,55 @@ def _part_keys(sorted_set: np.ndarray, parts: int, tag: int) -> tuple[np.ndarray
     return keys, np.diff(ends)
 
 
+@cache
+def _parts(band: int, p: int, q: int) -> tuple[int, int]:
+    """Into how many parts sets of a band are dealt, and how many of them may be empty without harm.
+
+    With H differences and k parts, two sets that link agree in at least k - H parts, so in one that isn't empty if
+    fewer than k - H parts of either are empty. k is H + 1 and what is usually empty for the smallest sets of the band.
+    """
+    low, high = max(1, p * _BANDS[band] // q), _BANDS[band + 1] - 1
+    differ = 2 * high * (q - p) // (q + p)
+    spare = 0
+    while True:
+        parts = differ + 1 + spare
+        empty = parts * (1 - 1 / parts) ** low if parts > 1 else 0.0
+        if spare + 1 > empty + 2 * empty**0.5 or spare > differ:
+            return parts, spare
+        spare += 1
+
+
 def tile_keys(sorted_set: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Keys of all tiles a set belongs to.
+    """Keys of all tiles a set belongs to: its parts that aren't empty.
 
-    A set whose part is empty would meet all others for which it is; there, the set is dealt anew by another hash.
+    A set with too many empty parts is dealt anew by another hash, up to ``DEALS`` times, as is any set that it may
+    have to meet there; at the last deal empty parts have keys too.
     """
     n = len(sorted_set)
     band = int(np.searchsorted(_BANDS, n, side="right")) - 1
     out = []
-    for b in (band, band + 1):
-        if b > band and n * q < p * _BANDS[b]:
-            break  # too small to link with a set of the next band
-        parts = 2 * (_BANDS[b + 1] - 1) * (q - p) // (q + p) + 1
-        keys, sizes = _part_keys(sorted_set, parts, 2 * b)
-        out.append(keys[sizes > 0])
-        if parts > 1 and (sizes == 0).any():
+    b = band
+    while b == band or n * q >= p * _BANDS[b]:  # a set large enough to link with one of the next band meets it there
+        parts, spare = _parts(b, p, q)
+        dealt = sorted_set
+        for deal in range(DEALS):
+            keys, sizes = _part_keys(dealt, parts, DEALS * b + deal)
+            enough = int((sizes == 0).sum()) <= spare
+            out.append(keys if deal == DEALS - 1 and not enough else keys[sizes > 0])
+            if enough:
+                break
             with np.errstate(over="ignore"):
-                again = np.sort(mix(sorted_set * ODD[3]))
-                keys, _ = _part_keys(again, parts, 2 * b + 1)
-                for empty in np.flatnonzero(sizes == 0):
-                    out.append(mix(keys + np.uint64(empty + 1) * ODD[1]))
+                dealt = np.sort(mix(dealt * ODD[3]))
+        b += 1
     return np.unique(np.concatenate(out))
 
 
 def bitmap(sorted_set: np.ndarray) -> np.ndarray:
-    """Bits of the hashed elements, in 64-bit words: about four bits per element, a power of two."""
-    bits = max(64, 1 << (4 * max(len(sorted_set), 1) - 1).bit_length() - 1)
+    """Bits of the hashed elements, in 64-bit words: 8 to 16 bits per element, a power of two.
+
+    So dense that about one element in ten hides behind another: few pairs pass the bound without a link.
+    """
+    bits = max(64, 1 << (16 * max(len(sorted_set), 1) - 1).bit_length() - 1)
     at = sorted_set & np.uint64(bits - 1)
     out = np.zeros(bits // 64, dtype=np.uint64)
     np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
@@ -129,91 +156,121 @@ def _u64(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint64)
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
-
-
 def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` of every row; links are pairs with q * intersection >= p * union."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part in slices(batches, "text"):
             found = [shingle_set(t or "", n) for t in part.column(1).to_pylist()]
-            keys = [_signed(tile_keys(s, p, q)) if len(s) else np.empty(0, dtype=np.int64) for s in found]
+            digests, keys = [_digest(s) for s in found], []
+            for s, digest in zip(found, digests, strict=True):
+                known = digest in seen or not len(s)  # equal sets of a task are entered once
+                keys.append(np.empty(0, dtype=np.int64) if known else tile_keys(s, p, q).view(np.int64))
+                seen.add(digest)
+            if len(seen) > KEPT_DIGESTS:
+                seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_digest(s) for s in found], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["id", "n", "digest", "keys"],
             )
 
     rows = source.mapInArrow(sets, f"id {id_type}, n bigint, digest binary, keys array<bigint>")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("id").alias("id"), F.max("n").alias("n"))
-    classes = materialize(classes, "classes")
-    links = _links(source, rows, classes, n, p, q)
-    named = connected_components(links).withColumnRenamed("node", "class")
-    grouped = classes.join(named, "class", "left").select("digest", "id", F.coalesce("component", "class").alias("component"))
-    names = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_digest = grouped.join(names, "component").select("digest", "component_id")
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
+    named = connected_components(_links(source, rows, n, p, q))
+    own = rows.where("n > 0").select("row", "digest", "id").join(named, F.col("row") == F.col("node"), "left")
+    classes = own.groupBy("digest").agg(F.min("component").alias("component"), F.min("row").alias("row"), F.min("id").alias("id"))
+    classes = classes.select("digest", "id", F.coalesce("component", "row").alias("component"))
+    names = classes.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_digest = classes.join(names, "component").select("digest", "component_id")
     out = rows.select("id", "n", "digest").join(of_digest, "digest", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _links(source: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """``a, b``: links between classes, enough to connect every two classes that a chain of links connects."""
-    firsts = rows.select(F.col("row").alias("class"), "keys").join(classes.select("class"), "class", "left_semi")
-    places = materialize(firsts, "keys").select("class", F.explode("keys").alias("key"))
+def _links(source: DataFrame, rows: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """``a, b``: links between rows, enough to connect every two that a chain of links connects."""
+    # one row per set: the first, which has keys; copies in other tasks add nothing but repeated pairs
+    firsts = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("row")).select("row")
+    kept = stage(rows.where("size(keys) > 0").select("row", "keys").join(firsts, "row", "left_semi"), "keys")
+    places = kept.select(F.col("row").alias("class"), F.explode("keys").alias("key"))
     shared = places.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
-    members = materialize(places.join(materialize(shared.select("key", "least"), "tiles"), "key"), "members")
-    sets = _class_sets(source, classes.join(members.select("class").distinct(), "class", "left_semi"), n)
+    tiles = stage(shared.select("key", "least"), "tiles")
+    few = F.broadcast if tiles.count() <= BROADCAST_TILES else (lambda table: table)
+    members = stage(places.join(few(tiles), "key"), "members")
+    nodes = members.select("class").distinct()
+    sets = _class_sets(source, rows.select(F.col("row").alias("class"), "digest", "n", "id").join(nodes, "class", "left_semi"), n)
 
     stars = members.where("class <> least").groupBy("class").agg(F.min("least").alias("least"))
-    found = materialize(_verified(stars.select(F.col("least").alias("a"), F.col("class").alias("b")), sets, p, q), "stars")
+    found = stage(_verified(stars.select(F.col("least").alias("a"), F.col("class").alias("b")), sets, p, q), "stars")
     named = connected_components(found).select(F.col("node").alias("class"), "component")
-    inside = members.join(named, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-    mixed = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    crossing = _crossing(inside.join(mixed.select("key", "size"), "key"), sets, p, q)
-    more = _verified(crossing, sets, p, q)
-    return found.unionByName(more)
+    inside = stage(members.join(named, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component")), "inside")
+    mixed = inside.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
+        F.min("class").alias("least"), F.max("class").alias("most"), F.bit_xor(F.xxhash64("class")).alias("who"),
+    ).where("low < high")
+    # tiles with the same members ask the same questions
+    mixed = mixed.groupBy("size", "least", "most", "who").agg(F.min("key").alias("key")).select("key", "size")
+    crossing = _crossing(inside.join(mixed, "key"), sets, p, q)
+    return found.unionByName(_exact(crossing, sets, p, q))  # their bits have been compared
 
 
 def _class_sets(source: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """``class, n, bits, hashes`` of the given classes, from the texts of their ids."""
+    """``class, n, bits, hashes`` of the given classes, from the texts of their ids; some may come twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part in slices(batches, "text"):
-            found = [shingle_set(t or "", n) for t in part.column("text").to_pylist()]
+            by_digest = {_digest(s): s for s in (shingle_set(t or "", n) for t in part.column("text").to_pylist())}
+            by_digest = {d: s for d, s in by_digest.items() if d not in seen}
+            if len(seen) > KEPT_DIGESTS:
+                seen.clear()
+            seen.update(by_digest)
+            found = list(by_digest.values())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_digest(s) for s in found], pa.binary()), pa.array([bitmap(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
+                [pa.array(list(by_digest), pa.binary()), pa.array([bitmap(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
                 ["digest", "bits", "hashes"],
             )
 
-    wanted = materialize(classes.select("class", "digest", "n", F.col("id").alias("of")), "wanted")
+    wanted = stage(classes.select("class", "digest", "n", F.col("id").alias("of")), "wanted")
     texts = source.join(wanted.select("of").distinct(), F.col("id").eqNullSafe(F.col("of")), "left_semi").select("text")
     found = texts.mapInArrow(run, "digest binary, bits binary, hashes binary")
-    return materialize(found.join(wanted.select("class", "digest", "n"), "digest").drop("digest").dropDuplicates(["class"]), "class-sets")
+    return stage(found.join(wanted.select("class", "digest", "n"), "digest").drop("digest"), "class-sets")
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs ``a, b`` of classes that link: bit counts first, then the sorted arrays of what is left."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
             keep = [reaches(min(i, j), i, j, p, q) and bool(reaches(overlap_bound(_u64(s), i, _u64(t), j), i, j, p, q)) for i, j, s, t in zip(n, m, x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    left, right = (sets.select(F.col("class").alias(c), F.col("n").alias(s), F.col("bits").alias(x)) for c, s, x in (("a", "n", "x"), ("b", "m", "y")))
+    close = pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(bounded, "a bigint, b bigint")
+    return _exact(close, sets, p, q)
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs whose sorted arrays share enough; the pairs are written first, so that their own steps leave the disk."""
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             keep = []
             for s, t in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 s, t = _u64(s), _u64(t)
                 keep.append(bool(reaches(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), p, q)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("class").alias(c), F.col("n").alias(s), F.col("bits").alias(x)) for c, s, x in (("a", "n", "x"), ("b", "m", "y")))
-    close = pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(bounded, "a bigint, b bigint")
-    close = materialize(close, "close")
+    close = stage(pairs, "close")
     left, right = (sets.select(F.col("class").alias(c), F.col("hashes").alias(x)) for c, x in (("a", "x"), ("b", "y")))
     return close.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(exact, "a bigint, b bigint")
 
@@ -225,7 +282,8 @@ def _crossing(inside: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
         order = np.argsort(np.asarray(batch.column("n")), kind="stable")
         ids, parts, sizes, sides = (np.asarray(batch.column(c))[order] for c in ("class", "component", "n", "side"))
         maps = [_u64(x) for x in batch.column("bits").to_pylist()]
-        maps = [maps[i] for i in order]
+        words = min(len(x) for x in maps)  # bits of a tile differ by a factor of two or four at most
+        maps = np.stack([_folded(maps[i], words) for i in order])
         a, b = [], []
         one_chunk = batch.column("i")[0].as_py() == batch.column("j")[0].as_py()
         for i in range(len(ids) - 1):
@@ -233,9 +291,7 @@ def _crossing(inside: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
             at = np.arange(i + 1, last)
             at = at[(parts[at] != parts[i]) & (ids[at] != ids[i]) & (one_chunk | (sides[at] != sides[i]))]
             if len(at):
-                words = len(maps[i])
-                others = np.stack([_folded(maps[k], words) for k in at])
-                at = at[reaches(overlap_bound(maps[i][None, :], sizes[i], others, sizes[at]), sizes[i], sizes[at], p, q)]
+                at = at[reaches(overlap_bound(maps[i][None, :], sizes[i], maps[at], sizes[at]), sizes[i], sizes[at], p, q)]
                 a += np.minimum(ids[i], ids[at]).tolist()
                 b += np.maximum(ids[i], ids[at]).tolist()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
