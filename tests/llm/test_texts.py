@@ -38,6 +38,39 @@ def test_broken_pages_do_no_harm(page):
     assert isinstance(html.main_text(page), str)
 
 
+P = [f"<p>{prose(i, 60)}</p>" for i in range(4)]
+ARTICLE, LINES = "<h1>Big news</h1>" + "".join(P), ["Big news", *[x[3:-4] for x in P]]
+MENU = "<nav><ul><li><a href=x>A</a><li><a href=y>B</a></ul></nav>"
+TALK = f"<div class='comments'><article><p>{prose(9, 40)}</p></article><article><p>{prose(8, 40)}</p></article></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div id=page class='layout with-sidebar'>{MENU}<article>{ARTICLE}</article><div class=sidebar><p>{prose(7, 30)}</p></div></div>",
+    f"<div class='layout sidebar-right'>{MENU}<article>{ARTICLE}</article><div class=sidebar><article><p>{prose(7, 30)}</p></article></div></div>",
+    f"<div class='no-sidebar'><div>{ARTICLE}</div></div>{MENU}",
+    f"<div class='has-comments'><article>{ARTICLE}</article>{TALK}</div>",
+    f"<div class='page-header-fixed'><div class='widget-area'><main>{ARTICLE}</main></div>{TALK}</div>",
+    f"<div class='page-header-fixed'><div class='content'>{ARTICLE}</div><footer>me and others</footer></div>",
+    f"<form id=page action=x>{MENU}<div role=main>{ARTICLE}</div></form>",
+    f"<article><header class='entry-header'><h1>Big news</h1><div class='entry-meta'>By me, today</div></header>{''.join(P)}</article>",
+    f"<article><div class='post-header'><h1>Big news</h1></div>{''.join(P)}</article>{TALK}",
+    f"<div class='sidebar'>{MENU}<article><p>{prose(7, 30)}</p></article></div><main>{ARTICLE}<div class='ad'><p>{prose(6, 60)}</p></div></main>",
+    f"<div>{ARTICLE}</div>{TALK}{MENU}",
+])
+def test_marked_wrappers_do_not_hide_the_article(page):
+    assert html.main_text(f"<html><body>{page}</body></html>").split("\n") == LINES
+
+
+@pytest.mark.parametrize("page", [f"<div id=cookie-consent><p>{prose(3, 30)}</p></div>{MENU}", f"<aside>{ARTICLE}</aside>", f"<footer><article>{ARTICLE}</article></footer>"])
+def test_boilerplate_alone_is_no_article(page):
+    assert html.main_text(page) == ""
+
+
+def test_a_weak_mark_costs_less_than_the_edges_of_a_block_can_weigh():
+    weak, strong = (html.Block("w", "div", (), -1, 1, 0, weak=w) for w in (True, False))
+    assert html.classify(weak) > -10 * html.SMOOTH > html.classify(strong)
+
+
 def test_cut_is_minimal():
     r = random.Random(1)
     for _ in range(150):

@@ -6,6 +6,10 @@ the two terminals. Neighbouring blocks, and blocks that follow each other inside
 whose capacity grows with the share of elements they have in common. A maximum flow finds the cheapest labelling; the
 blocks on the side of the content terminal are the text, in page order.
 
+Class names and ids, and <form>, are weak marks of boilerplate: layout wrappers carry them too. A weak mark does not count
+if its element holds <main>, an article at least as long as all unmarked text, or nearly all text of a page without other
+content; its cost is finite. Words of a layout's state ('has-comments') are no marks, nor are 'header' names inside content.
+
 Scripts, styles, comments, form controls and hidden elements are no text at all. Unclosed elements end with their
 parents, text after a cut-off tag is dropped with the tag, and character references are decoded after cutting.
 
@@ -34,6 +38,7 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 RAW = frozenset("script style textarea title noembed noframes xmp iframe".split())
 SILENT = frozenset("head script style textarea title noembed noframes xmp iframe noscript template svg math canvas object audio video select button datalist".split())
 BOILERPLATE = frozenset("nav aside footer form menu dialog search".split())
+WEAK = frozenset(["form"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table div section article aside nav main body form".split())
@@ -46,6 +51,8 @@ _BAD = re.compile(
     re.I,
 )
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|maincontent|main|post|post-body|entry|story|text|body|prose|page-content)(?=$|[\s_-])", re.I)
+_HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:header\w*|masthead)(?=$|[\s_-])", re.I)
+_STATE = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[_-]\S*", re.I)
 _ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "dialog": -1, "alert": -1, "form": -1, "main": 1, "article": 1}
 _QUOTED = re.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -55,6 +62,9 @@ _CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 
 # Classifier: hand-set weights, and what a whole shared path adds between neighbours.
 BIAS, PER_LOG_WORD, LINKS, PARAGRAPH, HEADING, IN_CONTENT, IN_BOILERPLATE = -3.0, 1.2, -5.0, 2.0, 1.0, 7.0, -40.0
+IN_WEAK = -12.0
+# A weakly marked element without an article needs so many times the unmarked text, and so many paragraphs or an <h1>.
+MOST, PARAGRAPHS = 3, 3
 SMOOTH = 2.0
 UNIT = 100
 
@@ -65,6 +75,8 @@ class _Element:
     number: int
     side: int  # 1: content, -1: boilerplate, 0: neither
     silent: bool
+    weak: bool = False  # a mark that what the element holds can lift
+    chief: str = ""  # "main" or "article"
 
 
 @dataclass(slots=True)
@@ -74,36 +86,96 @@ class Block:
     text: str
     tag: str
     path: tuple[int, ...]
-    side: int
+    side: int = 0
     words: int = 0
     linked: int = 0
     score: float = field(default=0.0)
+    weak: bool = False
 
 
 def _element(tag: str, attributes: str, number: int, inside_content: bool) -> _Element:
     side = -1 if tag in BOILERPLATE else 1 if tag in ("article", "main") else 0
     if tag == "header" and not inside_content:
         side = -1
+    weak = tag in WEAK
+    chief = tag if side > 0 else ""
     silent = tag in SILENT
     if attributes:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         named = f"{found.get('class', '')} {found.get('id', '')}"
-        if found.get("role", "").lower() in _ROLES:
-            side = _ROLES[found["role"].lower()]
+        role = found.get("role", "").lower()
+        if role in _ROLES:
+            side = _ROLES[role]
+            weak = role in WEAK
+            chief = role if side > 0 else ""
         elif named != " " and tag not in ("body", "html"):
-            if _BAD.search(named) and tag not in ("article", "main"):
+            marks = _STATE.sub("", named)
+            if _BAD.search(_HEADER.sub("", marks) if inside_content else marks) and tag not in ("article", "main"):
+                weak |= side >= 0
                 side = -1
             elif side == 0 and _GOOD.search(named):
                 side = 1
         style = found.get("style", "").replace(" ", "").lower()
         silent |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-    return _Element(tag, number, side, silent)
+    return _Element(tag, number, side, silent, weak and side < 0, chief)
+
+
+def _lift_weak_marks(blocks: list[Block], made: dict[int, _Element]) -> None:
+    """Takes the weak marks off elements that hold the page's content, those with most text first."""
+    chains: list[tuple[Block, list[int], dict[int, int]]] = []
+    for block in blocks:
+        path = [made[n] for n in block.path]
+        if any(e.side < 0 and not e.weak for e in path):
+            continue
+        weak = [e.number for e in path if e.weak]
+        article: dict[int, int] = {}  # of a weakly marked element: the outermost article below it
+        for e in reversed(path):
+            if e.weak:
+                article[e.number] = article.get(0, 0)
+            elif e.chief:
+                article[0] = e.number
+        top = max((i for i, e in enumerate(path) if e.chief == "main"), default=-1)
+        for e in path[: top + 1]:
+            if e.weak:
+                e.side, e.weak = 0, False
+        chains.append((block, weak, article))
+    while True:
+        free = content = 0
+        text: dict[int, int] = {}
+        shape: dict[int, int] = {}
+        above: dict[int, list[int]] = {}
+        articles: dict[tuple[int, int], int] = {}
+        for block, weak, article in chains:
+            size = len(block.text) - block.linked
+            marked = [n for n in weak if made[n].weak]
+            if not marked:
+                free += size
+                content += size * (block.tag not in HEADINGS and any(made[n].side > 0 for n in block.path))
+                continue
+            inner = marked[-1]
+            above[inner] = marked
+            text[inner] = text.get(inner, 0) + size
+            shape[inner] = shape.get(inner, 0) + (PARAGRAPHS if block.tag == "h1" else block.tag == "p")
+            if article.get(inner):
+                key = inner, article[inner]
+                articles[key] = articles.get(key, 0) + size
+        longest: dict[int, int] = {}
+        for (n, _), size in articles.items():
+            longest[n] = max(longest.get(n, 0), size)
+        holds = [(size, n) for n, size in longest.items() if size >= max(free, 1)]
+        if not holds and not content:
+            holds = [(size, n) for n, size in text.items() if size > MOST * free and shape[n] >= PARAGRAPHS]
+        if not holds:
+            return
+        for n in above[max(holds)[1]]:
+            made[n].side, made[n].weak = 0, False
 
 
 def page_blocks(page: str) -> list[Block]:
     """Blocks of a page in order; white space inside is one space, empty blocks are left out."""
     out: list[Block] = []
     stack: list[_Element] = []
+    made: dict[int, _Element] = {}
     parts: list[str] = []
     linked: list[str] = []
     links = number = 0
@@ -112,12 +184,9 @@ def page_blocks(page: str) -> list[Block]:
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            side = 0
-            for e in stack:
-                side = -1 if e.side < 0 else e.side if side >= 0 and e.side else side
             tag = next((e.tag for e in reversed(stack) if e.tag in BLOCKS), "body")
             inside = len(" ".join(html.unescape("".join(linked)).split()))
-            out.append(Block(text, tag, tuple(e.number for e in stack), side, len(text.split()), inside))
+            out.append(Block(text, tag, tuple(e.number for e in stack), words=len(text.split()), linked=inside))
         parts.clear()
         linked.clear()
 
@@ -183,8 +252,15 @@ def page_blocks(page: str) -> list[Block]:
             number += 1
             element = _element(tag, attributes, number, any(e.side > 0 for e in stack))
             stack.append(element)
+            made[number] = element
             silent += element.silent
     flush()
+    if any(e.weak for e in made.values()):
+        _lift_weak_marks(out, made)
+    for block in out:
+        sides = [made[n].side for n in block.path]
+        block.side = -1 if -1 in sides else max(sides, default=0)
+        block.weak = all(made[n].weak for n in block.path if made[n].side < 0)
     return out
 
 
@@ -194,7 +270,8 @@ def classify(block: Block) -> float:
     log = words.bit_length() * 0.7
     score = BIAS + PER_LOG_WORD * min(log, 6.0) + LINKS * block.linked / max(len(block.text), 1)
     score += PARAGRAPH * (block.tag in ("p", "blockquote", "pre")) + HEADING * (block.tag in HEADINGS)
-    return score + (IN_CONTENT if block.side > 0 else IN_BOILERPLATE if block.side < 0 else 0.0)
+    boilerplate = IN_WEAK if block.weak else IN_BOILERPLATE
+    return score + (IN_CONTENT if block.side > 0 else boilerplate if block.side < 0 else 0.0)
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
