@@ -33,6 +33,30 @@ def test_csv(spark, tmp_path):
     assert {r["weight"] for r in weighted.collect()} == {0.2} and len(weighted.first()["features"]) == 5
 
 
+def csv_rows(df):
+    return sorted(((r["label"], r["weight"], r["features"]) for r in df.collect()), key=str)
+
+
+def test_each_csv_file_has_its_own_delimiter(spark, tmp_path):
+    put(tmp_path, "c/a b.csv", "\n1,2,3\n4,,6\n")
+    put(tmp_path, "c/b.csv", "7;8;9\n")
+    put(tmp_path, "c/c.csv", f"{'0' * 600}1|nan|-inf\n")
+    want = [(1.0, 1.0, [2.0, 3.0]), (1.0, 1.0, [None, float("-inf")]), (4.0, 1.0, [None, 6.0]), (7.0, 1.0, [8.0, 9.0])]
+    for df in (text.scan_csv_labeled(spark, str(tmp_path / "c")), tables.scan_channel_glob(spark, str(tmp_path / "c"), "csv")):
+        assert csv_rows(df) == want and df.count() == 4
+    weighted = text.scan_csv_labeled(spark, str(tmp_path / "c/b.csv"), weight_col=True)
+    assert csv_rows(weighted) == [(7.0, 8.0, [9.0])]
+
+
+@pytest.mark.parametrize("second", ["4,5\n", "4,5,6,7\n", "1,2,3\n4,5,6,7\n", "1,2,3\n4,5\n", "1,2,3\n4,five,6\n", "1;2;3;4\n", "1,2,3\n4;5;6\n"])
+def test_csv_rows_that_differ_are_errors(spark, tmp_path, second):
+    put(tmp_path, "c/a.csv", "1,2,3\n")
+    put(tmp_path, "c/b.csv", second)
+    for scan in (lambda p: text.scan_csv_labeled(spark, p), lambda p: tables.scan_channel_glob(spark, p, "csv")):
+        with pytest.raises(Exception, match="differ in width|no number|MALFORMED|Malformed"):
+            scan(str(tmp_path / "c")).collect()
+
+
 def test_libsvm(spark, tmp_path):
     put(tmp_path, "a/train.libsvm", "1 2:1\n" * 4 + "0 4:1")
     put(tmp_path, "b/train.libsvm", "1:0.2 2:1\n" * 4 + "0:0.2 4:1")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeline.sources.manifest import usable_paths
-from treeline.sources.text import guess_delimiter, labelled
+from treeline.sources.text import labelled, read_csv_labelled
 
 
 def scan_parquet_labeled(spark: SparkSession, roots: str | Sequence[str], weight_col: bool = False) -> DataFrame:
@@ -20,11 +20,7 @@ def scan_channel_glob(spark: SparkSession, folder: str, content_type: str) -> Da
     """Only ``*.csv`` (no header) or ``*.parquet`` directly in the folder; other types are rejected."""
     if content_type == "csv":
         reader = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", False)
-        line = reader.text(folder).select("value", guess_delimiter(F.col("value")).alias("d")).first()
-        sep = line["d"] or ","
-        names = [f"c{i}" for i in range(len(line["value"].split(sep)))]
-        df = reader.option("sep", sep).option("header", False).schema(", ".join(f"{n} double" for n in names)).csv(folder)
-        return labelled(df, names)
+        return read_csv_labelled(reader, [folder])
     if content_type == "parquet":
         df = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", False).parquet(folder)
         return labelled(df, df.columns)

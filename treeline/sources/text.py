@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
 
 from treeline.sources.manifest import usable_paths
 
@@ -28,9 +29,9 @@ def is_number(text: Column) -> Column:
     return F.trim(text).rlike(NUMBER) | F.trim(text).rlike(SPECIAL)
 
 
-def guess_delimiter(line: Column) -> Column:
-    """The most frequent candidate in the first characters of the line, NULL if none occurs."""
-    sample = F.substring(line, 1, SNIFF_CHARS)
+def guess_delimiter(line: Column, chars: int | None = SNIFF_CHARS) -> Column:
+    """The most frequent candidate in the first characters of the line (None: in all of it), NULL if none occurs."""
+    sample = line if chars is None else F.substring(line, 1, chars)
     counts = [F.length(sample) - F.length(F.replace(sample, F.lit(d), F.lit(""))) for d in DELIMITERS]
     top = F.greatest(*counts)
     out = F.lit(None).cast("string")
@@ -41,7 +42,10 @@ def guess_delimiter(line: Column) -> Column:
 
 def text_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``path, block, seq, line``: seq orders lines inside a block of a file, block orders the blocks."""
-    lines = spark.read.text(list(paths))
+    return placed_lines(spark.read.text(list(paths)))
+
+
+def placed_lines(lines: DataFrame) -> DataFrame:
     return lines.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"),
@@ -66,15 +70,46 @@ def scan_csv_labeled(
 ) -> DataFrame:
     """``label, weight, features`` from headerless files; column 0 is the label, column 1 the weight if asked.
 
-    The delimiter and the width come from the first line of the first file, the only line read ahead.
+    Every file's delimiter comes from its own first line, and all files must have as many columns. A row of another
+    width, and a field that is neither a number nor empty, stop the query that reads it.
     """
     paths = usable_paths(spark, roots)
-    row = spark.read.text(paths[0]).select("value", guess_delimiter(F.col("value")).alias("d")).first()
-    sep = delimiter or row["d"] or ","
-    width = len(row["value"].split(sep))
-    names = [f"c{i}" for i in range(width)]
-    df = spark.read.option("sep", sep).option("header", False).schema(", ".join(f"{n} double" for n in names)).csv(paths)
-    return labelled(df, names, weight_col)
+    return read_csv_labelled(spark.read, paths, weight_col, delimiter)
+
+
+def read_csv_labelled(reader: DataFrameReader, paths: Sequence[str], weight_col: bool = False, delimiter: str | None = None) -> DataFrame:
+    """``label, weight, features`` of headerless files, each read with its own delimiter."""
+    lines = placed_lines(reader.text(list(paths))).where(F.trim("line") != "")
+    first = lines.groupBy("path").agg(F.min_by("line", F.struct("block", "seq")).alias("line"))
+    sep = F.lit(delimiter) if delimiter else F.coalesce(guess_delimiter(F.col("line"), None), F.lit(","))
+    width = F.size(F.split("line", F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1))
+    found = first.select(sep.alias("sep"), width.alias("width"), "path").groupBy("sep", "width")
+    kinds = sorted(found.agg(F.min("path").alias("example")).collect(), key=lambda r: (r["sep"], r["width"]))
+    if len({r["width"] for r in kinds}) > 1:
+        raise ValueError("CSV files differ in width: " + "; ".join(f"{r['width']} columns by {r['sep']!r} in {r['example']}" for r in kinds))
+    names = [f"c{i}" for i in range(kinds[0]["width"] if kinds else 1 + weight_col)]
+    files = {kinds[0]["sep"] if kinds else ",": list(paths)}
+    if len(kinds) > 1:
+        files = {r["sep"]: [unquote(x) for x in r["paths"]] for r in found.agg(F.collect_list("path").alias("paths")).collect()}
+    out = None
+    for sep, group in sorted(files.items()):
+        cells = text_cells(reader, sep, names).csv(group).select(*[strict_double(F.col(n), n).alias(n) for n in names])
+        out = cells if out is None else out.unionByName(cells)
+    return labelled(out, names, weight_col)
+
+
+def text_cells(reader: DataFrameReader, sep: str, names: Sequence[str]) -> DataFrameReader:
+    """All cells as text; a row with another number of cells is an error, whichever columns are used."""
+    reader = reader.option("sep", sep).option("header", False).option("mode", "FAILFAST").option("columnPruning", False)
+    return reader.schema(", ".join(f"{n} string" for n in names))
+
+
+def strict_double(text: Column, name: str) -> Column:
+    """Double from text, NULL for an empty cell, an error for other text."""
+    value = text.try_cast("double")
+    empty = text.isNull() | (F.trim(text) == "")
+    bad = F.raise_error(F.concat(F.lit(f"CSV column {name}: no number in '"), F.substring(text, 1, SNIPPET_CHARS), F.lit("'")))
+    return F.when(value.isNotNull(), value).when(~empty, bad.cast("double"))
 
 
 def missing_as_null(value: Column) -> Column:
