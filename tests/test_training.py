@@ -181,6 +181,47 @@ def test_refresh_on_the_same_rows_keeps_the_model_and_prune_cuts(spark, rows):
     assert all(t.feature[0] == -1 for r in pruned.trees for t in r)
 
 
+UPDATE = {"num_round": 2, "max_depth": 2, "max_bin": 16, "process_type": "update"}
+
+
+def test_update_refreshes_and_prunes_the_given_trees(spark, rows, tmp_path):
+    grown = {k: v for k, v in UPDATE.items() if k != "process_type"}
+    start = resume_fit(rows, grown, str(tmp_path / "m"))
+    other = rows.withColumn("label", F.col("label") * 2 + 1)
+    fresh = fit_boosted_trees(other, {**UPDATE, "updater": "refresh"}, start=start, watch={"half": other.where("row_id < 400")})
+    assert fresh.node_rows() == refresh_trees(other, start, DEFAULTS).node_rows() != start.node_rows()
+    rmse = predict_trees(other, fresh).agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]
+    assert losses(fresh)[-1] == pytest.approx(rmse) and len(losses(fresh)) == len(losses(fresh, "half")) == 2
+    assert resume_fit(other, {**UPDATE, "updater": "refresh"}, str(tmp_path / "m")).node_rows() == fresh.node_rows()
+    assert load_checkpoint(spark, str(tmp_path / "m"))[0].node_rows() == start.node_rows()
+    gains = sorted(g for r in start.trees for t in r for f, g in zip(t.feature, t.gain) if f >= 0)
+    gamma = (gains[0] + gains[1]) / 2  # between two gains: one split falls
+    pruned = fit_boosted_trees(rows, {**UPDATE, "updater": "prune", "gamma": gamma}, start=start)
+    assert pruned.node_rows() == prune_trees(start, gamma).node_rows()
+    assert sum(f >= 0 for r in pruned.trees for t in r for f in t.feature) == len(gains) - 1
+    both = fit_boosted_trees(other, {**UPDATE, "updater": "refresh,prune", "gamma": 1e12}, start=start)
+    assert all(t.feature[0] == -1 for r in both.trees for t in r)
+    # the second round sees the pruned first one: two steps of the same root value
+    total = other.agg(F.sum(F.col("label") - 0.5)).first()[0]
+    first = total / 801 * 0.3
+    assert [t.value[0] for r in both.trees for t in r] == pytest.approx([first, (total - 800 * first) / 801 * 0.3], rel=1e-6)
+
+
+def test_update_rejects_what_it_cannot_do(spark, rows):
+    start = fit_boosted_trees(rows, {"num_round": 1, "max_depth": 1, "max_bin": 8})
+    for more, given in (({"updater": "refresh"}, None), ({}, start), ({"updater": "prune", "num_round": 2}, start), ({"updater": "prune", "objective": "reg:gamma"}, start)):
+        with pytest.raises(ValueError):
+            fit_boosted_trees(rows.where("label > 0"), {"num_round": 1, "process_type": "update", **more}, start=given)
+
+
+def test_refresh_keeps_scaled_positive_weights_and_gains_with_l1(spark, rows):
+    binary = rows.withColumn("label", (F.col("label") > 2).cast("double"))
+    model = fit_boosted_trees(binary, {"objective": "binary:logistic", "num_round": 1, "max_depth": 2, "max_bin": 16, "scale_pos_weight": 3.0, "alpha": 2.0})
+    fresh = refresh_trees(binary, model)
+    for name in ("value", "gain"):
+        assert getattr(fresh.trees[0][0], name) == pytest.approx(getattr(model.trees[0][0], name), rel=1e-3, abs=1e-5)
+
+
 def test_kfold_counts(spark, rows):
     out = fit_kfold(rows, {"num_round": 1, "max_depth": 1, "max_bin": 8, "_kfold": 2, "_num_cv_round": 2})
     assert len(out.models) == 4 and out.predictions.count() == 1600

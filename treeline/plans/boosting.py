@@ -7,6 +7,7 @@ frame that is persisted anew each round and written to the shared folder every f
 
 from __future__ import annotations
 
+import dataclasses
 import heapq
 import math
 from collections.abc import Callable, Sequence
@@ -76,17 +77,21 @@ class Rows:
         self.df.unpersist()
 
 
-def _prepare(df: DataFrame, cuts, margins: list[str], base: float, objective: str, params: dict, start: Model | None) -> DataFrame:
-    """``carried, label, w, bins, m_*`` from ``label, features[, weight]``."""
+def plain_rows(df: DataFrame, margins: list[str], base: float | None, params: dict) -> DataFrame:
+    """``carried, label, w, features`` from ``label, features[, weight]``, with ``m_*`` where a base is given."""
     y = F.col("label").cast("double")
     w = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
     if float(params["scale_pos_weight"]) != 1.0:
         w = G.scale_positive_weight(y, w, params["scale_pos_weight"])
     carried = [c for c in CARRIED if c in df.columns]
     df = df.select(*carried, y.alias("label"), w.alias("w"), F.col("features").cast("array<double>").alias("features"))
-    if start is None:
-        df = df.select("*", *[F.lit(float(base)).alias(m) for m in margins])
-    else:
+    return df if base is None else df.select("*", *[F.lit(float(base)).alias(m) for m in margins])
+
+
+def _prepare(df: DataFrame, cuts, margins: list[str], base: float, objective: str, params: dict, start: Model | None) -> DataFrame:
+    """``carried, label, w, bins, m_*`` from ``label, features[, weight]``."""
+    df = plain_rows(df, margins, base if start is None else None, params)
+    if start is not None:
         from treeline.plans.scoring import add_margins
 
         df = add_margins(df, start, margins)
@@ -331,7 +336,8 @@ def fit_boosted_trees(
     """Trains on ``label, features[, weight, row_id, group_id, label_lower, label_upper]``.
 
     Every round each data set (train, validation, others in ``watch``) is evaluated with every metric.
-    ``start`` continues a model; ``on_round`` is called after each round (for saving).
+    ``start`` continues a model; ``on_round`` is called after each round (for saving). With ``process_type=update`` the
+    trees of ``start`` are refreshed or pruned instead, and none is grown.
     """
     p = resolve_parameters(params)
     objective = p["objective"]
@@ -348,6 +354,8 @@ def fit_boosted_trees(
     for i, rule in enumerate(rules):
         if shape[f"r{i}"]:
             raise ValueError(f"{rule} ({shape[f'r{i}']} rows)")
+    if p["process_type"] == "update":
+        return _update(df, p, validation, start, watch, fold, on_round)
     n_features = start.n_features if start else shape["width"]
     if start is not None:
         base = start.base_margin
@@ -382,7 +390,7 @@ def fit_boosted_trees(
         best = (max if is_maximize(stop_metric) else min)(seen, key=lambda x: x[0], default=None)
 
     for round_number in range(len(model.trees), total_rounds + 1):
-        grad = _gradients(train.df, objective, p, margins, round_number)
+        grad = row_gradients(train.df, objective, p, margins, round_number)
         held = grad.persist(StorageLevel.MEMORY_AND_DISK) if objective in G.GROUP_OBJECTIVES else None
         stats, values = _stats_and_metrics(train, grad, objective, metrics, p, margins)
         train.settle()
@@ -408,7 +416,7 @@ def fit_boosted_trees(
         dropped = _dropped(p, model, round_number)
         if dropped:
             out = [model.trees[r][i] for r, i in dropped]
-            grad = _gradients(_tree_contributions(train.df, out, margins, -1.0), objective, p, margins, round_number)
+            grad = row_gradients(_tree_contributions(train.df, out, margins, -1.0), objective, p, margins, round_number)
             stats, _ = _stats_and_metrics(train, grad, objective, [], p, margins)
         grad = _sample(grad, p, round_number, stats, k)
         bits = _fixed_point_bits(stats) if p["deterministic_histogram"] == "true" else None
@@ -438,6 +446,32 @@ def fit_boosted_trees(
     return model
 
 
+def _update(df: DataFrame, p: dict, validation, start: Model | None, watch, fold: int, on_round) -> Model:
+    """Updated trees of ``start``, with the metrics of every round on every data set."""
+    from treeline.plans.refresh import update_trees
+
+    if start is None:
+        raise ValueError("process_type update needs a model to start from")
+    if p.get("early_stopping_rounds"):
+        raise ValueError("early_stopping_rounds is not available with process_type update")
+    model = update_trees(df, start, p)
+    margins = [f"m_{i}" for i in range(model.n_outputs)]
+    metrics = metric_names(p.get("_tuning_objective_metric"), p.get("eval_metric")) or [default_metric(model.objective)]
+    sets = {"train": df, **({"validation": validation} if validation is not None else {}), **(watch or {})}
+    rows = {name: Rows(plain_rows(frame, margins, model.base_margin, p), margins) for name, frame in sets.items()}
+    for number, trees in enumerate(model.trees):
+        nodes = [f"u_{t}" for t in range(len(trees))]
+        for name, held in rows.items():
+            held.advance(routing.add_tree_values(routing.route(held.df, trees, nodes, False, "features"), trees, nodes, margins), last=number == len(model.trees) - 1)
+            model.log += [(number, fold, name, m, v) for m, v in zip(metrics, _evaluate(held.df, model.objective, metrics, p, margins))]
+            held.settle()
+        if on_round:
+            on_round(dataclasses.replace(model, trees=model.trees[: number + 1], log=list(model.log)), number)
+    for held in rows.values():
+        held.close()
+    return model
+
+
 def _bin_splits(model: Model, cuts) -> None:
     """Bin numbers of a continued model's splits, exact where its split values are among the cuts."""
     import bisect
@@ -458,7 +492,7 @@ def default_metric(objective: str) -> str:
     return named.get(objective, "rmse")
 
 
-def _gradients(df: DataFrame, objective: str, p: dict, margins: list[str], round_number: int) -> DataFrame:
+def row_gradients(df: DataFrame, objective: str, p: dict, margins: list[str], round_number: int) -> DataFrame:
     if objective in G.GROUP_OBJECTIVES:
         # pairs are drawn anew every round
         return group_gradients(df, objective, {**p, "seed": int(p["seed"]) + ROUND_SEED * round_number})

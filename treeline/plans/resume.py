@@ -56,7 +56,12 @@ def load_checkpoint(spark: SparkSession, path: str) -> tuple[Model | None, int]:
 
 
 def resume_fit(df: DataFrame, params: dict, path: str, validation: DataFrame | None = None) -> Model:
-    """Trains the rounds still missing up to ``num_round``, saving each one; nothing is trained when none is."""
+    """Trains the rounds still missing up to ``num_round``, saving each one; nothing is trained when none is.
+
+    With ``process_type=update`` the newest saved model is updated and returned; the saved ones stay as they are.
+    """
     spark = df.sparkSession
     start, _ = load_checkpoint(spark, path)
+    if params.get("process_type") == "update":
+        return fit_boosted_trees(df, params, validation, start=start)
     return fit_boosted_trees(df, params, validation, start=start, on_round=save_each_round(spark, path))
