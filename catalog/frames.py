@@ -43,6 +43,12 @@ VECTORS_SQL = """vectors AS (SELECT vec_id AS row_id, label,
   list_transform(embedding[1:10], lambda v: v::DOUBLE) AS scores FROM embeddings)"""
 
 
+def labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """``row_id, label, features`` with every dimension as a feature."""
+    df = table(spark, sf, "embeddings")
+    return df.select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").cast("array<double>").alias("features"))
+
+
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:
     """``row_id, label, score, weight, features`` from events; score is a probability."""
     df = table(spark, sf, "events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.frames import EVENTS_SQL, LINES_SQL, ORDERS_SQL, binary_lines, class_vectors, event_rows, order_rows
+from catalog.frames import EVENTS_SQL, LINES_SQL, ORDERS_SQL, binary_lines, class_vectors, event_rows, labelled_vectors, order_rows
 from catalog.registry import query, table
 from catalog.scoring import FLAT_SQL, fixed_model
 from treeline.functions.scores import sigmoid_probability
@@ -304,7 +304,7 @@ def _evaluation_log(spark, sf):
 
 @query("fit_multiclass")
 def _fit_multiclass(spark, sf):
-    df = class_vectors(spark, sf).select("row_id", "label", F.col("scores").alias("features"))
+    df = labelled_vectors(spark, sf)
     params = {"objective": "multi:softprob", "num_class": 10, "num_round": 2, "max_depth": 2, "max_bin": 16, "eval_metric": "mlogloss,merror"}
     return _log(spark, fit_boosted_trees(df, params))
 
