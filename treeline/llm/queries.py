@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import bpe, fingerprints, html, jaccard, licenses, packing, quality, records, substrings, vectors
+from treeline.llm import bpe, byte_bpe, fingerprints, html, jaccard, licenses, merkle, packing, quality, records, substrings, vectors
 from treeline.session import scratch_path
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +64,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=1, capacity=4096)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.byte_round_trip(_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.expr("replace(text, '\n', '')")).otherwise(F.col("text"))
+    return merkle.merkle_manifest(_table(spark, sf_dir, "documents"), tampered={"text": cut})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_html, op3_fingerprints, op4_jaccard, op5_licenses, op6_substrings, op7_topk, op8_quality, op9_records, op10_packing)
+    f.__name__: f for f in (op1_bpe, op2_html, op3_fingerprints, op4_jaccard, op5_licenses, op6_substrings, op7_topk, op8_quality, op9_records, op10_packing, op12_byte_bpe, op13_merkle)
 }
 ORACLES: dict[str, str] = {
     "op4_jaccard": r"""
@@ -96,6 +106,60 @@ ORACLES: dict[str, str] = {
             sha256(array_to_string(list_filter(ws, lambda x, i: gone_at IS NULL OR NOT list_contains(gone_at, i)), ' ')) AS kept_sha256
         FROM w LEFT JOIN lost USING (doc_id)
     """,
+    "op13_merkle": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, lang, n_chars, text, list_reduce(
+                list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS UBIGINT))),
+                lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(i AS UBIGINT) FOR i IN range(8)]),
+                    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)) AS crc
+            FROM documents),
+        t AS (
+            SELECT *, CASE WHEN xor(crc, 4294967295::UBIGINT) & 1 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM d),
+        f AS (
+            SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+            FROM t),
+        h AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS changed
+            FROM f),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM h),
+        up(lvl, source, pos, node, n) AS (
+            SELECT 0, source, pos, leaf, n FROM leaves
+            UNION ALL
+            SELECT lvl + 1, source, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 2) // 3) FROM up WHERE n > 1 GROUP BY lvl, source, pos // 3),
+        subroots AS (
+            SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+        high(lvl, pos, node, n) AS (
+            SELECT 0, pos, subroot, n FROM subroots
+            UNION ALL
+            SELECT lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 2) // 3) FROM high WHERE n > 1 GROUP BY lvl, pos // 3),
+        steps AS (
+            SELECT lvl, source, pos, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM up WHERE n > 1 WINDOW w AS (PARTITION BY lvl, source, pos // 3 ORDER BY pos)),
+        high_steps AS (
+            SELECT lvl, pos, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM high WHERE n > 1 WINDOW w AS (PARTITION BY lvl, pos // 3 ORDER BY pos)),
+        fold(lvl, source, first, pos, node, proof) AS (
+            SELECT 0, source, pos, pos, changed, '' FROM leaves
+            UNION ALL
+            SELECT f.lvl + 1, f.source, f.first, f.pos // 3, sha256(s.l || f.node || s.r), f.proof || s.l || s.r
+            FROM fold f JOIN steps s ON s.lvl = f.lvl AND s.pos = f.pos AND s.source IS NOT DISTINCT FROM f.source),
+        low AS (
+            SELECT source, first, arg_max(node, lvl) AS node, arg_max(proof, lvl) AS proof FROM fold GROUP BY source, first),
+        fold_high(lvl, source, first, pos, node, proof) AS (
+            SELECT 0, low.source, low.first, s.pos, low.node, low.proof FROM low JOIN subroots s ON s.source IS NOT DISTINCT FROM low.source
+            UNION ALL
+            SELECT f.lvl + 1, f.source, f.first, f.pos // 3, sha256(s.l || f.node || s.r), f.proof || s.l || s.r
+            FROM fold_high f JOIN high_steps s ON s.lvl = f.lvl AND s.pos = f.pos),
+        done AS (
+            SELECT source, first, arg_max(node, lvl) AS folded_root, sha256(arg_max(proof, lvl)) AS proof_sha256 FROM fold_high GROUP BY source, first)
+        SELECT l.doc_id, l.leaf, s.subroot, r.node AS root, d.proof_sha256, d.folded_root, d.folded_root = r.node AS verified
+        FROM leaves l JOIN done d ON d.source IS NOT DISTINCT FROM l.source AND d.first = l.pos JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+            JOIN (SELECT node FROM high WHERE n = 1) r ON true
+    """,
     "op7_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
