@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import bpe, byte_bpe, fingerprints, html, jaccard, licenses, merkle, packing, quality, records, substrings, vectors
+from treeline.llm import bpe, byte_bpe, divergence, fingerprints, html, jaccard, licenses, merkle, packing, quality, records, substrings, vectors
 from treeline.session import scratch_path
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +64,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=1, capacity=4096)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_round_trip(_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -74,7 +78,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_html, op3_fingerprints, op4_jaccard, op5_licenses, op6_substrings, op7_topk, op8_quality, op9_records, op10_packing, op12_byte_bpe, op13_merkle)
+    f.__name__: f for f in (op1_bpe, op2_html, op3_fingerprints, op4_jaccard, op5_licenses, op6_substrings, op7_topk, op8_quality, op9_records, op10_packing, op11_divergence, op12_byte_bpe, op13_merkle)
 }
 ORACLES: dict[str, str] = {
     "op4_jaccard": r"""
@@ -106,6 +110,33 @@ ORACLES: dict[str, str] = {
             sha256(array_to_string(list_filter(ws, lambda x, i: gone_at IS NULL OR NOT list_contains(gone_at, i)), ' ')) AS kept_sha256
         FROM w LEFT JOIN lost USING (doc_id)
     """,
+    "op11_divergence": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+            FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ws)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+        c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ws) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+        x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v)::HUGEINT AS p FROM x JOIN v USING (lang)),
+        ql AS (
+            SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v)::HUGEINT AS q
+            FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        by_pair AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN pairs s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        by_term AS (
+            SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN ql USING (lang, term) WHERE n > 0 AND p > q),
+        r AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+            FROM (SELECT * FROM by_pair UNION ALL SELECT * FROM by_term))
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+    """,
     "op13_merkle": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, source, lang, n_chars, text, list_reduce(
