@@ -28,7 +28,9 @@ ODD_ROWS = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return table(spark, ODD_ROWS).cache()
+    frame = table(spark, ODD_ROWS).cache()
+    yield frame
+    frame.unpersist(blocking=True)
 
 
 @pytest.fixture(scope="module")

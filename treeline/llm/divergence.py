@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,31 +47,46 @@ TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 RUN = pa.schema(
-    [("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("run", pa.string())]
-    + [("terms", pa.list_(pa.binary())), ("sources", pa.list_(pa.string())), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
+    [("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("sources", pa.list_(pa.string())), ("terms", pa.list_(pa.binary()))]
+    + [("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]
+)
+RUN_SQL = (
+    "shard int, lang string, first binary, sources array<string>, terms array<binary>, docs array<bigint>, sizes array<int>, codes array<int>, counts array<bigint>"
 )
-RUN_SQL = "shard int, lang string, first binary, run string, terms array<binary>, sources array<string>, docs array<bigint>, counts array<bigint>"
 
 
 # -- the index
 
 
-def _spilled(held: dict[tuple[str, str], tuple[Counter, Counter]], shards: int) -> Iterator[pa.RecordBatch]:
-    """What a task holds, as one run of sorted chunks."""
-    run, rows = uuid.uuid4().hex, []
-    by_cell: dict[tuple[int, str], list[tuple[bytes, str, int, int]]] = {}
-    for (lang, source), (counts, docs) in held.items():
-        for term, count in counts.items():
-            shard = xxhash.xxh32_intdigest(term) % shards
-            by_cell.setdefault((shard, lang), []).append((term, source, docs[term], count))
-    for (shard, lang), postings in by_cell.items():
-        postings.sort()
-        for at in range(0, len(postings), CHUNK):
-            terms, sources, docs, counts = zip(*postings[at : at + CHUNK], strict=True)
-            rows.append((shard, lang, terms[0], run, terms, sources, docs, counts))
-            if len(rows) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RUN.types, strict=True)], schema=RUN)
-                rows = []
+def _spilled(held: dict[str, dict[str, tuple[Counter, Counter]]], shards: int) -> Iterator[pa.RecordBatch]:
+    """What a task holds, as one run: per shard and language, chunks of ascending terms with their postings."""
+    rows = []
+    for lang, by_source in held.items():
+        sources = list(by_source)
+        every = [t for counts, _ in by_source.values() for t in counts]
+        terms = sorted(set(every))
+        number = dict(zip(terms, range(len(terms)), strict=True))
+        at = np.fromiter(map(number.__getitem__, every), dtype=np.int64, count=len(every))
+        code = np.repeat(np.arange(len(sources), dtype=np.int32), [len(counts) for counts, _ in by_source.values()])
+        count = np.concatenate([np.fromiter(counts.values(), dtype=np.int64) for counts, _ in by_source.values()])
+        docs = np.concatenate([np.fromiter(map(docs.__getitem__, counts), dtype=np.int64) for counts, docs in by_source.values()])
+        of_term = np.bincount(at, docs, len(terms)).astype(np.int64)
+        shard = np.fromiter(map(xxhash.xxh32_intdigest, terms), dtype=np.uint32, count=len(terms)) % shards
+        # postings by (shard, term, source), terms by (shard, term)
+        by_posting, by_term = np.lexsort((code, at, shard[at])), np.lexsort((np.arange(len(terms)), shard))
+        code, count = code[by_posting], count[by_posting]
+        sizes = np.bincount(at, minlength=len(terms))[by_term]
+        ends = np.append(0, np.cumsum(sizes))
+        starts = np.append(np.searchsorted(shard[by_term], np.arange(shards)), len(terms))
+        for s in range(shards):
+            for lo in range(starts[s], starts[s + 1], CHUNK):
+                hi = min(lo + CHUNK, starts[s + 1])
+                names = [terms[k] for k in by_term[lo:hi]]
+                inside = slice(ends[lo], ends[hi])
+                rows.append((s, lang, names[0], sources, names, of_term[by_term[lo:hi]], sizes[lo:hi].astype(np.int32), code[inside], count[inside]))
+                if len(rows) == 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RUN.types, strict=True)], schema=RUN)
+                    rows = []
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RUN.types, strict=True)], schema=RUN)
 
@@ -81,14 +95,14 @@ def runs(docs: DataFrame, shards: int, most: int = MOST_POSTINGS) -> DataFrame:
     """Term-sorted runs over ``lang, source, text`` without nulls, each spilled when a task's memory was full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[str, dict[str, tuple[Counter, Counter]]] = {}
         size = 0
         for part in slices(batches, "text"):
             for lang, source, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 words = TERM.findall(text.encode().translate(LOWER))
                 if not words:
                     continue
-                counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                counts, docs = held.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
                 before = len(counts)
                 counts.update(words)
                 docs.update(set(words))
@@ -101,85 +115,113 @@ def runs(docs: DataFrame, shards: int, most: int = MOST_POSTINGS) -> DataFrame:
     return docs.select("lang", "source", "text").mapInArrow(run, RUN_SQL)
 
 
-class _Chunks:
-    """Heap merge of chunks that come by (shard, language, first term): postings in order, and cells as they end."""
+class _Merge:
+    """Heap merge of the chunks of one shard and language, which come in order of their first term.
+
+    The heap holds the next term of every open chunk. What it gives are numbers of merged terms per chunk; the postings
+    behind them are summed together when many terms have left the heap.
+    """
 
     def __init__(self) -> None:
-        self.heap: list[tuple[bytes, str, int, int, int, Iterator]] = []
-        self.number = 0
-
-    def add(self, terms: list, sources: list, docs: list, counts: list) -> None:
-        self.number += 1
-        self._next(self.number, zip(terms, sources, docs, counts, strict=True), heapq.heappush)
-
-    def _next(self, number: int, rest: Iterator, put) -> bool:
-        found = next(rest, None)
-        if found is not None:
-            put(self.heap, (found[0], found[1], number, found[2], found[3], rest))
-        return found is not None
-
-    def until(self, term: bytes | None) -> Iterator[tuple[bytes, str, int, int]]:
-        """Postings below ``term``, or all."""
-        heap = self.heap
-        while heap and (term is None or heap[0][0] < term):
-            found, source, number, docs, count, rest = heap[0]
-            yield found, source, docs, count
-            if not self._next(number, rest, heapq.heapreplace):
+        self.heap: list[tuple[bytes, int, int]] = []
+        self.chunks: dict[int, tuple] = {}
+        self.taken: dict[int, list[int]] = {}
+        self.codes: dict[str, int] = {}
+        self.terms: list[bytes] = []
+        self.opened = self.ready = 0
+
+    def add(self, sources: list[str], terms: list[bytes], docs: np.ndarray, sizes: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> None:
+        own = np.array([self.codes.setdefault(s, len(self.codes)) for s in sources], dtype=np.int64)
+        self.chunks[self.opened] = (terms, docs, np.append(0, np.cumsum(sizes)), own[codes], counts)
+        self.taken[self.opened] = []
+        heapq.heappush(self.heap, (terms[0], self.opened, 0))
+        self.opened += 1
+
+    def until(self, limit: bytes | None) -> None:
+        """Takes all terms below ``limit``, or all."""
+        heap, terms, chunks, taken = self.heap, self.terms, self.chunks, self.taken
+        while heap and (limit is None or heap[0][0] < limit):
+            term, chunk, i = heap[0]
+            if not terms or terms[-1] != term:
+                terms.append(term)
+            taken[chunk].append(len(terms) - 1)
+            of = chunks[chunk][0]
+            if i + 1 < len(of):
+                heapq.heapreplace(heap, (of[i + 1], chunk, i + 1))
+            else:
                 heapq.heappop(heap)
 
-
-def frequencies(spilled: DataFrame, least_docs: int) -> DataFrame:
-    """``lang, term, sources, counts`` of every term in at least ``least_docs`` documents of its language."""
-    names = ["lang", "term", "sources", "counts"]
+    def sums(self, least_docs: int) -> tuple[list[str], np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Term, number of the term, its sum, source and count of all postings taken since the last call.
+
+        Call it only between terms, when no chunk can hold more of the last one.
+        """
+        at, docs, of, codes, counts = ([np.empty(0, dtype=np.int64)] for _ in range(5))
+        going = {chunk: i for _, chunk, i in self.heap}
+        for chunk, found in self.taken.items():
+            stop = going.get(chunk, len(self.chunks[chunk][0]))
+            lo, (_, d, ends, c, n) = stop - len(found), self.chunks[chunk]
+            found = np.array(found, dtype=np.int64)
+            inside = slice(ends[lo], ends[stop])
+            for out, x in zip((at, docs, of, codes, counts), (found, d[lo:stop], np.repeat(found, np.diff(ends[lo : stop + 1])), c[inside], n[inside]), strict=True):
+                out.append(x)
+        at, docs, of, codes, counts = (np.concatenate(x) for x in (at, docs, of, codes, counts))
+        in_docs = np.zeros(len(self.terms), dtype=np.int64)
+        np.add.at(in_docs, at, docs)
+        keep = in_docs[of] >= least_docs
+        of, codes, counts = of[keep], codes[keep], counts[keep]
+        order = np.lexsort((codes, of))
+        of, codes, counts = of[order], codes[order], counts[order]
+        new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (codes[1:] != codes[:-1]))) if len(of) else np.empty(0, dtype=np.int64)
+        total = np.zeros(len(self.terms), dtype=np.int64)
+        np.add.at(total, of, counts)
+        counts = np.add.reduceat(counts, new) if len(of) else counts
+        of, codes = of[new], codes[new]
+        names, sources = self.terms, list(self.codes)
+        self.terms, self.taken = [], {c: [] for c in going}
+        self.chunks = {c: self.chunks[c] for c in going}
+        self.ready += len(names)
+        return [names[k].decode() for k in of], of + (self.ready - len(names)), total[of], [sources[k] for k in codes], counts
+
+
+def frequencies(spilled: DataFrame, least_docs: int, at_once: int = 1 << 16) -> DataFrame:
+    """``lang, term, term_id, in_lang, source, n, opens`` of every term in at least ``least_docs`` documents of its language.
+
+    ``n`` counts its places in the source, ``in_lang`` in the language; ``term_id`` is a number of its own,
+    and ``opens`` marks the first of its rows.
+    """
+    names = ["lang", "term", "term_id", "in_lang", "source", "n", "opens"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[str, str, list[str], list[int]]] = []
-        chunks, cell = _Chunks(), None
-        term, sources, counts, docs = None, [], [], 0
-
-        def ended() -> None:
-            if term is not None and docs >= least_docs:
-                out.append((cell[1], term.decode(), sources, counts))
+        merge, cell, used = _Merge(), None, 0
 
         def batch() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.string())), pa.array(columns[3], pa.list_(pa.int64()))], names
-            )
-
-        def taken(limit: bytes | None) -> Iterator[pa.RecordBatch]:
-            nonlocal term, sources, counts, docs
-            for found, source, of_docs, count in chunks.until(limit):
-                if found != term:
-                    ended()
-                    term, sources, counts, docs = found, [], [], 0
-                    if len(out) >= 4096:
-                        yield batch()
-                docs += of_docs
-                if sources and sources[-1] == source:
-                    counts[-1] += count
-                else:
-                    sources.append(source)
-                    counts.append(count)
+            term, number, in_lang, source, n = merge.sums(least_docs)
+            ids = (np.int64(cell[0]) << 40) + number + used
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([cell[1]] * len(term), term, ids, in_lang, source, n, np.diff(ids, prepend=-1) != 0), kinds, strict=True)], names)
 
         for part in batches:
+            flat = [part.column(c) for c in range(part.num_columns)]
             for i in range(part.num_rows):
-                shard, lang, first = (part.column(c)[i].as_py() for c in range(3))
+                shard, lang, first = (flat[c][i].as_py() for c in range(3))
                 if cell != (shard, lang):
-                    yield from taken(None)
-                    ended()
-                    term, cell = None, (shard, lang)
+                    if cell is not None:
+                        merge.until(None)
+                        yield batch()
+                        used = used + merge.ready if cell[0] == shard else 0
+                    merge, cell = _Merge(), (shard, lang)
                 else:
-                    yield from taken(first)
-                chunks.add(*(part.column(c)[i].as_py() for c in range(4, 8)))
-        yield from taken(None)
-        ended()
-        if out:
+                    merge.until(first)
+                    if len(merge.terms) >= at_once:
+                        yield batch()
+                merge.add(flat[3][i].as_py(), flat[4][i].as_py(), *(flat[c][i].values.to_numpy() for c in range(5, 9)))
+        if cell is not None:
+            merge.until(None)
             yield batch()
 
     dealt = spilled.repartition("shard").sortWithinPartitions("shard", "lang", "first")
-    return dealt.mapInArrow(run, "lang string, term string, sources array<string>, counts array<bigint>")
+    return dealt.mapInArrow(run, "lang string, term string, term_id bigint, in_lang bigint, source string, n bigint, opens boolean")
 
 
 # -- shares and divergences
@@ -266,58 +308,46 @@ class _Matrix:
 
 
 def _corrections(stream: DataFrame) -> DataFrame:
-    """``lang, a, b, value`` per task over ``lang, i, j, salt, term, side, number, p, terms``; rows without a term are sources."""
+    """``lang, a, b, value`` per task over ``lang, i, j, salt, term_id, side, number, p, terms``; sources have the term -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, matrix, kept = None, None, []
+        key, matrix = None, None
+        kept: list[tuple[np.ndarray, ...]] = []
 
-        def closed() -> Iterator[pa.RecordBatch]:
-            if matrix is None:
-                return
+        def flush() -> None:
             if matrix.sums is None:
                 matrix.start(key[3] == 0)
             if kept:
-                flush()
-            a, b, value = matrix.rows(key[3] == 0)
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.string()), *(pa.array(x, pa.int64()) for x in (a, b, value))], ["lang", "a", "b", "value"])
+                matrix.add(*(np.concatenate(c) for c in zip(*kept, strict=True)))
+                kept.clear()
 
-        def flush() -> None:
-            if matrix.sums is None:
-                matrix.start(key[3] == 0)
-            columns = [np.concatenate(c) for c in zip(*kept, strict=True)]
-            kept.clear()
-            # terms become numbers in the order they stand
-            new = np.concatenate([[True], columns[0][1:] != columns[0][:-1]])
-            matrix.add(np.cumsum(new), *columns[1:])
+        def closed() -> pa.RecordBatch:
+            flush()
+            a, b, value = matrix.rows(key[3] == 0)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.string()), *(pa.array(x, pa.int64()) for x in (a, b, value))], ["lang", "a", "b", "value"])
 
-        last = None
         for part in batches:
-            held = [part.column(c).to_pylist() for c in range(4)]
-            term, side = part.column(4), np.asarray(part.column(5))
-            number, p, terms = (np.asarray(part.column(c), dtype=np.int64) for c in (6, 7, 8))
-            keys = list(zip(*held, strict=True))
-            plain = term.is_null().to_numpy(zero_copy_only=False)
-            names = np.array(term.to_pylist(), dtype=object)
-            at = 0
-            while at < len(keys):
-                if keys[at] != key:
-                    yield from closed()
-                    key, matrix, last = keys[at], _Matrix(keys[at][1] == keys[at][2]), None
-                # rows of the same key that are all sources or all postings
-                stop = at
-                while stop < len(keys) and keys[stop] == key and plain[stop] == plain[at]:
-                    stop += 1
-                if plain[at]:
-                    for k in range(at, stop):
-                        matrix.source(int(side[k]), int(number[k]), int(p[k]), int(terms[k]))
-                else:
-                    # postings that continue the last term of the batch before stay with it
-                    if kept and names[at] != last and sum(len(x[0]) for x in kept) > PAIRS_AT_ONCE // 8:
-                        flush()
-                    kept.append((names[at:stop], side[at:stop], number[at:stop], p[at:stop]))
-                    last = names[stop - 1]
-                at = stop
-        yield from closed()
+            langs = np.array(part.column(0).to_pylist(), dtype=object)
+            i, j, salt, term, side, number, p, terms = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(1, 9))
+            new = (langs[1:] != langs[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (salt[1:] != salt[:-1])
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(langs)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                here = (langs[lo], i[lo], j[lo], salt[lo])
+                if here != key:
+                    if matrix is not None:
+                        yield closed()
+                    key, matrix = here, _Matrix(here[1] == here[2])
+                first = lo + int(np.searchsorted(term[lo:hi], 0))
+                for k in range(lo, first):
+                    matrix.source(int(side[k]), int(number[k]), int(p[k]), int(terms[k]))
+                if first == hi:
+                    continue
+                # a term whose postings go on in this batch stays whole
+                if kept and term[first] != kept[-1][0][-1] and sum(len(x[0]) for x in kept) > PAIRS_AT_ONCE // 8:
+                    flush()
+                kept.append((term[first:hi], side[first:hi], number[first:hi], p[first:hi]))
+        if matrix is not None:
+            yield closed()
 
     return stream.mapInArrow(run, "lang string, a bigint, b bigint, value bigint")
 
@@ -330,11 +360,9 @@ def divergence_audit(docs: DataFrame, least_docs: int = 10, top: int = 10, text_
     plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     kept = stage(frequencies(runs(plain, shards), least_docs), "divergence-index")
 
-    one = kept.select("lang", "term", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("in_lang"), "sources", "counts")
-    postings = one.select("lang", "term", "in_lang", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
-    postings = postings.select("lang", "term", "in_lang", F.col("x.sources").alias("source"), F.col("x.counts").alias("n"))
-    of_source = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    of_lang = one.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("in_lang").alias("lang_total"))
+    of_source = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum(F.col("opens").cast("int")).alias("opened"))
+    of_lang = of_source.groupBy("lang").agg(F.sum("opened").alias("terms"), F.sum("total").alias("lang_total"))
+    of_source = of_source.drop("opened")
     groups = plain.select("lang", "source").distinct().join(of_source, ["lang", "source"], "left").join(of_lang, "lang", "left")
     order = Window.partitionBy("lang").orderBy("source")
     groups = groups.select(
@@ -344,7 +372,7 @@ def divergence_audit(docs: DataFrame, least_docs: int = 10, top: int = 10, text_
     )
     groups = stage(groups.withColumn("p0", share(F.lit(0).cast("bigint"), F.col("total"), F.col("terms"))), "divergence-groups")
 
-    found = postings.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
+    found = kept.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
     q = share(F.col("in_lang"), F.col("lang_total"), F.col("terms"))
     ranked = found.withColumn("q", q).where("p > q").select("lang", "source", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
@@ -356,13 +384,13 @@ def divergence_audit(docs: DataFrame, least_docs: int = 10, top: int = 10, text_
     place = [F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")]
     side = F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side")
     dealt = found.withColumn("tile", tile).withColumn("other", other).select(
-        "lang", *place, F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int").alias("salt"), "term", side, "number", "p", "terms"
+        "lang", *place, F.pmod(F.xxhash64("term_id"), F.lit(SALTS)).cast("int").alias("salt"), "term_id", side, "number", "p", "terms"
     )
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     sources = groups.withColumn("tile", tile).withColumn("other", other).select(
-        "lang", *place, salts, F.lit(None).cast("string").alias("term"), side, "number", F.coalesce("p0", F.lit(0)).alias("p"), "terms"
+        "lang", *place, salts, F.lit(-1).cast("bigint").alias("term_id"), side, "number", F.coalesce("p0", F.lit(0)).alias("p"), "terms"
     )
-    stream = sources.unionByName(dealt).repartition("lang", "i", "j", "salt").sortWithinPartitions("lang", "i", "j", "salt", "term", "side", "number")
+    stream = sources.unionByName(dealt).repartition("lang", "i", "j", "salt").sortWithinPartitions("lang", "i", "j", "salt", "term_id", "side", "number")
     sums = _corrections(stream).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     # a tile against another one gives each pair once, a tile against itself both ways round
     turned = sums.where(F.floor(F.col("a") / TILE) != F.floor(F.col("b") / TILE)).select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")
