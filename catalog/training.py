@@ -240,6 +240,33 @@ def _weighted(spark, sf):
     return predict_trees(df, model).select("row_id", F.round("prediction", 6).alias("prediction"))
 
 
+# The same for sparse rows: absent entries go to either side, and one more border has all present values on its left.
+SPARSE_SQL = """WITH o AS (SELECT l_orderkey AS row_id, sum(l_extendedprice) / 100000.0::DOUBLE AS label FROM lineitem GROUP BY 1),
+e AS (SELECT l_orderkey AS row_id, l_partkey % 300 AS feature, max(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL),
+t AS (SELECT sum(0.5 - label) AS gt, count(*) AS ht FROM o),
+a AS (SELECT feature, v, sum(0.5 - label) AS g, count(*) AS h FROM e JOIN o USING (row_id) GROUP BY ALL
+  UNION ALL SELECT feature, 'infinity'::DOUBLE, 0, 0 FROM e GROUP BY feature),
+c AS (SELECT feature, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER f AS gp, sum(h) OVER f AS hp FROM a
+  WINDOW w AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY feature)),
+k AS (SELECT feature, v, d, gl + d * (gt - gp) AS gl, hl + d * (ht - hp) AS hl, gt, ht FROM c, t, (SELECT unnest([0, 1]) AS d) WHERE hl > 0 AND (d = 0 OR ht > hp)),
+best AS (SELECT *, -0.3 * gl / (hl + 1) AS left_value, -0.3 * (gt - gl) / (ht - hl + 1) AS right_value FROM k WHERE ht > hl
+  ORDER BY gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) DESC, feature, v, d LIMIT 1)
+SELECT o.row_id, round(0.5 + CASE WHEN coalesce(e.v < best.v, d = 1) THEN left_value ELSE right_value END, 6) AS prediction
+FROM o CROSS JOIN best LEFT JOIN e ON e.row_id = o.row_id AND e.feature = best.feature"""
+
+
+@query("fit_sparse", SPARSE_SQL)
+def _sparse(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", F.expr("cast(l_partkey % 300 AS int)").alias("k")).agg(
+        F.max("l_quantity").cast("double").alias("v"), F.sum("l_extendedprice").alias("price")
+    )
+    rows = lines.groupBy(F.col("l_orderkey").alias("row_id")).agg(
+        (F.sum("price") / 100000.0).alias("label"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("features")
+    )
+    model = fit_boosted_trees(rows, STUMP)
+    return predict_trees(rows, model).select("row_id", F.round("prediction", 6).alias("prediction"))
+
+
 @query("leaf_statistics", f"""WITH {FLAT_SQL}, l AS (SELECT 0 AS tree, CASE WHEN f0 < 3 THEN CASE WHEN f3 < 12 THEN 3 ELSE 4 END ELSE 2 END AS leaf, label FROM x
   UNION ALL SELECT 1, CASE WHEN f2 < 4.5 THEN 1 WHEN f1 < 50 THEN 3 ELSE 4 END, label FROM x)
 SELECT CAST(tree AS INT) AS tree, CAST(leaf AS INT) AS leaf, count(*) AS n, round(-sum(0.5 - label) / (count(*) + 1) * 0.3, 6) AS weight FROM l GROUP BY ALL""")

@@ -333,3 +333,55 @@ def test_literal_and_array_features_with_nan(spark):
     df = spark.createDataFrame([(float(i % 2), [float(i % 2), float("nan"), None]) for i in range(40)], "label double, features array<double>")
     model = fit_boosted_trees(df, {"num_round": 1, "max_depth": 2, "max_bin": 4, "eta": 1.0, "lambda": 0})
     assert {(r["label"], round(r["prediction"], 6)) for r in predict_trees(df, model).collect()} == {(0.0, 0.0), (1.0, 1.0)}
+
+
+def as_map(rows):
+    """The same rows with a map of the features that are there."""
+    entries = F.filter(F.transform("features", lambda v, i: F.struct(i.cast("int").alias("k"), v.alias("v"))), lambda e: e["v"].isNotNull())
+    return rows.withColumn("features", F.map_from_entries(entries))
+
+
+@pytest.mark.parametrize("extra", [
+    {}, {"grow_policy": "lossguide", "max_leaves": 5}, {"monotone_constraints": [1, -1, 0], "tree_method": "hist", "colsample_bynode": 0.7},
+    {"booster": "dart", "rate_drop": 0.5, "subsample": 0.8},
+])
+def test_sparse_rows_give_the_trees_of_dense_ones(spark, rows, monkeypatch, extra):
+    params = {"num_round": 2, "max_depth": 3, "max_bin": 32, **extra}
+    dense, sparse = fit_boosted_trees(rows, params), fit_boosted_trees(as_map(rows), params, validation=as_map(rows))
+    assert sparse.node_rows() == dense.node_rows()
+    assert losses(sparse) == pytest.approx(losses(dense)) and losses(sparse, "validation") == pytest.approx(losses(dense))
+    both = predict_trees(predict_trees(as_map(rows), sparse), sparse, output="again")
+    wanted = {r["row_id"]: r["prediction"] for r in predict_trees(rows, dense).collect()}
+    assert {r["row_id"]: r["prediction"] for r in both.collect()} == wanted
+    monkeypatch.setattr(scoring, "LITERAL_NODES", 1)
+    monkeypatch.setattr(scoring, "SLICE_CELLS", 50)
+    assert {r["row_id"]: r["prediction"] for r in predict_trees(as_map(rows), sparse).collect()} == pytest.approx(wanted)
+
+
+def test_sparse_subtraction_and_refresh(spark, rows, monkeypatch):
+    params = {"num_round": 2, "max_depth": 3, "max_bin": 32}
+    model = fit_boosted_trees(as_map(rows), params)
+    assert refresh_trees(as_map(rows), model).node_rows() == refresh_trees(rows, model).node_rows()
+    monkeypatch.setattr(boosting, "SUBTRACT_CELLS", 0)
+    assert fit_boosted_trees(as_map(rows), params).node_rows() == model.node_rows()
+
+
+def test_wide_sparse_rows(spark):
+    """A hundred thousand indices of which fifty are there; absent, null, NaN and empty maps are missing values."""
+    keys = F.expr("transform(sequence(0, 49), i -> cast(3 + abs(xxhash64(id, i)) % 99990 AS int))")
+    entries = F.concat(
+        F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), ((k + F.col("id")) % 7).cast("double").alias("v"))),
+        F.array(F.struct(F.lit(99_999).alias("k"), F.when(F.col("id") % 5 > 2, F.lit(1.0)).otherwise(F.lit(float("nan"))).alias("v"))),
+    )
+    df = spark.range(2000).select(F.when(F.col("id") % 10 > 0, F.map_from_entries(entries)).alias("features"), (F.col("id") % 5 > 2).cast("double").alias("label"))
+    model = fit_boosted_trees(df, {"num_round": 1, "max_depth": 2, "max_bin": 16, "base_score": 0.0, "lambda": 0.0, "eta": 1.0})
+    root = model.trees[0][0]
+    assert model.n_features == 100_000 and root.feature[0] == 99_999
+    scored = predict_trees(df, model)
+    assert scored.where("features is not null").agg(F.max(F.abs(F.col("label") - F.col("prediction")))).first()[0] < 0.2
+    other = spark.createDataFrame([({200_000: 1.0},), ({},), (None,)], "features map<int,double>")
+    assert len({r["prediction"] for r in predict_trees(other, model).collect()}) == 1
+    with pytest.raises(ValueError, match="indices"):
+        fit_boosted_trees(spark.createDataFrame([({-1: 1.0}, 1.0)], "features map<int,double>, label double"), {"num_round": 1})
+    with pytest.raises(ValueError, match="dense_features"):
+        predict_contribs(other, model)

@@ -4,19 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treeline.operators.ordering import quantile_sketch
+from treeline.operators.routing import is_sparse
+
+# Batch functions travel with their tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FIXED_POINT_BITS = 20
 MISSING_BIN = 0
+WHOLE_NODE = -1  # the feature under which sparse histograms hold a node's totals
 MIN_GAIN = 1e-6
 
 
 def feature_values(df: DataFrame, features: str = "features", extra: Sequence[str] = ()) -> DataFrame:
     """Long form ``feature, value``, missing values left out."""
-    long = df.select(*extra, F.posexplode(features).alias("feature", "value"))
+    each = F.explode(features) if is_sparse(df, features) else F.posexplode(features)
+    long = df.select(*extra, each.alias("feature", "value"))
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
@@ -45,7 +56,13 @@ def equal_width_bins(df: DataFrame, bins: int, features: str = "features") -> Da
 
 
 def bin_features(df: DataFrame, cuts: Sequence[Sequence[float]], features: str = "features", out: str = "bins") -> DataFrame:
-    """Replaces ``features`` by small integers: 0 missing, otherwise 1 + number of cuts at or below the value."""
+    """Replaces ``features`` by small integers: 0 missing, otherwise 1 + number of cuts at or below the value.
+
+    A map of features stays a map, without its missing entries and with one for ``WHOLE_NODE``.
+    """
+    if is_sparse(df, features):
+        keep = [c for c in df.columns if c != features]
+        return df.select(*keep, bin_sparse(df, cuts)(features).alias(out))
     inf = float("inf")
     raw = [f"__x_{i}" for i in range(len(cuts))]
     df = df.select("*", *[F.get(features, F.lit(i)).alias(c) for i, c in enumerate(raw)])
@@ -66,6 +83,39 @@ def bin_features(df: DataFrame, cuts: Sequence[Sequence[float]], features: str =
     return df.select(*keep, made)
 
 
+def bin_sparse(df: DataFrame, cuts: Sequence[Sequence[float]]):
+    """Arrow function from a map of values to a map of bins; work and memory follow the entries, not the width.
+
+    The cut points it is sent are part of the model: at most ``max_bin`` numbers per feature.
+    """
+    starts = np.cumsum([0] + [len(c) for c in cuts])
+    shared = df.sparkSession.sparkContext.broadcast((starts, np.array([x for c in cuts for x in c], dtype=float)))
+
+    @F.arrow_udf("map<int,int>")
+    def binned(features: pa.Array) -> pa.Array:
+        starts, flat = shared.value
+        n, ends = len(features), np.asarray(features.offsets, dtype=np.int64)
+        inside = slice(ends[0], ends[-1])
+        index = features.keys.to_numpy(zero_copy_only=False)[inside].astype(np.int64)
+        value = features.items.to_numpy(zero_copy_only=False)[inside].astype(float)
+        keep = ~np.isnan(value) & (index >= 0) & (index < len(starts) - 1)
+        ends = np.append(0, np.cumsum(keep))[ends - ends[0]]
+        index, value = index[keep], value[keep]
+        low, high = starts[index], starts[index + 1]
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            right = open_ & (flat[np.minimum(middle, len(flat) - 1)] <= value)
+            low, high = np.where(right, middle + 1, low), np.where(open_ & ~right, middle, high)
+        keys, bins = (np.empty(len(index) + n, dtype=np.int32) for _ in range(2))
+        firsts = ends[:-1] + np.arange(n)
+        keys[firsts], bins[firsts] = WHOLE_NODE, MISSING_BIN
+        others = np.arange(len(index)) + np.repeat(np.arange(n), np.diff(ends)) + 1
+        keys[others], bins[others] = index, low - starts[index] + 1
+        return pa.MapArray.from_arrays(pa.array((ends + np.arange(n + 1)).astype(np.int32)), pa.array(keys), pa.array(bins))
+
+    return binned
+
+
 def fixed_point(value: Column, bits: int = FIXED_POINT_BITS) -> Column:
     """Integer with ``bits`` binary places; sums of these do not depend on the order of addition."""
     return F.floor(value * float(2**bits) + 0.5).cast("bigint")
@@ -77,10 +127,12 @@ def node_histogram(
     """``keys, feature, bin, sg, sh, n``: sums of g and h, in fixed point unless ``bits`` is None.
 
     Rows are exploded by feature but combined on the map side, so the shuffle carries at most
-    nodes x features x bins rows per task.
+    nodes x features x bins rows per task. Of sparse rows only present entries are counted; missing ones are the
+    difference to the node's totals (feature ``WHOLE_NODE``).
     """
     gv, hv = (F.col(g), F.col(h)) if bits is None else (fixed_point(F.col(g), bits), fixed_point(F.col(h), bits))
-    long = df.select(*keys, gv.alias("g"), hv.alias("h"), F.posexplode(bins).alias("feature", "bin"))
+    each = F.explode(bins) if is_sparse(df, bins) else F.posexplode(bins)
+    long = df.select(*keys, gv.alias("g"), hv.alias("h"), each.alias("feature", "bin"))
     return long.groupBy(*keys, "feature", "bin").agg(F.sum("g").alias("sg"), F.sum("h").alias("sh"), F.count(F.lit(1)).alias("n"))
 
 
@@ -119,13 +171,15 @@ def best_split(
     candidate: str | None = None,
     bounds: tuple[str, str] | None = None,
     direction: str | None = None,
+    sparse: bool = False,
 ) -> DataFrame:
     """Per node its totals and the split with the largest gain, or NULLs when none is worth making.
 
     gain = 1/2 [GL^2/(HL+lambda) + GR^2/(HR+lambda) - G^2/(H+lambda)] - gamma. Every bin border is tried with
     missing values on either side. Ties go to the smaller feature, then bin, then missing to the right.
     Windows run per (node, feature), over at most ``max_bin`` rows. ``candidate``, ``bounds`` and ``direction``
-    are SQL conditions over tree, node and feature (allowed features, weight limits, monotone sign).
+    are SQL conditions over tree, node and feature (allowed features, weight limits, monotone sign). A ``sparse``
+    histogram has no missing bins: they are what the features of a node lack of its totals, one small row per node.
     """
     scale = "1D" if bits is None else f"{float(2**bits)!r}D"
     keys = list(keys)
@@ -133,12 +187,16 @@ def best_split(
     run = f"OVER (PARTITION BY {part} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     whole = f"OVER (PARTITION BY {part})"
     sums = []
+    if sparse:
+        whole_node = hist.where(F.col("feature") == WHOLE_NODE).select(*keys, *[F.col(c).alias(f"node_{c}") for c in ("sg", "sh", "n")])
+        hist = hist.join(F.broadcast(whole_node), keys)
     for c in ("sg", "sh", "n"):
-        sums += [
-            f"sum(CASE WHEN bin <> {MISSING_BIN} THEN {c} ELSE 0 END) {run} AS left_{c}",
-            f"sum(CASE WHEN bin = {MISSING_BIN} THEN {c} ELSE 0 END) {whole} AS miss_{c}",
-            f"sum({c}) {whole} AS all_{c}",
-        ]
+        present = f"sum(CASE WHEN bin <> {MISSING_BIN} THEN {c} ELSE 0 END)"
+        sums.append(f"{present} {run} AS left_{c}")
+        missing, every = f"sum(CASE WHEN bin = {MISSING_BIN} THEN {c} ELSE 0 END) {whole}", f"sum({c}) {whole}"
+        if sparse:
+            missing, every = f"node_{c} - {present} {whole}", f"node_{c}"
+        sums += [f"{missing} AS miss_{c}", f"{every} AS all_{c}"]
     df = hist.selectExpr(*keys, "feature", "bin", *sums)
     df = df.selectExpr("*", "explode(CASE WHEN miss_n > 0 THEN array(0, 1) ELSE array(0) END) AS miss_left")
     sides = []

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 # Widths of the fields of a packed node; features take the rest of the long.
 BIN_BITS = 16
 CHILD_BITS = 24
+MAX_FEATURES = 1 << 63 - BIN_BITS - CHILD_BITS - 1
 
 
 @dataclass
@@ -84,8 +85,16 @@ def packed_nodes(tree: Tree, binned: bool) -> list[int]:
     return out
 
 
-def _advance(packed: str, node: str, binned: bool, column: str, split: str) -> str:
-    x = f"get({column}, cast(shiftright({packed}, {BIN_BITS + CHILD_BITS + 1}) AS int))"
+def is_sparse(df: DataFrame, column: str) -> bool:
+    """Whether features (or bins) are a map from index to value, where an absent index is a missing value."""
+    return isinstance(df.schema[column].dataType, T.MapType)
+
+
+def _advance(packed: str, node: str, binned: bool, column: str, split: str, sparse: bool) -> str:
+    index = f"cast(shiftright({packed}, {BIN_BITS + CHILD_BITS + 1}) AS int)"
+    x = f"try_element_at({column}, {index})" if sparse else f"get({column}, {index})"
+    if sparse and binned:
+        x = f"coalesce({x}, 0)"
     to_right = f"IF(({packed} & {1 << CHILD_BITS}L) = 0, 1, 0)"
     if binned:
         bin_number = f"(shiftright({packed}, {CHILD_BITS + 1}) & {(1 << BIN_BITS) - 1}L)"
@@ -109,7 +118,8 @@ def step_all(df: DataFrame, trees: list[Tree], nodes: list[str], binned: bool, c
     fetched = [
         f"IF(spark_partition_id() < 0, 0L, get(array({','.join(f'{v}L' for v in packed_nodes(t, binned))}), {n})) AS __k_{n}" for t, n in moving
     ]
-    moved = {n: f"{_advance(f'__k_{n}', n, binned, column, '' if binned else literal_array(t.split))} AS {n}" for t, n in moving}
+    sparse = is_sparse(df, column)
+    moved = {n: f"{_advance(f'__k_{n}', n, binned, column, '' if binned else literal_array(t.split), sparse)} AS {n}" for t, n in moving}
     return df.selectExpr("*", *fetched).selectExpr(*[moved.get(c, f"`{c}`") for c in df.columns])
 
 

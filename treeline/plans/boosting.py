@@ -84,7 +84,8 @@ def plain_rows(df: DataFrame, margins: list[str], base: float | None, params: di
     if float(params["scale_pos_weight"]) != 1.0:
         w = G.scale_positive_weight(y, w, params["scale_pos_weight"])
     carried = [c for c in CARRIED if c in df.columns]
-    df = df.select(*carried, y.alias("label"), w.alias("w"), F.col("features").cast("array<double>").alias("features"))
+    kind = "map<int,double>" if routing.is_sparse(df, "features") else "array<double>"
+    df = df.select(*carried, y.alias("label"), w.alias("w"), F.col("features").cast(kind).alias("features"))
     return df if base is None else df.select("*", *[F.lit(float(base)).alias(m) for m in margins])
 
 
@@ -109,9 +110,9 @@ def _cut_points(df: DataFrame, n_features: int, max_bin: int) -> list[list[float
 class Grower:
     """Grows the trees of one round on a frame with ``bins, g_k, h_k`` and node columns."""
 
-    def __init__(self, params: dict, cuts, n_classes: int, round_number: int, bits: int | None, rows: int):
-        self.p, self.cuts, self.k, self.round, self.bits = params, cuts, n_classes, round_number, bits
-        self.subtract = rows * len(cuts) >= SUBTRACT_CELLS
+    def __init__(self, params: dict, cuts, n_classes: int, round_number: int, bits: int | None, cells: int, sparse: bool = False):
+        self.p, self.cuts, self.k, self.round, self.bits, self.sparse = params, cuts, n_classes, round_number, bits, sparse
+        self.subtract = cells >= SUBTRACT_CELLS
         self.parallel = int(params["num_parallel_tree"])
         self.trees = [Tree(group=t % n_classes) for t in range(n_classes * self.parallel)]
         self.nodes = [f"n_{t}" for t in range(len(self.trees))]
@@ -181,7 +182,7 @@ class Grower:
         larger children come from their parent by subtraction; on small ones a second shuffle costs more."""
         if pairs is None or not self.subtract:
             hist = H.node_histogram(self.rows_of(df, frontier), bits=self.bits)
-            if not self.subtract:
+            if not self.subtract and not self.sparse:
                 return hist
         else:
             built = H.node_histogram(self.rows_of(df, [s for s, _, _ in pairs]), bits=self.bits)
@@ -202,7 +203,7 @@ class Grower:
         bounds, direction = self.bounds(frontier)
         found = H.best_split(
             self.histogram(df, frontier, pairs), self.p, bits=self.bits,
-            candidate=self.candidate(frontier), bounds=bounds, direction=direction,
+            candidate=self.candidate(frontier), bounds=bounds, direction=direction, sparse=self.sparse,
         )
         return found.collect()
 
@@ -336,7 +337,9 @@ def fit_boosted_trees(
     """Trains on ``label, features[, weight, row_id, group_id, label_lower, label_upper]``.
 
     Every round each data set (train, validation, others in ``watch``) is evaluated with every metric.
-    ``start`` continues a model; ``on_round`` is called after each round (for saving). With ``process_type=update`` the
+    ``features`` is an array, or a map from index to value whose absent indices are missing values: then work and
+    memory follow the entries that are there, not the largest index. ``start`` continues a model; ``on_round`` is
+    called after each round (for saving). With ``process_type=update`` the
     trees of ``start`` are refreshed or pruned instead, and none is grown.
     """
     p = resolve_parameters(params)
@@ -346,17 +349,21 @@ def fit_boosted_trees(
     k = int(p["num_class"]) if G.is_multiclass(objective) else 1
     margins = [f"m_{i}" for i in range(k)]
     rules = label_rules(objective, p.get("num_class"))
+    sparse = routing.is_sparse(df, "features")
+    widths = [F.max(F.array_max(F.map_keys("features")) + 1), F.min(F.array_min(F.map_keys("features")))] if sparse else [F.max(F.size("features")), F.lit(0)]
     shape = df.agg(
-        F.max(F.size("features")).alias("width"), F.count("label").alias("n"), *[c.alias(f"r{i}") for i, c in enumerate(rules.values())]
+        widths[0].alias("width"), widths[1].alias("least"), F.sum(F.greatest(F.size("features"), F.lit(0))).alias("cells"), F.count("label").alias("n"), *[c.alias(f"r{i}") for i, c in enumerate(rules.values())]
     ).first()
     if not shape["n"]:
         raise ValueError("input data has no labels")
     for i, rule in enumerate(rules):
         if shape[f"r{i}"]:
             raise ValueError(f"{rule} ({shape[f'r{i}']} rows)")
+    if (shape["least"] or 0) < 0 or (shape["width"] or 0) > routing.MAX_FEATURES:
+        raise ValueError(f"feature indices must be from 0 to {routing.MAX_FEATURES - 1}")
     if p["process_type"] == "update":
         return _update(df, p, validation, start, watch, fold, on_round)
-    n_features = start.n_features if start else shape["width"]
+    n_features = start.n_features if start else shape["width"] or 0
     if start is not None:
         base = start.base_margin
     else:
@@ -369,7 +376,7 @@ def fit_boosted_trees(
     if len(model.trees) >= total_rounds:
         return model
 
-    if shape["n"] * n_features <= SMALL_CELLS:
+    if (shape["cells"] or 0) <= SMALL_CELLS:
         # few files can mean fewer partitions than cores; large inputs keep the partitions of their scan
         df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     cuts = _cut_points(df, n_features, max(2, int(p["max_bin"]) or 256))
@@ -420,7 +427,7 @@ def fit_boosted_trees(
             stats, _ = _stats_and_metrics(train, grad, objective, [], p, margins)
         grad = _sample(grad, p, round_number, stats, k)
         bits = _fixed_point_bits(stats) if p["deterministic_histogram"] == "true" else None
-        grower = Grower(p, cuts, k, round_number, bits, stats["rows"])
+        grower = Grower(p, cuts, k, round_number, bits, (shape["cells"] or 0) + stats["rows"] if sparse else stats["rows"] * len(cuts), sparse)
         grown = grower.grow(grad)
         if objective == "reg:absoluteerror":
             _refit_to_median(grown, grower, margins, float(p["eta"]))

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LITERAL_NODES = 2_000
 BROADCAST_NODES = 2_000_000
+SLICE_CELLS = 4_000_000
 
 
 def _pieces(trees: Sequence[Tree], limit: int) -> Iterator[list[Tree]]:
@@ -62,6 +64,23 @@ def _matrix(features: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _sparse_matrices(features: pa.Array, used: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and values of the ``used`` features, of slices of a map column; what is absent is NaN."""
+    ends = np.asarray(features.offsets, dtype=np.int64)
+    index, value = (x.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for x in (features.keys, features.items))
+    ends = ends - ends[0]
+    at = np.minimum(np.searchsorted(used, index), max(len(used) - 1, 0))
+    known = used[at] == index if len(used) else np.zeros(len(index), dtype=bool)
+    row = np.repeat(np.arange(len(features)), np.diff(ends))
+    step = max(1, SLICE_CELLS // max(len(used), 1))
+    for start in range(0, len(features), step):
+        stop = min(start + step, len(features))
+        here = np.flatnonzero(known[ends[start] : ends[stop]]) + ends[start]
+        x = np.full((stop - start, len(used)), np.nan)
+        x[row[here] - start, at[here]] = value[here]
+        yield start, x
+
+
 def _walk(x: np.ndarray, flat: dict, tree: int) -> Iterator[np.ndarray]:
     """Node of every row after each level, starting with the root."""
     node = np.full(len(x), flat["start"][tree])
@@ -85,20 +104,32 @@ def add_margins(df: DataFrame, model: Model, margins: list[str], features: str =
             df = routing.add_tree_values(routing.route(df, piece, nodes, False, features), piece, nodes, margins)
         return df
     width, k = model.n_features, len(margins)
+    sparse = routing.is_sparse(df, features)
     for piece in _pieces(trees, BROADCAST_NODES):
-        shared = df.sparkSession.sparkContext.broadcast(_packed(piece))
-
-        @F.pandas_udf("array<double>")
-        def contribution(values: pd.Series) -> pd.Series:
-            flat, x = shared.value, _matrix(values, width)
-            total = np.zeros((len(x), k))
+        flat = _packed(piece)
+        used = np.unique(flat["feature"][flat["feature"] >= 0])
+        if sparse:
+            flat["feature"] = np.where(flat["feature"] < 0, -1, np.searchsorted(used, flat["feature"]))
+        shared = df.sparkSession.sparkContext.broadcast(flat)
+
+        def summed(x: np.ndarray) -> np.ndarray:
+            flat, total = shared.value, np.zeros((len(x), k))
             for t in range(len(flat["start"])):
                 for node in _walk(x, flat, t):
                     leaf = node
                 total[:, flat["group"][t]] += flat["value"][leaf]
-            return pd.Series(list(total))
+            return total
+
+        @F.arrow_udf("array<double>")
+        def of_maps(values: pa.Array) -> pa.Array:
+            total = np.concatenate([np.zeros((0, k)), *[summed(x) for _, x in _sparse_matrices(values, used)]])
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * k), pa.array(total.ravel()))
+
+        @F.pandas_udf("array<double>")
+        def contribution(values: pd.Series) -> pd.Series:
+            return pd.Series(list(summed(_matrix(values, width))))
 
-        df = df.withColumn("__c", contribution(features))
+        df = df.withColumn("__c", (of_maps if sparse else contribution)(features))
         df = df.select(*[(F.col(c) + F.get("__c", F.lit(margins.index(c)))).alias(c) if c in margins else F.col(c) for c in df.columns if c != "__c"])
     return df
 
@@ -156,6 +187,8 @@ def predict_contribs(df: DataFrame, model: Model, features: str = "features", ou
     Each step down a tree credits the change of node value to the feature of the split (path attribution, not
     Shapley values). Class-major order for several outputs.
     """
+    if routing.is_sparse(df, features):
+        raise ValueError("contributions have one entry per feature: make the map of features an array first (dense_features)")
     k, width, base = model.n_outputs, model.n_features, model.base_margin
     shape = k * (width + 1)
     df = df.withColumn(output, F.array_repeat(F.lit(0.0), shape))
