@@ -1,7 +1,9 @@
 """Readers and payload parsers on small fixed inputs."""
 
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,107 @@ def test_recordio_bytes(spark, tmp_path):
         list(recordio.frames(b"\0" * 12))
     with pytest.raises(ValueError, match="truncated"):
         list(recordio.frames(DENSE_INT[:20]))
+
+
+def test_manifest_is_listed_in_tasks(spark, tmp_path):
+    for name, content in (("c/a b.csv", CSV), ("c/_d/x+y.csv", CSV), ("c/_d/.e/z%.csv", CSV), ("c/k=1/b.csv", CSV), ("c/d/e/f/wide.csv", "1,2,3,4\n"), ("c/d/empty.csv", "")):
+        put(tmp_path, name, content)
+    root = str(tmp_path / "c")
+    rows = channel = {r["name"]: r for r in manifest.channel_manifest(spark, root).collect()}
+    assert {n: (r["depth"], r["length"], r["usable"]) for n, r in rows.items()} == {
+        "a b.csv": (1, len(CSV), True), "x+y.csv": (2, len(CSV), True), "z%.csv": (3, len(CSV), True), "b.csv": (2, len(CSV), True),
+        "wide.csv": (4, 8, False), "empty.csv": (2, 0, True),
+    }
+    assert all(r["path"].startswith("file:/") and r["root"] == root for r in channel.values())
+    with pytest.warns(UserWarning, match="1 files"):
+        df = text.scan_csv_labeled(spark, root)
+    assert df.count() == 4 * len(CSV.strip().splitlines())
+    lines = text.text_lines(spark, root)
+    assert {os.path.basename(r["path"]) for r in lines.select("path").distinct().collect()} == {"a b.csv", "x+y.csv", "z%.csv", "b.csv"}
+    one = {r["name"]: r["depth"] for r in manifest.channel_manifest(spark, f"{root}/a b.csv").collect()}
+    assert one == {"a b.csv": 1} and text.scan_csv_labeled(spark, f"{root}/a b.csv").count() == len(CSV.strip().splitlines())
+    assert manifest.channel_manifest(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_plan_of_a_channel_names_folders(spark, tmp_path):
+    for i in range(30):
+        put(tmp_path, f"p/f{i}.csv", CSV)
+    df = text.scan_csv_labeled(spark, str(tmp_path / "p"))
+    assert df.count() == 30 * len(CSV.strip().splitlines())
+    plan = df._jdf.queryExecution().toString()
+    assert "f7.csv" not in plan and "Exchange" not in plan
+
+
+def test_csv_of_several_kinds(spark, tmp_path):
+    put(tmp_path, "m/a.csv", "1,2,3\n\n4,5,6\n")
+    put(tmp_path, "m/b.csv", "\n7;8;9\r\n10;11;12")
+    got = sorted((r["label"], r["features"]) for r in text.scan_csv_labeled(spark, str(tmp_path / "m")).collect())
+    assert got == [(1.0, [2.0, 3.0]), (4.0, [5.0, 6.0]), (7.0, [8.0, 9.0]), (10.0, [11.0, 12.0])]
+    put(tmp_path, "q/a.csv", '1,"2",3\n')
+    put(tmp_path, "q/b.csv", '"4","5","6"\n')
+    assert text.scan_csv_labeled(spark, str(tmp_path / "q")).count() == 2
+    put(tmp_path, "g/x.csv", "1,2\n")
+    put(tmp_path, "g/deeper/y.csv", "1,2,3\n")
+    assert tables.scan_channel_glob(spark, str(tmp_path / "g"), "csv").count() == 1
+
+
+def test_a_store_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    put(tmp_path, "s/a.csv", CSV)
+    put(tmp_path, "s/d/b.csv", CSV)
+    put(tmp_path, "s/_c.csv", CSV)
+    monkeypatch.setattr(manifest, "open_to_tasks", lambda uri: False)
+    monkeypatch.setattr(text, "open_to_tasks", lambda uri: False)
+    rows = {r["name"]: (r["depth"], r["length"]) for r in manifest.channel_manifest(spark, str(tmp_path / "s")).collect()}
+    assert rows == {"a.csv": (1, len(CSV)), "b.csv": (2, len(CSV))}
+    assert text.scan_csv_labeled(spark, str(tmp_path / "s")).count() == 2 * len(CSV.strip().splitlines())
+
+
+def test_one_record_file_is_read_by_many_tasks(spark, tmp_path):
+    rows = spark.range(700).select(
+        F.col("id").cast("double").alias("label"), F.when(F.col("id") % 50 == 7, F.array(*[F.lit(2.0)] * 90)).otherwise(F.array((F.col("id") / 4).cast("double"), F.lit(-1.5))).alias("features")
+    )
+    path = str(tmp_path / "r")
+    framed = rows.coalesce(1).select(recordio.encode_rows(F.col("label"), F.col("features")).alias("record"))
+    assert recordio.write_records(framed, "record", path) == 700
+    assert [n for n in os.listdir(path) if n.endswith(".pb")] and not os.path.exists(f"{path}/_temporary")
+    want = sorted((r["label"], list(r["features"])) for r in rows.collect())
+    for size in (1 << 25, 4000, 1500):
+        df = recordio.scan_recordio_protobuf(spark, path, size)
+        assert df.rdd.getNumPartitions() > 10 or size > 4000
+        got = df.orderBy("start", "seq").collect()
+        assert [(r["label"], r["values"]) for r in got] == want
+    assert recordio.write_records(framed.limit(0), "record", str(tmp_path / "none")) == 0
+
+
+def test_broken_record_files_stop_the_query(spark, tmp_path):
+    one = recordio._frame(recordio._map_entry(recordio.FEATURES, "values", [1.0, 2.0]))
+    for k, content in enumerate((one * 20 + b"junkjunk" + one * 20, one * 39 + one[:-4], one * 20 + b"\1" * len(one) + one * 20)):
+        put(tmp_path, f"b{k}/x.pb", content)
+        for size in (4, len(one), 3 * len(one) - 4, 1 << 20):
+            with pytest.raises(ValueError, match="marker|truncated"):
+                for start in range(0, len(content), size):
+                    list(recordio.range_frames(lambda at, n: content[at : at + n], start, min(start + size, len(content)), len(content)))
+        with pytest.raises(Exception) as error:
+            recordio.scan_recordio_protobuf(spark, str(tmp_path / f"b{k}"), 400).count()
+        assert "marker" in str(error.value) or "truncated" in str(error.value)
+    # a marker inside a body is no frame
+    fake = recordio._frame(b"\x0a\x02\x0a\x00" + recordio._map_entry(recordio.FEATURES, "values", [*np.frombuffer(recordio._frame(b"12345678"), "<f4"), 1.0]))
+    put(tmp_path, "f/x.pb", (one + fake) * 20)
+    assert recordio.scan_recordio_protobuf(spark, str(tmp_path / "f"), 200).count() == 40
+
+
+def test_record_bodies_that_are_none(spark):
+    one = recordio._frame(recordio._map_entry(recordio.FEATURES, "values", [1.0, 2.0]))
+    empty = recordio._frame(recordio._map_entry(recordio.LABEL, "values", [1.0]))
+    bodies = [(1, one * 3), (2, b"garbage!"), (3, b""), (4, None), (5, one + b"x"), (6, one[:-2]), (7, empty), (8, recordio._frame(b"\xff\xff\xff"))]
+    got = payloads.payload_rows_recordio(spark.createDataFrame(bodies, "request_id int, body binary")).collect()
+    assert sorted((r["request_id"], r["row_idx"], r["error"] is None) for r in got) == [(1, 0, True), (1, 1, True), (1, 2, True), *[(k, 0, False) for k in range(2, 9)]]
+
+
+def test_varints_of_any_length():
+    r = random.Random(2)
+    numbers = [r.choice([0, 1, 127, 128, 2**31, 2**63 - 1, -1, -(2**63), r.randrange(2**40)]) for _ in range(200)]
+    packed = b"".join(recordio._raw_varint(n % (1 << 64)) for n in numbers)
+    assert recordio.varints(packed).tolist() == numbers and recordio.varints(recordio._raw_varint(300)).tolist() == [300]
+    with pytest.raises(ValueError):
+        recordio.varints(packed + b"\x80")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
 
-from treeline.sources.manifest import usable_paths
+from treeline.sources.manifest import MAX_FOLDER_DEPTH, first_lines, open_to_tasks, qualified, read_channel, usable_files, usable_paths
 
 # Delimiters tried, in order of preference on ties.
 DELIMITERS = (",", ";", "\t", "|", " ", ":")
@@ -40,22 +40,34 @@ def guess_delimiter(line: Column, chars: int | None = SNIFF_CHARS) -> Column:
     return out
 
 
-def text_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def text_lines(spark: SparkSession, roots: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """``path, block, seq, line``: seq orders lines inside a block of a file, block orders the blocks."""
-    return placed_lines(spark.read.text(list(paths)))
+    reader = spark.read.option("recursiveFileLookup", True)
+    lines = read_channel(spark, roots, reader.option("pathGlobFilter", glob).text, 1) if glob else read_channel(spark, roots, reader.text)
+    return lines.select(F.col("__path").alias("path"), F.col("__block").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
 
 
-def placed_lines(lines: DataFrame) -> DataFrame:
-    return lines.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"),
+def heads(spark: SparkSession, roots: str | Sequence[str], glob: str | None = None) -> DataFrame:
+    """``path, first_line, line`` per usable file: its first line, and its first line that is not blank.
+
+    Only the head of a file is read, where its store can be opened by tasks; else the file. With ``glob`` only files
+    directly in the folder whose names match it.
+    """
+    if all(open_to_tasks(qualified(spark, r)[0]) for r in ([roots] if isinstance(roots, str) else roots)):
+        files = usable_files(spark, roots)
+        if glob:
+            files = files.where((F.col("depth") == 1) & F.col("name").rlike("^" + re.escape(glob).replace(r"\*", ".*") + "$"))
+        return first_lines(files.repartition(spark.sparkContext.defaultParallelism, "path"))
+    lines = text_lines(spark, roots, glob)
+    return lines.groupBy("path").agg(
+        F.min_by("line", F.struct("block", "seq")).alias("first_line"), F.expr("min_by(line, struct(block, seq)) FILTER (WHERE trim(line) <> '')").alias("line")
     )
 
 
 def sniff_csv_delimiter(spark: SparkSession, roots: str | Sequence[str]) -> DataFrame:
     """``path, first_line, delimiter`` per file; the delimiter is NULL when none can be found."""
-    lines = text_lines(spark, usable_paths(spark, roots)).where("block = 0")
-    first = lines.groupBy("path").agg(F.min_by("line", "seq").alias("first_line"))
+    usable_paths(spark, roots)
+    first = heads(spark, roots).select("path", "first_line").where("first_line IS NOT NULL")
     return first.withColumn("delimiter", guess_delimiter(F.col("first_line")))
 
 
@@ -73,27 +85,43 @@ def scan_csv_labeled(
     Every file's delimiter comes from its own first line, and all files must have as many columns. A row of another
     width, and a field that is neither a number nor empty, stop the query that reads it.
     """
-    paths = usable_paths(spark, roots)
-    return read_csv_labelled(spark.read, paths, weight_col, delimiter)
-
-
-def read_csv_labelled(reader: DataFrameReader, paths: Sequence[str], weight_col: bool = False, delimiter: str | None = None) -> DataFrame:
-    """``label, weight, features`` of headerless files, each read with its own delimiter."""
-    lines = placed_lines(reader.text(list(paths))).where(F.trim("line") != "")
-    first = lines.groupBy("path").agg(F.min_by("line", F.struct("block", "seq")).alias("line"))
-    sep = F.lit(delimiter) if delimiter else F.coalesce(guess_delimiter(F.col("line"), None), F.lit(","))
-    width = F.size(F.split("line", F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1))
-    found = first.select(sep.alias("sep"), width.alias("width"), "path").groupBy("sep", "width")
-    kinds = sorted(found.agg(F.min("path").alias("example")).collect(), key=lambda r: (r["sep"], r["width"]))
+    return read_csv_labelled(spark, roots, weight_col, delimiter)
+
+
+def read_csv_labelled(
+    spark: SparkSession, roots: str | Sequence[str], weight_col: bool = False, delimiter: str | None = None, glob: str | None = None
+) -> DataFrame:
+    """``label, weight, features`` of headerless files, each read with its own delimiter.
+
+    Delimiters and widths come from the heads of the files; text in quotes does not count. With ``glob`` only files
+    whose names match it and lie directly in the folder are read.
+    """
+    folders = usable_paths(spark, roots)
+    reader, deepest = spark.read.option("recursiveFileLookup", True), MAX_FOLDER_DEPTH
+    first = heads(spark, roots, glob).where("line IS NOT NULL")
+    if glob:
+        reader, deepest = reader.option("pathGlobFilter", glob), 1
+    bare = F.regexp_replace("line", '"[^"]*"', "")
+    sep = F.lit(delimiter) if delimiter else F.coalesce(guess_delimiter(bare, None), F.lit(","))
+    width = F.size(F.split(bare, F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1))
+    first = first.select("path", sep.alias("sep"), width.alias("width"))
+    kinds = sorted(first.groupBy("sep", "width").agg(F.min("path").alias("example")).collect(), key=lambda r: (r["sep"], r["width"]))
     if len({r["width"] for r in kinds}) > 1:
         raise ValueError("CSV files differ in width: " + "; ".join(f"{r['width']} columns by {r['sep']!r} in {r['example']}" for r in kinds))
     names = [f"c{i}" for i in range(kinds[0]["width"] if kinds else 1 + weight_col)]
-    files = {kinds[0]["sep"] if kinds else ",": list(paths)}
-    if len(kinds) > 1:
-        files = {r["sep"]: [unquote(x) for x in r["paths"]] for r in found.agg(F.collect_list("path").alias("paths")).collect()}
+    seps = [r["sep"] for r in kinds] or [","]
+    if len(seps) == 1:
+        cells = read_channel(spark, roots, text_cells(reader, seps[0], names).csv, deepest, folders)
+        return labelled(cells.select(*[strict_double(F.col(n), n).alias(n) for n in names]), names, weight_col)
+    # files of several kinds: every line is parsed with the delimiter of its file
+    lines = read_channel(spark, roots, reader.text, deepest, folders).where(F.trim("value") != "")
+    plain = r"^[A-Za-z0-9+.-]+:(//[^/]*)?"
+    lines = lines.withColumn("key", F.regexp_replace("__path", plain, "")).join(first.select(F.regexp_replace("path", plain, "").alias("key"), "sep"), "key")
     out = None
-    for sep, group in sorted(files.items()):
-        cells = text_cells(reader, sep, names).csv(group).select(*[strict_double(F.col(n), n).alias(n) for n in names])
+    for sep in seps:
+        row = F.from_csv("value", ", ".join(f"{n} string" for n in names), {"sep": sep, "mode": "FAILFAST"})
+        fields = lines.where(F.col("sep") == sep).select(row.alias("row"))
+        cells = fields.select(*[strict_double(F.col(f"row.{n}"), n).alias(n) for n in names])
         out = cells if out is None else out.unionByName(cells)
     return labelled(out, names, weight_col)
 
@@ -144,7 +172,7 @@ def sparse_map(entries: Column) -> Column:
 
 def scan_libsvm(spark: SparkSession, roots: str | Sequence[str]) -> DataFrame:
     """``label, weight, features map<int, double>``; an absent index is a missing value."""
-    lines = spark.read.text(usable_paths(spark, roots)).where(F.trim("value") != "")
+    lines = read_channel(spark, roots, spark.read.option("recursiveFileLookup", True).text).where(F.trim("value") != "")
     return lines.select(*[c.alias(n) for n, c in libsvm_columns(F.col("value")).items()])
 
 
@@ -173,7 +201,7 @@ def libsvm_verdict(line: Column) -> Column:
 
 def validate_libsvm_files(spark: SparkSession, roots: str | Sequence[str]) -> DataFrame:
     """``path, ok, snippet, has_features``: the first line with more than one feature must come before any bad line."""
-    lines = text_lines(spark, usable_paths(spark, roots)).withColumn("v", libsvm_verdict(F.col("line")))
+    lines = text_lines(spark, roots).withColumn("v", libsvm_verdict(F.col("line")))
     at = F.struct("block", "seq", F.substring("line", 1, SNIPPET_CHARS).alias("snippet"))
     per = lines.groupBy("path").agg(F.min(F.when(F.col("v") > 1, at)).alias("good"), F.min(F.when(F.col("v") < 0, at)).alias("bad"))
     ok = F.col("bad").isNull() | (F.col("good").isNotNull() & (F.struct("good.block", "good.seq") < F.struct("bad.block", "bad.seq")))
