@@ -104,6 +104,19 @@ class _Kept(dict):
         return ids
 
 
+class _Packed(dict):
+    """Ids of so many tokens to bytes."""
+
+    def __missing__(self, n: int) -> Callable[..., bytes]:
+        pack = struct.Struct(f"<{n}I").pack
+        if n < 64:
+            self[n] = pack
+        return pack
+
+
+PACKED = _Packed()
+
+
 class LibraryEncoder(PieceEncoder):
     """Over the ``tokenizers`` library: a new piece is cut into words as the vocabulary file says, and the library's
     model encodes new words.
@@ -114,21 +127,23 @@ class LibraryEncoder(PieceEncoder):
     def __init__(self, library, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library, self.cut = library, cutter(spec)
+        self.library, self.cut, self.tokenize = library, cutter(spec), library.model.tokenize
         added = [re.escape(t["content"]) for t in spec.get("added_tokens") or ()]
         self.added = re.compile("|".join(added)).search if added else lambda piece: None
+        self.marks = tuple({t["content"][0] for t in spec.get("added_tokens") or () if t["content"]})
         self.words, self.kept = _Kept(self._word, KEPT_WORDS), _Kept(self._piece, KEPT_PIECES)
         self.whole = lambda text: [text]
 
     def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.library.model.tokenize(as_letters(word))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        found = self.tokenize(as_letters(word))
+        return PACKED[len(found)](*[t.id for t in found])
 
     def _piece(self, piece: str) -> bytes:
-        if self.cut is None or self.added(piece):
+        if self.cut is None or (any(m in piece for m in self.marks) and self.added(piece)):
             ids = self.library.encode(piece, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join([self.words[w] for w in self.cut(piece)])
+            return PACKED[len(ids)](*ids)
+        words = self.cut(piece)
+        return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.kept.__getitem__
