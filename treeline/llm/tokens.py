@@ -7,6 +7,7 @@ characters in a row, white space other than space and newline) are encoded whole
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -23,6 +24,8 @@ ASCII_SPACE = OTHER_SPACE[:4]
 SLICE_CHARS = 1 << 20
 KEPT_PIECES = 250_000
 KEPT_WORDS = 125_000
+KEPT_BY_LIBRARY = 400_000  # pieces, of the encoder over the library
+COLLECT_AFTER = 200_000  # new objects; lists of pieces live short and hold no cycles
 LONGEST_KEPT = 48
 
 
@@ -131,7 +134,7 @@ class LibraryEncoder(PieceEncoder):
         added = [re.escape(t["content"]) for t in spec.get("added_tokens") or ()]
         self.added = re.compile("|".join(added)).search if added else lambda piece: None
         self.marks = tuple({t["content"][0] for t in spec.get("added_tokens") or () if t["content"]})
-        self.words, self.kept = _Kept(self._word, KEPT_WORDS), _Kept(self._piece, KEPT_PIECES)
+        self.words, self.kept = _Kept(self._word, KEPT_WORDS), _Kept(self._piece, KEPT_BY_LIBRARY)
         self.whole = lambda text: [text]
 
     def _word(self, word: str) -> bytes:
@@ -143,7 +146,7 @@ class LibraryEncoder(PieceEncoder):
             ids = self.library.encode(piece, add_special_tokens=False).ids
             return PACKED[len(ids)](*ids)
         words = self.cut(piece)
-        return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
+        return self._word(words[0]) if len(words) == 1 else b"".join([self.words[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.kept.__getitem__
@@ -165,6 +168,7 @@ def library_encoder(path: str) -> LibraryEncoder:
         library = Tokenizer.from_file(path)
         library.no_padding()
         library.no_truncation()
+        gc.set_threshold(COLLECT_AFTER)
 
         _LIBRARY[path] = LibraryEncoder(library, path)
     return _LIBRARY[path]
