@@ -10,24 +10,39 @@ from treeline.operators.encoding import encode_csv_batch, encode_json, encode_se
 from treeline.operators.selection import select_predictions
 from treeline.plans.model import Model
 from treeline.plans.scoring import predict_trees
-from treeline.sources.payloads import payload_rows_csv, payload_rows_libsvm
+from treeline.sources.payloads import payload_rows_csv, payload_rows_libsvm, payload_rows_recordio
 from treeline.sources.recordio import with_features
 from treeline.sources.text import dense_features
 
 
 def decode_requests(requests: DataFrame, content_type: str, width: int, request_id: str = "request_id", body: str = "body") -> DataFrame:
-    """``request_id, row_idx, features, error``."""
+    """``request_id, row_idx, features, error``; every request has at least one row.
+
+    A row has an error when its body is empty, a field is no number, the record is broken, or its width does not fit
+    the model: LIBSVM may have one column more, others as many or one less.
+    """
+    if content_type != "recordio-protobuf":
+        # a null body has no line that could carry its error
+        requests = requests.withColumn(body, F.coalesce(body, F.lit("")))
     if content_type == "csv":
-        return payload_rows_csv(requests, request_id, body)
-    if content_type == "libsvm":
+        rows = payload_rows_csv(requests, request_id, body)
+        n = F.size("features")
+        empty = (n == 1) & F.get("features", F.lit(0)).isNull()
+        fault = F.when(empty, F.lit("empty row"))
+    elif content_type == "libsvm":
         rows = payload_rows_libsvm(requests, request_id, body)
-        return dense_features(rows, width).withColumn("error", F.lit(None).cast("string"))
-    if content_type == "recordio-protobuf":
-        from treeline.sources.payloads import payload_rows_recordio
-
+        bad = F.col("features").isNull()
+        n = F.when(~bad, F.coalesce(F.array_max(F.map_keys("features")) + 1, F.lit(0)))
+        rows = rows.select("*", F.when(bad, F.lit("not index:value")).when(F.size("features") == 0, F.lit("empty row")).alias("error"), n.alias("__n"))
+        rows, n, fault = dense_features(rows, width), F.col("__n"), F.lit(None).cast("string")
+    elif content_type == "recordio-protobuf":
         rows = with_features(payload_rows_recordio(requests, request_id, body))
-        return rows.select(request_id, "row_idx", "features", F.lit(None).cast("string").alias("error"))
-    raise ValueError(f"content type {content_type} is not supported")
+        n, fault = F.col("width"), F.lit(None).cast("string")
+    else:
+        raise ValueError(f"content type {content_type} is not supported")
+    fits = n <= width + 1 if content_type == "libsvm" else n.isin(width, width - 1)
+    wrong = F.when(~fits, F.concat(n.cast("string"), F.lit(f" features for a model of {width}")))
+    return rows.select(request_id, "row_idx", "features", F.coalesce("error", fault, wrong).alias("error"))
 
 
 def score_rows(
@@ -37,6 +52,7 @@ def score_rows(
     """``request_id, row_idx, prediction[, selected], error``, one row per record; stateless, so it also runs on a stream."""
     rows = decode_requests(requests, content_type, model.n_features, request_id, body)
     scored = predict_trees(rows, model)
+    scored = scored.withColumn("prediction", F.when(F.col("error").isNull(), F.col("prediction")))
     if keys:
         scored = select_predictions(scored, keys, model.objective, model.params.get("num_class"))
     return scored
