@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.staging import stage
+from treeline.llm.staging import drop, stage
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,17 +13,19 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among neighbours (summed on the map side, so a node with very many links is no
     hot key), then follows labels once; rounds grow with the logarithm of the longest path. Every round is written to
-    the shared folder. Loops and repeated links do no harm; an empty table gives an empty result.
+    the shared folder, and the one before is removed. Loops and repeated links do no harm; an empty table gives an empty result.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = stage(both, "links")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
+    written = labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
     while True:
         offered = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("offer"))
         lower = labels.join(offered, labels["node"] == offered["a"]).select("node", F.col("component").alias("was"), F.least("component", "offer").alias("component"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("beyond"))
         moved = lower.join(jump, lower["component"] == jump["via"], "left").select("node", "was", F.least("component", F.coalesce("beyond", "component")).alias("component"))
         moved = stage(moved, "labels")
-        labels = moved.select("node", "component")
+        drop(written)
+        written, labels = moved, moved.select("node", "component")
         if moved.where("was <> component").isEmpty():
+            drop(both)
             return labels

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm.components import connected_components
 from treeline.llm.hashing import ODD, mix, run_hashes, word_hashes
-from treeline.llm.staging import stage
+from treeline.llm.staging import drop, stage
 from treeline.llm.tokens import slices
 
 BAND = 1.5  # sizes of a band, largest to smallest
@@ -178,8 +178,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100, i
             )
 
     rows = source.mapInArrow(sets, f"id {id_type}, n bigint, digest binary, keys array<bigint>")
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
-    named = connected_components(_links(source, rows, n, p, q))
+    keyed = stage(rows.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    rows = stage(keyed.drop("keys"), "rows")
+    links, spent = _links(source, rows, keyed, n, p, q)
+    named = connected_components(links)
+    drop(*spent)
     own = rows.where("n > 0").select("row", "digest", "id").join(named, F.col("row") == F.col("node"), "left")
     classes = own.groupBy("digest").agg(F.min("component").alias("component"), F.min("row").alias("row"), F.min("id").alias("id"))
     classes = classes.select("digest", "id", F.coalesce("component", "row").alias("component"))
@@ -189,31 +192,40 @@ def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100, i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _links(source: DataFrame, rows: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """``a, b``: links between rows, enough to connect every two that a chain of links connects."""
+def _links(source: DataFrame, rows: DataFrame, keyed: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``a, b``: links between rows, enough to connect every two that a chain of links connects; and the tables they read.
+
+    Every table is removed as soon as its last reader is written, ``keyed`` too.
+    """
     # one row per set: the first, which has keys; copies in other tasks add nothing but repeated pairs
     firsts = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("row")).select("row")
-    kept = stage(rows.where("size(keys) > 0").select("row", "keys").join(firsts, "row", "left_semi"), "keys")
+    kept = stage(keyed.where("size(keys) > 0").select("row", "keys").join(firsts, "row", "left_semi"), "keys")
+    drop(keyed)
     places = kept.select(F.col("row").alias("class"), F.explode("keys").alias("key"))
     shared = places.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
     tiles = stage(shared.select("key", "least"), "tiles")
     few = F.broadcast if tiles.count() <= BROADCAST_TILES else (lambda table: table)
     members = stage(places.join(few(tiles), "key"), "members")
+    drop(kept, tiles)
     nodes = members.select("class").distinct()
     sets = _class_sets(source, rows.select(F.col("row").alias("class"), "digest", "n", "id").join(nodes, "class", "left_semi"), n)
 
     stars = members.where("class <> least").groupBy("class").agg(F.min("least").alias("least"))
-    found = stage(_verified(stars.select(F.col("least").alias("a"), F.col("class").alias("b")), sets, p, q), "stars")
+    stars, close = _verified(stars.select(F.col("least").alias("a"), F.col("class").alias("b")), sets, p, q)
+    found = stage(stars, "stars")
+    drop(close)
     named = connected_components(found).select(F.col("node").alias("class"), "component")
     inside = stage(members.join(named, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component")), "inside")
+    drop(members)
     mixed = inside.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
         F.min("class").alias("least"), F.max("class").alias("most"), F.bit_xor(F.xxhash64("class")).alias("who"),
     ).where("low < high")
     # tiles with the same members ask the same questions
     mixed = mixed.groupBy("size", "least", "most", "who").agg(F.min("key").alias("key")).select("key", "size")
-    crossing = _crossing(inside.join(mixed, "key"), sets, p, q)
-    return found.unionByName(_exact(crossing, sets, p, q))  # their bits have been compared
+    crossing, close = _exact(_crossing(inside.join(mixed, "key"), sets, p, q), sets, p, q)  # their bits have been compared
+    drop(inside)
+    return found.unionByName(crossing), [found, close, sets]
 
 
 def _class_sets(source: DataFrame, classes: DataFrame, n: int) -> DataFrame:
@@ -236,7 +248,9 @@ def _class_sets(source: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     wanted = stage(classes.select("class", "digest", "n", F.col("id").alias("of")), "wanted")
     texts = source.join(wanted.select("of").distinct(), F.col("id").eqNullSafe(F.col("of")), "left_semi").select("text")
     found = texts.mapInArrow(run, "digest binary, bits binary, hashes binary")
-    return stage(found.join(wanted.select("class", "digest", "n"), "digest").drop("digest"), "class-sets")
+    sets = stage(found.join(wanted.select("class", "digest", "n"), "digest").drop("digest"), "class-sets")
+    drop(wanted)
+    return sets
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -245,8 +259,8 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs ``a, b`` of classes that link: bit counts first, then the sorted arrays of what is left."""
+def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``a, b`` of classes that link, as ``_exact`` gives them: bit counts first, then the sorted arrays of what is left."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -259,8 +273,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return _exact(close, sets, p, q)
 
 
-def _exact(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs whose sorted arrays share enough; the pairs are written first, so that their own steps leave the disk."""
+def _exact(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose sorted arrays share enough, and the table of all pairs, which is written first so that its own steps leave the disk."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -272,7 +286,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
     close = stage(pairs, "close")
     left, right = (sets.select(F.col("class").alias(c), F.col("hashes").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-    return close.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(exact, "a bigint, b bigint")
+    return close.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(exact, "a bigint, b bigint"), close
 
 
 def _crossing(inside: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:

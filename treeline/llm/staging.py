@@ -25,4 +25,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(CLEAN_UP)
         else:
             spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes the folders of tables made by ``stage``, once all that read them has been written."""
+    for table in tables:
+        session = table.sparkSession
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
