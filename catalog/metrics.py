@@ -8,6 +8,7 @@ from catalog.frames import LINES_SQL, VECTORS_SQL, binary_lines, class_vectors
 from catalog.registry import query
 from treeline.functions.scores import margin_to_label, sigmoid_probability
 from treeline.operators import confusion as C
+from treeline.operators.batch_metrics import BatchMetric
 
 BINARY = "accuracy balanced_accuracy f1 f1_binary precision recall".split()
 MULTI = "f1_macro precision_macro precision_micro recall_macro recall_micro".split()
@@ -133,3 +134,50 @@ def _user(spark, sf):
         "bias": F.avg(F.col("pred") - F.col("label")),
     }
     return C.user_metric(_values(spark, sf), metrics).select("metric", F.round("value", 6).alias("value"))
+
+
+def _with_totals(kind):
+    return f"""WITH {LINES_SQL}, r AS (SELECT slice, grade AS fold, label, CAST(score > 0 AS INT) AS pred, guess FROM lines)
+SELECT slice, fold, grouping_id, m.metric, m.value FROM (SELECT slice, fold, CAST(grouping(slice) * 2 + grouping(fold) AS INT) AS grouping_id, unnest([
+  {{'metric': 'accuracy', 'value': round(avg(CAST(label = pred AS INT)), 6)}},
+  {{'metric': 'precision', 'value': round(sum(label * pred)::DOUBLE / sum(pred), 6)}},
+  {{'metric': 'recall', 'value': round(sum(label * pred)::DOUBLE / sum(label), 6)}},
+  {{'metric': 'mae', 'value': round(avg(abs(label - guess)), 6)}},
+  {{'metric': 'r2', 'value': round(1 - sum((label - guess) * (label - guess)) / (var_pop(label) * count(*)), 6)}}]) AS m
+  FROM r GROUP BY {kind}(slice, fold))"""
+
+
+def _report_with_totals(kind):
+    def run(spark, sf):
+        df = _binary(spark, sf).withColumnRenamed("grade", "fold")
+        out = C.metric_report_grouped(df, ["slice", "fold"], ["accuracy", "precision", "recall", "mae", "r2"], totals=kind, value="guess")
+        return out.select("slice", "fold", "grouping_id", "metric", F.round("value", 6).alias("value"))
+
+    query(f"metric_report_{kind}", _with_totals(kind))(run)
+
+
+_report_with_totals("rollup")
+_report_with_totals("cube")
+
+
+@query("user_metric_python", f"""WITH {BIN_SQL.replace('pred, slice', 'pred, weight, slice')}, c AS (SELECT slice, avg(pred) AS rate,
+  sum(label * pred)::DOUBLE AS tp, sum((1 - label) * (1 - pred))::DOUBLE AS tn, sum((1 - label) * pred)::DOUBLE AS fp, sum(label * (1 - pred))::DOUBLE AS fn,
+  sum(weight * label * pred) / sum(weight * label) AS wr FROM rows_ GROUP BY slice)
+SELECT slice, 'positive_rate' AS metric, round(rate, 6) AS value FROM c UNION ALL SELECT slice, 'weighted_recall', round(wr, 6) FROM c
+UNION ALL SELECT slice, 'matthews', round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) FROM c""")
+def _user_python(spark, sf):
+    def cells(label, pred):
+        return [((label == a) & (pred == b)).sum() for a, b in ((1, 1), (0, 0), (0, 1), (1, 0))]
+
+    def matthews(sums):
+        tp, tn, fp, fn = sums
+        return (tp * tn - fp * fn) / ((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ** 0.5
+
+    metrics = {
+        "positive_rate": F.avg("pred"),
+        "matthews": BatchMetric(["label", "pred"], cells, matthews),
+        "weighted_recall": BatchMetric(
+            ["label", "pred", "weight"], lambda y, p, w: [(w * y * p).sum(), (w * y).sum()], lambda sums: sums[0] / sums[1]
+        ),
+    }
+    return C.user_metric(_binary(spark, sf), metrics, ["slice"]).select("slice", "metric", F.round("value", 6).alias("value"))

@@ -65,11 +65,30 @@ def _leaf(spark, sf):
 @query("predict_contribs", f"""WITH {FLAT_SQL} SELECT row_id, (0.5 + 0.375 + 0.0625)::DOUBLE AS bias, {_tree_sql()} AS total,
   CAST(CASE WHEN f0 < 3 THEN 0.25 - 0.375 ELSE 0.5 - 0.375 END AS DOUBLE) AS c0 FROM x""")
 def _contribs(spark, sf):
-    out = predict_contribs(order_rows(spark, sf), fixed_model())
+    out = predict_contribs(order_rows(spark, sf), fixed_model(), method="path")
     total = F.aggregate("contribs", F.lit(0.0), lambda a, b: a + b)
     return out.select("row_id", F.col("contribs")[4].alias("bias"), total.alias("total"), F.col("contribs")[0].alias("c0"))
 
 
+# The subset formula for two trees of two features each: e_S is the mean of a tree by cover when only S is known.
+SHAPLEY_SQL = f"""WITH {FLAT_SQL}, s AS (SELECT row_id,
+  0.4 * 0.5 + 0.2 * -0.25 + 0.4 * 0.75 AS a, CASE WHEN f0 < 3 THEN 2.5 / 6.0::DOUBLE ELSE 0.5 END AS a0,
+  0.4 * 0.5 + 0.6 * CASE WHEN f3 < 12 THEN -0.25 ELSE 0.75 END AS a3, CASE WHEN f0 < 3 THEN CASE WHEN f3 < 12 THEN -0.25 ELSE 0.75 END ELSE 0.5 END AS a03,
+  0.375 * -0.5 + 0.125 * 0.25 + 0.5 * 1.0 AS b, CASE WHEN f2 < 4.5 THEN -0.5 ELSE 0.85 END AS b2,
+  0.375 * -0.5 + 0.625 * CASE WHEN f1 < 50 THEN 0.25 ELSE 1.0 END AS b1, CASE WHEN f2 < 4.5 THEN -0.5 WHEN f1 < 50 THEN 0.25 ELSE 1.0 END AS b12 FROM x)
+SELECT row_id, round((a0 - a + a03 - a3) / 2, 6)::DOUBLE AS c0, round((b1 - b + b12 - b2) / 2, 6)::DOUBLE AS c1, round((b2 - b + b12 - b1) / 2, 6)::DOUBLE AS c2,
+  round((a3 - a + a03 - a0) / 2, 6)::DOUBLE AS c3, round(0.5 + a + b, 6)::DOUBLE AS bias, round(0.5 + a03 + b12, 6)::DOUBLE AS total FROM s"""
+
+
+@query("predict_contribs_shapley", SHAPLEY_SQL)
+def _shapley(spark, sf):
+    model = fixed_model()
+    model.trees[0][0].cover, model.trees[1][0].cover = [10.0, 6.0, 4.0, 2.0, 4.0], [8.0, 3.0, 5.0, 1.0, 4.0]
+    out = predict_contribs(order_rows(spark, sf), model)
+    each = [F.round(F.col("contribs")[i], 6).alias(n) for i, n in enumerate(("c0", "c1", "c2", "c3", "bias"))]
+    return out.select("row_id", *each, F.round(F.aggregate("contribs", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
 def _together(spark, sf, objective):
     members = [fixed_model(objective, flip) for flip in (False, True, False)]
     return predict_ensemble(order_rows(spark, sf), members).select("row_id", F.round("prediction", 6).alias("prediction"))

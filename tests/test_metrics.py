@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from treeline.functions.scores import lgamma, margin_to_label, normal_cdf
 from treeline.operators import confusion as C
 from treeline.operators import ordering, ranking
+from treeline.operators.batch_metrics import BatchMetric
 
 BINARY = [1.0] * 5 + [0.0] * 5
 MULTI = [0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 2.0, 2.0]
@@ -126,3 +127,39 @@ def test_long_tie_runs_are_cut_into_chunks(spark, monkeypatch):
     pieces = ordering.explode_run(df, F.col("above") + 1, F.col("n"), chunk=10)
     total = pieces.agg(F.sum(ordering.sum_over_run(lambda i: 1.0 / i)).alias("s"), F.count("*").alias("c")).first()
     assert total["c"] == 3 and total["s"] == pytest.approx(sum(1 / i for i in range(2, 27)))
+
+
+def test_totals_keep_null_keys_apart(spark):
+    rows = [("a", 0, 1, 1, 0.9), ("a", 1, 0, 1, 0.4), (None, 0, 1, 0, 0.2), (None, 1, 1, 1, 0.7), ("b", None, 0, 0, 0.1), ("b", 1, 1, 0, 0.3)]
+    df = spark.createDataFrame(rows, "slice string, fold int, label int, pred int, guess double").repartition(3)
+    names = ["accuracy", "f1", "recall", "mae", "r2"]
+    for totals, sets in (("rollup", [["slice", "fold"], ["slice"], []]), ("cube", [["slice", "fold"], ["slice"], ["fold"], []])):
+        out = C.metric_report_grouped(df, ["slice", "fold"], names, totals=totals, value="guess").collect()
+        got = {(r["grouping_id"], r["slice"], r["fold"], r["metric"]): r["value"] for r in out}
+        wanted = {}
+        for keys in sets:
+            bits = sum(bit for bit, k in ((2, "slice"), (1, "fold")) if k not in keys)
+            for r in C.metric_report(df, names, value="guess", keys=keys).collect():
+                wanted[bits, r["slice"] if "slice" in keys else None, r["fold"] if "fold" in keys else None, r["metric"]] = r["value"]
+        assert len(out) == len(got) and got == pytest.approx(wanted)
+    with pytest.raises(ValueError, match="rollup or cube"):
+        C.metric_report_grouped(df, ["slice"], totals="all")
+
+
+def test_python_metrics_add_up_over_pieces(spark):
+    spread = BatchMetric(["label", "pred"], lambda y, p: [len(y), ((y - p) ** 2).sum()], lambda s: (s[1] / s[0]) ** 0.5)
+    most = BatchMetric(["pred"], lambda p: [p.sum(), 1.0], lambda s: float(s[0] > 3))
+    rows = spark.range(1000).selectExpr("nullif(id % 3, 2) AS fold", "nullif(concat('s', id % 2), 's1') AS slice", "id % 7 AS label", "id % 5 / 2D AS pred")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        out = C.user_metric(rows.repartition(7), {"rmse": spread, "large": most, "mean": F.avg("pred")}, ["fold", "slice"]).collect()
+        whole = C.user_metric(rows, {"rmse": spread}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    same = rows.groupBy("fold", "slice").agg(F.sqrt(F.avg((F.col("label") - F.col("pred")) ** 2)).alias("v"), F.avg("pred").alias("m")).collect()
+    assert len(out) == 18
+    for r in same:
+        got = {o["metric"]: o["value"] for o in out if (o["fold"], o["slice"]) == (r["fold"], r["slice"])}
+        assert got == pytest.approx({"rmse": r["v"], "large": 1.0, "mean": r["m"]})
+    assert [r["value"] for r in whole] == pytest.approx([rows.agg(F.sqrt(F.avg((F.col("label") - F.col("pred")) ** 2))).first()[0]])
+    assert C.user_metric(rows.limit(0), {"rmse": spread}, ["fold"]).count() == 0

@@ -1,6 +1,8 @@
 """Invariants of trained models, parameters, folds, stopping, resuming and updating."""
 
 import copy
+import itertools
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -385,3 +387,42 @@ def test_wide_sparse_rows(spark):
         fit_boosted_trees(spark.createDataFrame([({-1: 1.0}, 1.0)], "features map<int,double>, label double"), {"num_round": 1})
     with pytest.raises(ValueError, match="dense_features"):
         predict_contribs(other, model)
+
+
+def brute_shapley(trees, x, width):
+    """The subset formula, tree by tree: features that aren't known send a row both ways, by cover."""
+
+    def mean(t, n, known):
+        f = t.feature[n]
+        if f < 0:
+            return t.value[n] * t.scale
+        left, right = t.left[n], t.right[n]
+        if f in known:
+            v = x[f] if f < len(x) and x[f] is not None else float("nan")
+            return mean(t, left if (t.default_left[n] if v != v else v < t.split[n]) else right, known)
+        a, b = t.cover[left], t.cover[right]
+        return (a * mean(t, left, known) + b * mean(t, right, known)) / (a + b)
+
+    out = [0.0] * width
+    for f in range(width):
+        others = [o for o in range(width) if o != f]
+        for size in range(width):
+            weight = math.factorial(size) * math.factorial(width - 1 - size) / math.factorial(width)
+            for known in itertools.combinations(others, size):
+                out[f] += weight * sum(mean(t, 0, {*known, f}) - mean(t, 0, set(known)) for t in trees)
+    return [*out, sum(mean(t, 0, set()) for t in trees)]
+
+
+@pytest.mark.parametrize("params", [{"max_depth": 5, "num_round": 3}, {"max_depth": 2, "num_round": 3, "booster": "dart", "rate_drop": 0.5, "one_drop": 1}])
+def test_shapley_values_equal_the_subset_formula(spark, rows, params):
+    model = fit_boosted_trees(rows, {"max_bin": 16, **params})
+    some = rows.where("row_id % 29 = 0 OR row_id % 13 = 0 AND row_id % 3 = 0")
+    for r in predict_contribs(some, model).collect():
+        wanted = brute_shapley(model.used_trees(), r["features"], 3)
+        wanted[-1] += model.base_margin
+        assert r["contribs"] == pytest.approx(wanted, abs=1e-9)
+    paths = predict_contribs(predict_trees(some, model, output="m", margin=True), model, method="path")
+    assert paths.where(F.abs(F.aggregate("contribs", F.lit(0.0), lambda x, y: x + y) - F.col("m")) > 1e-9).count() == 0
+    model.trees[0][0].cover[0] = 0.0
+    with pytest.raises(ValueError, match="covers"):
+        predict_contribs(some, model)

@@ -7,9 +7,12 @@ All class metrics read the confusion counts, whose size is classes squared, not
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from treeline.operators.batch_metrics import BatchMetric, batch_metrics
+
 CLASS_METRICS = (
     "accuracy", "balanced_accuracy", "f1", "f1_binary", "f1_macro", "precision", "precision_macro",
     "precision_micro", "recall", "recall_macro", "recall_micro",
@@ -84,8 +87,7 @@ def class_metrics(counts: DataFrame, names: Sequence[str], keys: Sequence[str] =
     return report.groupBy(*keys).agg(*aggregates) if keys else report.agg(*aggregates)
 
 
-def value_metrics(df: DataFrame, names: Sequence[str], label: str = "label", pred: str = "pred", keys: Sequence[str] = ()) -> DataFrame:
-    """Regression metrics in one aggregate; an empty input gives 0.0."""
+def _value_aggregates(names: Sequence[str], label: str, pred: str) -> list[Column]:
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")
     err = y - p
     sse, sst = F.sum(err * err), F.var_pop(y) * F.count(y)
@@ -96,7 +98,12 @@ def value_metrics(df: DataFrame, names: Sequence[str], label: str = "label", pre
         "rmse": F.sqrt(F.avg(err * err)),
         "r2": F.when(F.count(y) == 0, F.lit(0.0)).when(F.max(y) == F.min(y), constant).otherwise(1.0 - sse / sst),
     }
-    aggregates = [F.coalesce(every[n], F.lit(0.0)).alias(n) for n in names]
+    return [F.coalesce(every[n], F.lit(0.0)).alias(n) for n in names]
+
+
+def value_metrics(df: DataFrame, names: Sequence[str], label: str = "label", pred: str = "pred", keys: Sequence[str] = ()) -> DataFrame:
+    """Regression metrics in one aggregate; an empty input gives 0.0."""
+    aggregates = _value_aggregates(names, label, pred)
     return df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
 
 
@@ -116,6 +123,15 @@ def metric_names(tuning_metric: str | None, user_metrics: Sequence[str] | None)
     return sorted(set(tuned) | set(user)) if tuned and user else tuned or user
 
 
+def _kinds(names: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Names of class metrics and of value metrics, sorted."""
+    unknown = sorted(set(names) - set(ALL_METRICS))
+    if unknown:
+        raise ValueError(f"unknown metrics: {unknown}")
+    names = sorted(set(names))
+    return [n for n in names if n in CLASS_METRICS], [n for n in names if n in VALUE_METRICS]
+
+
 def metric_report(
     df: DataFrame,
     names: Sequence[str] = ALL_METRICS,
@@ -129,12 +145,7 @@ def metric_report(
     Class metrics compare ``label`` with ``pred``; regression metrics compare ``label`` with ``value``
     (default ``pred``). Each kind costs one aggregate over the rows, whatever the number of names.
     """
-    unknown = sorted(set(names) - set(ALL_METRICS))
-    if unknown:
-        raise ValueError(f"unknown metrics: {unknown}")
-    names = sorted(set(names))
-    by_class = [n for n in names if n in CLASS_METRICS]
-    by_value = [n for n in names if n in VALUE_METRICS]
+    by_class, by_value = _kinds(names)
     parts = []
     if by_class:
         wide = class_metrics(confusion_counts(df, label, pred, keys), by_class, keys)
@@ -147,13 +158,51 @@ def metric_report(
     return out
 
 
-def metric_report_grouped(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ALL_METRICS, **columns: str) -> DataFrame:
-    """The report per data set and fold (or any other slice), in one grouped pass."""
-    return metric_report(df, names, keys=list(keys), **columns)
+def _grouping_sets(keys: Sequence[str], totals: str) -> list[list[str]]:
+    if totals == "rollup":
+        return [list(keys[:n]) for n in range(len(keys), -1, -1)]
+    if totals == "cube":
+        return [list(c) for n in range(len(keys), -1, -1) for c in combinations(keys, n)]
+    raise ValueError(f"totals are rollup or cube, not {totals}")
 
 
-def user_metric(df: DataFrame, metrics: dict, keys: Sequence[str] = ()) -> DataFrame:
-    """Named user metrics evaluated together: ``name -> aggregate Column``; one pass for all of them."""
-    aggregates = [c.cast("double").alias(n) for n, c in metrics.items()]
-    wide = df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
-    return _melt(wide, list(metrics), keys)
+def metric_report_grouped(
+    df: DataFrame, keys: Sequence[str], names: Sequence[str] = ALL_METRICS, totals: str | None = None,
+    label: str = "label", pred: str = "pred", value: str | None = None,
+) -> DataFrame:
+    """The report per data set and fold (or any other slice), in one grouped pass.
+
+    ``totals`` (``rollup`` or ``cube``) adds the reports over all values of some keys, which are NULL there. The column
+    ``grouping_id`` then has a bit for every key that is summed over, the last key's being the lowest, so that a NULL
+    of the data stays apart. Class metrics of totals come from the confusion counts of the slices, not from the rows.
+    """
+    if totals is None:
+        return metric_report(df, names, label, pred, value, keys)
+    sets, named, parts = _grouping_sets(keys, totals), [*keys, "grouping_id"], []
+    by_class, by_value = _kinds(names)
+    if by_class:
+        counts = confusion_counts(df, label, pred, keys)
+        every = counts.groupingSets([[*s, "label", "pred"] for s in sets], *keys, "label", "pred")
+        cells = every.agg(F.sum("n").alias("n"), F.shiftright(F.grouping_id(), 2).cast("int").alias("grouping_id"))
+        parts.append(_melt(class_metrics(cells, by_class, named), by_class, named))
+    if by_value:
+        wide = df.groupingSets(sets, *keys).agg(*_value_aggregates(by_value, label, value or pred), F.grouping_id().cast("int").alias("grouping_id"))
+        parts.append(_melt(wide, by_value, named))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def user_metric(df: DataFrame, metrics: dict[str, Column | BatchMetric], keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, metric, value`` of named user metrics: aggregate Columns, and metrics in Python (``BatchMetric``).
+
+    Each kind takes one pass over the rows for all of its metrics.
+    """
+    columns = {n: m for n, m in metrics.items() if not isinstance(m, BatchMetric)}
+    batched = {n: m for n, m in metrics.items() if isinstance(m, BatchMetric)}
+    parts = []
+    if columns:
+        aggregates = [c.cast("double").alias(n) for n, c in columns.items()]
+        wide = df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
+        parts.append(_melt(wide, list(columns), keys))
+    if batched:
+        parts.append(batch_metrics(df, batched, keys))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

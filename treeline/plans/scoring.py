@@ -46,7 +46,7 @@ def _packed(trees: Sequence[Tree]) -> dict[str, np.ndarray]:
     """Node arrays of several trees end to end, child ids made absolute."""
     starts = np.cumsum([0] + [len(t.feature) for t in trees])
     offset = np.repeat(starts[:-1], [len(t.feature) for t in trees])
-    flat = {n: np.concatenate([np.asarray(getattr(t, n)) for t in trees]) for n in ("feature", "split", "default_left", "left", "right", "value")}
+    flat = {n: np.concatenate([np.asarray(getattr(t, n)) for t in trees]) for n in ("feature", "split", "default_left", "left", "right", "value", "cover")}
     flat["left"], flat["right"] = flat["left"] + offset, flat["right"] + offset
     flat["value"] = flat["value"] * np.repeat([t.scale for t in trees], [len(t.feature) for t in trees])
     flat["start"], flat["group"] = starts[:-1], np.array([t.group for t in trees])
@@ -181,14 +181,87 @@ def predict_leaf(df: DataFrame, model: Model, features: str = "features", output
     return df.select(*keep, F.concat(*parts).alias(output))
 
 
-def predict_contribs(df: DataFrame, model: Model, features: str = "features", output: str = "contribs") -> DataFrame:
+def _path_shares(x: np.ndarray, flat: dict, tree: int, out: np.ndarray) -> None:
+    """Adds to ``out`` (rows x features and bias) the change of node value at every step, credited to the split's feature."""
+    rows, before = np.arange(len(x)), None
+    for node in _walk(x, flat, tree):
+        if before is None:
+            out[:, -1] += flat["value"][node]
+        else:
+            out[rows, np.maximum(flat["feature"][before], 0)] += flat["value"][node] - flat["value"][before]
+        before = node
+
+
+def _leaf_paths(flat: dict, tree: int) -> Iterator[tuple[float, dict[int, tuple[float, tuple]]]]:
+    """Value of each leaf, and per feature of its path the share of the cover that follows it and the splits it asks."""
+    todo: list[tuple[int, dict]] = [(int(flat["start"][tree]), {})]
+    while todo:
+        node, path = todo.pop()
+        feature = int(flat["feature"][node])
+        if feature < 0:
+            yield float(flat["value"][node]), path
+            continue
+        left, right = int(flat["left"][node]), int(flat["right"][node])
+        cover = flat["cover"][left] + flat["cover"][right]
+        share, asked = path.get(feature, (1.0, ()))
+        for child, goes_left in ((left, True), (right, False)):
+            part = float(flat["cover"][child] / cover) if cover > 0 else 0.5
+            todo.append((child, {**path, feature: (share * part, (*asked, (node, goes_left)))}))
+
+
+def _subset_weights(known: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf of value 1, for rows of ``known`` (1 where the row follows the feature's splits, else 0).
+
+    A subset S of the other d - 1 features counts |S|! (d - 1 - |S|)! / d!, which is the integral of
+    t^|S| (1 - t)^(d - 1 - |S|) over 0..1. So the sum over all subsets is the integral of one product with a factor per
+    feature, a polynomial that Gauss-Legendre points integrate exactly.
+    """
+    d = len(shares)
+    points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    t = (points + 1) / 2
+    factors = shares[None, :, None] * (1 - t) + known[:, :, None] * t
+    before, after = np.ones_like(factors), np.ones_like(factors)
+    np.cumprod(factors[:, :-1], axis=1, out=before[:, 1:])
+    after[:, :-1] = np.cumprod(factors[:, :0:-1], axis=1)[:, ::-1]
+    return (known - shares) * (before * after * (weights / 2)).sum(axis=2)
+
+
+def _shapley_shares(x: np.ndarray, flat: dict, tree: int, out: np.ndarray) -> None:
+    """Adds to ``out`` (rows x features and bias) the Shapley values of one tree.
+
+    A feature that isn't known sends a row both ways, by cover. Rows that follow the same features of a leaf's path share
+    one computation.
+    """
+    for value, path in _leaf_paths(flat, tree):
+        shares = np.array([share for share, _ in path.values()])
+        out[:, -1] += value * shares.prod()
+        if not path:
+            continue
+        follows = np.ones((len(x), len(path)), dtype=bool)
+        for j, (feature, (_, asked)) in enumerate(path.items()):
+            v = x[:, feature]
+            missing = np.isnan(v)
+            for node, goes_left in asked:
+                follows[:, j] &= np.where(missing, flat["default_left"][node], v < flat["split"][node]) == goes_left
+        patterns, number = np.unique(np.packbits(follows, axis=1), axis=0, return_inverse=True)
+        known = np.unpackbits(patterns, axis=1, count=len(path)).astype(float)
+        out[:, list(path)] += (value * _subset_weights(known, shares))[number.ravel()]
+
+
+def predict_contribs(df: DataFrame, model: Model, features: str = "features", output: str = "contribs", method: str = "shapley") -> DataFrame:
     """Adds per-feature contributions and the bias (last entry); they add up to the margin.
 
-    Each step down a tree credits the change of node value to the feature of the split (path attribution, not
-    Shapley values). Class-major order for several outputs.
+    ``shapley``: path-dependent Shapley values, with the covers of the nodes as weights of features that aren't known; the
+    bias is the mean of the leaves by cover. ``path``: each step down a tree credits the change of node value to the
+    feature of the split. Class-major order for several outputs.
     """
     if routing.is_sparse(df, features):
         raise ValueError("contributions have one entry per feature: make the map of features an array first (dense_features)")
+    if method not in ("shapley", "path"):
+        raise ValueError(f"contributions are by shapley or path, not {method}")
+    if method == "shapley" and any(t.feature[0] >= 0 and not t.cover[0] > 0 for t in model.used_trees()):
+        raise ValueError("Shapley values need the covers of nodes, which this model lacks (refresh_trees finds them)")
+    shares = _shapley_shares if method == "shapley" else _path_shares
     k, width, base = model.n_outputs, model.n_features, model.base_margin
     shape = k * (width + 1)
     df = df.withColumn(output, F.array_repeat(F.lit(0.0), shape))
@@ -201,16 +274,8 @@ def predict_contribs(df: DataFrame, model: Model, features: str = "features", ou
             flat, x = shared.value, _matrix(values, width)
             out = np.zeros((len(x), k, width + 1))
             out[:, :, width] = start
-            rows = np.arange(len(x))
             for t in range(len(flat["start"])):
-                group, before = flat["group"][t], None
-                for node in _walk(x, flat, t):
-                    if before is None:
-                        out[:, group, width] += flat["value"][node]
-                    else:
-                        f = np.maximum(flat["feature"][before], 0)
-                        out[rows, group, f] += flat["value"][node] - flat["value"][before]
-                    before = node
+                shares(x, flat, t, out[:, flat["group"][t]])
             return pd.Series(list(out.reshape(len(x), shape)))
 
         df = df.withColumn(output, F.zip_with(output, credit(features), lambda a, b: a + b))
