@@ -12,7 +12,7 @@ from treeline.operators import encoding as E
 from treeline.operators import ensembles, selection
 from treeline.operators.hooks import score_with_user_hooks
 from treeline.operators.routing import Tree
-from treeline.plans.model import Model, load_model, save_model
+from treeline.plans.model import Model, load_model, load_models, save_model
 from treeline.plans.scoring import predict_contribs, predict_ensemble, predict_leaf, predict_trees
 from treeline.plans.transform import batch_transform
 from treeline.session import scratch_path
@@ -275,6 +275,34 @@ def _batch(spark, sf):
     return batch_transform(csv_bodies(spark, sf), _request_model())
 
 
+@query("batch_transform_bad_bodies", f"""WITH {REQUEST_SQL} SELECT request_id, CASE WHEN request_id % 4 = 0 THEN string_agg(v::VARCHAR, chr(10) ORDER BY row_id) || chr(10) END AS body,
+  CASE request_id % 4 WHEN 1 THEN 'empty row' WHEN 2 THEN 'not a number: x' WHEN 3 THEN '5 features for a model of 3' END AS error FROM p GROUP BY request_id""")
+def _bad_bodies(spark, sf):
+    bad = F.expr("CASE request_id % 4 WHEN 0 THEN body WHEN 1 THEN '' WHEN 2 THEN concat(body, '\n1,x,3') ELSE '1,2,3,4,5' END")
+    return batch_transform(csv_bodies(spark, sf).withColumn("body", bad), _request_model())
+
+
+def _ensemble_model() -> list[Model]:
+    other = _request_model()
+    other.base_margin = 0.0
+    return [_request_model(), other]
+
+
+@query("batch_transform_ensemble", f"""WITH {REQUEST_SQL} SELECT request_id, '{{"predictions":[' || string_agg('{{"score":' || (v - 0.25::DOUBLE)::VARCHAR || '}}', ',' ORDER BY row_id) || ']}}' AS body,
+  CAST(NULL AS VARCHAR) AS error FROM p GROUP BY ALL""")
+def _ensemble(spark, sf):
+    path = scratch_path(spark, "models")
+    for number, model in enumerate(_ensemble_model()):
+        save_model(model, spark, path, f"model-{number}")
+    return batch_transform(csv_bodies(spark, sf), load_models(spark, path), accept="json")
+
+
+@query("batch_transform_jsonlines", f"""WITH {REQUEST_SQL} SELECT request_id, string_agg('{{"predicted_score":' || v::VARCHAR || ',"labels":null}}' || chr(10), '' ORDER BY row_id) AS body,
+  CAST(NULL AS VARCHAR) AS error FROM p GROUP BY ALL""")
+def _batch_jsonlines(spark, sf):
+    return batch_transform(csv_bodies(spark, sf), _request_model(), accept="jsonlines", keys=["predicted_score", "labels"])
+
+
 @query("stream_score", f"""WITH {REQUEST_SQL} SELECT request_id,
   CAST(row_number() OVER (PARTITION BY request_id ORDER BY row_id) - 1 AS INT) AS row_idx, v AS prediction FROM p""")
 def _stream(spark, sf):

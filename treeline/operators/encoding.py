@@ -79,6 +79,18 @@ def encode_jsonlines(df: DataFrame, selected: str = "selected") -> DataFrame:
     return df.withColumn("line", F.to_json(selected, {"ignoreNullFields": "false"}))
 
 
+def encode_jsonlines_body(df: DataFrame, selected: str = "selected", request_id: str = "request_id", row: str = "row_idx") -> DataFrame:
+    """One JSON object per line, each with a final newline; not applicable keys are ``null``."""
+    out = _per_request(df, F.to_json(selected, {"ignoreNullFields": "false"}), request_id, row)
+    return _respond(out, request_id, F.concat(F.array_join("values", "\n"), F.lit("\n")))
+
+
+def encode_records_body(df: DataFrame, record: str, request_id: str = "request_id", row: str = "row_idx") -> DataFrame:
+    """The framed records of a request end to end, as bytes."""
+    out = _per_request(df, F.hex(record), request_id, row)
+    return _respond(out, request_id, F.unhex(F.array_join("values", "")))
+
+
 def json_to_jsonlines(df: DataFrame, body: str = "body", request_id: str = "request_id") -> DataFrame:
     """``request_id, row_idx, line`` from JSON bodies with a single top key; more keys are an error."""
     keys = F.json_object_keys(body)

@@ -118,6 +118,11 @@ def load_model(spark: SparkSession, path: str, model_id: str = "model") -> Model
     )
 
 
+def load_models(spark: SparkSession, path: str) -> list[Model]:
+    """All stored models in the order of their names, to answer together."""
+    return [load_model(spark, path, name) for name in model_ids(spark, path)]
+
+
 def model_ids(spark: SparkSession, path: str) -> list[str]:
     """Names of the stored models, sorted; hidden names are never listed by Spark."""
     ids = spark.read.option("basePath", f"{path}/facts").text(f"{path}/facts").select("model_id").distinct().collect()

@@ -6,14 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from treeline.operators.encoding import encode_csv_batch, encode_json, encode_selected_csv, encode_scores_json
+from treeline.operators.encoding import encode_csv_batch, encode_json, encode_jsonlines_body, encode_records_body, encode_selected_csv
 from treeline.operators.selection import select_predictions
 from treeline.plans.model import Model
-from treeline.plans.scoring import predict_trees
+from treeline.plans.scoring import predict_ensemble, predict_trees
 from treeline.sources.payloads import payload_rows_csv, payload_rows_libsvm, payload_rows_recordio
-from treeline.sources.recordio import with_features
+from treeline.sources.recordio import encode_recordio, with_features
 from treeline.sources.text import dense_features
 
+ACCEPTS = ("csv", "json", "jsonlines", "recordio-protobuf")
+
 
 def decode_requests(requests: DataFrame, content_type: str, width: int, request_id: str = "request_id", body: str = "body") -> DataFrame:
     """``request_id, row_idx, features, error``; every request has at least one row.
@@ -46,28 +48,46 @@ def decode_requests(requests: DataFrame, content_type: str, width: int, request_
 
 
 def score_rows(
-    requests: DataFrame, model: Model, content_type: str = "csv", keys: Sequence[str] | None = None,
+    requests: DataFrame, model: Model | Sequence[Model], content_type: str = "csv", keys: Sequence[str] | None = None,
     request_id: str = "request_id", body: str = "body",
 ) -> DataFrame:
-    """``request_id, row_idx, prediction[, selected], error``, one row per record; stateless, so it also runs on a stream."""
-    rows = decode_requests(requests, content_type, model.n_features, request_id, body)
-    scored = predict_trees(rows, model)
+    """``request_id, row_idx, prediction[, selected], error``, one row per record; stateless, so it also runs on a stream.
+
+    Several models answer together, as ``predict_ensemble`` joins them; all must have the same number of features.
+    """
+    members = [model] if isinstance(model, Model) else list(model)
+    widths = {m.n_features for m in members}
+    if len(widths) != 1:
+        raise ValueError(f"requests need models of one width, not {sorted(widths)}")
+    rows = decode_requests(requests, content_type, widths.pop(), request_id, body)
+    scored = predict_trees(rows, members[0]) if len(members) == 1 else predict_ensemble(rows, members)
     scored = scored.withColumn("prediction", F.when(F.col("error").isNull(), F.col("prediction")))
     if keys:
-        scored = select_predictions(scored, keys, model.objective, model.params.get("num_class"))
+        scored = select_predictions(scored, keys, members[0].objective, members[0].params.get("num_class"))
     return scored
 
 
 def batch_transform(
-    requests: DataFrame, model: Model, content_type: str = "csv", accept: str = "csv", keys: Sequence[str] | None = None,
+    requests: DataFrame, model: Model | Sequence[Model], content_type: str = "csv", accept: str = "csv", keys: Sequence[str] | None = None,
     request_id: str = "request_id", body: str = "body",
 ) -> DataFrame:
-    """``request_id, body, error``: the response per request; a request with a bad row has an error and no body."""
+    """``request_id, body, error``: the response per request; a request with a bad row has an error and no body.
+
+    ``accept`` is csv, json, jsonlines or recordio-protobuf (bytes). Without ``keys`` an answer holds the predictions
+    alone, under the key ``score`` where the form has keys.
+    """
+    if accept not in ACCEPTS:
+        raise ValueError(f"accept type {accept} is not supported, only {', '.join(ACCEPTS)}")
     scored = score_rows(requests, model, content_type, keys, request_id, body)
     if accept == "csv":
         if keys:
             return encode_selected_csv(scored, keys, request_id=request_id, batch=True)
         return encode_csv_batch(scored, request_id=request_id)
+    if not keys:
+        keys, scored = ["score"], scored.withColumn("selected", F.struct(F.col("prediction").alias("score")))
     if accept == "json":
-        return encode_json(scored, request_id=request_id) if keys else encode_scores_json(scored, request_id=request_id)
-    raise ValueError(f"accept type {accept} is not supported")
+        return encode_json(scored, request_id=request_id)
+    if accept == "jsonlines":
+        return encode_jsonlines_body(scored, request_id=request_id)
+    framed = encode_recordio(scored.select(request_id, "row_idx", "error", "selected.*"), keys)
+    return encode_records_body(framed, "record", request_id)

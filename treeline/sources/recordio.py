@@ -413,7 +413,8 @@ def encode_recordio(df: DataFrame, keys: Sequence[str], output: str = "record")
 
     def as_list(name: str) -> Column:
         kind = dict(df.dtypes)[name]
-        return F.col(name).cast("array<double>") if kind.startswith("array") else F.array(F.col(name).cast("double"))
+        none = F.array(F.lit(None).cast("double"))  # a list that isn't applicable is one NaN
+        return F.coalesce(F.col(name).cast("array<double>"), none) if kind.startswith("array") else F.array(F.col(name).cast("double"))
 
     return df.withColumn(output, encode(F.struct(*[as_list(k).alias(k) for k in keys])))
 
