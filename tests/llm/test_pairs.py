@@ -150,6 +150,35 @@ def test_places_pack(spark):
         assert substrings._unpack_places(*substrings._pack_places(np.array(places, dtype=np.int64))).tolist() == places
 
 
+@pytest.mark.parametrize("documents", [1, 300])
+def test_bytes_per_probe_do_not_grow_with_buckets(documents):
+    r = np.random.default_rng(7)
+    starts = np.sort(r.choice(200_000, documents, replace=False))
+    starts[0] = 0
+    uids, places = np.arange(documents) * 3 + 5, np.unique(r.integers(0, 200_000, 150_000))
+    for buckets in (1, 64, 2_000, 50_000):
+        at = r.integers(0, buckets, len(places))
+        rows = substrings._rows_by_bucket(at, places, places.astype("<u4"), at[:100], places[:100], uids, starts)
+        assert rows.num_rows == len(np.unique(at)) and rows.nbytes < 28 * len(places) + 80 * rows.num_rows
+        found = []
+        for row in rows.to_pylist():
+            own = substrings._unpack_places(row["places"], row["wide"])
+            assert own.tolist() == np.frombuffer(row["keys"], dtype="<u4").tolist()
+            found += zip(*(x.tolist() for x in substrings._documents_of(row["uids"], row["starts"], own)), strict=True)
+        document = np.searchsorted(starts, places, side="right") - 1
+        assert sorted(found) == list(zip(uids[document].tolist(), (places - starts[document]).tolist(), strict=True))
+
+
+@pytest.mark.parametrize("chars", [64, 4096])
+def test_repeats_do_not_depend_on_buckets(spark, monkeypatch, chars):
+    monkeypatch.setattr(substrings, "BUCKET_CHARS", chars)
+    monkeypatch.setattr(substrings, "LEAST_BUCKETS", 1)
+    shared = prose(91, 70)
+    rows = [(i, " ".join([prose(900 + i, 30), shared if i % 3 else "", prose(950 + i, 25)])) for i in range(40)]
+    got = substrings.dedup_substrings(table(spark, rows, 4), 20).select("doc_id", "n_words", "n_removed", "kept_sha256", "text")
+    assert Counter(tuple(x) for x in got.collect()) == brute_repeats(rows, 20)
+
+
 def brute_top(rows, k, every):
     ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []

@@ -7,7 +7,8 @@ for its extension, and exact windows are compared only there. Of equal windows t
 words covered by the others go, so overlapping windows extend to maximal repeats.
 
 What travels. Probes leave a task packed: per chunk of texts and per bucket of hashes one row with 4 bytes and a place
-per distinct run, so a passage that stands in a third of all documents is a single probe of a chunk. A bucket sees all
+per distinct run, so a passage that stands in a third of all documents is a single probe of a chunk. A row names only
+the documents it has probes of, so the bytes per probe are bounded whatever the number of buckets. A bucket sees all
 probes of its hashes; the number of buckets follows the size of the corpus. Hits go back to their documents, and only
 documents with hits are compared by windows (64-bit hashes within buckets chosen by another hash). Texts are shuffled
 once, plus those with hits a second time.
@@ -43,21 +44,26 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _pack_places(places: np.ndarray) -> tuple[bytes, bytes]:
-    """Ascending places as gaps, one byte each; gaps beyond that are kept apart as (row, gap)."""
+    """Ascending places as gaps of 1, 2 or 4 bytes, whichever is least; gaps beyond that are kept apart as (row, gap)."""
     gaps = np.diff(places, prepend=0)
-    wide = np.flatnonzero(gaps > 255)
-    return gaps.astype(np.uint8).tobytes(), np.stack([wide, gaps[wide]]).astype("<i4").tobytes()
+    width = min((1, 2, 4), key=lambda w: len(gaps) * w + 8 * np.count_nonzero(gaps >= 1 << 8 * w))
+    wide = np.flatnonzero(gaps >= 1 << 8 * width)
+    return gaps.astype(f"<u{width}").tobytes(), bytes([width]) + np.stack([wide, gaps[wide]]).astype("<i8" if width == 4 else "<i4").tobytes()
 
 
 def _unpack_places(places: bytes, wide: bytes) -> np.ndarray:
-    gaps = np.frombuffer(places, dtype=np.uint8).astype(np.int64)
-    rows, values = np.frombuffer(wide, dtype="<i4").reshape(2, -1)
+    width = wide[0]
+    gaps = np.frombuffer(places, dtype=f"<u{width}").astype(np.int64)
+    rows, values = np.frombuffer(wide[1:], dtype="<i8" if width == 4 else "<i4").reshape(2, -1)
     gaps[rows] = values
     return np.cumsum(gaps)
 
 
 def _rows_by_bucket(buckets: np.ndarray, places: np.ndarray, keys: np.ndarray, more_buckets: np.ndarray, more: np.ndarray, uids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket of a chunk; ``more`` are places that repeat an earlier place of the chunk."""
+    """One row per bucket of a chunk, with the documents that have places in it.
+
+    ``more`` are places that repeat an earlier place of the chunk; every bucket of one also has that earlier place.
+    """
     order = np.lexsort((places, buckets))
     buckets, places, keys = buckets[order], places[order], keys[order]
     order = np.lexsort((more, more_buckets))
@@ -66,12 +72,21 @@ def _rows_by_bucket(buckets: np.ndarray, places: np.ndarray, keys: np.ndarray, m
     at, end = np.searchsorted(buckets, own), np.searchsorted(buckets, own, side="right")
     more_at, more_end = np.searchsorted(more_buckets, own), np.searchsorted(more_buckets, own, side="right")
     packed = [_pack_places(places[i:j]) for i, j in zip(at, end, strict=True)]
-    n, binary = len(own), pa.binary()
+    named = np.unique(
+        np.concatenate([
+            np.searchsorted(own, buckets) * len(uids) + np.searchsorted(starts, places, side="right") - 1,
+            np.searchsorted(own, more_buckets) * len(uids) + np.searchsorted(starts, more, side="right") - 1,
+        ])
+    )  # (bucket, document), in the order of both
+    ends = np.searchsorted(named, np.arange(1, len(own) + 1) * len(uids))
+    row_uids, row_starts = uids[named % len(uids)].astype("<i8"), starts[named % len(uids)].astype("<u4")
+    documents = list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True))
+    binary = pa.binary()
     return pa.RecordBatch.from_arrays(
         [
             pa.array(own.astype(np.int32)),
-            pa.array([uids.astype("<i8").tobytes()] * n, binary),
-            pa.array([starts.astype("<u4").tobytes()] * n, binary),
+            pa.array([row_uids[i:j].tobytes() for i, j in documents], binary),
+            pa.array([row_starts[i:j].tobytes() for i, j in documents], binary),
             pa.array([x[0] for x in packed], binary),
             pa.array([x[1] for x in packed], binary),
             pa.array([keys[i:j].tobytes() for i, j in zip(at, end, strict=True)], binary),
@@ -91,7 +106,7 @@ def _by_document(uids: np.ndarray, places: np.ndarray, names: list[str]) -> pa.T
 
 
 def _documents_of(row_uids: bytes, row_starts: bytes, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and places inside their documents of places in a chunk."""
+    """Ids and places inside their documents of places in a chunk, all of documents that the row names."""
     uids, starts = np.frombuffer(row_uids, dtype="<i8"), np.frombuffer(row_starts, dtype="<u4").astype(np.int64)
     at = np.searchsorted(starts, places, side="right") - 1
     return uids[at], places - starts[at]
