@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from catalog.frames import EVENTS_SQL, LINES_SQL, ORDERS_SQL, binary_lines, class_vectors, event_rows, labelled_vectors, order_rows
@@ -409,14 +411,51 @@ def _fit_aft(spark, sf):
     return _properties(spark, **{"loss falls": loss[-1] <= loss[0]})
 
 
-@query("fit_linear", f"""WITH {ORDERS_SQL}, x AS (SELECT row_id, label, features[1] AS a FROM ords),
-s AS (SELECT regr_slope(label, a) AS b, avg(label) AS my, avg(a) AS ma FROM x) SELECT row_id, round(my + b * (a - ma), 4) AS prediction FROM x, s""")
+def _determinant(entries: list[list[str]]) -> str:
+    """A determinant as SQL, by its permutations."""
+    terms = []
+    for order in itertools.permutations(range(len(entries))):
+        turns = sum(a > b for a, b in itertools.combinations(order, 2))
+        terms.append(("-" if turns % 2 else "") + " * ".join(entries[i][j] for i, j in enumerate(order)))
+    return "(" + " + ".join(terms) + ")"
+
+
+def _ridge_sql(penalty: float) -> str:
+    """The closed form over all four features: centred moments, the penalty on their diagonal, Cramer's rule."""
+    n = range(4)
+    moments = [f"covar_pop(x{i}, x{j}) AS c{i}{j}" for i in n for j in n if i <= j] + [f"covar_pop(x{i}, y) AS d{i}" for i in n]
+    square = [[f"c{min(i, j)}{max(i, j)}" if i != j else f"(c{i}{i} + {penalty}::DOUBLE)" for j in n] for i in n]
+    solved = [f"{_determinant([[f'd{i}' if j == k else square[i][j] for j in n] for i in n])} / {_determinant(square)} AS b{k}" for k in n]
+    return f"""WITH {ORDERS_SQL}, x AS (SELECT row_id, label AS y, {", ".join(f"features[{i + 1}] AS x{i}" for i in n)} FROM ords),
+m AS (SELECT {", ".join(moments)}, avg(y) AS my, {", ".join(f"avg(x{i}) AS a{i}" for i in n)} FROM x),
+b AS (SELECT *, {", ".join(solved)} FROM m)
+SELECT row_id, round(my + {" + ".join(f"b{i} * (x{i} - a{i})" for i in n)}, 4) AS prediction FROM x, b"""
+
+
+@query("fit_linear", _ridge_sql(0.25))
 def _fit_linear(spark, sf):
-    df = order_rows(spark, sf).select("row_id", "label", F.slice("features", 1, 1).alias("features"))
-    model = fit_linear(df, {"num_round": 50})
+    df = order_rows(spark, sf).select("row_id", "label", "features")
+    model = fit_linear(df, {"num_round": 1000, "eta": 1.0, "lambda": 0.25})
     return predict_linear(df, model).select("row_id", F.round("prediction", 4).alias("prediction"))
 
 
+# With one indicator as feature the fitted means are the means of both sides.
+@query("fit_linear_objectives", f"""WITH {LINES_SQL}, sides AS (SELECT slice, sum(weight * grade) / sum(weight) AS poisson, sum(weight * price) / sum(weight) AS gamma,
+  sum(weight * label) / sum(weight) AS logistic FROM lines GROUP BY slice)
+SELECT 'count:poisson' AS objective, slice, round(poisson, 4) AS mean FROM sides UNION ALL SELECT 'reg:gamma', slice, round(gamma, 4) FROM sides
+UNION ALL SELECT 'binary:logistic', slice, round(logistic, 4) FROM sides""")
+def _fit_linear_objectives(spark, sf):
+    lines = binary_lines(spark, sf).withColumn("features", F.array(F.when(F.col("slice") == "F", 1.0).otherwise(-1.0)))
+    out = None
+    for objective, label in (("count:poisson", "grade"), ("reg:gamma", "price"), ("binary:logistic", "label")):
+        rows = lines.select("slice", "weight", "features", F.col(label).cast("double").alias("label"))
+        model = fit_linear(rows, {"objective": objective, "num_round": 12, "eta": 1.0, "max_delta_step": 0.1})
+        sides = predict_linear(lines.select("slice", "features").distinct(), model, "mean")
+        part = sides.select(F.lit(objective).alias("objective"), "slice", F.round("mean", 4).alias("mean"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("fit_kfold", f"""WITH {EVENTS_SQL}, f AS (SELECT row_id, label,
   (row_number() OVER (ORDER BY label, md5('0|0|' || row_id), row_id) - 1) % 2 AS fold FROM evs)
 SELECT CAST(0 AS INT) AS repeat, CAST(fold AS INT) AS fold, count(*) AS n, sum(label) AS positives, true AS in_range FROM f GROUP BY fold""")

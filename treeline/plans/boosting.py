@@ -405,7 +405,7 @@ def fit_boosted_trees(
             last = round_number - 1
             logged = {}
             for name, rows in sets.items():
-                scores = values if name == "train" else _evaluate(rows.df, objective, metrics, p, margins)
+                scores = values if name == "train" else evaluate_margins(rows.df, objective, metrics, p, margins)
                 for m, v in zip(metrics, scores):
                     model.log.append((last, fold, name, m, v))
                 logged[name] = scores
@@ -470,7 +470,7 @@ def _update(df: DataFrame, p: dict, validation, start: Model | None, watch, fold
         nodes = [f"u_{t}" for t in range(len(trees))]
         for name, held in rows.items():
             held.advance(routing.add_tree_values(routing.route(held.df, trees, nodes, False, "features"), trees, nodes, margins), last=number == len(model.trees) - 1)
-            model.log += [(number, fold, name, m, v) for m, v in zip(metrics, _evaluate(held.df, model.objective, metrics, p, margins))]
+            model.log += [(number, fold, name, m, v) for m, v in zip(metrics, evaluate_margins(held.df, model.objective, metrics, p, margins))]
             held.settle()
         if on_round:
             on_round(dataclasses.replace(model, trees=model.trees[: number + 1], log=list(model.log)), number)
@@ -539,7 +539,8 @@ def _stats_and_metrics(rows: Rows, grad: DataFrame, objective: str, metrics: Seq
     return stats, values
 
 
-def _evaluate(df: DataFrame, objective: str, metrics: Sequence[str], p: dict, margins: list[str]) -> list[float]:
+def evaluate_margins(df: DataFrame, objective: str, metrics: Sequence[str], p: dict, margins: list[str]) -> list[float]:
+    """Values of ``metrics`` on ``label, w`` and the margin columns; all per-row metrics in one pass."""
     simple = [m for m in metrics if is_pointwise(m)]
     found = {}
     if simple:

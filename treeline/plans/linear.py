@@ -1,51 +1,176 @@
-"""Linear booster through the elastic-net estimators of Spark ML."""
+"""Linear booster: cyclic coordinate descent on the second-order form of any row objective.
+
+A round needs, per class, the sums of g, h*x and h*x*x' over all rows. They are added up per Arrow batch with numpy, per
+column of the sum by Spark, and one row per line of the (small) matrix reaches the driver. There the coordinates are
+stepped through one after the other: a step moves the gradient of the others by a known amount, so the result equals
+one pass over the rows per coordinate. Wide rows are cut into blocks of ``BLOCK`` features with one pass each. With a
+squared error the matrix stays the same, and all rounds of one block share a single pass.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, functions as F
 
+from treeline.operators.gradients import ROW_OBJECTIVES, base_margin, default_base, gradient_pairs, is_multiclass, link
+from treeline.plans.boosting import evaluate_margins
 from treeline.plans.parameters import resolve_parameters
 
 SQUARED = ("reg:squarederror", "reg:linear")
-LOGISTIC = ("binary:logistic", "reg:logistic", "binary:logitraw", "multi:softprob", "multi:softmax")
+BLOCK = 64
+ETA = 0.5
+CONVERGED = 1e-12  # rounds end once no value moves by more than this part of itself
+
+
+@dataclass
+class LinearModel:
+    """``weights[class][feature]`` and ``bias[class]`` on the margin scale, which starts at ``base``."""
+
+    objective: str
+    weights: list[list[float]]
+    bias: list[float]
+    base: float
+    rounds: int = 0
+    log: list[dict] = field(default_factory=list)
+
+
+def _plain(features: Column) -> Column:
+    return F.transform(features, lambda v: F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0)))
+
+
+def _margins(model: LinearModel, features: Column) -> list[Column]:
+    out = []
+    for w, b in zip(model.weights, model.bias, strict=True):
+        weights = F.array(*[F.lit(float(x)) for x in w]).cast("array<double>")
+        out.append(F.aggregate(F.zip_with(features, weights, lambda x, y: x * y), F.lit(model.base + b), lambda a, x: a + x))
+    return out
+
+
+def _named_margins(model: LinearModel) -> list[Column]:
+    return [m.alias(f"m_{k}") for k, m in enumerate(_margins(model, F.col("features")))]
 
 
-def fit_linear(df: DataFrame, params: dict):
-    """A fitted Spark ML model on ``label, features[, weight]``; missing values count as zero.
+def _sums(rows: DataFrame, classes: int, first: int, size: int, with_bias: bool) -> dict[int, np.ndarray]:
+    """Per class a matrix: its first column holds the sums of g times each coordinate, the others those of h times two."""
+    width = size + with_bias
+    names = [f"{kind}_{k}" for k in range(classes) for kind in "gh"]
 
-    L2 and L1 penalties of the booster act on sums over rows, Spark's on means, hence the division by the row
-    count. The intercept is never penalised, so ``lambda_bias`` other than 0 is rejected.
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((classes, width, width + 1))
+        for batch in batches:
+            n = batch.num_rows
+            lists = batch.column(0)
+            x = np.asarray(lists.flatten()).reshape(n, size) if n else np.zeros((0, size))
+            if with_bias:
+                x = np.hstack([np.ones((n, 1)), x])
+            for k in range(classes):
+                g, h = np.asarray(batch.column(1 + 2 * k)), np.asarray(batch.column(2 + 2 * k))
+                total[k, :, 0] += x.T @ g
+                total[k, :, 1:] += x.T @ (x * h[:, None])
+        lines = [[k, i] for k in range(classes) for i in range(width)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in lines], pa.int32()), pa.array([i for _, i in lines], pa.int32()), pa.array([total[k, i].tolist() for k, i in lines], pa.list_(pa.float64()))],
+            ["k", "i", "line"],
+        )
+
+    block = F.slice("features", first + 1, size).alias("features")
+    parts = rows.select(block, *names).mapInArrow(add, "k int, i int, line array<double>")
+    summed = parts.groupBy("k", "i").agg(F.array(*[F.sum(F.get("line", F.lit(j))) for j in range(width + 1)]).alias("line"))
+    out = {k: np.zeros((width, width + 1)) for k in range(classes)}
+    for r in summed.collect():  # classes times the block's width
+        out[r["k"]][r["i"]] = r["line"]
+    return out
+
+
+def _descend(sums: np.ndarray, w: np.ndarray, l1: np.ndarray, l2: np.ndarray, eta: float) -> np.ndarray:
+    """Steps every coordinate once, in order; ``sums`` gets the gradients after the steps. Returns the new values."""
+    w = w.copy()
+    for i in range(len(w)):
+        h = sums[i, 1 + i]
+        if h + l2[i] < 1e-12:
+            continue
+        pull = h * w[i] - sums[i, 0]
+        step = eta * (np.sign(pull) * max(abs(pull) - l1[i], 0.0) / (h + l2[i]) - w[i])
+        w[i] += step
+        sums[:, 0] += sums[:, 1 + i] * step
+    return w
+
+
+def fit_linear(df: DataFrame, params: dict, validation: DataFrame | None = None) -> LinearModel:
+    """A linear model on ``label, features array<double>[, weight]`` (and what the objective needs) for any row objective.
+
+    ``lambda``, ``alpha`` and ``lambda_bias`` count per unit of row weight, so a penalty keeps its meaning when rows are
+    repeated; ``alpha`` never acts on the intercept. Both values of ``updater`` step in the same order. Missing values
+    count as zero; rows must be of one width. With ``eval_metric`` every round's values are logged for ``train`` and,
+    if given, ``validation``; without, rounds that would change nothing are left out. A table without rows raises.
     """
     p = resolve_parameters({**params, "booster": "gblinear"})
-    if float(p.get("lambda_bias") or 0.0) != 0.0:
-        raise ValueError("a penalty on the intercept is not available")
-    if p["objective"] not in SQUARED + LOGISTIC:
-        raise ValueError(f"the linear booster has no objective {p['objective']}")
-    lam = float(params.get("lambda", params.get("reg_lambda", 0.0)))
-    alpha = float(params.get("alpha", params.get("reg_alpha", 0.0)))
-    total = lam + alpha
-    rows = df.select(
-        F.col("label").cast("double").alias("label"),
+    objective = p["objective"]
+    if objective not in ROW_OBJECTIVES:
+        raise ValueError(f"the linear booster has no objective {objective}")
+    classes = int(p["num_class"]) if is_multiclass(objective) else 1
+    eta = float(p["eta"]) if {"eta", "learning_rate"} & set(params) else ETA
+    base = base_margin(objective, float(p["base_score"]) if params.get("base_score") is not None else default_base(objective))
+    rows = _prepared(df)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        unfit = F.col("features").isNull() | F.col("weight").isNull() | F.col("label_lower" if objective == "survival:aft" else "label").isNull()
+        seen = rows.agg(F.min(F.size("features")), F.max(F.size("features")), F.sum("weight"), F.sum(unfit.cast("int"))).first()
+        if seen[0] is None or seen[0] != seen[1] or seen[3]:
+            raise ValueError("the linear booster needs rows with labels, weights and features, all of one width")
+        d, mass = seen[0], float(seen[2])
+        model = LinearModel(objective, [[0.0] * d for _ in range(classes)], [0.0] * classes, base)
+        rounds, metrics = max(int(p["num_round"]), 1), list(p.get("eval_metric") or [])
+        penalty = {n: mass * float(params.get(n, params.get(f"reg_{n}", 0.0)) or 0.0) for n in ("lambda", "alpha", "lambda_bias")}
+        once = objective in SQUARED and d <= BLOCK
+        kept = None
+        sets = {"train": rows} | ({"validation": _prepared(validation)} if validation is not None else {})
+        for r in range(rounds):
+            moved = 0.0
+            for first in range(0, max(d, 1), BLOCK):
+                size, with_bias = min(BLOCK, d - first), first == 0
+                if kept is None or not once:
+                    named = gradient_pairs(rows.select("*", *_named_margins(model)), objective, p, margins=tuple(f"m_{k}" for k in range(classes)))
+                    kept = _sums(named, classes, first, size, with_bias)
+                l1 = np.full(size + with_bias, penalty["alpha"])
+                l2 = np.full(size + with_bias, penalty["lambda"])
+                if with_bias:
+                    l1[0], l2[0] = 0.0, penalty["lambda_bias"]
+                for k in range(classes):
+                    held = ([model.bias[k]] if with_bias else []) + model.weights[k][first : first + size]
+                    new = _descend(kept[k], np.array(held), l1, l2, eta).tolist()
+                    moved = max([moved, *(abs(a - b) / (1.0 + abs(a)) for a, b in zip(new, held, strict=True))])
+                    if with_bias:
+                        model.bias[k] = new.pop(0)
+                    model.weights[k][first : first + size] = new
+            model.rounds = r + 1
+            for name, data in sets.items() if metrics else ():
+                scored = data.select("*", F.col("weight").alias("w"), *_named_margins(model))
+                values = evaluate_margins(scored, objective, metrics, p, [f"m_{k}" for k in range(classes)])
+                model.log += [{"round": r, "dataset": name, "metric": m, "value": v} for m, v in zip(metrics, values, strict=True)]
+            if not metrics and moved <= CONVERGED:
+                break
+        return model
+    finally:
+        rows.unpersist()
+
+
+def _prepared(df: DataFrame) -> DataFrame:
+    also = [c for c in ("label_lower", "label_upper", "group_id", "row_id") if c in df.columns]
+    return df.select(
+        (F.col("label").cast("double") if "label" in df.columns else F.lit(None).cast("double")).alias("label"),
         (F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)).alias("weight"),
-        array_to_vector(F.transform("features", lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))).alias("features"),
+        _plain(F.col("features")).alias("features"),
+        *also,
     )
-    n = rows.agg(F.sum("weight")).first()[0]
-    options = {
-        "regParam": total / n, "elasticNetParam": alpha / total if total else 0.0, "weightCol": "weight",
-        "maxIter": max(int(p["num_round"]), 1), "standardization": False,
-    }
-    kind = LogisticRegression if p["objective"] in LOGISTIC else LinearRegression
-    return kind(**options).fit(rows)
-
-
-def predict_linear(df: DataFrame, model, output: str = "prediction") -> DataFrame:
-    """Adds the prediction of a fitted linear model."""
-    vector = array_to_vector(F.transform("features", lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))))
-    scored = model.transform(df.withColumn("__v", vector).drop("features").withColumnRenamed("__v", "features"))
-    from pyspark.ml.functions import vector_to_array
-
-    value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in scored.columns and model.numClasses == 2 else F.col("prediction")
-    return scored.select(*[c for c in df.columns if c != "features"], value.alias(output))
+
+
+def predict_linear(df: DataFrame, model: LinearModel, output: str = "prediction") -> DataFrame:
+    """Replaces ``features`` by the prediction of a fitted linear model."""
+    value = link(model.objective, _margins(model, _plain(F.col("features"))))
+    return df.select(*[c for c in df.columns if c != "features"], value.alias(output))
