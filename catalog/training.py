@@ -14,6 +14,7 @@ from treeline.operators import gradients as G
 from treeline.operators import group_gradients as GG
 from treeline.operators import histograms as H
 from treeline.operators import routing
+from treeline.operators.sketches import weighted_feature_bins
 from treeline.plans.boosting import fit_boosted_trees
 from treeline.plans.kfold import fit_kfold
 from treeline.plans.linear import fit_linear, predict_linear
@@ -42,6 +43,21 @@ def _quantiles(spark, sf):
     return H.feature_bins(df, 1024).select("feature", F.explode("cuts").alias("cut"))
 
 
+# Bins between weighted cuts: whole mass, and none of several values that holds over twice its share.
+@query("feature_bins_weighted", f"""WITH {ORDERS_SQL}, long AS (SELECT unnest([0, 1, 2, 3]) AS feature, unnest(features) AS v, grade FROM ords)
+SELECT CAST(feature AS INT) AS feature, CAST(sum(grade) AS DOUBLE) AS mass, CAST(sum(grade) AS DOUBLE) AS binned, least(count(DISTINCT v), 32) AS bins, true AS even
+FROM long GROUP BY feature""")
+def _weighted_bins(spark, sf):
+    df = order_rows(spark, sf).withColumn("weight", F.col("grade").cast("double"))
+    found = weighted_feature_bins(df, 32)
+    long = df.select("weight", F.posexplode("features").alias("feature", "v")).join(F.broadcast(found), "feature")  # four lines of at most 32 cuts
+    inside = long.groupBy("feature", "mass", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("bin"))
+    share = inside.agg(F.sum("weight").alias("held"), (F.min("v") < F.max("v")).alias("several"))
+    return share.groupBy("feature", "mass").agg(
+        F.sum("held").alias("binned"), F.count(F.lit(1)).alias("bins"), F.every(~F.col("several") | (F.col("held") <= F.col("mass") / 16)).alias("even")
+    )
+
+
 # Objective, label, and the SQL for g and h at margin m.
 ROW_OBJECTIVES = {
     "reg:squarederror": ("price", "m - y", "1.0"),

@@ -4,12 +4,13 @@ import copy
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from treeline.operators import crossval as V
 from treeline.operators import histograms as H
-from treeline.operators import ordering, pairs
+from treeline.operators import ordering, pairs, sketches
 from treeline.operators.folds import kfold_assign, stratified_kfold_assign
 from treeline.operators.hooks import score_with_user_hooks
 from treeline.plans import boosting, scoring
@@ -426,3 +427,40 @@ def test_shapley_values_equal_the_subset_formula(spark, rows, params):
     model.trees[0][0].cover[0] = 0.0
     with pytest.raises(ValueError, match="covers"):
         predict_contribs(some, model)
+
+
+@pytest.mark.parametrize("rows, batch", [(30, 1000), (60_000, 500)])
+def test_weighted_cuts_keep_their_ranks(spark, monkeypatch, rows, batch):
+    monkeypatch.setattr(sketches, "POINTS", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        r = np.random.default_rng(5)
+        a, b, w = np.round(r.gamma(2.0, 5.0, rows), 3), r.integers(0, 5, rows).astype(float), r.integers(0, 4, rows).astype(float)
+        w[a > 25] *= 20
+        b[:3] = np.nan
+        data = [(float(z), [float(x), None if np.isnan(y) else float(y)]) for x, y, z in zip(a, b, w)] + [(None, [1e9, -1e9])]
+        frame = spark.createDataFrame(data, "weight double, features array<double>").repartition(5)
+        got = {x.feature: x for x in sketches.weighted_feature_bins(frame, 16).collect()}
+        assert got[1].cuts == sorted(set(b[(w > 0) & ~np.isnan(b)].tolist()))[1:] and got[1].mass == w[~np.isnan(b)].sum()
+        order = np.argsort(a)
+        ends = np.cumsum(w[order]) / w.sum()
+        ranks = [ends[np.searchsorted(a[order], c, side="right") - 1] for c in got[0].cuts]
+        if rows > 1000:
+            assert len(ranks) == 15 and all(abs(x - (i + 1) / 16) <= 1 / 16 for i, x in enumerate(ranks))
+        sparse = frame.withColumn("features", F.map_from_arrays(F.sequence(F.lit(0), F.lit(1)), "features"))
+        assert {x.feature for x in sketches.weighted_feature_bins(sparse, 16).collect()} == {0, 1}
+        assert sketches.weighted_feature_bins(frame.where("weight < 0"), 16).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_merged_summary_moves_no_rank_by_more_than_its_share():
+    r = np.random.default_rng(6)
+    v, m = r.normal(size=5000), r.random(5000)
+    m[17] = 900.0
+    kept, mass = sketches.merge([v[:2000], v[2000:]], [m[:2000], m[2000:]], 100)
+    assert len(kept) <= 100 and mass.sum() == pytest.approx(m.sum()) and v[17] in kept
+    order = np.argsort(v)
+    true = np.cumsum(m[order])
+    held = np.concatenate(([0.0], np.cumsum(mass)))[np.searchsorted(kept, v[order], side="right")]
+    assert np.abs(true - held).max() <= m.sum() / 100 + 1e-6

@@ -23,6 +23,7 @@ from treeline.operators.confusion import metric_names, tuning_metrics
 from treeline.operators.evaluation import is_maximize, is_pointwise, mean_aggregate
 from treeline.operators.group_gradients import group_gradients
 from treeline.operators.metric_by_name import evaluate_named
+from treeline.operators.sketches import weighted_feature_bins
 from treeline.operators.routing import Tree
 from treeline.operators.sampling import choose_features, gradient_size, keep_probability, keep_row
 from treeline.functions.hashing import hash_unit, local_hash_int
@@ -100,9 +101,10 @@ def _prepare(df: DataFrame, cuts, margins: list[str], base: float, objective: st
 
 
 def _cut_points(df: DataFrame, n_features: int, max_bin: int) -> list[list[float]]:
-    """Cut points on the driver: part of the model, at most features x max_bin numbers."""
+    """Cut points on the driver: part of the model, at most features x max_bin numbers. Row weights count, if given."""
     cuts: list[list[float]] = [[] for _ in range(n_features)]
-    for row in H.feature_bins(df, max_bin).collect():
+    found = weighted_feature_bins(df, max_bin) if "weight" in df.columns else H.feature_bins(df, max_bin)
+    for row in found.collect():
         cuts[row["feature"]] = list(row["cuts"])
     return cuts
 
