@@ -177,7 +177,7 @@ def test_checkpoint_names():
 
 
 def test_refresh_on_the_same_rows_keeps_the_model_and_prune_cuts(spark, rows):
-    model = fit_boosted_trees(rows, {"num_round": 2, "max_depth": 2, "max_bin": 16, "base_score": 0.0})
+    model = fit_boosted_trees(rows, {"num_round": 2, "max_depth": 2, "max_bin": 16, "base_score": 9.0})
     fresh = refresh_trees(rows, model)
     assert [r[12] for r in fresh.node_rows() if r[9] is not None] == pytest.approx([r[12] for r in model.node_rows() if r[9] is not None], abs=1e-6)
     pruned = prune_trees(copy.deepcopy(model), 1e12)
@@ -464,3 +464,18 @@ def test_a_merged_summary_moves_no_rank_by_more_than_its_share():
     true = np.cumsum(m[order])
     held = np.concatenate(([0.0], np.cumsum(mass)))[np.searchsorted(kept, v[order], side="right")]
     assert np.abs(true - held).max() <= m.sum() / 100 + 1e-6
+
+
+def test_absolute_error_leaves_are_weighted_medians(spark):
+    r = np.random.default_rng(8)
+    side, y, w = r.integers(0, 2, 500), np.round(r.gamma(2.0, 3.0, 500), 2), r.integers(1, 9, 500).astype(float)
+    frame = spark.createDataFrame([(i, float(b), float(c), [float(a)]) for i, (a, b, c) in enumerate(zip(side, y + 9 * side, w))], "row_id long, label double, weight double, features array<double>")
+    model = fit_boosted_trees(frame.repartition(6), {"objective": "reg:absoluteerror", "num_round": 1, "max_depth": 1, "eta": 1.0, "base_score": 9.0})
+    got = {}
+    for x in predict_trees(frame, model).join(frame.select("row_id", F.col("features")[0].alias("side")), "row_id").collect():
+        got[x.side] = x.prediction
+    for s in (0, 1):
+        own = np.sort(y[side == s] + 9 * s)
+        mass = np.cumsum(w[side == s][np.argsort(y[side == s] + 9 * s)])
+        # the margin starts at 9; the leaf holds the median residual
+        assert got[float(s)] == pytest.approx(own[np.searchsorted(mass, mass[-1] / 2)])

@@ -23,7 +23,7 @@ from treeline.operators.confusion import metric_names, tuning_metrics
 from treeline.operators.evaluation import is_maximize, is_pointwise, mean_aggregate
 from treeline.operators.group_gradients import group_gradients
 from treeline.operators.metric_by_name import evaluate_named
-from treeline.operators.sketches import weighted_feature_bins
+from treeline.operators.sketches import weighted_feature_bins, weighted_medians
 from treeline.operators.routing import Tree
 from treeline.operators.sampling import choose_features, gradient_size, keep_probability, keep_row
 from treeline.functions.hashing import hash_unit, local_hash_int
@@ -291,11 +291,12 @@ class Grower:
 
 
 def _refit_to_median(df: DataFrame, grower: Grower, margins: list[str], eta: float) -> None:
-    """Leaf values of the absolute-error objective: the median residual of each leaf."""
+    """Leaf values of the absolute-error objective: the weighted median residual of each leaf."""
     for t, tree in enumerate(grower.trees):
         residual = F.col("label") - F.col(margins[tree.group])
-        for row in df.groupBy(f"n_{t}").agg(F.percentile_approx(residual, 0.5, 10_000).alias("v")).collect():
-            tree.value[row[0]] = row["v"] * eta / grower.parallel
+        long = df.select(F.col(f"n_{t}").alias("feature"), residual.alias("value"), "w").where("value IS NOT NULL AND feature IS NOT NULL")
+        for row in weighted_medians(long).collect():  # one row per leaf
+            tree.value[row["feature"]] = row["median"] * eta / grower.parallel
 
 
 def _dropped(params: dict, model: Model, round_number: int) -> list[tuple[int, int]]:
