@@ -3,6 +3,7 @@
 import copy
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -21,6 +22,7 @@ from treeline.plans.parameters import DEFAULTS, resolve_parameters
 from treeline.plans.refresh import prune_trees, refresh_trees
 from treeline.plans.resume import checkpoint_rounds, load_checkpoint, resume_fit, stored_rounds
 from treeline.plans.scoring import predict_contribs, predict_trees
+from treeline.session import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +83,53 @@ def test_histogram_totals(spark, rows):
         assert r["g"] == pytest.approx(want, abs=1e-2) and r["n"] == 800
 
 
+@pytest.mark.parametrize("top", [5, 60_000])
+def test_histogram_equals_exploded_rows(spark, top, monkeypatch):
+    """Few cells are counted in place, many by sorting; small chunks and a small store of cells change nothing."""
+    df = spark.range(3000).repartition(3).select(
+        (F.col("id") % 2).cast("int").alias("tree"), (F.col("id") % 7).cast("int").alias("node"),
+        F.when(F.col("id") % 11 != 0, F.sin("id") * 1e3).alias("g"), (F.col("id") % 5 / 3).alias("h"),
+        F.array(*[(F.hash("id", F.lit(i)) % top + top).cast("int") for i in range(3)]).alias("bins"),
+    )
+    monkeypatch.setattr(H, "CHUNK_ROWS", 300)
+    monkeypatch.setattr(H, "HELD_CELLS", 500)
+    got = H.node_histogram(df, bits=40)
+    long = df.select("tree", "node", *[F.coalesce(H.fixed_point(F.col(c), 40), F.lit(0)).alias(c) for c in "gh"], F.posexplode("bins").alias("feature", "bin"))
+    want = long.groupBy("tree", "node", "feature", "bin").agg(F.sum("g").alias("sg"), F.sum("h").alias("sh"), F.count(F.lit(1)).alias("n"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert H.node_histogram(df.limit(0)).count() == 0
+
+
+def test_histogram_sums_keep_every_bit():
+    values = np.array([2**61 + 1, 2**60 + 3, -(2**61) + 5, -7])
+    assert H._exact_sums(np.array([0, 0, 1, 0]), values, 2).tolist() == [2**61 + 2**60 - 3, -(2**61) + 5]
+
+
+def test_ragged_and_missing_features_get_bin_zero(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([([0.5, 2.0],), ([1.0],), (None,), ([None, nan, 7.0],), ([float("-inf"), float("inf"), 0.0],)], "features array<double>")
+    got = [tuple(r["bins"]) for r in H.bin_features(df.coalesce(1), [[1.0], [0.0, 2.0]]).collect()]
+    assert got == [(1, 3), (2, 0), (0, 0), (0, 0), (1, 3)]
+
+
+def test_stored_nodes_change_no_tree(spark, rows, monkeypatch):
+    before = set(spark.sparkContext._jsc.getPersistentRDDs().keys())
+    for params in ({"max_depth": 4}, {"max_depth": 4, "grow_policy": "lossguide", "max_leaves": 6}):
+        params = {"num_round": 1, "max_bin": 32, "subsample": 0.9, "num_parallel_tree": 2, **params}
+        monkeypatch.setattr(boosting, "KEPT_STEPS", 100)
+        want = fit_boosted_trees(rows, params)
+        monkeypatch.setattr(boosting, "KEPT_STEPS", 2)
+        got = fit_boosted_trees(rows, params)
+        assert got.node_rows() == want.node_rows() and got.log == want.log
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keys()) <= before
+    assert not [f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("nodes-")]
+
+
+def test_max_bin_has_a_limit(spark, rows):
+    with pytest.raises(ValueError, match="max_bin"):
+        fit_boosted_trees(rows, {"num_round": 1, "max_bin": 70_000})
+
+
 def test_monotone_and_interaction(spark, rows):
     params = {"num_round": 3, "max_depth": 3, "max_bin": 16, "tree_method": "hist", "monotone_constraints": "(0,-1,0)"}
     model = fit_boosted_trees(rows, params)

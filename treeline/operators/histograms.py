@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import sys
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treeline.operators.ordering import quantile_sketch
@@ -22,6 +20,12 @@ FIXED_POINT_BITS = 20
 MISSING_BIN = 0
 WHOLE_NODE = -1  # the feature under which sparse histograms hold a node's totals
 MIN_GAIN = 1e-6
+# A cell is packed as key number, feature + 1 and bin; the widths are those that routing allows.
+PACKED_BIN, PACKED_FEATURE = 17, 23
+CHUNK_ROWS = 1 << 16  # rows counted together; halves of their 63-bit values add up exactly in doubles
+CHUNK_ENTRIES = 1 << 22
+HELD_CELLS = 1 << 20  # cells a task keeps before it hands them on
+LOW_BITS = 26
 
 
 def feature_values(df: DataFrame, features: str = "features", extra: Sequence[str] = ()) -> DataFrame:
@@ -63,24 +67,34 @@ def bin_features(df: DataFrame, cuts: Sequence[Sequence[float]], features: str =
     if is_sparse(df, features):
         keep = [c for c in df.columns if c != features]
         return df.select(*keep, bin_sparse(df, cuts)(features).alias(out))
-    inf = float("inf")
-    raw = [f"__x_{i}" for i in range(len(cuts))]
-    df = df.select("*", *[F.get(features, F.lit(i)).alias(c) for i, c in enumerate(raw)])
-    cut = [i for i, c in enumerate(cuts) if c]
-    if cut:
-        df = Bucketizer(
-            splitsArray=[[-inf, *cuts[i], inf] for i in cut],
-            inputCols=[raw[i] for i in cut], outputCols=[f"__b_{i}" for i in cut], handleInvalid="keep",
-        ).transform(df)
-
-    def number(i: int) -> Column:
-        x = F.col(raw[i])
-        found = F.col(f"__b_{i}") + 1 if cuts[i] else F.lit(1)
-        return F.when(x.isNull() | F.isnan(x), F.lit(MISSING_BIN)).otherwise(found).cast("short")
-
-    made = F.array(*[number(i) for i in range(len(cuts))]).alias(out)
-    keep = [c for c in df.columns if c != features and not c.startswith(("__x_", "__b_"))]
-    return df.select(*keep, made)
+    keep = [c for c in df.columns if c != features]
+    return df.select(*keep, bin_dense(df, cuts)(features).alias(out))
+
+
+def bin_dense(df: DataFrame, cuts: Sequence[Sequence[float]]):
+    """Arrow function from an array of values to an array of bins, one per feature; absent entries are missing ones."""
+    shared = df.sparkSession.sparkContext.broadcast([np.array(c, dtype=float) for c in cuts])
+    kind = np.int16 if max(map(len, cuts), default=0) + 1 < 2**15 else np.int32
+
+    @F.arrow_udf("array<short>" if kind is np.int16 else "array<int>")
+    def binned(features: pa.Array) -> pa.Array:
+        cuts, n = shared.value, len(features)
+        width = len(cuts)
+        lengths = np.asarray(features.value_lengths().fill_null(0), dtype=np.int64)
+        flat = features.flatten().to_numpy(zero_copy_only=False).astype(float)
+        if (lengths == width).all():
+            x = flat.reshape(n, width)
+        else:
+            row = np.repeat(np.arange(n), lengths)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            x, inside = np.full((n, width), np.nan), at < width
+            x[row[inside], at[inside]] = flat[inside]
+        bins = np.empty((n, width), dtype=kind)
+        for i, c in enumerate(cuts):
+            bins[:, i] = np.where(np.isnan(x[:, i]), MISSING_BIN, np.searchsorted(c, x[:, i], side="right") + 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(bins.ravel()))
+
+    return binned
 
 
 def bin_sparse(df: DataFrame, cuts: Sequence[Sequence[float]]):
@@ -121,19 +135,162 @@ def fixed_point(value: Column, bits: int = FIXED_POINT_BITS) -> Column:
     return F.floor(value * float(2**bits) + 0.5).cast("bigint")
 
 
+def _codes(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 of the different tuples, one per row, and a row of each tuple."""
+    code = np.zeros(columns.shape[1], dtype=np.int64)
+    for values in columns:
+        least, span = int(values.min()), int(values.max()) - int(values.min()) + 1
+        at = values - least if span <= CHUNK_ROWS else np.unique(values, return_inverse=True)[1]
+        code = code * (int(at.max()) + 1) + at
+        if code.max() >= CHUNK_ROWS:
+            code = np.unique(code, return_inverse=True)[1]
+    row_of = np.full(int(code.max()) + 1, -1, dtype=np.int64)
+    row_of[code] = np.arange(len(code))
+    used = np.flatnonzero(row_of >= 0)
+    return np.searchsorted(used, code), row_of[used]
+
+
+def _exact_sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``values`` by ``index``; whole numbers are added in two halves, so that no bit is lost."""
+    if values.dtype.kind == "f":
+        return np.bincount(index, values, size)
+    low = np.bincount(index, values & ((1 << LOW_BITS) - 1), size).astype(np.int64)
+    return (np.bincount(index, values >> LOW_BITS, size).astype(np.int64) << LOW_BITS) + low
+
+
+def _entries(bins: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and bin of every entry of an array or map column."""
+    if isinstance(bins, pa.MapArray):
+        ends = np.asarray(bins.offsets, dtype=np.int64)
+        feature, number = (x.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for x in (bins.keys, bins.items))
+        lengths = np.diff(ends)
+    else:
+        lengths = np.asarray(bins.value_lengths().fill_null(0), dtype=np.int64)
+        number = bins.flatten().to_numpy(zero_copy_only=False)
+        feature = np.arange(len(number)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.repeat(np.arange(len(bins)), lengths), feature.astype(np.int64), number.astype(np.int64)
+
+
+def _count_chunk(key: np.ndarray, keys: int, g: np.ndarray, h: np.ndarray, entries: tuple) -> tuple[np.ndarray, ...]:
+    """Packed cells of some rows, ascending, and their sums of g, h and rows. ``key`` is below 0 for rows that don't count."""
+    row, feature, number = entries
+    if (key < 0).any():
+        wanted = key[row] >= 0
+        row, feature, number = row[wanted], feature[wanted], number[wanted]
+    if not len(row):
+        none = np.zeros(0, dtype=np.int64)
+        return none, g[:0], h[:0], none
+    features, bins = int(feature.max()) + 2, int(number.max()) + 1
+    size = keys * features * bins
+    if size <= 4 * len(row):
+        index = (key[row] * features + feature + 1) * bins + number
+        n = np.bincount(index, minlength=size)
+        at = np.flatnonzero(n)
+        cells = ((at // bins // features) << PACKED_FEATURE + PACKED_BIN) | ((at // bins % features) << PACKED_BIN) | at % bins
+    else:
+        packed = (key[row] << PACKED_FEATURE + PACKED_BIN) | ((feature + 1) << PACKED_BIN) | number
+        cells, index = np.unique(packed, return_inverse=True)
+        size, at = len(cells), slice(None)
+        n = np.bincount(index, minlength=size)
+    return cells, _exact_sums(index, g[row], size)[at], _exact_sums(index, h[row], size)[at], n[at].astype(np.int64)
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Cells of several parts, each once."""
+    if len(parts) == 1:
+        return parts[0]
+    cells, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
+    first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, dtype=np.int64)
+    return cells[first], *[np.add.reduceat(s[order], first) if len(cells) else s for s in sums]
+
+
+def count_cells(
+    df: DataFrame, members: Sequence[tuple[Sequence[Column], Column, Column, Column | None]], keys: Sequence[str], bins: str = "bins",
+    bits: int | None = FIXED_POINT_BITS,
+) -> DataFrame:
+    """``keys, feature, bin, sg, sh, n`` over all ``members``: (integer key columns, g, h, condition) that share a row's bins.
+
+    Tasks add up their rows in numpy, batch by batch, and hand on cells, at most ``HELD_CELLS`` at a time; the shuffle
+    carries no rows. Its keys leave out the bin, so the windows of ``best_split`` need no shuffle of their own.
+    """
+    columns, any_wanted = [], F.lit(False)
+    for m, (key, g, h, wanted) in enumerate(members):
+        for j, k in enumerate(key):
+            columns.append(k.cast("bigint").alias(f"__k{m}_{j}"))
+        for name, value in (("g", g), ("h", h)):
+            value = value.cast("double") if bits is None else fixed_point(value, bits)
+            columns.append(F.coalesce(value, F.lit(0).cast("double" if bits is None else "bigint")).alias(f"__{name}{m}"))
+        wanted = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+        columns.append(wanted.alias(f"__w{m}"))
+        any_wanted = any_wanted | wanted
+    width, number = len(keys), len(members)
+    sent = df.where(any_wanted).select(*columns, F.col(bins).alias("__bins"))
+    names = [*keys, "feature", "bin", "sg", "sh", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[tuple[int, ...], int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out(parts) -> pa.RecordBatch:
+            cells, sg, sh, n = _merged(parts)
+            table = np.array(list(numbers), dtype=np.int64).reshape(-1, width)
+            own = table[cells >> PACKED_FEATURE + PACKED_BIN]
+            feature = (cells >> PACKED_BIN & (1 << PACKED_FEATURE) - 1) - 1
+            made = [own[:, j].astype(np.int32) for j in range(width)] + [feature.astype(np.int32), (cells & (1 << PACKED_BIN) - 1).astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in [*made, sg, sh, n]], names)
+
+        def chunks() -> Iterator[pa.RecordBatch]:
+            waiting, rows, entries = [], 0, 0
+            for batch in batches:
+                for start in range(0, batch.num_rows, CHUNK_ROWS):
+                    piece = batch.slice(start, CHUNK_ROWS)
+                    ends = piece.column(piece.num_columns - 1).offsets
+                    inside = ends[-1].as_py() - ends[0].as_py()
+                    if waiting and (rows + piece.num_rows > CHUNK_ROWS or entries + inside > CHUNK_ENTRIES):
+                        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                        waiting, rows, entries = [], 0, 0
+                    waiting.append(piece)
+                    rows, entries = rows + piece.num_rows, entries + inside
+            if rows:
+                yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+        for chunk in chunks():
+            entries = _entries(chunk.column(chunk.num_columns - 1))
+            column = {f.name: chunk.column(i) for i, f in enumerate(chunk.schema)}
+            for m in range(number):
+                wanted = np.asarray(column[f"__w{m}"].to_numpy(zero_copy_only=False), dtype=bool)
+                g, h = (column[f"__{c}{m}"].to_numpy(zero_copy_only=False) for c in "gh")
+                stacked = np.stack([column[f"__k{m}_{j}"].fill_null(0).to_numpy(zero_copy_only=False) for j in range(width)])
+                code, first = _codes(stacked)
+                own = [numbers.setdefault(tuple(k), len(numbers)) for k in stacked[:, first].T.tolist()]
+                key = np.where(wanted, np.array(own, dtype=np.int64)[code], -1)
+                part = _count_chunk(key, len(numbers), g, h, entries)
+                if len(part[0]):
+                    held.append(part)
+            if sum(len(x[0]) for x in held) > HELD_CELLS:
+                held = [_merged(held)]
+                if len(held[0][0]) > HELD_CELLS // 2:
+                    yield out(held)
+                    held = []
+        if held:
+            yield out(held)
+
+    kind = "double" if bits is None else "bigint"
+    partial = sent.mapInArrow(run, ", ".join([f"{k} int" for k in keys] + ["feature int, bin int", f"sg {kind}, sh {kind}, n bigint"]))
+    return partial.repartition(*keys, "feature").groupBy(*keys, "feature", "bin").agg(F.sum("sg").alias("sg"), F.sum("sh").alias("sh"), F.sum("n").alias("n"))
+
+
 def node_histogram(
     df: DataFrame, keys: Sequence[str] = ("tree", "node"), bins: str = "bins", g: str = "g", h: str = "h", bits: int | None = FIXED_POINT_BITS
 ) -> DataFrame:
-    """``keys, feature, bin, sg, sh, n``: sums of g and h, in fixed point unless ``bits`` is None.
+    """``keys, feature, bin, sg, sh, n``: sums of g and h, in fixed point unless ``bits`` is None; keys are integers.
 
-    Rows are exploded by feature but combined on the map side, so the shuffle carries at most
-    nodes x features x bins rows per task. Of sparse rows only present entries are counted; missing ones are the
-    difference to the node's totals (feature ``WHOLE_NODE``).
+    Of sparse rows only present entries are counted; missing ones are the difference to the node's totals (feature
+    ``WHOLE_NODE``).
     """
-    gv, hv = (F.col(g), F.col(h)) if bits is None else (fixed_point(F.col(g), bits), fixed_point(F.col(h), bits))
-    each = F.explode(bins) if is_sparse(df, bins) else F.posexplode(bins)
-    long = df.select(*keys, gv.alias("g"), hv.alias("h"), each.alias("feature", "bin"))
-    return long.groupBy(*keys, "feature", "bin").agg(F.sum("g").alias("sg"), F.sum("h").alias("sh"), F.count(F.lit(1)).alias("n"))
+    return count_cells(df, [([F.col(k) for k in keys], F.col(g), F.col(h), None)], keys, bins, bits)
 
 
 def threshold_sql(g: str, alpha: float) -> str:

@@ -13,7 +13,7 @@ import math
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treeline.operators import gradients as G
 from treeline.operators import histograms as H
@@ -29,7 +29,7 @@ from treeline.operators.sampling import choose_features, gradient_size, keep_pro
 from treeline.functions.hashing import hash_unit, local_hash_int
 from treeline.plans.model import Model
 from treeline.plans.parameters import resolve_parameters
-from treeline.session import scratch_path
+from treeline.session import remove_path, scratch_path
 
 CARRIED = ("row_id", "group_id", "label_lower", "label_upper", "fold")
 REFRESH_ROUNDS = 5
@@ -37,6 +37,7 @@ REFRESH_ROUNDS = 5
 UNWEIGHTED = ("mae", "rmse", "mse")
 ROUND_SEED = 1_000_003  # between the seeds of two rounds
 HISTOGRAM_BITS = 62
+KEPT_STEPS = 8  # levels a row is routed through again before its nodes are stored with it
 SUBTRACT_CELLS = 200_000_000
 SMALL_CELLS = 50_000_000
 
@@ -114,12 +115,14 @@ class Grower:
 
     def __init__(self, params: dict, cuts, n_classes: int, round_number: int, bits: int | None, cells: int, sparse: bool = False):
         self.p, self.cuts, self.k, self.round, self.bits, self.sparse = params, cuts, n_classes, round_number, bits, sparse
-        self.subtract = cells >= SUBTRACT_CELLS
+        self.subtract = cells >= SUBTRACT_CELLS and bits is not None  # exact on whole numbers only
         self.parallel = int(params["num_parallel_tree"])
         self.trees = [Tree(group=t % n_classes) for t in range(n_classes * self.parallel)]
         self.nodes = [f"n_{t}" for t in range(len(self.trees))]
         self.frames: dict[tuple[int, int], DataFrame] = {}
         self.kept: list[DataFrame] = []
+        self.stored: list[str] = []  # folders of rows with their nodes
+        self.steps = 0
         monotone = params.get("monotone_constraints")
         self.monotone = list(monotone) + [0] * (len(cuts) - len(monotone)) if monotone else None
         self.groups = [frozenset(g) for g in params.get("interaction_constraints") or []]
@@ -157,37 +160,27 @@ class Grower:
         return (limit("low"), limit("high")), f"get({routing.literal_array(self.monotone)}, feature)"
 
     # -- histogram of some nodes
-    def rows_of(self, df: DataFrame, build) -> DataFrame:
+    def count(self, df: DataFrame, build) -> DataFrame:
         by_tree: dict[int, list[int]] = {}
         for t, n in build:
             by_tree.setdefault(t, []).append(n)
-        sampled = "s_0" in df.columns
-        if len(self.trees) == 1:
-            df = df.where(F.col("n_0").isin(by_tree[0]))
-            if sampled:
-                df = df.where("s_0")
-            return df.select(F.lit(0).alias("tree"), F.col("n_0").alias("node"), F.col("g_0").alias("g"), F.col("h_0").alias("h"), "bins")
-        entries = []
-        for t in by_tree:
-            wanted = F.col(f"n_{t}").isin(by_tree[t])
-            if sampled:
+        members = []
+        for t, nodes in by_tree.items():
+            wanted = F.col(f"n_{t}").isin(nodes)
+            if "s_0" in df.columns:
                 wanted = wanted & F.col(f"s_{t // self.k}")
-            entry = F.struct(
-                F.lit(t).alias("tree"), F.col(f"n_{t}").alias("node"), F.col(f"g_{t % self.k}").alias("g"), F.col(f"h_{t % self.k}").alias("h")
-            )
-            entries.append(F.when(wanted, entry))
-        exploded = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"), "bins")
-        return exploded.select("e.tree", "e.node", "e.g", "e.h", "bins")
+            members.append(([F.lit(t), F.col(f"n_{t}")], F.col(f"g_{t % self.k}"), F.col(f"h_{t % self.k}"), wanted))
+        return H.count_cells(df, members, ("tree", "node"), bits=self.bits)
 
     def histogram(self, df: DataFrame, frontier, pairs) -> DataFrame:
         """Histograms of the frontier. On large inputs only the roots and smaller children are counted and the
         larger children come from their parent by subtraction; on small ones a second shuffle costs more."""
         if pairs is None or not self.subtract:
-            hist = H.node_histogram(self.rows_of(df, frontier), bits=self.bits)
+            hist = self.count(df, frontier)
             if not self.subtract and not self.sparse:
                 return hist
         else:
-            built = H.node_histogram(self.rows_of(df, [s for s, _, _ in pairs]), bits=self.bits)
+            built = self.count(df, [s for s, _, _ in pairs])
             parents = {id(self.frames[p]): self.frames[p] for _, _, p in pairs}
             parent_hist = None
             for frame in parents.values():
@@ -240,9 +233,25 @@ class Grower:
         out = self._by_loss(df) if self.p["grow_policy"] == "lossguide" else self._by_depth(df)
         return out
 
-    def finish(self) -> None:
+    def step(self, df: DataFrame) -> DataFrame:
+        self.steps += 1
+        return routing.step_all(df, self.trees, self.nodes, True, "bins")
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """Every few levels the rows are written with their nodes, so that deep trees don't start from the root again
+        and plans stay small. Folders last until the trees are finished: what is recomputed reads what was read before."""
+        if self.steps < KEPT_STEPS:
+            return df
+        self.steps = 0
+        self.stored.append(scratch_path(df.sparkSession, "nodes"))
+        df.write.parquet(self.stored[-1])
+        return df.sparkSession.read.schema(df.schema).parquet(self.stored[-1])
+
+    def finish(self, spark: SparkSession) -> None:
         for hist in self.kept:
             hist.unpersist()
+        for path in self.stored:
+            remove_path(spark, path)
 
     def _by_depth(self, df: DataFrame) -> DataFrame:
         limit = int(self.p["max_depth"]) or 10**9
@@ -250,6 +259,7 @@ class Grower:
         budget = {t: leaves_left for t in range(len(self.trees))}
         frontier, pairs, depth = [(t, 0) for t in range(len(self.trees))], None, 0
         while frontier and depth < limit:
+            df = self.store(df)
             rows = self.split(df, frontier, pairs)
             if depth == 0:
                 self.root_values(rows)
@@ -260,7 +270,7 @@ class Grower:
                     pairs.append(self.apply(row))
             if not pairs:
                 break
-            df = routing.step_all(df, self.trees, self.nodes, True, "bins")
+            df = self.step(df)
             frontier = [key for s, b, _ in pairs for key in (s, b)]
             depth += 1
         return df
@@ -284,8 +294,9 @@ class Grower:
                 continue
             budget[t] -= 1
             pair = self.apply(row)
-            df = routing.step_all(df, self.trees, self.nodes, True, "bins")
+            df = self.step(df)
             if self.trees[t].depth[pair[0][1]] < limit and budget[t] > 0:
+                df = self.store(df)
                 push(self.split(df, [pair[0], pair[1]], [pair]))
         return df
 
@@ -364,6 +375,8 @@ def fit_boosted_trees(
             raise ValueError(f"{rule} ({shape[f'r{i}']} rows)")
     if (shape["least"] or 0) < 0 or (shape["width"] or 0) > routing.MAX_FEATURES:
         raise ValueError(f"feature indices must be from 0 to {routing.MAX_FEATURES - 1}")
+    if int(p["max_bin"]) >= 1 << routing.BIN_BITS:
+        raise ValueError(f"max_bin must be below {1 << routing.BIN_BITS}")
     if p["process_type"] == "update":
         return _update(df, p, validation, start, watch, fold, on_round)
     n_features = start.n_features if start else shape["width"] or 0
@@ -445,7 +458,7 @@ def fit_boosted_trees(
                 updated = _tree_contributions(updated, out, margins, -(1.0 - shrink) / shrink)
             updated = routing.route(updated, grower.trees, nodes, True, "bins")
             rows.advance(routing.add_tree_values(updated, grower.trees, nodes, margins), last=round_number == total_rounds - 1)
-        grower.finish()
+        grower.finish(df.sparkSession)
         if held is not None:
             held.unpersist()
             held = None
