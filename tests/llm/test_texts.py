@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -98,6 +99,21 @@ def runs(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def brute_sketch(text):
+    """All run hashes below the threshold, by the library of the hash instead of Spark."""
+    found = set()
+    for run in runs(text):
+        seed = 42
+        for word in run:
+            seed = xxhash.xxh64_intdigest(xxhash.xxh64_digest(word.encode(), 42)[::-1], seed)
+        found.add(signed(seed))
+    return {h for h in found if h < -(2**63) + 2**64 // fingerprints.FRACTION}
+
+
 def test_fingerprints(spark, empty):
     r = random.Random(8)
     rows = [(i * 3, prose(70 + i, r.choice([0, 1, 4, 5, 30, 60, 400]))) for i in range(50)] + [(1000, rows_text := prose(7, 200)), (1003, rows_text), (-5, None), (2000, "é" * 9)]
@@ -105,20 +121,35 @@ def test_fingerprints(spark, empty):
     got = {x.doc_id: x for x in fingerprints.fingerprint_documents(table(spark, rows, 4)).collect()}
     order = sorted(rows)
     assert len(got) == len(rows)
+    errors = []
     for at, (i, text) in enumerate(order):
         text, after = text or "", order[(at + 1) % len(order)][1] or ""
         tail = len(text) // 4
         edited = text[: len(text) - tail] + after[:tail]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        for own, print_ in ((text, got[i].fingerprint), (edited, got[i].edited_fingerprint)):
+            hashes = [signed(int(print_[k : k + 16], 16)) for k in range(16, len(print_), 16)]
+            assert hashes == sorted(brute_sketch(own))
         for other, near in ((edited, got[i].near_edited), (after, got[i].near_next)):
-            a, b = runs(text), runs(other)
-            true = 1.0 if a == b else len(a & b) / min(len(a), len(b)) if a and b else 0.0
-            assert abs(near - true) < (1e-9 if max(len(a), len(b)) <= fingerprints.FLOOR else 0.3)
+            (a, b), (x, y) = (runs(text), runs(other)), (brute_sketch(text), brute_sketch(other))
+            assert near == (1.0 if a == b else len(x & y) / min(len(x), len(y)) if x and y else 0.0)
+            if min(len(a), len(b)) >= 100:
+                errors.append(abs(near - (1.0 if a == b else len(a & b) / min(len(a), len(b)))))
+    assert errors and max(errors) < 4 * 0.5 * (0.75 / 25) ** 0.5 and sum(errors) / len(errors) < 0.05
     assert got[1000].fingerprint == got[1003].fingerprint and got[1000].near_next == 1.0
     assert len({x.fingerprint for x in got.values()}) == len({frozenset(runs(t or "")) for _, t in rows})
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
+def test_union_of_sketches_is_the_sketch_of_the_union(spark):
+    one, two = prose(1, 300), prose(2, 2000)
+    both = spark.createDataFrame([(one,), (two,)], "text string")
+    a, b = (set(r.kept) for r in fingerprints.sketch(both, "text", "kept", "digest").collect())
+    border = {r for r in runs(one + " " + two) if r not in runs(one) | runs(two)}
+    whole = set(fingerprints.sketch(spark.createDataFrame([(one + " " + two,)], "text string"), "text", "kept", "digest").first().kept)
+    assert a | b <= whole and len(whole - a - b) <= len(border) == 4
+
+
 def test_next_document_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
     ids = random.Random(2).sample(range(-(10**12), 10**12), 60) + list(range(40))
