@@ -93,8 +93,18 @@ def test_many_files_and_splits(spark):
     assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got[:-1]]).tolist()
 
 
+@pytest.mark.parametrize("pad", [b"x", b"xyz"])
+def test_ids_that_spell_the_mark_and_wide_ids(pad):
+    spelled = np.frombuffer(pad[:-1] + records.MARK.encode() + pad[:1], dtype="<u2").astype("<u4")
+    for ids_, width in ((spelled, 4), (np.array([1, 65535]), 2), (np.array([1, 65536, 200_000]), 4), (np.zeros(0, dtype="<u4"), 2)):
+        data = records.frame(7, 5, 6, ids_)
+        assert records.MARK.encode() not in data
+        doc, place, before, back = records.parse(data)
+        assert (doc, place, before, back.tolist(), back.itemsize) == (7, 5, 6, ids_.tolist(), width)
+
+
 def test_a_damaged_frame_raises():
-    frame = records.frame(3, 0, 0, np.arange(9), 2)
+    frame = records.frame(3, 0, 0, np.arange(9))
     assert records.parse(frame)[0] == 3
     for at in range(len(frame)):
         with pytest.raises(ValueError):

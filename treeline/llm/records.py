@@ -6,14 +6,15 @@ File layout. A folder holds ``data/part-NNNNN-*`` and ``index``. A data file is
     length of the body      unsigned 64-bit
     masked CRC-32 of those 8 bytes   unsigned 32-bit
     body                    id, place of the frame in its file (bytes), ids before it in its file, bytes per id,
-                            number of ids (five signed 64-bit), then the ids (2 bytes each if the vocabulary has at
-                            most 65,536 entries, else 4)
+                            number of ids (five signed 64-bit), then the ids (2 bytes each if all of them are below
+                            65,536 and the frame doesn't hold ``MARK`` then, else 4)
     masked CRC-32 of the body        unsigned 32-bit
 
 all little-endian; a mask rotates the checksum right by 15 bits and adds a constant, so that a checksum stored inside
 data isn't its own checksum. Frames are written by Spark's own committed writer, so a lost executor or a repeated task
-leaves no partial file, on any file system Spark reaches. ``MARK`` lets Spark split large files; a reader that has the
-index needs only place and size. Files are in ascending order of id, by number and inside.
+leaves no partial file, on any file system Spark reaches. ``MARK`` lets Spark split large files; ids of 4 bytes can't spell
+it, because the highest byte of each is 0 (an id of 2**24 or more can raise). A reader that has the index needs only place
+and size. Files are in ascending order of id, by number and inside.
 
 Cases: a null text is empty and still has its end id; a null id sorts first and is stored as the smallest integer;
 repeated ids are all kept, in any order among themselves; an empty table gives an empty index; other columns are not
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from treeline.llm.tokens import library_encoder, slices
 
 MARK = "\n--frame ends 5d41f0a3c7--\n"
+_MARK = MARK.encode()
 NULL_ID = -(2**63)
 _SIZE = struct.Struct("<QI")
 _BODY = struct.Struct("<qqqqq")
@@ -46,13 +48,14 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc: int | None, place: int, before: int, ids: np.ndarray, width: int) -> bytes:
-    body = _BODY.pack(NULL_ID if doc is None else doc, place, before, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
-    size = struct.pack("<Q", len(body))
-    out = size + _CHECK.pack(masked(size)) + body + _CHECK.pack(masked(body))
-    if MARK.encode() in out:
-        raise ValueError(f"the ids of document {doc} hold the frame mark")
-    return out
+def frame(doc: int | None, place: int, before: int, ids: np.ndarray) -> bytes:
+    for width in (2, 4) if not len(ids) or int(ids.max()) < 1 << 16 else (4,):
+        body = _BODY.pack(NULL_ID if doc is None else doc, place, before, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
+        size = struct.pack("<Q", len(body))
+        out = size + _CHECK.pack(masked(size)) + body + _CHECK.pack(masked(body))
+        if _MARK not in out:
+            return out
+    raise ValueError(f"the ids of document {doc} hold the frame mark")
 
 
 def parse(data: bytes) -> tuple[int | None, int, int, np.ndarray]:
@@ -70,13 +73,12 @@ def parse(data: bytes) -> tuple[int | None, int, int, np.ndarray]:
     return None if doc == NULL_ID else doc, place, before, ids
 
 
-def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", vocabulary_size: int = 65536) -> None:
+def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text with the library and writes the frames in ascending order of id.
 
     The texts are ordered before they are encoded: one shuffle, and sampling for its ranges reads no token.
     """
-    width = 2 if vocabulary_size <= 65536 else 4
-    step = len(MARK.encode())
+    step = len(_MARK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
@@ -87,7 +89,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id
             coded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
             for doc, ids in zip(part.column(0).to_pylist(), coded, strict=True):
                 ids = np.concatenate([np.frombuffer(ids, dtype="<u4"), end])
-                frames.append(frame(doc, place, before, ids, width))
+                frames.append(frame(doc, place, before, ids))
                 place, before = place + len(frames[-1]) + step, before + len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
@@ -152,12 +154,13 @@ def read_at(spark: SparkSession, folder: str, wanted: DataFrame, id_col: str = "
     Frames come in the order of ``wanted`` within its partitions, so shuffled rows of the index give shuffled reads.
     """
     places = wanted.select("file", "place", "size")
-    base = f"{folder}/data"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/data")
+    base = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(base if "://" in base or base.startswith("file:") else f"file://{base}")
+        store, root = fs.FileSystem.from_uri(base.replace("file:/", "file:///", 1) if base.startswith("file:/") and "://" not in base else base)
         for batch in batches:
             found = []
             for name, place, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
