@@ -95,7 +95,11 @@ def _walk(x: np.ndarray, flat: dict, tree: int) -> Iterator[np.ndarray]:
 
 
 def add_margins(df: DataFrame, model: Model, margins: list[str], features: str = "features", rounds: int | None = None) -> DataFrame:
-    """Adds the summed leaf values plus the base margin, one column per class."""
+    """Adds the summed leaf values plus the base margin, one column per class.
+
+    Leaf values are added to the margin one by one, in the order of the trees, by either path: the bits of the sum don't
+    depend on the size of the ensemble.
+    """
     trees = [t for r in model.trees[: rounds if rounds is not None else len(model.trees)] for t in r]
     df = df.select("*", *[F.lit(float(model.base_margin)).alias(m) for m in margins])
     if sum(len(t.feature) for t in trees) <= LITERAL_NODES:
@@ -112,8 +116,8 @@ def add_margins(df: DataFrame, model: Model, margins: list[str], features: str =
             flat["feature"] = np.where(flat["feature"] < 0, -1, np.searchsorted(used, flat["feature"]))
         shared = df.sparkSession.sparkContext.broadcast(flat)
 
-        def summed(x: np.ndarray) -> np.ndarray:
-            flat, total = shared.value, np.zeros((len(x), k))
+        def summed(x: np.ndarray, total: np.ndarray) -> np.ndarray:
+            flat = shared.value
             for t in range(len(flat["start"])):
                 for node in _walk(x, flat, t):
                     leaf = node
@@ -121,16 +125,19 @@ def add_margins(df: DataFrame, model: Model, margins: list[str], features: str =
             return total
 
         @F.arrow_udf("array<double>")
-        def of_maps(values: pa.Array) -> pa.Array:
-            total = np.concatenate([np.zeros((0, k)), *[summed(x) for _, x in _sparse_matrices(values, used)]])
+        def of_maps(values: pa.Array, before: pa.Array) -> pa.Array:
+            total = before.flatten().to_numpy(zero_copy_only=False).reshape(-1, k).copy()
+            for start, x in _sparse_matrices(values, used):
+                summed(x, total[start : start + len(x)])
             return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * k), pa.array(total.ravel()))
 
         @F.pandas_udf("array<double>")
-        def contribution(values: pd.Series) -> pd.Series:
-            return pd.Series(list(summed(_matrix(values, width))))
+        def of_arrays(values: pd.Series, before: pd.Series) -> pd.Series:
+            total = np.vstack(before.to_numpy()).astype(float) if len(before) else np.zeros((0, k))
+            return pd.Series(list(summed(_matrix(values, width), total)))
 
-        df = df.withColumn("__c", (of_maps if sparse else contribution)(features))
-        df = df.select(*[(F.col(c) + F.get("__c", F.lit(margins.index(c)))).alias(c) if c in margins else F.col(c) for c in df.columns if c != "__c"])
+        df = df.withColumn("__c", (of_maps if sparse else of_arrays)(features, F.array(*margins)))
+        df = df.select(*[F.get("__c", F.lit(margins.index(c))).alias(c) if c in margins else F.col(c) for c in df.columns if c != "__c"])
     return df
 
 
