@@ -125,6 +125,13 @@ def test_stored_nodes_change_no_tree(spark, rows, monkeypatch):
     assert not [f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("nodes-")]
 
 
+def test_a_model_to_save_on_termination_needs_a_place(spark, rows):
+    params = {"num_round": 1, "max_depth": 1, "save_model_on_termination": "true"}
+    with pytest.raises(ValueError, match="resume_fit"):
+        fit_boosted_trees(rows, params)
+    assert fit_boosted_trees(rows, params, on_round=lambda model, last: None).trees
+
+
 def test_max_bin_has_a_limit(spark, rows):
     with pytest.raises(ValueError, match="max_bin"):
         fit_boosted_trees(rows, {"num_round": 1, "max_bin": 70_000})

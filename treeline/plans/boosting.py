@@ -379,6 +379,8 @@ def fit_boosted_trees(
         raise ValueError(f"max_bin must be below {1 << routing.BIN_BITS}")
     if p["process_type"] == "update":
         return _update(df, p, validation, start, watch, fold, on_round)
+    if p.get("save_model_on_termination") == "true" and on_round is None:
+        raise ValueError("save_model_on_termination needs a place for the model: resume_fit saves every round")
     n_features = start.n_features if start else shape["width"] or 0
     if start is not None:
         base = start.base_margin
