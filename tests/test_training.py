@@ -7,7 +7,7 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from treeline.operators import crossval as V
 from treeline.operators import histograms as H
@@ -379,6 +379,82 @@ def test_group_gradients_do_not_depend_on_ranges(spark, rows, monkeypatch, objec
         assert cut[k] == pytest.approx(plain[k], abs=1e-9)
 
 
+def _exchanges(df):
+    """Exchanges of a plan, without those that filled a cache."""
+    found, cache = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if cache is None or depth <= cache:
+            cache = depth if "InMemoryRelation" in line else None
+            found += [line] if "Exchange" in line else []
+    return found
+
+
+@pytest.mark.parametrize("objective", ["rank:pairwise", "rank:ndcg", "rank:map"])
+def test_ranking_gradients_of_small_groups_stay_where_their_rows_lie(spark, monkeypatch, objective):
+    from treeline.operators import group_gradients as GG
+
+    df = spark.range(900).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 50 == 0, None).when(F.col("id") < 150, 0).otherwise(F.col("id") % 60).alias("group_id"),
+        F.when(F.col("id") % 41 == 0, None).otherwise((F.col("id") * 7 % 4).cast("double")).alias("label"),
+        (F.col("id") * 31 % 17 / 5.0).alias("m_0"), F.lit(2.0).alias("w"), F.array(F.col("id").cast("short")).alias("bins"),
+    ).repartition(3, "group_id").persist()
+    df.count()
+    found = GG.group_gradients(df, objective, DEFAULTS, GG.Layout("group_id"))
+    assert not _exchanges(found)
+    local = {r["row_id"]: r for r in found.collect()}
+    spread = {r["row_id"]: r for r in GG._spread_gradients(df, objective, DEFAULTS).collect()}
+    monkeypatch.setattr(GG, "GROUP_ROWS", 100)
+    assert GG.layout(df, objective).hot.collect() == [(0,)]
+    mixed = {r["row_id"]: r for r in GG.group_gradients(df, objective, DEFAULTS).collect()}
+    assert set(local) == set(spread) == set(mixed) and len(local) == 900
+    for k, row in local.items():
+        assert row["bins"] == [k]
+        for other in (spread[k], mixed[k]):
+            assert (row["g_0"], row["h_0"]) == pytest.approx((other["g_0"], other["h_0"]), abs=1e-9)
+    df.unpersist()
+
+
+def test_groups_that_span_batches_and_repeated_ids(spark):
+    from treeline.operators import group_gradients as GG
+
+    df = spark.range(300).select(
+        F.col("id").alias("row_id"), F.floor(F.col("id") / 37).alias("group_id"), (F.col("id") % 3).cast("double").alias("label"),
+        (F.col("id") % 7 / 3.0).alias("m_0"), F.lit(1.0).alias("w"),
+    )
+    def flat(rows):
+        return [v for r in sorted(rows.collect()) for v in r]
+
+    whole = flat(GG.group_gradients(df, "rank:ndcg", DEFAULTS))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        assert flat(GG.group_gradients(df, "rank:ndcg", DEFAULTS)) == pytest.approx(whole)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    twice = df.withColumn("row_id", F.floor(F.col("row_id") / 2))
+    assert not GG.layout(twice, "rank:ndcg").unique
+    assert flat(GG.group_gradients(twice, "rank:ndcg", DEFAULTS)) == pytest.approx(flat(GG._spread_gradients(twice, "rank:ndcg", DEFAULTS)))
+
+
+@pytest.mark.parametrize("objective, key", [("rank:ndcg", "group_id"), ("survival:cox", "time")])
+def test_rounds_of_grouped_objectives_shuffle_no_row(spark, monkeypatch, objective, key):
+    from treeline.plans import boosting
+
+    df = spark.range(600).select(
+        F.col("id").alias("row_id"), (F.col("id") % 60).alias("group_id"), (F.col("id") * 7 % 5 + 1).cast("double").alias("label"),
+        F.array((F.col("id") % 9).cast("double")).alias("features"),
+    )
+    frames, passes = [], []
+    gradients, evaluate = boosting.row_gradients, boosting.evaluate_named
+    monkeypatch.setattr(boosting, "row_gradients", lambda rows, *a: frames.append(_exchanges(rows.groupBy(key).agg(F.sum("m_0")))) or gradients(rows, *a))
+    monkeypatch.setattr(boosting, "evaluate_named", lambda *a: passes.append(a[1]) or evaluate(*a))
+    model = fit_boosted_trees(df, {"objective": objective, "num_round": 2, "max_depth": 2, "max_bin": 8})
+    # as many gradients as rounds, as many values as log lines, and totals per key without a shuffle
+    assert len(model.trees) == len(model.log) == len(passes) == len(frames) == 2
+    assert not frames[0] and not frames[1]
+
+
 def test_salted_lookup_keeps_every_row(spark, monkeypatch):
     monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 20)
     monkeypatch.setattr(ordering, "HOT_KEYS", 10)
@@ -535,3 +611,20 @@ def test_absolute_error_leaves_are_weighted_medians(spark):
         mass = np.cumsum(w[side == s][np.argsort(y[side == s] + 9 * s)])
         # the margin starts at 9; the leaf holds the median residual
         assert got[float(s)] == pytest.approx(own[np.searchsorted(mass, mass[-1] / 2)])
+
+
+def test_sums_of_few_features_need_no_python(spark, monkeypatch):
+    from treeline.plans import linear
+
+    df = spark.range(200).select(
+        (F.col("id") % 3).cast("double").alias("label"), (1.0 + F.col("id") % 2).alias("weight"),
+        F.array((F.col("id") % 7 / 3.0), F.when(F.col("id") % 5 > 0, F.col("id") % 5 / 2.0)).alias("features"),
+    )
+    params = {"objective": "count:poisson", "num_round": 4, "lambda": 0.1}
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "mapInArrow", None)
+        native = linear.fit_linear(df, params)
+    monkeypatch.setattr(linear, "NARROW", 0)
+    monkeypatch.setattr(linear, "NARROW_SUMS", 0)
+    batches = linear.fit_linear(df, params)
+    assert native.bias == pytest.approx(batches.bias) and native.weights[0] == pytest.approx(batches.weights[0])

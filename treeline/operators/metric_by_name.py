@@ -9,8 +9,11 @@ from treeline.operators import confusion, ranking
 from treeline.operators.gradients import is_multiclass, link
 
 
-def evaluate_named(df: DataFrame, metric: str, objective: str, margins: list[str], params: dict) -> float:
-    """Metrics that need an order or a confusion frame; per-row metrics are handled in one pass elsewhere."""
+def evaluate_named(df: DataFrame, metric: str, objective: str, margins: list[str], params: dict, bounds: list[float] | None = None) -> float:
+    """Metrics that need an order or a confusion frame; per-row metrics are handled in one pass elsewhere.
+
+    ``bounds`` cut the range of event times, if they are known.
+    """
     name, _, at = metric.partition("@")
     name = name.strip()
     columns = [F.col(m) for m in margins]
@@ -22,7 +25,7 @@ def evaluate_named(df: DataFrame, metric: str, objective: str, margins: list[str
         fn = ranking.eval_map if name == "map" else ranking.eval_ndcg
         return fn(df, "group_id", margins[0], "label", top).first()[0]
     if name == "cox-nloglik":
-        return ranking.eval_cox_nloglik(df, margins[0], "label").first()[0]
+        return ranking.eval_cox_nloglik(df, margins[0], "label", bounds).first()[0]
     if name in confusion.CLASS_METRICS:
         pred = argmax_label(F.array(*columns)) if is_multiclass(objective) else (columns[0] > 0).cast("int")
         counts = confusion.confusion_counts(df.withColumn("pred", pred))

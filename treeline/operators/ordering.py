@@ -26,11 +26,19 @@ def quantile_sketch(column: str, parts: int, accuracy: int) -> Column:
     return F.expr(f"percentile_approx(cast({column} AS double), array({fractions}), {max(accuracy, 1_000)})")
 
 
-def range_bounds(df: DataFrame, column: str) -> list[float]:
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the most frequent key."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+
+
+def range_bounds(df: DataFrame, column: str, keys: Sequence[str] = ()) -> list[float]:
     """Ascending cut points that leave about ``ROWS_PER_RANGE`` rows per range; none for a small frame.
 
-    A count decides how many are needed; the quantile sketch, combined on the map side, runs only then.
+    A count decides how many are needed; the quantile sketch, combined on the map side, runs only then. Totals inside
+    ``keys`` need no ranges either where no key has more than ``ROWS_PER_RANGE`` rows.
     """
+    if keys and largest_key(df, keys) <= ROWS_PER_RANGE:
+        return []
     ranges = min(MAX_RANGES, -(-df.count() // ROWS_PER_RANGE))
     if ranges <= 1:
         return []
@@ -38,8 +46,10 @@ def range_bounds(df: DataFrame, column: str) -> list[float]:
     return sorted(set(row["q"] or []))
 
 
-def slot_digits(df: DataFrame) -> int:
-    """Hex digits of hash slots that leave about ``ROWS_PER_RANGE`` rows per slot; 0 for a small frame."""
+def slot_digits(df: DataFrame, keys: Sequence[str] = ()) -> int:
+    """Hex digits of hash slots that leave about ``ROWS_PER_RANGE`` rows per slot; 0 for a small frame or only small keys."""
+    if keys and largest_key(df, keys) <= ROWS_PER_RANGE:
+        return 0
     digits, slots = 0, df.count() / ROWS_PER_RANGE
     while slots > 1 and digits < MAX_SLOT_DIGITS:
         digits, slots = digits + 1, slots / 16
@@ -95,7 +105,7 @@ def hash_position(
     holds most rows is still spread over all of them. The number of digits follows the row count. With
     ``blocks`` also: ``same`` rows of this key and lead, ``start`` of their block, ``size`` of the key.
     """
-    digits = slot_digits(df) if digits is None else digits
+    digits = slot_digits(df, keys) if digits is None else digits
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     block = W.partitionBy(*keys, *lead)
     if digits == 0:

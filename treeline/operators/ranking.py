@@ -17,7 +17,7 @@ def score_runs(df: DataFrame, score: str, label: str, weight: str | None, keys:
     y = F.col(label).cast("double")
     rows = df.select(*keys, F.col(score).cast("double").alias("score"), (w * y).alias("pw"), (w * (1.0 - y)).alias("nw"))
     runs = rows.groupBy(*keys, "score").agg(F.sum("pw").alias("pos"), F.sum("nw").alias("neg"))
-    bounds = range_bounds(rows, "score")
+    bounds = range_bounds(rows, "score", keys)
     runs = with_range(runs, "score", bounds, descending=True)
     return running_totals(runs, keys, [F.col("score").desc()], "range_id", {"pos_above": "pos", "neg_above": "neg"}, single=not bounds)
 
@@ -58,7 +58,7 @@ def rank_runs(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
     )
     runs = rows.groupBy("group", "score", "label").agg(F.count(F.lit(1)).alias("n"))
     runs = runs.withColumn("hits", F.when(F.col("label") > 0, F.col("n")).otherwise(F.lit(0)))
-    bounds = range_bounds(rows, "score")
+    bounds = range_bounds(rows, "score", ["group"])
     runs = with_range(runs, "score", bounds, descending=True)
     order = [F.col("score").desc(), F.col("label").asc()]
     return running_totals(runs, ["group"], order, "range_id", {"above": "n", "hits_above": "hits"}, single=not bounds)
@@ -106,10 +106,15 @@ def eval_map(df: DataFrame, group: str, score: str = "score", label: str = "labe
     return each.agg(F.avg(value).alias("map"))
 
 
-def risk_sets(df: DataFrame, margin: str = "margin", label: str = "label") -> tuple[DataFrame, bool]:
+def event_time(df: DataFrame, label: str = "label") -> Column:
+    """The time of each row; rows that lie together by ``time`` have it as a column."""
+    return F.col("time") if "time" in df.columns else F.abs(F.col(label).cast("double"))
+
+
+def risk_sets(df: DataFrame, margin: str = "margin", label: str = "label", bounds: Sequence[float] | None = None) -> tuple[DataFrame, bool]:
     """Whether one range is enough, and per distinct time: events, their margins, and the sum of exp(margin) over rows still at risk."""
     rows = df.select(
-        F.abs(F.col(label).cast("double")).alias("time"),
+        event_time(df, label).alias("time"),
         (F.col(label) > 0).alias("event"),
         F.col(margin).cast("double").alias("m"),
     )
@@ -118,13 +123,13 @@ def risk_sets(df: DataFrame, margin: str = "margin", label: str = "label") -> tu
         F.sum(F.when(F.col("event"), 1).otherwise(0)).alias("events"),
         F.sum(F.when(F.col("event"), F.col("m")).otherwise(0.0)).alias("event_margin"),
     )
-    bounds = range_bounds(rows, "time")
+    bounds = range_bounds(rows, "time") if bounds is None else bounds
     times = with_range(times, "time", bounds, descending=True)
     times = running_totals(times, [], [F.col("time").desc()], "range_id", {"later": "weight"}, single=not bounds)
     return times.withColumn("at_risk", F.col("later") + F.col("weight")), not bounds
 
 
-def eval_cox_nloglik(df: DataFrame, margin: str = "margin", label: str = "label") -> DataFrame:
+def eval_cox_nloglik(df: DataFrame, margin: str = "margin", label: str = "label", bounds: Sequence[float] | None = None) -> DataFrame:
     """Negative partial log likelihood per event; a negative label is a censored time."""
     loss = F.sum(F.when(F.col("events") > 0, F.col("events") * F.log("at_risk") - F.col("event_margin")).otherwise(0.0))
-    return risk_sets(df, margin, label)[0].agg((loss / F.sum("events")).alias("cox_nloglik"))
+    return risk_sets(df, margin, label, bounds)[0].agg((loss / F.sum("events")).alias("cox_nloglik"))

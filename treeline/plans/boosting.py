@@ -21,7 +21,8 @@ from treeline.operators import routing
 from treeline.operators.checks import label_rules
 from treeline.operators.confusion import metric_names, tuning_metrics
 from treeline.operators.evaluation import is_maximize, is_pointwise, mean_aggregate
-from treeline.operators.group_gradients import group_gradients
+from treeline.operators.group_gradients import Layout, group_gradients, layout
+from treeline.operators.ranking import event_time
 from treeline.operators.metric_by_name import evaluate_named
 from treeline.operators.sketches import weighted_feature_bins, weighted_medians
 from treeline.operators.routing import Tree
@@ -40,6 +41,7 @@ HISTOGRAM_BITS = 62
 KEPT_STEPS = 8  # levels a row is routed through again before its nodes are stored with it
 SUBTRACT_CELLS = 200_000_000
 SMALL_CELLS = 50_000_000
+ROWS_PER_PART = 500_000  # of rows that are dealt by their group
 
 
 class Rows:
@@ -49,14 +51,21 @@ class Rows:
     shared folder and read back, so that lost executors recompute a few rounds at most.
     """
 
-    def __init__(self, df: DataFrame, margins: list[str]):
-        self.margins = margins
-        self.df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    def __init__(self, df: DataFrame, margins: list[str], key: str | None = None, parts: int = 0):
+        # with a key, the rows that depend on each other lie in one partition, and rounds don't shuffle them
+        self.margins, self.key, self.parts = margins, key, parts
+        self.df = self._held(df.repartition(parts, key) if key else df)
         self.old: DataFrame | None = None
         self.age = 0
         self._slots = [scratch_path(df.sparkSession, "rows") for _ in range(2)]
         self._turn = 0
 
+    def _held(self, df: DataFrame) -> DataFrame:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if self.key:
+            df.count()  # plans made before a frame is there don't know how its rows are dealt
+        return df
+
     def advance(self, df: DataFrame, last: bool = False) -> None:
         """Takes the frame with updated margins; it is computed by the next pass over the rows."""
         self.settle()
@@ -66,7 +75,8 @@ class Rows:
             self._turn, self.age = self._turn + 1, 0
             df.write.mode("overwrite").parquet(path)
             df = df.sparkSession.read.schema(df.schema).parquet(path)
-        self.old, self.df = self.df, df.persist(StorageLevel.MEMORY_AND_DISK)
+            df = df.repartition(self.parts, self.key) if self.key else df
+        self.old, self.df = self.df, self._held(df)
 
     def settle(self) -> None:
         """Releases the frame of the round before; called once the current one has been computed."""
@@ -362,11 +372,23 @@ def fit_boosted_trees(
         raise ValueError("booster gblinear is trained by fit_linear")
     k = int(p["num_class"]) if G.is_multiclass(objective) else 1
     margins = [f"m_{i}" for i in range(k)]
-    rules = label_rules(objective, p.get("num_class"))
     sparse = routing.is_sparse(df, "features")
+    source = None
+    if objective in G.GROUP_OBJECTIVES and p["process_type"] != "update" and not (df.storageLevel.useMemory or df.storageLevel.useDisk):
+        # these rows are measured and dealt by their groups before training: they are read or joined once for all of it
+        source = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(df, p, objective, k, margins, sparse, validation, start, watch, fold, on_round, source)
+    finally:
+        if source is not None:
+            source.unpersist()
+
+
+def _fit(df: DataFrame, p: dict, objective: str, k: int, margins: list[str], sparse: bool, validation, start, watch, fold: int, on_round, source) -> Model:
+    rules = label_rules(objective, p.get("num_class"))
     widths = [F.max(F.array_max(F.map_keys("features")) + 1), F.min(F.array_min(F.map_keys("features")))] if sparse else [F.max(F.size("features")), F.lit(0)]
     shape = df.agg(
-        widths[0].alias("width"), widths[1].alias("least"), F.sum(F.greatest(F.size("features"), F.lit(0))).alias("cells"), F.count("label").alias("n"), *[c.alias(f"r{i}") for i, c in enumerate(rules.values())]
+        widths[0].alias("width"), widths[1].alias("least"), F.sum(F.greatest(F.size("features"), F.lit(0))).alias("cells"), F.count("label").alias("n"), F.count(F.lit(1)).alias("rows"), *[c.alias(f"r{i}") for i, c in enumerate(rules.values())]
     ).first()
     if not shape["n"]:
         raise ValueError("input data has no labels")
@@ -394,13 +416,21 @@ def fit_boosted_trees(
     if len(model.trees) >= total_rounds:
         return model
 
-    if (shape["cells"] or 0) <= SMALL_CELLS:
+    known = None
+    if objective in G.GROUP_OBJECTIVES and (objective == "survival:cox" or {"row_id", "group_id"} <= set(df.columns)):
+        known = layout(df, objective)
+    if not (known and known.key) and (shape["cells"] or 0) <= SMALL_CELLS:
         # few files can mean fewer partitions than cores; large inputs keep the partitions of their scan
         df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     cuts = _cut_points(df, n_features, max(2, int(p["max_bin"]) or 256))
     if p["booster"] == "dart":
         _bin_splits(model, cuts)
-    train = Rows(_prepare(df, cuts, margins, base, objective, p, start), margins)
+    prepared = _prepare(df, cuts, margins, base, objective, p, start)
+    if known and known.key:
+        prepared = prepared.withColumn("time", event_time(prepared)) if objective == "survival:cox" else prepared
+        train = Rows(prepared, margins, known.key, max(df.sparkSession.sparkContext.defaultParallelism, shape["rows"] // ROWS_PER_PART))
+    else:
+        train = Rows(prepared, margins)
     sets = {"train": train}
     for name, frame in {**({"validation": validation} if validation is not None else {}), **(watch or {})}.items():
         sets[name] = Rows(_prepare(frame, cuts, margins, base, objective, p, start), margins)
@@ -415,11 +445,18 @@ def fit_boosted_trees(
         best = (max if is_maximize(stop_metric) else min)(seen, key=lambda x: x[0], default=None)
 
     for round_number in range(len(model.trees), total_rounds + 1):
-        grad = row_gradients(train.df, objective, p, margins, round_number)
-        held = grad.persist(StorageLevel.MEMORY_AND_DISK) if objective in G.GROUP_OBJECTIVES else None
-        stats, values = _stats_and_metrics(train, grad, objective, metrics, p, margins)
+        done = round_number > 0 and model.trees and len(model.trees) == round_number and round_number > (len(start.trees) if start else 0)
+        wanted = metrics if done else []
+        if round_number == total_rounds:
+            values = evaluate_margins(train.df, objective, wanted, p, margins, known)
+        else:
+            grad = row_gradients(train.df, objective, p, margins, round_number, known)
+            held = grad.persist(StorageLevel.MEMORY_AND_DISK) if objective in G.GROUP_OBJECTIVES else None
+            stats, values = _stats_and_metrics(train, grad, objective, wanted, p, margins, known)
+        if source is not None:
+            source.unpersist()  # the rows stand in their own frame now
         train.settle()
-        if round_number > 0 and model.trees and len(model.trees) == round_number and round_number > (len(start.trees) if start else 0):
+        if done:
             last = round_number - 1
             logged = {}
             for name, rows in sets.items():
@@ -441,7 +478,7 @@ def fit_boosted_trees(
         dropped = _dropped(p, model, round_number)
         if dropped:
             out = [model.trees[r][i] for r, i in dropped]
-            grad = row_gradients(_tree_contributions(train.df, out, margins, -1.0), objective, p, margins, round_number)
+            grad = row_gradients(_tree_contributions(train.df, out, margins, -1.0), objective, p, margins, round_number, known)
             stats, _ = _stats_and_metrics(train, grad, objective, [], p, margins)
         grad = _sample(grad, p, round_number, stats, k)
         bits = _fixed_point_bits(stats) if p["deterministic_histogram"] == "true" else None
@@ -466,6 +503,8 @@ def fit_boosted_trees(
             held = None
     if held is not None:
         held.unpersist()
+    if known and known.hot is not None:
+        known.hot.unpersist()
     for rows in sets.values():
         rows.close()
     return model
@@ -517,10 +556,10 @@ def default_metric(objective: str) -> str:
     return named.get(objective, "rmse")
 
 
-def row_gradients(df: DataFrame, objective: str, p: dict, margins: list[str], round_number: int) -> DataFrame:
+def row_gradients(df: DataFrame, objective: str, p: dict, margins: list[str], round_number: int, known: Layout | None = None) -> DataFrame:
     if objective in G.GROUP_OBJECTIVES:
         # pairs are drawn anew every round
-        return group_gradients(df, objective, {**p, "seed": int(p["seed"]) + ROUND_SEED * round_number})
+        return group_gradients(df, objective, {**p, "seed": int(p["seed"]) + ROUND_SEED * round_number}, known)
     return G.gradient_pairs(df, objective, {**p, "scale_pos_weight": 1.0}, weight="w", margins=tuple(margins))
 
 
@@ -539,7 +578,7 @@ def _metric_weight(metric: str, p: dict) -> Column:
     return F.lit(1.0) if metric in UNWEIGHTED and metric in (named or ()) else F.col("w")
 
 
-def _stats_and_metrics(rows: Rows, grad: DataFrame, objective: str, metrics: Sequence[str], p: dict, margins: list[str]):
+def _stats_and_metrics(rows: Rows, grad: DataFrame, objective: str, metrics: Sequence[str], p: dict, margins: list[str], known: Layout | None = None):
     """Gradient totals and all per-row metrics of the current margins, in one pass."""
     k = len(margins)
     size = sum((gradient_size(F.col(f"g_{i}"), F.col(f"h_{i}"), float(p["lambda"])) for i in range(k)), F.lit(0.0))
@@ -552,12 +591,12 @@ def _stats_and_metrics(rows: Rows, grad: DataFrame, objective: str, metrics: Seq
     row = grad.agg(*aggregates).first()
     values = []
     for i, m in enumerate(metrics):
-        values.append(row[f"v{i}"] if is_pointwise(m) else evaluate_named(rows.df, m, objective, margins, p))
+        values.append(row[f"v{i}"] if is_pointwise(m) else evaluate_named(rows.df, m, objective, margins, p, known.bounds if known else None))
     stats = {"rows": row["rows"], "size": row["size"] or 0.0, "top": max([row[f"g{i}"] or 0.0 for i in range(k)] + [row[f"h{i}"] or 0.0 for i in range(k)])}
     return stats, values
 
 
-def evaluate_margins(df: DataFrame, objective: str, metrics: Sequence[str], p: dict, margins: list[str]) -> list[float]:
+def evaluate_margins(df: DataFrame, objective: str, metrics: Sequence[str], p: dict, margins: list[str], known: Layout | None = None) -> list[float]:
     """Values of ``metrics`` on ``label, w`` and the margin columns; all per-row metrics in one pass."""
     simple = [m for m in metrics if is_pointwise(m)]
     found = {}
@@ -566,7 +605,7 @@ def evaluate_margins(df: DataFrame, objective: str, metrics: Sequence[str], p: d
             mean_aggregate(m, F.col("label"), _prediction(objective, margins, m), _metric_weight(m, p), p).alias(f"v{i}") for i, m in enumerate(simple)
         ]).first()
         found = {m: row[f"v{i}"] for i, m in enumerate(simple)}
-    return [found[m] if m in found else evaluate_named(df, m, objective, margins, p) for m in metrics]
+    return [found[m] if m in found else evaluate_named(df, m, objective, margins, p, known.bounds if known else None) for m in metrics]
 
 
 def _fixed_point_bits(stats: dict) -> int:
