@@ -1,7 +1,7 @@
 """Linear booster: cyclic coordinate descent on the second-order form of any row objective.
 
-A round needs, per class, the sums of g, h*x and h*x*x' over all rows. They are added up per Arrow batch with numpy, per
-column of the sum by Spark, and one row per line of the (small) matrix reaches the driver. There the coordinates are
+A round needs, per class, the sums of g, h*x and h*x*x' over all rows. Of a few features these are plain sums; of more they
+are added up per Arrow batch with numpy, per column of the sum by Spark. The (small) matrix reaches the driver. There the coordinates are
 stepped through one after the other: a step moves the gradient of the others by a known amount, so the result equals
 one pass over the rows per coordinate. Wide rows are cut into blocks of ``BLOCK`` features with one pass each. With a
 squared error the matrix stays the same, and all rounds of one block share a single pass.
@@ -23,6 +23,8 @@ from treeline.plans.parameters import resolve_parameters
 
 SQUARED = ("reg:squarederror", "reg:linear")
 BLOCK = 64
+NARROW = 8  # features whose margin is written out term by term
+NARROW_SUMS = 64  # up to so many sums are Spark's own
 ETA = 0.5
 CONVERGED = 1e-12  # rounds end once no value moves by more than this part of itself
 
@@ -46,6 +48,9 @@ def _plain(features: Column) -> Column:
 def _margins(model: LinearModel, features: Column) -> list[Column]:
     out = []
     for w, b in zip(model.weights, model.bias, strict=True):
+        if len(w) <= NARROW:
+            out.append(sum((F.get(features, F.lit(i)) * F.lit(float(x)) for i, x in enumerate(w)), F.lit(model.base + b)))
+            continue
         weights = F.array(*[F.lit(float(x)) for x in w]).cast("array<double>")
         out.append(F.aggregate(F.zip_with(features, weights, lambda x, y: x * y), F.lit(model.base + b), lambda a, x: a + x))
     return out
@@ -58,6 +63,8 @@ def _named_margins(model: LinearModel) -> list[Column]:
 def _sums(rows: DataFrame, classes: int, first: int, size: int, with_bias: bool) -> dict[int, np.ndarray]:
     """Per class a matrix: its first column holds the sums of g times each coordinate, the others those of h times two."""
     width = size + with_bias
+    if classes * width * (width + 3) // 2 <= NARROW_SUMS:
+        return _plain_sums(rows, classes, first, size, with_bias)
     names = [f"{kind}_{k}" for k in range(classes) for kind in "gh"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +94,22 @@ def _sums(rows: DataFrame, classes: int, first: int, size: int, with_bias: bool)
     return out
 
 
+def _plain_sums(rows: DataFrame, classes: int, first: int, size: int, with_bias: bool) -> dict[int, np.ndarray]:
+    """The same matrices from one aggregate: its lower triangles are mirrored."""
+    x = ([F.lit(1.0)] if with_bias else []) + [F.col(f"x_{first + i}") for i in range(size)]
+    shown = [F.get("features", F.lit(first + i)).alias(f"x_{first + i}") for i in range(size)]
+    rows = rows.select(*shown, *[f"{kind}_{k}" for k in range(classes) for kind in "gh"])
+    spots = [(k, i, j) for k in range(classes) for i in range(len(x)) for j in range(i + 2)]
+    terms = [x[i] * F.col(f"g_{k}") if j == 0 else x[i] * x[j - 1] * F.col(f"h_{k}") for k, i, j in spots]
+    found = rows.agg(*[F.sum(t) for t in terms]).first() if terms else ()
+    out = {k: np.zeros((len(x), len(x) + 1)) for k in range(classes)}
+    for (k, i, j), value in zip(spots, found, strict=True):
+        out[k][i, j] = value or 0.0
+        if j:
+            out[k][j - 1, i + 1] = value or 0.0
+    return out
+
+
 def _descend(sums: np.ndarray, w: np.ndarray, l1: np.ndarray, l2: np.ndarray, eta: float) -> np.ndarray:
     """Steps every coordinate once, in order; ``sums`` gets the gradients after the steps. Returns the new values."""
     w = w.copy()
