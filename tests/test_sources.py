@@ -2,6 +2,7 @@
 
 import os
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -274,3 +275,19 @@ def test_varints_of_any_length():
     assert recordio.varints(packed).tolist() == numbers and recordio.varints(recordio._raw_varint(300)).tolist() == [300]
     with pytest.raises(ValueError):
         recordio.varints(packed + b"\x80")
+
+
+def test_a_range_is_read_in_windows(monkeypatch):
+    bodies = [bytes([i % 251]) * (i * 37 % 90) for i in range(400)] + [b"x" * 700, struct.pack("<II", recordio.MAGIC, 12) + b"no frame"]
+    file = b"".join(recordio._frame(b) for b in bodies)
+    asked = []
+
+    def read(at, n):
+        asked.append(n)
+        return file[at : at + n]
+
+    monkeypatch.setattr(recordio, "WINDOW", 128)
+    for size in (250, 4_000, len(file)):
+        found = [b for lo in range(0, len(file), size) for b in recordio.range_frames(read, lo, min(lo + size, len(file)), len(file))]
+        assert found == bodies
+    assert max(asked) <= 700 and sorted(asked)[-10] <= 128

@@ -33,6 +33,7 @@ FLOAT32 = 2
 VALUES, KEYS, SHAPE = 1, 2, 3
 RECORD_ROWS = 4_096
 RANGE_BYTES = 32 << 20
+WINDOW = 2 << 20  # bytes of a range held at once
 FRAMES_AHEAD = 4
 SHORT_VARINTS = 24
 ROW = "label double, keys array<long>, values array<double>, width long"
@@ -71,40 +72,61 @@ def _follow(read: Callable[[int, int], bytes], at: int, size: int) -> None:
         at = end
 
 
-def first_frame(data: bytes, start: int, read: Callable[[int, int], bytes], size: int) -> int | None:
-    """Place of the first frame of a range whose bytes are ``data``, None if no frame starts in it."""
-    skip = -start % 4
-    words = np.frombuffer(data[skip : skip + (len(data) - skip) // 4 * 4], dtype="<u4")
-    for place in (np.flatnonzero(words == MAGIC) * 4 + skip).tolist():
-        at, chained = start + place, 0
+def _windowed(read: Callable[[int, int], bytes], stop: int) -> Callable[[int, int], bytes]:
+    """``read`` that fetches up to ``WINDOW`` bytes at a time, those before ``stop``, and keeps the last fetch."""
+    begin, held = 0, b""
+
+    def get(at: int, n: int) -> bytes:
+        nonlocal begin, held
+        if not begin <= at <= at + n <= begin + len(held):
+            begin, held = at, b""  # the old bytes go before new ones come
+            held = read(at, max(n, min(WINDOW, stop - at)))
+        return held[at - begin : at - begin + n]
+
+    return get
+
+
+def _marks(read: Callable[[int, int], bytes], start: int, stop: int, size: int) -> Iterator[int]:
+    """Places in ``start..stop`` at which a marker stands."""
+    for low in range(start + -start % 4, stop, WINDOW):
+        data = read(low, min(WINDOW, stop - low + 3, size - low))
+        words = np.frombuffer(data, dtype="<u4", count=len(data) // 4)
+        for place in np.flatnonzero(words == MAGIC).tolist():
+            yield low + 4 * place
+
+
+def first_frame(read: Callable[[int, int], bytes], start: int, stop: int, size: int) -> int | None:
+    """Place of the first frame that starts in ``start..stop``, None if there is none."""
+    for place in _marks(read, start, stop, size):
+        at, chained, ahead = place, 0, 0
         try:
-            # through the range, and some frames beyond it
-            ahead = 0
-            while size - at >= 8 and ahead < FRAMES_AHEAD:
-                inside = at + 8 <= start + len(data)
-                end = _frame_end(data[at - start : at - start + 8] if inside else read(at, 8), at)
-                if end > size:
-                    raise ValueError(f"truncated record at offset {at}")
-                at, chained, ahead = end, chained + 1, ahead + (not inside)
-            return start + place
+            # a marker inside a body leads nowhere; a longer chain that breaks is a broken file, which reading it shows
+            while size - at >= 8 and ahead < FRAMES_AHEAD and chained <= 2:
+                ahead += at + 8 > stop
+                at, chained = _frame_end(read(at, 8), at), chained + 1
+                if at > size:
+                    chained -= 1
+                    raise ValueError("truncated")
+            return place
         except ValueError:
-            # a marker inside a body leads nowhere; a chain that goes on and then breaks is a broken file
             if chained > 2:
                 raise
     return None
 
 
 def range_frames(read: Callable[[int, int], bytes], start: int, stop: int, size: int) -> Iterator[bytes]:
-    """Record bytes of the frames that start in ``start..stop`` of a file of ``size`` bytes; ``read(at, n)`` gives bytes."""
-    data = read(start, stop - start)
-    at = 0 if start == 0 else first_frame(data, start, read, size)
+    """Record bytes of the frames that start in ``start..stop`` of a file of ``size`` bytes; ``read(at, n)`` gives bytes.
+
+    Of the range one window is held at a time, or one frame if that is longer.
+    """
+    at = 0 if start == 0 else first_frame(read, start, stop, size)
+    get = _windowed(read, stop)
     while at is not None and at < stop and size - at >= 8:
-        here = at - start
-        end = _frame_end(data[here : here + 8] if here + 8 <= len(data) else read(at, 8), at)
+        header = get(at, 8)
+        end = _frame_end(header, at)
         if end > size:
             raise ValueError(f"truncated record at offset {at}")
-        length = struct.unpack("<I", data[here + 4 : here + 8] if here + 8 <= len(data) else read(at + 4, 4))[0]
-        yield data[here + 8 : here + 8 + length] if here + 8 + length <= len(data) else read(at + 8, length)
+        yield get(at + 8, struct.unpack_from("<I", header, 4)[0])
         at = end
     if at is not None:
         _follow(read, at, size)
@@ -124,7 +146,7 @@ def _varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _fields(data: bytes, at: int, stop: int) -> Iterator[tuple[int, object]]:
+def _places(data: bytes, at: int, stop: int) -> Iterator[tuple[int, object]]:
     """(field number, place of the bytes or int) of one message inside ``data``."""
     while at < stop:
         tag, at = _varint(data, at)
@@ -141,6 +163,12 @@ def _fields(data: bytes, at: int, stop: int) -> Iterator[tuple[int, object]]:
         yield number, value
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, object]]:
+    """(field number, bytes or int) of one message."""
+    for number, value in _places(data, 0, len(data)):
+        yield number, value if isinstance(value, int) else data[slice(*value)]
+
+
 def varints(data: bytes) -> np.ndarray:
     """Packed variable-length integers, signed by their 64 bits."""
     if len(data) <= SHORT_VARINTS:
@@ -165,7 +193,7 @@ def _numbers(data: bytes, value: object) -> np.ndarray:
 def _tensor(data: bytes, place: tuple[int, int], kind: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, list]:
     """Values, keys, shape, and the places of values of fixed size."""
     values, keys, shape, places = [], [], [np.empty(0, dtype=np.int64)], []
-    for number, value in _fields(data, *place):
+    for number, value in _places(data, *place):
         if number == VALUES:
             if kind == "varint":
                 values.append(_numbers(data, value).astype(float))
@@ -179,21 +207,34 @@ def _tensor(data: bytes, place: tuple[int, int], kind: str) -> tuple[np.ndarray,
     return np.concatenate([np.empty(0), *values]), np.concatenate(keys) if keys else None, np.concatenate(shape), places
 
 
+def _named(data: bytes, place: tuple[int, int]) -> tuple[str, tuple | None, str | None]:
+    """Key, tensor and kind of one entry of a map."""
+    key, tensor, found = "", None, None
+    for part, inner in _places(data, *place):
+        if part == 1:
+            key = data[slice(*inner)].decode()
+        else:
+            for kind, body in _places(data, *inner):
+                if kind in TENSOR_TYPES:
+                    tensor, found = _tensor(data, body, TENSOR_TYPES[kind]), TENSOR_TYPES[kind]
+    return key, tensor, found
+
+
+def _entry(data: bytes) -> tuple[str, tuple | None]:
+    """Key and tensor of the bytes of one entry."""
+    return _named(data, (0, len(data)))[:2]
+
+
 def _parse(data: bytes) -> tuple[dict, dict]:
     """Tensor and kind under the key ``values``, by field number."""
     found: dict[int, tuple] = {}
     kinds: dict[int, str] = {}
-    for number, value in _fields(data, 0, len(data)):
+    for number, value in _places(data, 0, len(data)):
         if number not in (FEATURES, LABEL) or isinstance(value, int):
             continue
-        key, tensor = "", None
-        for part, place in _fields(data, *value):
-            if part == 1:
-                key = data[slice(*place)].decode()
-            else:
-                for kind, body in _fields(data, *place):
-                    if kind in TENSOR_TYPES:
-                        tensor, kinds[number] = _tensor(data, body, TENSOR_TYPES[kind]), TENSOR_TYPES[kind]
+        key, tensor, kind = _named(data, value)
+        if kind is not None:
+            kinds[number] = kind
         if key == "values" and tensor is not None:
             found[number] = tensor
     return found, kinds
