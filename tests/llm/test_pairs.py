@@ -71,6 +71,40 @@ def test_chain_of_copies_in_one_tile_across_chunks(spark, monkeypatch):
     assert got == brute_components(rows, 3, 90, 100)
 
 
+def test_no_table_grows_with_the_square_of_a_group(spark, monkeypatch):
+    # the first row shares a tile with all near copies and links with none; as their only centre it left every pair to be listed
+    base = prose(9, 200).split()
+    rows = [(0, " ".join(base[:100] + [f"far{k}" for k in range(100)]))]
+    rows += [(i, " ".join([f"x{i}_{k}" if k in (101 + i, 102 + i) else w for k, w in enumerate(base)])) for i in range(1, 81)]
+    made, write = {}, jaccard.stage
+
+    def counted(df, name):
+        table = write(df, name)
+        made[name] = max(made.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(table(spark, rows, 4), 5, 80, 100).collect())
+    assert got == brute_components(rows, 5, 80, 100)
+    assert max(made.values()) < 81 * 80 // 4, made
+
+
+def test_groups_with_pairs_near_the_bound(spark, monkeypatch):
+    # bit counts let pairs pass that are no links: their trees are compared once more, across chunks too
+    monkeypatch.setattr(jaccard, "CHUNK", 5)
+    monkeypatch.setattr(jaccard, "overlap_bound", lambda a, n, b, m: np.minimum(n, m))
+    r, base, rows = random.Random(3), prose(11, 120).split(), []
+    for i in range(24):
+        copy = list(base)
+        for k in r.sample(range(120), r.choice([1, 2, 3, 4, 5])):
+            copy[k] = f"new{i}_{k}"
+        rows.append((i, " ".join(copy)))
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(table(spark, rows, 4), 3, 80, 100).collect())
+    want = brute_components(rows, 3, 80, 100)
+    assert len({c for _, _, c in want}) > 1
+    assert got == want
+
+
 def test_components_of_odd_rows(spark, odd, empty):
     got = Counter(tuple(r) for r in jaccard.jaccard_components(odd).collect())
     assert got == brute_components(ODD_ROWS, 3, 90, 100)

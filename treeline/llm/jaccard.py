@@ -8,10 +8,11 @@ link is lost. Inside tiles, sizes and bitmaps come first: a bit that one set has
 other lacks, so bit counts bound the overlap from above. Only pairs that pass are compared by intersection of their
 sorted arrays.
 
-Equal sets are one class, named by its first row. First every class is compared with the least class of its tiles,
-and the links found are joined to components: that settles tiles with a single component, so a group of thousands of near copies costs about
-as many comparisons as it has members. Tiles that still hold several components are compared whole across
-components, in chunk pairs of bounded size. The result is exact.
+Equal sets are one class, named by its first row. Tiles with the same least class are one group, so two sets that share
+many tiles meet once or twice, not in each of them. A group is compared by sizes and bits in chunk pairs of bounded
+size and gives a forest of the pairs that pass, fewer rows than it has members. The edges are compared exactly. Trees
+with an edge that is no link are compared once more by their arrays, across the components that the links have made,
+and give a forest of links. So no table of pairs grows with the square of a group, and the result is exact.
 
 Elements are 64-bit hashes of the n-gram's words. Cases: null and empty texts, and texts of white space, have no set
 and link with nothing; texts shorter than the n-gram are one element; rows without id take part, but a component is
@@ -37,8 +38,9 @@ from treeline.llm.tokens import slices
 BAND = 1.5  # sizes of a band, largest to smallest
 DEALS = 4
 KEPT_DIGESTS = 200_000  # of a task
-BROADCAST_TILES = 2_000_000  # shared tiles (16 bytes each) that may be sent to every executor
-CHUNK = 2048  # members of a tile compared with as many others in one task
+BROADCAST_ROWS = 2_000_000  # shared tiles and other rows of 8 or 16 bytes that may be sent to every executor
+CHUNK = 2048  # members of a group compared with as many others in one task
+CHUNK_ELEMENTS = 2_000_000  # elements of their sets
 
 
 def shingle_set(text: str, n: int = 3) -> np.ndarray:
@@ -179,7 +181,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100, i
 
     rows = source.mapInArrow(sets, f"id {id_type}, n bigint, digest binary, keys array<bigint>")
     keyed = stage(rows.withColumn("row", F.monotonically_increasing_id()), "keyed")
-    rows = stage(keyed.drop("keys"), "rows")
+    rows = stage(keyed.withColumn("entered", F.size("keys") > 0).drop("keys"), "rows")
     links, spent = _links(source, rows, keyed, n, p, q)
     named = connected_components(links)
     drop(*spent)
@@ -192,44 +194,44 @@ def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100, i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be sent to every executor if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _links(source: DataFrame, rows: DataFrame, keyed: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, list[DataFrame]]:
     """``a, b``: links between rows, enough to connect every two that a chain of links connects; and the tables they read.
 
     Every table is removed as soon as its last reader is written, ``keyed`` too.
     """
     # one row per set: the first, which has keys; copies in other tasks add nothing but repeated pairs
-    firsts = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("row")).select("row")
-    kept = stage(keyed.where("size(keys) > 0").select("row", "keys").join(firsts, "row", "left_semi"), "keys")
-    drop(keyed)
-    places = kept.select(F.col("row").alias("class"), F.explode("keys").alias("key"))
+    entered = rows.where("entered").select("row", "digest")
+    again = entered.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    copies = stage(entered.join(again, "digest").where("row <> first").select("row"), "copies")
+    places = keyed.join(_few(copies), "row", "left_anti").select(F.col("row").alias("class"), F.explode("keys").alias("key"))
     shared = places.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
     tiles = stage(shared.select("key", "least"), "tiles")
-    few = F.broadcast if tiles.count() <= BROADCAST_TILES else (lambda table: table)
-    members = stage(places.join(few(tiles), "key"), "members")
-    drop(kept, tiles)
-    nodes = members.select("class").distinct()
-    sets = _class_sets(source, rows.select(F.col("row").alias("class"), "digest", "n", "id").join(nodes, "class", "left_semi"), n)
-
-    stars = members.where("class <> least").groupBy("class").agg(F.min("least").alias("least"))
-    stars, close = _verified(stars.select(F.col("least").alias("a"), F.col("class").alias("b")), sets, p, q)
-    found = stage(stars, "stars")
-    drop(close)
-    named = connected_components(found).select(F.col("node").alias("class"), "component")
-    inside = stage(members.join(named, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component")), "inside")
-    drop(members)
-    mixed = inside.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
-        F.min("class").alias("least"), F.max("class").alias("most"), F.bit_xor(F.xxhash64("class")).alias("who"),
-    ).where("low < high")
-    # tiles with the same members ask the same questions
-    mixed = mixed.groupBy("size", "least", "most", "who").agg(F.min("key").alias("key")).select("key", "size")
-    crossing, close = _exact(_crossing(inside.join(mixed, "key"), sets, p, q), sets, p, q)  # their bits have been compared
-    drop(inside)
-    return found.unionByName(crossing), [found, close, sets]
-
-
-def _class_sets(source: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """``class, n, bits, hashes`` of the given classes, from the texts of their ids; some may come twice."""
+    members = stage(places.join(_few(tiles), "key").select("least", "class").distinct(), "members")
+    drop(keyed, tiles, copies)
+
+    of_rows = rows.select(F.col("row").alias("class"), "digest", "n", "id")
+    bits = _class_sets(source, of_rows, members.select("class"), n, "bits")
+    edges = stage(_crossing(members, bits, p, q), "edges")
+    drop(members, bits)
+    pairs = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    hashes = _class_sets(source, of_rows, pairs.select(F.explode(F.array("a", "b")).alias("class")), n, "hashes")
+    found = stage(_exact(pairs, hashes, p, q), "found")
+    failed = stage(pairs.join(found, ["a", "b"], "left_anti"), "failed")
+    drop(pairs)
+    if failed.isEmpty():
+        return found, [found, failed, edges, hashes]
+    named = connected_components(found)
+    rest = _rest(_open_trees(edges, failed, named), hashes, p, q)
+    return found.unionByName(rest), [found, failed, edges, hashes]
+
+
+def _class_sets(source: DataFrame, of_rows: DataFrame, classes: DataFrame, n: int, kind: str) -> DataFrame:
+    """``class, n`` and ``bits`` or ``hashes`` (by ``kind``) of the given classes, from the texts of their ids; some may come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -239,17 +241,15 @@ def _class_sets(source: DataFrame, classes: DataFrame, n: int) -> DataFrame:
             if len(seen) > KEPT_DIGESTS:
                 seen.clear()
             seen.update(by_digest)
-            found = list(by_digest.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(by_digest), pa.binary()), pa.array([bitmap(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["digest", "bits", "hashes"],
-            )
+            found = [(bitmap(s) if kind == "bits" else s).tobytes() for s in by_digest.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(by_digest), pa.binary()), pa.array(found, pa.binary())], ["digest", kind])
 
-    wanted = stage(classes.select("class", "digest", "n", F.col("id").alias("of")), "wanted")
-    texts = source.join(wanted.select("of").distinct(), F.col("id").eqNullSafe(F.col("of")), "left_semi").select("text")
-    found = texts.mapInArrow(run, "digest binary, bits binary, hashes binary")
+    wanted = stage(of_rows.join(classes.distinct(), "class", "left_semi").withColumnRenamed("id", "of"), "wanted")
+    ids = stage(wanted.select("of").distinct(), "ids")
+    texts = source.join(_few(ids), F.col("id").eqNullSafe(F.col("of")), "left_semi").select("text")
+    found = texts.mapInArrow(run, f"digest binary, {kind} binary")
     sets = stage(found.join(wanted.select("class", "digest", "n"), "digest").drop("digest"), "class-sets")
-    drop(wanted)
+    drop(wanted, ids)
     return sets
 
 
@@ -259,22 +259,8 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs ``a, b`` of classes that link, as ``_exact`` gives them: bit counts first, then the sorted arrays of what is left."""
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
-            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
-            keep = [reaches(min(i, j), i, j, p, q) and bool(reaches(overlap_bound(_u64(s), i, _u64(t), j), i, j, p, q)) for i, j, s, t in zip(n, m, x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = (sets.select(F.col("class").alias(c), F.col("n").alias(s), F.col("bits").alias(x)) for c, s, x in (("a", "n", "x"), ("b", "m", "y")))
-    close = pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(bounded, "a bigint, b bigint")
-    return _exact(close, sets, p, q)
-
-
-def _exact(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs whose sorted arrays share enough, and the table of all pairs, which is written first so that its own steps leave the disk."""
+def _exact(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs ``a, b`` of classes whose sorted arrays share enough."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -284,37 +270,92 @@ def _exact(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> tuple[DataFrame
                 keep.append(bool(reaches(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), p, q)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = stage(pairs, "close")
     left, right = (sets.select(F.col("class").alias(c), F.col("hashes").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-    return close.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(exact, "a bigint, b bigint"), close
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(exact, "a bigint, b bigint")
 
 
-def _crossing(inside: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Distinct pairs of classes that share a tile, lie in different components and pass sizes and bit counts."""
+def _crossing(members: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """``least, i, j, tree, a, b``: per group and chunk pair a forest over the pairs of classes that pass sizes and bit counts."""
 
     def compare(batch: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(batch.column("n")), kind="stable")
-        ids, parts, sizes, sides = (np.asarray(batch.column(c))[order] for c in ("class", "component", "n", "side"))
+        ids, sizes, sides = (np.asarray(batch.column(c))[order] for c in ("class", "n", "side"))
         maps = [_u64(x) for x in batch.column("bits").to_pylist()]
         words = min(len(x) for x in maps)  # bits of a tile differ by a factor of two or four at most
         maps = np.stack([_folded(maps[i], words) for i in order])
-        a, b = [], []
-        one_chunk = batch.column("i")[0].as_py() == batch.column("j")[0].as_py()
+        group = [batch.column(c)[0].as_py() for c in ("least", "i", "j")]
+        tree, a, b = ids.copy(), [], []
         for i in range(len(ids) - 1):
             last = int(np.searchsorted(sizes, sizes[i] * q // p, side="right"))  # no larger set can link
-            at = np.arange(i + 1, last)
-            at = at[(parts[at] != parts[i]) & (ids[at] != ids[i]) & (one_chunk | (sides[at] != sides[i]))]
+            at = i + 1 + np.flatnonzero(tree[i + 1 : last] != tree[i])
+            if group[1] != group[2]:
+                at = at[sides[at] != sides[i]]
             if len(at):
                 at = at[reaches(overlap_bound(maps[i][None, :], sizes[i], maps[at], sizes[at]), sizes[i], sizes[at], p, q)]
-                a += np.minimum(ids[i], ids[at]).tolist()
-                b += np.maximum(ids[i], ids[at]).tolist()
+            if len(at):
+                others, one = np.unique(tree[at], return_index=True)
+                a += [i] * len(one)
+                b += at[one].tolist()
+                tree[np.isin(tree, others)] = tree[i]
+        named = [pa.array([x] * len(a), kind) for x, kind in zip(group, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        return pa.table([*named, pa.array(tree[a]), pa.array(ids[a]), pa.array(ids[b])], ["least", "i", "j", "tree", "a", "b"])
+
+    sizes = members.join(sets.select("class", "n").distinct(), "class")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)), F.ceil(F.sum("n") / F.lit(CHUNK_ELEMENTS))).cast("int")
+    dealt = members.join(sizes.groupBy("least").agg(chunks.alias("chunks")), "least")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("least", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    return dealt.join(sets, "class").groupBy("least", "i", "j").applyInArrow(compare, "least bigint, i int, j int, tree bigint, a bigint, b bigint")
+
+
+_TREE = ["least", "i", "j", "tree"]
+
+
+def _open_trees(edges: DataFrame, failed: DataFrame, named: DataFrame) -> DataFrame:
+    """The classes, with their components, of the trees that have an edge without a link and still hold several components.
+
+    In the other trees the links connect all classes. Trees with the same classes ask the same question; one stays.
+    """
+    ends = edges.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
+    broken = ends.join(failed.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_semi").select(*_TREE).distinct()
+    classes = edges.join(broken, _TREE, "left_semi").select(*_TREE, F.explode(F.array("a", "b")).alias("class")).distinct()
+    classes = classes.join(named.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    open_ = classes.groupBy(*_TREE).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
+        F.min("class").alias("first"), F.max("class").alias("most"), F.bit_xor(F.xxhash64("class")).alias("who"),
+    ).where("low < high")
+    one = open_.groupBy("size", "first", "most", "who").agg(F.min(F.struct(*_TREE)).alias("one")).select("one.*")
+    return classes.join(one, _TREE, "left_semi")
+
+
+def _rest(trees: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """A forest of the links between components of a tree."""
+
+    def compare(batch: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(batch.column("n")), kind="stable")
+        ids, parts, sizes = (np.asarray(batch.column(c))[order] for c in ("class", "component", "n"))
+        parts, hashes = parts.copy(), batch.column("hashes").to_pylist()
+        known, codes = np.unique(np.concatenate([_u64(hashes[i]) for i in order]), return_inverse=True)
+        starts, own = np.concatenate(([0], np.cumsum(sizes))), np.zeros(len(known), dtype=bool)
+        a, b = [], []
+        for i in range(len(ids) - 1):
+            last = int(np.searchsorted(sizes, sizes[i] * q // p, side="right"))
+            if (parts[i + 1 : last] == parts[i]).all():
+                continue
+            mine = codes[starts[i] : starts[i + 1]]
+            own[mine] = True
+            shared = np.add.reduceat(own[codes[starts[i + 1] : starts[last]]], starts[i + 1 : last] - starts[i + 1], dtype=np.int64)
+            own[mine] = False
+            at = i + 1 + np.flatnonzero(reaches(shared, sizes[i], sizes[i + 1 : last], p, q) & (parts[i + 1 : last] != parts[i]))
+            if len(at):
+                others, one = np.unique(parts[at], return_index=True)
+                a += [ids[i]] * len(one)
+                b += ids[at[one]].tolist()
+                parts[np.isin(parts, others)] = parts[i]
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    chunks = F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")
-    dealt = inside.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("class"), "chunks").cast("int"))
-    dealt = dealt.join(sets.select("class", "n", "bits"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", "class", "component", "n", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return trees.join(sets, "class").groupBy(*_TREE).applyInArrow(compare, "a bigint, b bigint")
 
 
 def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
