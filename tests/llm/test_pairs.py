@@ -61,6 +61,19 @@ def test_components_equal_brute_force(spark, n, p, q):
     assert got == brute_components(rows, n, p, q)
 
 
+def test_shared_tiles_take_no_table_of_all_keys(spark):
+    # (class, key): key 1 of one class, 2 of one class twice, 3 and 4 of the same two, 5 of three, 6 of many
+    rows = [(7, 1), (8, 2), (8, 2), (9, 3), (4, 3), (4, 4), (9, 4), (9, 5), (2, 5), (11, 5), *((c, 6) for c in range(20, 60))]
+    places = spark.createDataFrame(rows, "class long, key long").repartition(3)
+    found = jaccard._members(places)
+    groups = {}
+    for c, key in rows:
+        groups.setdefault(key, set()).add(c)
+    assert Counter(tuple(r) for r in found.collect()) == Counter({(min(g), c) for g in groups.values() if len(g) > 1 for c in g})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan[plan.index("Window") :]
+
+
 def test_chain_of_copies_in_one_tile_across_chunks(spark, monkeypatch):
     # every text differs from its neighbours by a little and from the others by more: components need more than the star
     monkeypatch.setattr(jaccard, "CHUNK", 4)

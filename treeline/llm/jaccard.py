@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.components import connected_components
@@ -38,7 +38,7 @@ from treeline.llm.tokens import slices
 BAND = 1.5  # sizes of a band, largest to smallest
 DEALS = 4
 KEPT_DIGESTS = 200_000  # of a task
-BROADCAST_ROWS = 2_000_000  # shared tiles and other rows of 8 or 16 bytes that may be sent to every executor
+BROADCAST_ROWS = 2_000_000  # rows of 8 or 16 bytes that may be sent to every executor
 CHUNK = 2048  # members of a group compared with as many others in one task
 CHUNK_ELEMENTS = 2_000_000  # elements of their sets
 
@@ -209,10 +209,8 @@ def _links(source: DataFrame, rows: DataFrame, keyed: DataFrame, n: int, p: int,
     again = entered.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     copies = stage(entered.join(again, "digest").where("row <> first").select("row"), "copies")
     places = keyed.join(_few(copies), "row", "left_anti").select(F.col("row").alias("class"), F.explode("keys").alias("key"))
-    shared = places.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
-    tiles = stage(shared.select("key", "least"), "tiles")
-    members = stage(places.join(_few(tiles), "key").select("least", "class").distinct(), "members")
-    drop(keyed, tiles, copies)
+    members = stage(_members(places), "members")
+    drop(keyed, copies)
 
     of_rows = rows.select(F.col("row").alias("class"), "digest", "n", "id")
     bits = _class_sets(source, of_rows, members.select("class"), n, "bits")
@@ -230,6 +228,17 @@ def _links(source: DataFrame, rows: DataFrame, keyed: DataFrame, n: int, p: int,
     return found.unionByName(rest), [found, failed, edges, hashes]
 
 
+def _members(places: DataFrame) -> DataFrame:
+    """``least, class`` of the groups of all shared tiles, from ``class, key``.
+
+    Nearly every key occurs once, so a table of keys in memory, before the shuffle or sent to the executors, would be as
+    large as the input. Rows are sorted by key instead, which spills, and only those of shared tiles are made distinct.
+    """
+    tile = Window.partitionBy("key")
+    named = places.select("class", "key", F.min("class").over(tile).alias("least"), F.max("class").over(tile).alias("most"))
+    return named.where("least < most").select("least", "class").distinct()
+
+
 def _class_sets(source: DataFrame, of_rows: DataFrame, classes: DataFrame, n: int, kind: str) -> DataFrame:
     """``class, n`` and ``bits`` or ``hashes`` (by ``kind``) of the given classes, from the texts of their ids; some may come twice."""
 
