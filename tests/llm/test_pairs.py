@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,19 @@ def test_connected_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_links_that_are_chosen_anew_when_read_again(spark):
+    # two of the three links of a triangle connect it, whichever they are, but not one direction of some and the other of others
+    def forest(batches):
+        r = random.SystemRandom()
+        for batch in batches:
+            links = [x for k in batch.column(0).to_pylist() for x in r.sample([(3 * k, 3 * k + 1), (3 * k, 3 * k + 2), (3 * k + 1, 3 * k + 2)], 2)]
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    links = spark.range(300).mapInArrow(forest, "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(links).collect()}
+    assert got == {i: i // 3 * 3 for i in range(900)}
+
+
 def brute_repeats(rows, window):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, rows[i][1] or ""))
     seen, out = set(), []

@@ -14,9 +14,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours (summed on the map side, so a node with very many links is no
     hot key), then follows labels once; rounds grow with the logarithm of the longest path. Every round is written to
     the shared folder, and the one before is removed. Loops and repeated links do no harm; an empty table gives an empty result.
+    Both directions come from one read: a forest that is chosen anew when it is read again would have other links in the other one.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = stage(both, "links")
+    both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("link"))
+    both = stage(both.select("link.a", "link.b").where("a <> b").distinct(), "links")
     written = labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
     while True:
         offered = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("offer"))
