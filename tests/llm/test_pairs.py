@@ -1,11 +1,13 @@
 """Operators 4, 6 and 7 against brute force."""
 
 import hashlib
+import pathlib
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,38 @@ def test_shared_tiles_take_no_table_of_all_keys(spark):
     assert "Join" not in plan and "Aggregate" not in plan[plan.index("Window") :]
 
 
+@pytest.mark.parametrize("buckets", [1, 64, 5_000])
+def test_packed_keys(buckets):
+    r = np.random.default_rng(buckets)
+    rows = np.sort(np.concatenate([r.integers(0, 1 << 17, 60), r.integers(0, 500, 60) + (7 << 33)])).repeat(300)
+    keys = r.integers(0, 1 << 64, len(rows), dtype=np.uint64)
+    keys[r.integers(0, len(keys), 900)] = keys[r.integers(0, 200, 900)]
+    whole, found, tiles = pa.Table.from_batches([jaccard._pack_keys(keys[i::2], rows[i::2], buckets) for i in (0, 1)]), set(), {}
+    assert whole.nbytes < 7 * len(keys) + 40 * whole.num_rows  # no list of rows or whole keys travels
+    for bucket in np.unique(np.asarray(whole.column("bucket"))):
+        for tile in jaccard._shared(*jaccard._unpack_keys(whole.filter(pa.compute.equal(whole.column("bucket"), int(bucket))))).to_pylist():
+            found |= {(tile["least"], c) for c in tile["classes"]}
+    for key, row in zip(keys.tolist(), rows.tolist(), strict=True):
+        tiles.setdefault(key, set()).add(row)
+    assert {x for x in found if len({c for least, c in found if least == x[0]}) > 1} == {(min(t), c) for t in tiles.values() if len(t) > 1 for c in t}
+
+
+def test_written_keys_are_those_of_shared_tiles(spark, monkeypatch):
+    # texts that share nothing: their tile keys were written, 8 bytes each, before they were shuffled
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(400))) for i in range(60)] + [(100, "one more text of a few words"), (101, "one more text of a few words")]
+    sizes, write = {}, jaccard.stage
+
+    def sized(df, name):
+        table = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), sum(f.stat().st_size for f in pathlib.Path(table.staged_path.removeprefix("file:")).glob("part-*")))
+        return table
+
+    monkeypatch.setattr(jaccard, "stage", sized)
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(table(spark, rows, 4), 5, 80, 100).collect())
+    assert got == brute_components(rows, 5, 80, 100)
+    assert sizes["keyed"] < 8 * sum(len(jaccard.tile_keys(jaccard.shingle_set(t, 5), 80, 100)) for _, t in rows) / 2, sizes
+
+
 def test_chain_of_copies_in_one_tile_across_chunks(spark, monkeypatch):
     # every text differs from its neighbours by a little and from the others by more: components need more than the star
     monkeypatch.setattr(jaccard, "CHUNK", 4)

@@ -4,7 +4,8 @@ Two sets of sizes n and m whose Jaccard index reaches p / q differ in at most H
 Sizes are cut into bands; in a band H is bounded by its largest size, so if the hashed elements are dealt to more
 than H parts, two sets that link agree in at least one whole part. A tile is all sets of a band (and those just below it)
 with the same content of one part: nothing but near copies meet there, whatever words or passages are frequent, and no
-link is lost. Inside tiles, sizes and bitmaps come first: a bit that one set has and the other lacks is an element the
+link is lost. Nearly all tiles hold one set, so keys travel packed, per chunk of sets and bucket of keys one row with 7 bytes
+per key; a bucket finds its keys that occur twice, and only those of such tiles leave it. Inside tiles, sizes and bitmaps come first: a bit that one set has and the other lacks is an element the
 other lacks, so bit counts bound the overlap from above. Only pairs that pass are compared by intersection of their
 sorted arrays.
 
@@ -27,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ BAND = 1.5  # sizes of a band, largest to smallest
 DEALS = 4
 KEPT_DIGESTS = 200_000  # of a task
 BROADCAST_ROWS = 2_000_000  # rows of 8 or 16 bytes that may be sent to every executor
+BUCKET_CHARS = 8 << 20  # characters of text per bucket of tile keys
+LEAST_BUCKETS = 64
+FLUSH_KEYS = 1 << 19  # packed together by a task
+KEY_BYTES = 5  # kept of a key in its bucket; two that agree by chance make a tile without a link
+LIST_ROWS = 1 << 16
 CHUNK = 2048  # members of a group compared with as many others in one task
 CHUNK_ELEMENTS = 2_000_000  # elements of their sets
 
@@ -161,27 +168,9 @@ def _u64(data: bytes) -> np.ndarray:
 def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` of every row; links are pairs with q * intersection >= p * union."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = source.schema["id"].dataType.simpleString()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for part in slices(batches, "text"):
-            found = [shingle_set(t or "", n) for t in part.column(1).to_pylist()]
-            digests, keys = [_digest(s) for s in found], []
-            for s, digest in zip(found, digests, strict=True):
-                known = digest in seen or not len(s)  # equal sets of a task are entered once
-                keys.append(np.empty(0, dtype=np.int64) if known else tile_keys(s, p, q).view(np.int64))
-                seen.add(digest)
-            if len(seen) > KEPT_DIGESTS:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n", "digest", "keys"],
-            )
-
-    rows = source.mapInArrow(sets, f"id {id_type}, n bigint, digest binary, keys array<bigint>")
-    keyed = stage(rows.withColumn("row", F.monotonically_increasing_id()), "keyed")
-    rows = stage(keyed.withColumn("entered", F.size("keys") > 0).drop("keys"), "rows")
+    chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    keyed = stage(_keyed(source, n, p, q, max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS))), "keyed")
+    rows = stage(keyed.where("row IS NOT NULL").select("id", "n", "digest", "row", "entered"), "rows")
     links, spent = _links(source, rows, keyed, n, p, q)
     named = connected_components(links)
     drop(*spent)
@@ -194,6 +183,112 @@ def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100, i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _pack_keys(keys: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per bucket and page of 65,536 rows: the low bytes of its keys and the places of their rows in the page."""
+    bucket, page = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32), rows >> 16
+    order = np.lexsort((page, bucket))
+    bucket, page = bucket[order], page[order]
+    low = keys[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    places = (rows[order] & 0xFFFF).astype("<u2")
+    at = np.flatnonzero(np.concatenate(([True], (np.diff(bucket) != 0) | (np.diff(page) != 0)))[: len(keys)])
+    ends = np.append(at[1:], len(keys)).tolist()
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[at]),
+            pa.array(page[at]),
+            pa.array([low[i:j].tobytes() for i, j in zip(at.tolist(), ends, strict=True)], pa.binary()),
+            pa.array([places[i:j].tobytes() for i, j in zip(at.tolist(), ends, strict=True)], pa.binary()),
+        ],
+        ["bucket", "page", "keys", "places"],
+    )
+
+
+def _unpack_keys(packed: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Low bytes of the keys of a bucket, as integers, and their rows."""
+    low = np.frombuffer(b"".join(packed.column("keys").to_pylist()), dtype=np.uint8).reshape(-1, KEY_BYTES)
+    keys = np.zeros((len(low), 8), dtype=np.uint8)
+    keys[:, :KEY_BYTES] = low
+    places = packed.column("places").to_pylist()
+    pages = np.repeat(np.asarray(packed.column("page"), dtype=np.int64), [len(x) // 2 for x in places])
+    return keys.view("<u8").ravel(), (pages << 16) + np.frombuffer(b"".join(places), dtype="<u2")
+
+
+def _shared(keys: np.ndarray, rows: np.ndarray) -> pa.Table:
+    """``least, classes``: the distinct rows of tiles of several rows, by the least of the tile; long lists come in pieces."""
+    order = np.lexsort((rows, keys))
+    keys, rows = keys[order], rows[order]
+    start = np.flatnonzero(np.concatenate(([True], np.diff(keys) != 0))[: len(keys)])
+    size = np.diff(np.append(start, len(keys)))
+    least, several = np.repeat(rows[start], size), np.repeat(size > 1, size)
+    least, rows = least[several], rows[several]
+    order = np.lexsort((rows, least))
+    least, rows = least[order], rows[order]
+    new = np.concatenate(([True], (np.diff(least) != 0) | (np.diff(rows) != 0)))[: len(rows)]
+    least, rows = least[new], rows[new]
+    at = np.flatnonzero(np.concatenate(([True], np.diff(least) != 0))[: len(rows)] | (np.arange(len(rows)) % LIST_ROWS == 0))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(rows)).astype(np.int32)), pa.array(rows))
+    return pa.table([pa.array(least[at]), lists], ["least", "classes"])
+
+
+def _keyed(source: DataFrame, n: int, p: int, q: int, buckets: int) -> DataFrame:
+    """``row, id, n, digest, entered`` of every row, and ``least, classes`` of the rows that share tiles, in one pass.
+
+    Both must come from the same numbering of rows, so rows travel with the keys, to a bucket of their number.
+    """
+    id_type = source.schema["id"].dataType.simpleString()
+    of_row, of_keys = f"row bigint, id {id_type}, n bigint, digest binary, entered boolean", "page bigint, keys binary, places binary"
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        held, owners, size, id_kind = [], [], 0, None
+
+        def flush() -> pa.RecordBatch:
+            packed = _pack_keys(np.concatenate(held), np.concatenate(owners), buckets)
+            empty = [pa.nulls(packed.num_rows, kind) for kind in (pa.int64(), id_kind, pa.int64(), pa.binary(), pa.bool_())]
+            return pa.RecordBatch.from_arrays([packed.column(0), *empty, *packed.columns[1:]], names)
+
+        names = ["bucket", "row", "id", "n", "digest", "entered", "page", "keys", "places"]
+        for part in slices(batches, "text"):
+            found = [shingle_set(t or "", n) for t in part.column("text").to_pylist()]
+            digests, entered, id_kind = [_digest(s) for s in found], [], part.column("id").type
+            rows = np.asarray(part.column("row"))
+            for s, digest, row in zip(found, digests, rows.tolist(), strict=True):
+                entered.append(bool(len(s)) and digest not in seen)  # equal sets of a task are entered once
+                seen.add(digest)
+                if entered[-1]:
+                    held.append(tile_keys(s, p, q))
+                    owners.append(np.full(len(held[-1]), row, dtype=np.int64))
+                    size += len(held[-1])
+                    if size > FLUSH_KEYS:
+                        yield flush()
+                        held, owners, size = [], [], 0
+            if len(seen) > KEPT_DIGESTS:
+                seen.clear()
+            empty = [pa.nulls(len(found), kind) for kind in (pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((rows % buckets).astype(np.int32)), part.column("row"), part.column("id"), pa.array([len(s) for s in found], pa.int64()),
+                    pa.array(digests, pa.binary()), pa.array(entered, pa.bool_()), *empty,
+                ],
+                names,
+            )
+        if held:
+            yield flush()
+
+    def match(bucket: pa.Table) -> pa.Table:
+        is_row = bucket.column("row").is_valid()
+        rows = bucket.filter(is_row).select(["row", "id", "n", "digest", "entered"])
+        tiles = _shared(*_unpack_keys(bucket.filter(pa.compute.invert(is_row))))
+        lists = pa.list_(pa.int64())
+        empty = [pa.nulls(tiles.num_rows, rows.schema.field(c).type) for c in rows.column_names]
+        rows = rows.append_column("least", pa.nulls(rows.num_rows, pa.int64())).append_column("classes", pa.nulls(rows.num_rows, lists))
+        return pa.concat_tables([rows, pa.table([*empty, *tiles.columns], rows.column_names)])
+
+    numbered = source.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    packed = numbered.mapInArrow(sets, f"bucket int, {of_row}, {of_keys}")
+    return packed.groupBy("bucket").applyInArrow(match, f"{of_row}, least bigint, classes array<bigint>")
+
+
 def _few(table: DataFrame) -> DataFrame:
     """A written table of narrow rows, to be sent to every executor if it is small."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
@@ -208,8 +303,9 @@ def _links(source: DataFrame, rows: DataFrame, keyed: DataFrame, n: int, p: int,
     entered = rows.where("entered").select("row", "digest")
     again = entered.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     copies = stage(entered.join(again, "digest").where("row <> first").select("row"), "copies")
-    places = keyed.join(_few(copies), "row", "left_anti").select(F.col("row").alias("class"), F.explode("keys").alias("key"))
-    members = stage(_members(places), "members")
+    # a tile is named by its least class here, which is a first: tiles with the same one are the same group
+    shared = keyed.where("least IS NOT NULL").select(F.col("least").alias("key"), F.explode("classes").alias("class"))
+    members = stage(_members(shared.join(_few(copies.withColumnRenamed("row", "class")), "class", "left_anti")), "members")
     drop(keyed, copies)
 
     of_rows = rows.select(F.col("row").alias("class"), "digest", "n", "id")
@@ -231,8 +327,8 @@ def _links(source: DataFrame, rows: DataFrame, keyed: DataFrame, n: int, p: int,
 def _members(places: DataFrame) -> DataFrame:
     """``least, class`` of the groups of all shared tiles, from ``class, key``.
 
-    Nearly every key occurs once, so a table of keys in memory, before the shuffle or sent to the executors, would be as
-    large as the input. Rows are sorted by key instead, which spills, and only those of shared tiles are made distinct.
+    A key names a tile or several with the same least class. A table of keys in memory, before the shuffle or sent to the
+    executors, would grow with the input. Rows are sorted by key instead, which spills; those of shared tiles are made distinct.
     """
     tile = Window.partitionBy("key")
     named = places.select("class", "key", F.min("class").over(tile).alias("least"), F.max("class").over(tile).alias("most"))
