@@ -274,6 +274,25 @@ def test_repeats_do_not_depend_on_buckets(spark, monkeypatch, chars):
     assert Counter(tuple(x) for x in got.collect()) == brute_repeats(rows, 20)
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_only_texts_with_hits_are_written_again(spark, monkeypatch, most):
+    # all texts were shuffled to their hits and written, whether they had any or not
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", most)
+    made, write = {}, substrings.stage
+
+    def counted(df, name):
+        table = write(df, name)
+        made[name] = table.count()
+        return table
+
+    monkeypatch.setattr(substrings, "stage", counted)
+    shared = prose(77, 30)
+    rows = [(i, prose(3000 + i, 60) + (" " + shared if i % 10 == 0 else "")) for i in range(50)]
+    got = substrings.dedup_substrings(table(spark, rows, 4), 20)
+    assert Counter(tuple(x) for x in got.select("doc_id", "n_words", "n_removed", "kept_sha256", "text").collect()) == brute_repeats(rows, 20)
+    assert made["anchored"] == 5
+
+
 def brute_top(rows, k, every):
     ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []

@@ -36,6 +36,7 @@ from treeline.llm.tokens import slices
 BUCKET_CHARS = 16 << 20  # characters of text per bucket of probes
 LEAST_BUCKETS = 64
 CHUNK_CHARS = 2 << 20
+BROADCAST_ROWS = 2_000_000  # numbers of documents with hits that may be sent to every executor
 _PROBES = "bucket int, uids binary, starts binary, places binary, wide binary, keys binary, more binary"
 
 
@@ -146,35 +147,31 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     source, chars = _with_uid(docs, id_col, text_col, carry)
     buckets = max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS))
     hits = stage(_anchors(source, window, buckets), "hits")
-    joined = source.join(hits, "uid", "left")
-    kind = {f.name: f.dataType.simpleString() for f in joined.schema}
+    found = hits.select("uid")
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    kind = {f.name: f.dataType.simpleString() for f in source.schema}
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            n, sha, texts = [], [], []
-            for text, places in zip(part.column("text").to_pylist(), part.column("hits").is_valid().to_pylist(), strict=True):
+            n, sha = [], []
+            for text in part.column("text").to_pylist():
                 words = _words(text)
                 n.append(len(words))
-                texts.append(text if with_text or places else None)
-                sha.append(None if places else hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("uid"), part.column("id"), pa.array(texts, pa.string()), part.column("rest"), part.column("hits"), pa.array(n, pa.int64()), pa.array(sha, pa.string())],
-                ["uid", "id", "text", "rest", "hits", "n_words", "kept_sha256"],
-            )
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            texts = part.column("text") if with_text else pa.nulls(part.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("id"), texts, part.column("rest"), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["id", "text", "rest", "n_words", "kept_sha256"])
 
-    rows = joined.select("uid", "id", "text", "rest", "hits").mapInArrow(
-        first, f"uid bigint, id {kind['id']}, text string, rest {kind['rest']}, hits array<int>, n_words bigint, kept_sha256 string"
-    )
-    rows = stage(rows, "anchored")
-    alone = rows.where("hits IS NULL").select("id", "text", "rest", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
-    anchored = rows.where("hits IS NOT NULL").select("uid", "id", "text", "rest", "hits", "n_words")
+    alone = source.join(found, "uid", "left_anti").select("id", "text", "rest").mapInArrow(first, f"id {kind['id']}, text string, rest {kind['rest']}, n_words bigint, kept_sha256 string")
+    alone = alone.select("id", "text", "rest", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
+    anchored = stage(source.join(found, "uid", "left_semi").join(hits, "uid").select("uid", "id", "text", "rest", "hits"), "anchored")
     later = _later_windows(anchored.select("uid", "text", "hits"), window, buckets)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            texts, removed, sha = [], [], []
+            texts, n, removed, sha = [], [], [], []
             for text, starts in zip(part.column("text").to_pylist(), part.column("later").to_pylist(), strict=True):
                 words = _words(text)
+                n.append(len(words))
                 if starts:
                     edges = np.zeros(len(words) + 1, dtype=np.int64)
                     starts = np.array(starts)
@@ -190,7 +187,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
                     texts.append(text if with_text else None)
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(texts, pa.string()), part.column("rest"), part.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())],
+                [part.column("id"), pa.array(texts, pa.string()), part.column("rest"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())],
                 ["id", "text", "rest", "n_words", "n_removed", "kept_sha256"],
             )
 
